@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,17 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=4)
+def _powers_upto(base: int, bits: int) -> np.ndarray:
+    return powers(base, 1 << bits)
+
+
+def powers_of(base: int, n: int) -> np.ndarray:
+    """The first n powers; tables up to four million entries are kept."""
+    bits = max(12, int(n - 1).bit_length())
+    return _powers_upto(base, bits)[:n] if bits <= 22 else powers(base, n)
+
+
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -90,8 +102,8 @@ class Prefix:
         n = len(data)
         spread = mix64(np.arange(256, dtype=U64) + U64(0x1234567 + 977 * salt))
         self.sum = np.zeros(n + 1, U64)
-        np.cumsum(spread[data] * powers(BASE, n), out=self.sum[1:])
-        self.back = powers(INVERSE, n + 1)
+        np.cumsum(spread[data] * powers_of(BASE, n), out=self.sum[1:])
+        self.back = powers_of(INVERSE, n + 1)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sum[end] - self.sum[start]) * self.back[start] + (end - start).astype(U64))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from docquarry.llm import bpe
+from docquarry.llm import bpe, html_text, media, quality, rans, repeats
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
+    "op4_token_files": rans.op4_token_files,
+    "op6_media": media.op6_media,
+    "op8_html": html_text.op8_html,
+    "op9_quality": quality.op9_quality,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLES: dict[str, str] = {}
