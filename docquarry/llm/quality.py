@@ -2,21 +2,24 @@
 
 Method: one zstandard dictionary is built from texts labelled good and one from texts labelled bad. A text
 is compressed with either, in pieces of ``PIECE`` bytes so that a long text does not become its own
-dictionary; the difference of the two sizes, normalised by the size without a dictionary, is the evidence.
-A logistic curve over it, fitted on labelled texts that are in neither dictionary and weighted to the
-classes' shares of all labels, makes it a calibrated probability of label 1.
+dictionary; the difference of the two sizes, normalised by the size without a dictionary, is the evidence,
+over the whole text and for its worst piece, beside the normalised sizes themselves (text that repeats
+itself shrinks under any dictionary). A logistic curve over these, fitted on labelled texts that are in
+neither dictionary and weighted to the classes' shares of all labels, makes it a calibrated probability
+of label 1.
 
 Bounded sample (documented parameters): ``PER_CLASS`` labelled rows of each class, the first by a hash of
 the id among the rows that may be learned from; of each of those, ``SAMPLE_BYTES`` at most go into the fit.
 Scores cover whole texts.
 
-Cases: null text counts as empty; an empty text gets the score of no evidence (the curve at zero); texts
+Cases: null text counts as empty; an empty text gets the score of an average text; texts
 of any length are scored in pieces; a class without labels gives the other's share for every text, no
 labels at all 0.5; repeated rows get equal scores.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +31,8 @@ from docquarry.llm.common import table
 PER_CLASS = 1500
 SAMPLE_BYTES = 16_384
 DICT_BYTES = 112_640
-PIECE = 2_048
+PIECE = 512
+FULL = 2_048  # bytes from which a text's evidence counts in full
 LEVEL = 3
 CUT = 0.3
 
@@ -40,8 +44,15 @@ class Model:
     good: bytes
     bad: bytes
     weights: tuple[float, ...]
+    mean: tuple[float, ...]
+    spread: tuple[float, ...]
     share: float
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Rows of features (NaN: an empty text) to probabilities."""
+        z = np.nan_to_num((x - self.mean) / self.spread, nan=0.0)
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ np.array(self.weights[1:]), -30, 30)))
+
 
 def dictionary(texts: list[bytes]) -> bytes:
     """Dictionary content: short samples spread over the texts, so that many texts are heard."""
@@ -69,22 +80,28 @@ class Sizes:
             self.makers.append(zs.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
         self.makers.append(zs.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False).compress)
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
-        """Constant, normalised difference, and that difference by the square root of the pieces' size."""
+    def features(self, text: bytes) -> tuple[float, ...]:
+        """Normalised difference, the same damped for short texts, worst piece, three sizes by length, log of length."""
+        if not text:
+            return (float("nan"),) * N_FEATURES
         good, bad, plain = self.makers
         g = b = p = 0
+        worst = 1e9
         for at in range(0, len(text), PIECE):
             piece = text[at : at + PIECE]
-            g += len(good(piece))
-            b += len(bad(piece))
-            p += len(plain(piece))
-        if not p:
-            return 1.0, 0.0, 0.0
-        d = (b - g) / p
-        return 1.0, d, d * min(1.0, (len(text) / PIECE) ** 0.5)
+            x, y, z = len(good(piece)), len(bad(piece)), len(plain(piece))
+            worst = min(worst, (y - x) / z)
+            g += x
+            b += y
+            p += z
+        n, d = len(text), (b - g) / p
+        return d, d * min(1.0, (n / FULL) ** 0.5), worst, p / n, g / n, b / n, math.log(n)
+
+
+N_FEATURES = 7
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Weighted logistic regression by Newton's steps."""
     beta = np.zeros(x.shape[1])
     for _ in range(50):
@@ -109,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     shares = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
     if len(shares) < 2:
-        return Model(b"", b"", (), shares.get(1, 0) / total if total else 0.5)
+        return Model(b"", b"", (), (), (), shares.get(1, 0) / total if total else 0.5)
     sample = None
     for quality in (0, 1):
         part = usable.filter(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS)
@@ -119,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows.sort(key=lambda r: (r["h"], r["doc_id"]))
     texts = {q: [bytes(r["text"]) for r in rows if r["quality"] == q and r["text"]] for q in (0, 1)}
     if not texts[0] or not texts[1]:
-        return Model(b"", b"", (), shares[1] / total)
+        return Model(b"", b"", (), (), (), shares[1] / total)
     learn = {q: t[::2] for q, t in texts.items()}
     rest = {q: t[1::2] or t for q, t in texts.items()}
     good, bad = dictionary(learn[1]), dictionary(learn[0])
@@ -127,7 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     x = np.array([sizes.features(t) for q in (0, 1) for t in rest[q]])
     y = np.array([q for q in (0, 1) for _ in rest[q]], float)
     w = np.array([shares[q] / total / len(rest[q]) for q in (0, 1) for _ in rest[q]]) * len(y)
-    return Model(good, bad, tuple(logistic(x, y, w)), shares[1] / total)
+    mean, spread = x.mean(0), x.std(0) + 1e-9
+    beta = logistic(np.hstack([np.ones((len(x), 1)), (x - mean) / spread]), y, w)
+    return Model(good, bad, tuple(beta), tuple(mean), tuple(spread), shares[1] / total)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -139,14 +158,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     def run(batches):
         sizes = Sizes(model.good, model.bad) if model.weights else None
-        beta = np.array(model.weights)
         for batch in batches:
             n = batch.num_rows
             if sizes is None:
                 found = np.full(n, model.share)
             else:
-                x = np.array([sizes.features(t.encode() if t else b"") for t in batch.column("text").to_pylist()]).reshape(n, 3)
-                found = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+                x = np.array([sizes.features(t.encode() if t else b"") for t in batch.column("text").to_pylist()]).reshape(n, N_FEATURES)
+                found = model.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(found, pa.float64())], names=schema.names)
 
     wanted = list(dict.fromkeys([*keep, "text"]))
