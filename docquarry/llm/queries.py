@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from docquarry.llm import bpe, html_text, media, mixing, near_dup, quality, rans, repeats
+from docquarry.llm import bpe, html_text, licenses, media, mixing, near_dup, pivots, quality, rans, repeats
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_near_dup": near_dup.op2_near_dup,
     "op3_bpe": bpe.op3_bpe,
     "op4_token_files": rans.op4_token_files,
     "op5_mixing": mixing.op5_mixing,
     "op6_media": media.op6_media,
+    "op7_near_vectors": pivots.op7_near_vectors,
     "op8_html": html_text.op8_html,
     "op9_quality": quality.op9_quality,
     "op10_repeats": repeats.op10_repeats,
