@@ -2,5 +2,555 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docquarry.functions import scoring as S
+from docquarry.functions import text as X
+from docquarry.operators import activity, answers, indexing, library, retrieval
+from docquarry.plans import corpus as C
+from docquarry.sources import chunking, parsers
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+NOW = 1_735_689_600
+LIMIT = 20
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# SQL pieces that several checks share.
+TOKENS = "list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+'), lambda t: lower(t)))"
+SPACE = r"'[\t\n\x0b\f\r\x{85}\p{Z}]+'"
+DOCS = f"""docs AS (SELECT doc_id, '/corpus/' || source AS dir_path, 'doc-' || doc_id || '.txt' AS file_name,
+  '/corpus/' || source || '/' || lang || '/doc-' || doc_id || '.txt' AS path, doc_id * {C.DAY} + {C.EPOCH} AS modified_at, text FROM documents)"""
+LINES = """lines AS (SELECT doc_id, path, file_name, modified_at, unnest(string_split(text, chr(10))) AS snippet,
+  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM docs)"""
+CHUNKS = f"{DOCS}, {LINES}, chunks AS (SELECT doc_id, seq, doc_id || ':' || seq AS chunk_id, path, file_name, file_name AS heading, snippet, modified_at FROM lines)"
+EVENTS = "e AS (SELECT event_id, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events)"
+PAGES = "p AS (SELECT page_id, '/' || regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS raw FROM pages), pages2 AS (SELECT page_id, regexp_replace(raw, '/+$', '') AS path FROM p)"
+UP = "list_transform(range(len(string_split({0}, '/')) - 1, 1, -1), lambda k: array_to_string(string_split({0}, '/')[1:k], '/'))"
+
+
+def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
+    return C.table(spark, sf_dir, "pages").select("page_id", X.normalize_path(F.concat(F.lit("/"), url)).alias("path"))
+
+
+# --- text ---------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, len({TOKENS.format('text')}) AS n_tokens, md5(array_to_string(list_sort({TOKENS.format('text')}), ' ')) AS digest FROM documents")
+def tokenize_documents(spark, sf_dir):
+    t = C.table(spark, sf_dir, "documents").select("doc_id", X.search_tokens("text").alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join(F.array_sort("t"), " ").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT doc_id, md5(translate(trim(regexp_replace(text, {SPACE}, ' ', 'g')), '{X.UPPER}', '{X.LOWER}')) AS digest FROM documents")
+def normalize_text(spark, sf_dir):
+    return C.table(spark, sf_dir, "documents").select("doc_id", F.md5(X.normalize_embedding_text("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 240 THEN left(text, 240) || '…' ELSE text END AS snippet FROM documents")
+def truncate_snippet(spark, sf_dir):
+    return C.table(spark, sf_dir, "documents").select("doc_id", X.truncate_chars("text", 240).alias("snippet"))
+
+
+@query(
+    f"""WITH {DOCS}, n AS (SELECT doc_id, file_name, trim(regexp_replace(text, {SPACE}, ' ', 'g')) AS s FROM docs)
+SELECT doc_id || ':0' AS chunk_id, file_name AS heading, CASE WHEN length(s) > 240 THEN left(s, 240) || '…' ELSE s END AS snippet FROM n WHERE s <> ''"""
+)
+def paragraph_chunks(spark, sf_dir):
+    return indexing.to_chunks(C.documents(spark, sf_dir).withColumnRenamed("doc_id", "document_id")).select("chunk_id", "heading", "snippet")
+
+
+@query(
+    """SELECT page_id, md5(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*(>|$)', '', 'g'), '>', ''),
+'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS digest FROM pages"""
+)
+def strip_html_pages(spark, sf_dir):
+    return C.table(spark, sf_dir, "pages").select("page_id", F.md5(X.strip_html("html").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, sha256(text) AS text_hash FROM documents")
+def text_hash(spark, sf_dir):
+    return C.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"))
+
+
+@query(
+    "SELECT conv_id, turn, len(list_filter(list_transform(string_split_regex(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s)), lambda s: s <> '')) AS n_sentences FROM conversations"
+)
+def split_sentences(spark, sf_dir):
+    return C.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(X.split_sentences("text")).cast("long").alias("n_sentences"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(text || ' [' || turn || '] [1] [1]', '\\[(\\d+)\\]', 1))), ',') AS ids FROM conversations")
+def citation_ids(spark, sf_dir):
+    marked = F.concat(F.col("text"), F.lit(" ["), F.col("turn").cast("string"), F.lit("] [1] [1]"))
+    return C.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(X.citation_ids(marked)), ",").alias("ids"))
+
+
+@query("SELECT doc_id, strftime(make_timestamp((doc_id * 86400 + 1704067200) * 1000000), '%Y-%m-%d %H:%M:%S') AS shown FROM documents")
+def format_timestamps(spark, sf_dir):
+    return C.documents(spark, sf_dir).select("doc_id", X.display_timestamp("modified_at").alias("shown"))
+
+
+@query(
+    """WITH v AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, (a.n_nationkey % 3) || '.' || (a.n_nationkey % 7) AS va, (b.n_nationkey % 3) || '.' || (b.n_nationkey % 7) || '.0' AS vb FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)
+SELECT a, b, (a % 3, a % 7) > (b % 3, b % 7) AS newer FROM v"""
+)
+def version_compare(spark, sf_dir):
+    n = C.table(spark, sf_dir, "nation")
+    part = lambda k: F.concat((F.col(k) % 3).cast("string"), F.lit("."), (F.col(k) % 7).cast("string"))
+    pairs = n.select(F.col("n_nationkey").alias("a"), "n_regionkey").join(n.select(F.col("n_nationkey").alias("b"), "n_regionkey"), "n_regionkey")
+    return pairs.select("a", "b", X.version_newer(part("a"), F.concat(part("b"), F.lit(".0"))).alias("newer"))
+
+
+REASONS = "CASE event_type WHEN 'error' THEN 'IO Error: read' WHEN 'view' THEN 'Permission denied' WHEN 'click' THEN 'file not found' WHEN 'signup' THEN 'operation timed out' ELSE 'bad token' END"
+
+
+@query(
+    """SELECT event_id, CASE event_type WHEN 'error' THEN 'io_error' WHEN 'view' THEN 'permission_denied' WHEN 'click' THEN 'file_missing' WHEN 'signup' THEN 'timeout' ELSE 'parse_error' END AS code,
+CASE event_type WHEN 'error' THEN 'IO 错误' WHEN 'view' THEN '权限不足' WHEN 'click' THEN '文件缺失' WHEN 'signup' THEN '处理超时' ELSE CASE WHEN user_id % 2 = 0 THEN 'PDF 解析失败' ELSE '解析失败' END END AS category FROM events"""
+)
+def classify_failure(spark, sf_dir):
+    e = C.table(spark, sf_dir, "events").withColumn("reason", F.expr(REASONS)).withColumn("path", F.when(F.col("user_id") % 2 == 0, "/a/b.PDF").otherwise("/a/b.txt"))
+    category, code = X.classify_failure("reason", "path")
+    return e.select("event_id", code.alias("code"), category.alias("category"))
+
+
+@query(
+    f"""WITH q AS (SELECT item_id, lower(text) AS low, text FROM benchmark)
+SELECT item_id, len(list_distinct(list_concat({TOKENS.format('text')}, CASE WHEN contains(low, 'repo') OR contains(low, 'offline') THEN ['offline', 'repo', 'repository', 'local repository'] ELSE [] END,
+ CASE WHEN contains(low, 'semantic') OR contains(low, 'embedding') THEN ['semantic search', 'embedding', 'vector'] ELSE [] END, CASE WHEN contains(low, 'chunk') THEN ['chunk', 'paragraph', 'snippet'] ELSE [] END,
+ CASE WHEN contains(low, 'markdown') OR contains(low, ' md ') THEN ['markdown', 'md'] ELSE [] END, CASE WHEN contains(low, 'docx') OR contains(low, 'word') THEN ['docx', 'word'] ELSE [] END, CASE WHEN contains(low, 'html') THEN ['html'] ELSE [] END))) AS n_terms FROM q"""
+)
+def rewrite_queries(spark, sf_dir):
+    return C.table(spark, sf_dir, "benchmark").select("item_id", F.size(X.rewrite_terms("text")).cast("long").alias("n_terms"))
+
+
+# --- paths and directories ------------------------------------------------------------------------------
+
+
+@query(f"WITH {PAGES}, a AS (SELECT unnest({UP.format('path')}) AS dir FROM pages2) SELECT dir, count(*) AS docs, CAST(count(*) AS BIGINT) AS chunks, 'indexed' AS status FROM a GROUP BY dir")
+def page_dir_rollup(spark, sf_dir):
+    return indexing.rollup(page_paths(spark, sf_dir).withColumn("n_chunks", F.lit(1)))
+
+
+@query(
+    f"""WITH {PAGES}, d AS (SELECT DISTINCT unnest({UP.format('path')}) AS dir FROM pages2), u AS (SELECT dir, unnest({UP.format('dir')}) AS parent FROM d),
+m AS (SELECT u.dir, max_by(u.parent, length(u.parent)) AS parent FROM u JOIN d ON d.dir = u.parent GROUP BY 1) SELECT d.dir, m.parent FROM d LEFT JOIN m USING (dir)"""
+)
+def page_dir_children(spark, sf_dir):
+    dirs = indexing.rollup(page_paths(spark, sf_dir).withColumn("n_chunks", F.lit(1))).select("dir")
+    return indexing.children(dirs)
+
+
+@query(f"WITH {PAGES}, d AS (SELECT DISTINCT unnest({UP.format('path')}) AS dir FROM pages2) SELECT dir, len(string_split(dir, '/')) - 2 AS depth, row_number() OVER (ORDER BY string_split(dir, '/')) AS position FROM d")
+def page_dir_tree(spark, sf_dir):
+    return indexing.tree_rows(indexing.rollup(page_paths(spark, sf_dir).withColumn("n_chunks", F.lit(1))).select("dir"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, path FROM docs WHERE path = '/corpus/src1' OR starts_with(path, '/corpus/src1/')")
+def scope_filter(spark, sf_dir):
+    return C.documents(spark, sf_dir).filter(X.in_directory("path", F.lit("\\corpus\\src1\\"))).select("doc_id", "path")
+
+
+@query(f"WITH {DOCS} SELECT path, dir_path AS dir FROM docs")
+def resolve_directory(spark, sf_dir):
+    d = C.documents(spark, sf_dir)
+    return indexing.resolve_directory(d.select("path"), d.select(F.col("dir_path").alias("dir")).distinct())
+
+
+@query(f"WITH {DOCS}, d AS (SELECT DISTINCT dir_path || '/' || lang AS dir, dir_path FROM docs JOIN documents USING (doc_id)) SELECT dir, CAST(regexp_extract(dir_path, '(\\d+)$', 1) AS INT) % 2 = 0 AS enabled FROM d")
+def inherited_enabled(spark, sf_dir):
+    d = C.documents(spark, sf_dir)
+    leaf = d.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).distinct()
+    explicit = d.select(F.col("dir_path").alias("dir")).distinct().withColumn("enabled", F.regexp_extract("dir", r"(\d+)$", 1).cast("int") % 2 == 0)
+    return indexing.inherit_enabled(leaf, explicit)
+
+
+SNAPSHOTS = """a AS (SELECT 'd' || doc_id AS path, length(text) AS size, doc_id AS modified_at, sha256(text) AS hash FROM documents WHERE doc_id % 7 <> 0),
+b AS (SELECT 'd' || doc_id AS path, length(text) AS size, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE doc_id END AS modified_at, sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0)"""
+
+
+@query(
+    f"WITH {SNAPSHOTS} SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'delete' WHEN b.path IS NULL THEN 'insert' WHEN a.size <> b.size OR a.modified_at <> b.modified_at OR a.hash <> b.hash THEN 'update' ELSE 'skip' END AS action FROM a FULL JOIN b ON a.path = b.path"
+)
+def incremental_plan(spark, sf_dir):
+    """Two snapshots of the documents, made to differ."""
+    d = C.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.char_length("text").alias("size"), F.col("doc_id").alias("modified_at"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    known = d.filter("doc_id % 3 <> 0").withColumn("modified_at", F.when(F.col("doc_id") % 5 == 0, -1).otherwise(F.col("modified_at")))
+    return indexing.incremental_plan(d.filter("doc_id % 7 <> 0"), known)
+
+
+@query(f"WITH {DOCS} SELECT doc_id, path, CASE WHEN quality = 1 THEN 'new' ELSE 'old' END AS version FROM docs LEFT JOIN labels USING (doc_id)")
+def replace_documents(spark, sf_dir):
+    base = C.documents(spark, sf_dir).select("doc_id", "path", F.lit("old").alias("version"))
+    changed = base.join(C.table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").withColumn("version", F.lit("new"))
+    return indexing.replace_documents(base, changed)
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def delete_cascade(spark, sf_dir):
+    gone = C.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    return indexing.cascade({"chunks": C.chunks(spark, sf_dir)}, gone, "doc_id")["chunks"].select("chunk_id")
+
+
+@query(
+    f"WITH {CHUNKS} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM labels WHERE toxic = 1) AS failures, (SELECT count(*) FROM pages) AS queued"
+)
+def index_status(spark, sf_dir):
+    return indexing.index_status(C.table(spark, sf_dir, "documents"), C.chunks(spark, sf_dir), C.table(spark, sf_dir, "labels").filter("toxic = 1"), C.table(spark, sf_dir, "pages"))
+
+
+# --- keyword search -------------------------------------------------------------------------------------
+
+BM25 = f"""q AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term, len({TOKENS.format('text')}) AS n_terms FROM benchmark),
+t AS (SELECT doc_id, {TOKENS.format('text')} AS terms FROM documents), s AS (SELECT count(*) AS n_docs, avg(len(terms)) AS mean_length FROM t),
+p AS (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM t), pq AS (SELECT * FROM p WHERE term IN (SELECT term FROM q) AND strlen(term) <= 40),
+df AS (SELECT term, count(*) AS df FROM pq GROUP BY 1),
+m AS (SELECT query_id, doc_id, n_terms, count(*) AS matched, CAST(sum(CAST(ln(1.0::DOUBLE + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * 2.2::DOUBLE / (1.0::DOUBLE + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean_length)) AS DECIMAL(28,12))) AS DOUBLE) AS score
+ FROM q JOIN df USING (term) JOIN pq USING (term), s GROUP BY 1, 2, 3),
+f AS (SELECT *, matched = n_terms AS complete, max(CASE WHEN matched = n_terms THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS has_all FROM m),
+r AS (SELECT query_id, doc_id, round(score, 6) AS score, complete FROM f WHERE complete OR has_all = 0)"""
+
+
+@query(f"WITH {BM25}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) SELECT query_id, doc_id, score, rank FROM k WHERE rank <= {LIMIT}")
+def bm25_topk(spark, sf_dir):
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieval.bm25_search(C.queries(spark, sf_dir), docs, LIMIT).select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"WITH {BM25} SELECT query_id, CASE WHEN complete THEN 'all' ELSE 'any' END AS mode, count(*) AS hits FROM r GROUP BY 1, 2")
+def bm25_and_or(spark, sf_dir):
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = retrieval.all_or_any(retrieval.bm25_matches(C.queries(spark, sf_dir), docs))
+    return found.groupBy("query_id", F.when(F.col("complete"), "all").otherwise("any").alias("mode")).agg(F.count("*").alias("hits"))
+
+
+@query(f"WITH p AS (SELECT unnest({TOKENS.format('text')}) AS term FROM documents) SELECT term, count(*) AS df FROM p WHERE strlen(term) <= 40 GROUP BY 1")
+def term_document_frequency(spark, sf_dir):
+    return retrieval.postings(C.table(spark, sf_dir, "documents")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+RECALL = f"""{CHUNKS}, q AS (SELECT item_id AS query_id, {TOKENS.format('text')} AS terms FROM benchmark),
+c AS (SELECT chunk_id, doc_id, modified_at, lower(file_name) AS f, lower(path) AS p, lower(snippet) AS s FROM chunks),
+x AS (SELECT query_id, chunk_id, doc_id, modified_at, terms, CAST(list_sum(list_transform(terms, lambda t: CASE WHEN contains(f, t) THEN 3 WHEN contains(p, t) THEN 2 WHEN contains(s, t) THEN 1 ELSE 0 END)) AS BIGINT) AS raw,
+ CAST(list_sum(list_transform(terms, lambda t: CASE WHEN length(t) < 2 THEN 0 WHEN contains(f, t) THEN 3 WHEN contains(p, t) OR contains(s, t) THEN 1 ELSE 0 END)) AS BIGINT) AS overlap,
+ len(list_filter(terms, lambda t: length(t) >= 2 AND (contains(f, t) OR contains(p, t) OR contains(s, t)))) AS core FROM c, q)"""
+
+
+@query(f"WITH {RECALL}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, modified_at DESC, chunk_id) AS rank FROM x WHERE raw > 0) SELECT query_id, chunk_id, raw, overlap, CAST(core AS BIGINT) AS core, rank FROM k WHERE rank <= {LIMIT}")
+def like_relevance_topk(spark, sf_dir):
+    """Containment has no key to join on: one pass over every chunk finds the terms of all queries."""
+    q = C.queries(spark, sf_dir).select("query_id", X.search_tokens("query_text").alias("terms"))
+    asked = q.select("query_id", F.lit(0).alias("part"), "terms", F.filter("terms", lambda t: F.char_length(t) >= 2).alias("core"))
+    scored = retrieval.containment_scores(C.chunks(spark, sf_dir), asked)
+    return retrieval.top_k(scored, LIMIT, [F.desc("raw"), F.desc("modified_at"), F.asc("chunk_id")]).select("query_id", "chunk_id", "raw", "overlap", "core", "rank")
+
+
+@query()
+def evidence_context(spark, sf_dir):
+    """Recall, selection and packing of evidence for every benchmark passage."""
+    chunks = C.chunks(spark, sf_dir)
+    q = C.queries(spark, sf_dir).select("query_id", F.col("query_text").alias("question"))
+    found = answers.recall(q, chunks, 50).join(chunks.select("chunk_id", "path", F.col("seq").alias("chunk_seq"), "snippet"), "chunk_id")
+    return answers.pack_context(answers.select_evidence(found, 8), 8).select("query_id", "source_id", "path", "first_seq", "last_seq", "text")
+
+
+# --- vectors --------------------------------------------------------------------------------------------
+
+VECTORS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM embeddings WHERE vec_id % 50 = 0),
+x AS (SELECT query_id, vec_id, label, list_cosine_similarity(query, CAST(embedding AS DOUBLE[])) AS cosine FROM embeddings, q)"""
+
+
+def vector_queries(spark, sf_dir):
+    """The stated query set: every vector whose id is divisible by 50."""
+    e = C.table(spark, sf_dir, "embeddings")
+    return e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(f"WITH {VECTORS}, s AS (SELECT query_id, vec_id, round(CASE WHEN 1 - cosine <= 0 THEN 1.0 ELSE 1.0 / (1.0 + (1.0 - cosine)) END, 6) AS score FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM k WHERE rank <= 160")
+def cosine_topk(spark, sf_dir):
+    e, q = vector_queries(spark, sf_dir)
+    return retrieval.cosine_search(q, e.select("vec_id", "embedding"), retrieval.recall_limit(LIMIT))
+
+
+@query(f"WITH {VECTORS}, s AS (SELECT query_id, vec_id, round(cosine, 6) AS score FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM k WHERE rank <= 160 AND score >= 0.2")
+def legacy_cosine_threshold(spark, sf_dir):
+    e, q = vector_queries(spark, sf_dir)
+    return retrieval.cosine_search(q, e.select("vec_id", "embedding"), retrieval.recall_limit(LIMIT), distance=False).filter("score >= 0.2")
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v))), 6) AS norm FROM embeddings")
+def vector_norms(spark, sf_dir):
+    return C.table(spark, sf_dir, "embeddings").select("vec_id", F.round(S.norm("embedding"), 6).alias("norm"))
+
+
+@query()
+def hash_embeddings(spark, sf_dir):
+    """Feature-hashed vectors of all documents, as norm and digest."""
+    from docquarry.sources.embedding import embed
+
+    d = C.table(spark, sf_dir, "documents").select("doc_id", X.normalize_embedding_text("text").alias("text"))
+    return embed(d, "text", 64).select("doc_id", F.round(S.norm("embedding"), 6).alias("norm"), F.md5(F.array_join(F.transform("embedding", lambda v: F.format_string("%.5f", v)), ",").cast("binary")).alias("digest"))
+
+
+# --- fusion and ranking ---------------------------------------------------------------------------------
+
+FUSED = f"""WITH {VECTORS}, s AS (SELECT query_id, vec_id, label, round(cosine, 6) AS cosine, round(list_cosine_similarity(list_reverse(query), list_reverse(query)) * ((vec_id * 7919) % 1009), 6) AS other FROM x JOIN q USING (query_id)),
+a AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY other DESC, vec_id) AS keyword_rank FROM s), b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS semantic_rank FROM s),
+a2 AS (SELECT * FROM a WHERE keyword_rank <= 20), b2 AS (SELECT * FROM b WHERE semantic_rank <= 160),
+f AS (SELECT coalesce(a2.query_id, b2.query_id) AS query_id, coalesce(a2.vec_id, b2.vec_id) AS vec_id, keyword_rank, semantic_rank, round(coalesce(0.7::DOUBLE / (60 + keyword_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0), 9) AS fused FROM a2 FULL JOIN b2 ON a2.query_id = b2.query_id AND a2.vec_id = b2.vec_id)"""
+
+
+def fused_lists(spark, sf_dir):
+    """A list by a made-up keyword score and the cosine list, fused."""
+    e, q = vector_queries(spark, sf_dir)
+    pairs = e.select("vec_id").crossJoin(q.select("query_id")).withColumn("other", F.col("vec_id") * 7919 % 1009)
+    keyword = retrieval.top_k(pairs, 20, [F.desc("other"), F.asc("vec_id")])
+    semantic = retrieval.cosine_search(q, e.select("vec_id", "embedding"), 160, distance=False)
+    return retrieval.fuse(keyword, semantic, "vec_id").withColumn("fused", F.round("fused", 9)), e
+
+
+@query(FUSED + " SELECT * FROM f")
+def rrf_fusion(spark, sf_dir):
+    return fused_lists(spark, sf_dir)[0]
+
+
+CAPPED = (
+    FUSED
+    + """, g AS (SELECT f.*, label FROM f JOIN embeddings USING (vec_id)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vec_id) AS original_rank,
+ row_number() OVER (PARTITION BY query_id, label ORDER BY fused DESC, vec_id) > 3 AS over_cap FROM g), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over_cap, fused DESC, vec_id) AS place FROM o),
+ z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, over_cap, vec_id) AS final_rank FROM c WHERE place <= 20)"""
+)
+
+
+@query(CAPPED + " SELECT query_id, vec_id, label, original_rank, final_rank, original_rank - final_rank AS rank_delta FROM z")
+def same_document_cap(spark, sf_dir):
+    fused, e = fused_lists(spark, sf_dir)
+    rows = fused.join(e.select("vec_id", "label"), "vec_id")
+    return retrieval.diversify(rows, LIMIT, retrieval.document_cap(LIMIT), "fused", "label", [F.asc("vec_id")]).select("query_id", "vec_id", "label", "original_rank", "final_rank", "rank_delta")
+
+
+@query(CAPPED + " SELECT query_id, label, count(*) AS hits, round(CAST(sum(CAST(fused AS DECIMAL(28,12))) AS DOUBLE), 6) AS total_score, max(fused) AS top_score FROM z GROUP BY 1, 2")
+def group_by_document(spark, sf_dir):
+    fused, e = fused_lists(spark, sf_dir)
+    rows = retrieval.diversify(fused.join(e.select("vec_id", F.col("label").alias("path")), "vec_id"), LIMIT, 3, "fused", "path", [F.asc("vec_id")])
+    return retrieval.group_by_document(rows.withColumnRenamed("vec_id", "chunk_id"), "fused").select("query_id", F.col("path").alias("label"), "hits", "total_score", "top_score")
+
+
+@query()
+def hybrid_search(spark, sf_dir):
+    """The whole search over all documents for the benchmark's passages, with favourites and opens."""
+    d = C.documents(spark, sf_dir)
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), "path", "file_name", F.col("file_name").alias("heading"), F.col("text").alias("snippet"), F.concat_ws(" ", "file_name", "path", "text").alias("text"), "modified_at", F.lit(1.0).alias("chunk_score"))
+    labels = C.table(spark, sf_dir, "labels")
+    favorites = d.join(labels.filter("quality = 1"), "doc_id", "left_semi").select("path")
+    opens = C.events(spark, sf_dir).filter("event_type = 'view'").groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").cast("int").alias("open_count")).join(d.select("doc_id", "path"), "doc_id").select("path", "open_count")
+    found = retrieval.hybrid_search(C.queries(spark, sf_dir), chunks, LIMIT, NOW, favorites=favorites, opens=opens)
+    return found.select("query_id", "chunk_id", "final_rank", "rank_delta", "final_score", "match_origin", retrieval.rank_reason().alias("reason"))
+
+
+BONUS = f"WITH {DOCS}, d AS (SELECT doc_id, lower(path) AS p, ['corpus', 'src' || (doc_id % 20)] AS terms FROM docs)"
+
+
+@query(f"{BONUS} SELECT doc_id, CASE WHEN len(list_filter(terms, lambda t: contains(p, t))) = len(terms) THEN 0.45 WHEN len(list_filter(terms, lambda t: contains(p, t))) > 0 THEN 0.25 ELSE 0.0 END::DOUBLE AS bonus FROM d")
+def filename_bonus(spark, sf_dir):
+    d = C.documents(spark, sf_dir).withColumn("terms", F.array(F.lit("corpus"), F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"))))
+    return d.select("doc_id", S.name_bonus("path", F.col("terms"), 0.45, 0.25).alias("bonus"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, round(CASE WHEN modified_at > 0 AND {NOW} > modified_at THEN 0.15 / (1 + least(({NOW} - modified_at) / 86400.0, 3650) / 30.0) ELSE 0.05 END::DOUBLE, 6) AS boost FROM docs")
+def recency_boost(spark, sf_dir):
+    return C.documents(spark, sf_dir).select("doc_id", F.round(S.recency("modified_at", F.lit(NOW)), 6).alias("boost"))
+
+
+@query("SELECT doc_id, round((CASE WHEN quality = 1 THEN 0.12 ELSE 0 END + CASE WHEN doc_id % 5 >= 3 THEN 0.06 WHEN doc_id % 5 > 0 THEN 0.04 ELSE 0 END + CASE WHEN toxic = 1 THEN 0.03 ELSE 0 END)::DOUBLE, 6) AS bonus FROM labels")
+def rerank_bonus(spark, sf_dir):
+    lab = C.table(spark, sf_dir, "labels")
+    return lab.select("doc_id", F.round(S.preference(F.col("quality") == 1, F.col("doc_id") % 5, F.col("toxic") == 1), 6).alias("bonus"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, CASE WHEN contains(lower(text), 'the') THEN '正文摘要命中' WHEN contains(file_name, '7') THEN '标题命中' WHEN contains(lower(path), 'the') OR contains(lower(path), '7') THEN '路径命中' ELSE '正文摘要命中' END AS origin FROM docs")
+def match_origin(spark, sf_dir):
+    d = C.documents(spark, sf_dir).withColumn("heading", F.when(F.contains("file_name", F.lit("7")), "the").otherwise(""))
+    by_name = retrieval.origin("text", "heading", "heading", "path", F.array(F.lit("the")))
+    other = F.when(F.contains(F.lower("path"), F.lit("7")) & ~F.contains(F.lower("text"), F.lit("the")) & (F.col("heading") == ""), "路径命中")
+    return d.select("doc_id", F.coalesce(other, by_name).alias("origin"))
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, CAST(len(string_split(lower(snippet), 'the')) - 1 AS BIGINT) AS spans, CAST(instr(lower(snippet), 'the') - 1 AS BIGINT) AS first_start FROM chunks WHERE contains(lower(snippet), 'the') AND NOT contains(lower(snippet), 'thethe')")
+def highlight_spans(spark, sf_dir):
+    low = F.lower("snippet")
+    d = C.chunks(spark, sf_dir).filter(F.contains(low, F.lit("the")) & ~F.contains(low, F.lit("thethe")))
+    spans = d.select("chunk_id", X.highlight_spans("snippet", F.array(F.lit("the"))).alias("s"))
+    return spans.select("chunk_id", F.size("s").cast("long").alias("spans"), F.col("s")[0]["start"].cast("long").alias("first_start"))
+
+
+@query()
+def search_snippets(spark, sf_dir):
+    d = C.chunks(spark, sf_dir).select("chunk_id", "snippet", X.highlight_spans("snippet", F.array(F.lit("tion"), F.lit("ch"))).alias("s"))
+    cut = d.select("chunk_id", X.search_snippet("snippet", F.col("s")).alias("c"))
+    return cut.select("chunk_id", F.col("c.text").alias("snippet"), F.size("c.spans").cast("long").alias("spans"))
+
+
+@query(
+    f"""WITH {CHUNKS}, s AS (SELECT doc_id, seq, snippet FROM chunks WHERE length(snippet) % 3 <> 0), i AS (SELECT *, seq - row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS island FROM s)
+SELECT doc_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS parts, md5(CASE WHEN count(*) = 1 THEN min(snippet) ELSE array_to_string(list_transform(list(snippet ORDER BY seq), lambda t, n: '连续段落 ' || n || ': ' || t), chr(10)) END) AS digest FROM i GROUP BY doc_id, island"""
+)
+def merge_islands(spark, sf_dir):
+    rows = C.chunks(spark, sf_dir).filter(F.char_length("snippet") % 3 != 0)
+    return retrieval.islands(rows, ["doc_id"], "seq", "snippet").select("doc_id", "first_seq", "last_seq", "parts", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, lag(chunk_id) OVER w AS previous, lead(chunk_id) OVER w AS next FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY seq)")
+def neighbour_chunks(spark, sf_dir):
+    return retrieval.neighbours(C.chunks(spark, sf_dir), "chunk_id", "doc_id", "seq").select("chunk_id", "previous", "next")
+
+
+# --- activity -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {EVENTS} SELECT 'user ' || user_id AS query, CAST(sum(k) AS BIGINT) AS hit_count, min(ts) AS created_at, max(ts) AS last_hit_at FROM e GROUP BY 1")
+def search_history_fold(spark, sf_dir):
+    return activity.fold_history(C.events(spark, sf_dir).select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("query"), F.col("k").alias("hits"), "ts"))
+
+
+@query(f"WITH {EVENTS} SELECT user_id AS path, count(*) AS open_count, max_by(event_type, (ts, event_id)) AS title, max(ts) AS last_opened_at FROM e WHERE event_type = 'view' OR event_type = 'click' GROUP BY 1")
+def recent_documents_fold(spark, sf_dir):
+    e = C.events(spark, sf_dir).filter("event_type IN ('view', 'click')")
+    return activity.fold_recents(e.select(F.col("user_id").alias("path"), F.col("event_type").alias("title"), "ts", F.col("event_id").alias("seq")))
+
+
+@query(f"WITH {EVENTS} SELECT CASE WHEN event_type = 'view' THEN 'document' ELSE 'chunk' END AS target_type, user_id AS target_id, max_by(event_type, (ts, event_id)) AS title, max(ts) AS viewed_at FROM e GROUP BY 1, 2")
+def recent_views_fold(spark, sf_dir):
+    e = C.events(spark, sf_dir)
+    return activity.fold_views(e.select(F.when(F.col("event_type") == "view", " Document ").otherwise(F.col("event_type")).alias("target_type"), F.col("user_id").alias("target_id"), F.col("event_type").alias("title"), "ts", F.col("event_id").alias("seq")))
+
+
+@query(f"WITH {EVENTS} SELECT user_id AS target, max(ts) AS updated_at FROM e WHERE event_type = 'click' GROUP BY 1 HAVING count(*) % 2 = 1")
+def favorite_toggle(spark, sf_dir):
+    e = C.events(spark, sf_dir).filter("event_type = 'click'")
+    return activity.toggled(e.select(F.col("user_id").alias("target"), "ts", F.col("event_id").alias("seq")))
+
+
+@query(f"WITH {EVENTS} SELECT user_id AS file, count(*) AS retry_count, min(ts) AS first_failed_at, max(ts) AS last_failed_at, max_by('code ' || k, (ts, event_id)) AS reason FROM e WHERE event_type = 'error' GROUP BY 1")
+def failed_file_fold(spark, sf_dir):
+    e = C.events(spark, sf_dir).filter("event_type = 'error'")
+    return activity.fold_failures(e.select(F.col("user_id").alias("file"), F.concat(F.lit("code "), F.col("k").cast("string")).alias("reason"), "ts", F.col("event_id").alias("seq")))
+
+
+@query("SELECT event_type, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM events), 1) AS percent FROM events GROUP BY 1")
+def failure_histogram(spark, sf_dir):
+    return activity.histogram(C.table(spark, sf_dir, "events"), "event_type")
+
+
+@query(
+    f"""WITH {EVENTS}, h AS (SELECT user_id, k % 13 AS a, k % 7 AS b, greatest(k, 1) AS w FROM e), t AS (SELECT user_id, 'term' || a AS term, w FROM h UNION ALL SELECT user_id, 'word' || b, w FROM h),
+g AS (SELECT user_id AS "user", term, CAST(sum(w) AS BIGINT) AS weight FROM t WHERE term <> 'term' || (user_id % 13) GROUP BY 1, 2 HAVING sum(w) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY weight DESC, term) AS rank FROM g) SELECT * FROM r WHERE rank <= 4"""
+)
+def history_terms_top4(spark, sf_dir):
+    e = C.events(spark, sf_dir)
+    history = e.select(F.col("user_id").alias("user"), F.format_string("term%d word%d", F.col("k") % 13, F.col("k") % 7).alias("query"), F.col("k").alias("hit_count"))
+    current = e.select(F.col("user_id").alias("user"), F.format_string("term%d", F.col("user_id") % 13).alias("term")).distinct()
+    return activity.history_terms(history, current)
+
+
+@query(
+    """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, count(*) AS n, min(value) AS lowest, max(value) AS highest, max(CASE WHEN i = floor((n - 1) * 0.5 + 0.5) THEN value END) AS p50, max(CASE WHEN i = floor((n - 1) * 95 / 100.0 + 0.5) THEN value END) AS p95, max(CASE WHEN i = floor((n - 1) * 99 / 100.0 + 0.5) THEN value END) AS p99 FROM r GROUP BY 1"""
+)
+def latency_percentiles(spark, sf_dir):
+    return activity.nearest_rank(C.table(spark, sf_dir, "events"), "value", "event_type", (50, 95, 99))
+
+
+# --- library and sessions -------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def collection_counts(spark, sf_dir):
+    return library.child_counts(C.table(spark, sf_dir, "customer").select("c_custkey"), C.table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "o_orderkey")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def tag_facets(spark, sf_dir):
+    return C.table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
+def tag_item_counts(spark, sf_dir):
+    items = C.table(spark, sf_dir, "lineitem").select("l_partkey").join(C.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    brands = C.table(spark, sf_dir, "part").select("p_brand").distinct()
+    return library.child_counts(brands, items, "p_brand", "p_brand", "l_partkey")
+
+
+@query("SELECT o_custkey, coalesce(max(o_orderkey), -1) + 1 AS next_order FROM orders GROUP BY 1")
+def next_sort_order(spark, sf_dir):
+    return library.next_sort_order(C.table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'renamed ' || c_custkey ELSE c_name END AS c_name, c_mktsegment FROM customer")
+def patch_collections(spark, sf_dir):
+    base = C.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    changes = base.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("renamed "), F.col("c_custkey").cast("string"))).alias("c_name"), F.lit(None).cast("string").alias("c_mktsegment"))
+    return library.patch(base, changes, "c_custkey")
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, max_by(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1")
+def upsert_latest(spark, sf_dir):
+    o = C.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return library.upsert(o.filter("false"), o, ["o_custkey"], [F.desc("o_orderkey")])
+
+
+@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1")
+def session_counts(spark, sf_dir):
+    m = C.table(spark, sf_dir, "conversations")
+    return library.child_counts(m.select("conv_id").distinct(), m, "conv_id", "conv_id", "turn")
+
+
+@query("WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank FROM conversations) SELECT * FROM r WHERE rank <= 6")
+def session_recent_messages(spark, sf_dir):
+    return library.last_messages(C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", [F.desc("turn")], 6)
+
+
+@query(
+    """WITH p AS (SELECT conv_id, turn, text AS question, lead(text) OVER w AS answer, role, lead(role) OVER w AS r2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank FROM p WHERE role = 'user' AND r2 = 'assistant'),
+l AS (SELECT conv_id, turn, 'Q: ' || CASE WHEN length(question) > 80 THEN left(question, 80) || '…' ELSE question END || chr(10) || 'A: ' || CASE WHEN length(answer) > 140 THEN left(answer, 140) || '…' ELSE answer END AS line FROM t WHERE rank <= 3)
+SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS context FROM l GROUP BY 1"""
+)
+def session_context(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    m = C.table(spark, sf_dir, "conversations")
+    turns = m.select("conv_id", "turn", "role", F.col("text").alias("question"), F.lead("text").over(w).alias("answer"), F.lead("role").over(w).alias("r2")).filter("role = 'user' AND r2 = 'assistant'")
+    return library.session_context(turns.select("conv_id", "turn", "question", "answer"))
+
+
+# --- parsing and chunking -------------------------------------------------------------------------------
+
+
+@query()
+def html_blocks(spark, sf_dir):
+    """Blocks of every page: page_id, block_index, kind, text."""
+    return parsers.blocks(C.table(spark, sf_dir, "pages").select(F.col("page_id").alias("document_id"), F.lit("html").alias("ext"), F.col("html").alias("text"))).select("document_id", "block_index", "kind", "text")
+
+
+@query()
+def chunk_builder(spark, sf_dir):
+    """Chunks of up to 800 characters of every page."""
+    pages = C.table(spark, sf_dir, "pages").select(F.col("page_id").alias("document_id"), F.lit("html").alias("ext"), F.col("html").alias("text"), F.lit("page").alias("stem"))
+    return chunking.chunks(pages).select("document_id", "chunk_seq", "heading", "snippet", "score")
