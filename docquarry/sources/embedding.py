@@ -5,7 +5,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +31,18 @@ def hash_vector(text: str, dimension: int) -> list[float]:
 
 def embed(rows: DataFrame, text: str, dimension: int = 512, embedder=None) -> DataFrame:
     """Adds ``embedding``. embedder: texts -> vectors, for a model of the caller's."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
     model = embedder or (lambda ts: [hash_vector(t, dimension) for t in ts])
+    schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
-    @F.pandas_udf("array<float>")
-    def vectors(ts: pd.Series) -> pd.Series:
-        return pd.Series(list(model([t or "" for t in ts])))
+    def run(batches):  # an operator of its own: an expression could be moved into a lambda, where Python cannot run
+        for batch in batches:
+            found = model([t or "" for t in batch.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(map(list, found)), pa.list_(pa.float32()))], names=schema.names)
 
-    return rows.withColumn("embedding", vectors(text))
+    return rows.mapInArrow(run, schema)
 
 
 def stale(rows: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
