@@ -58,13 +58,14 @@ def bm25_search(queries: DataFrame, docs: DataFrame, limit: int, key: str = "doc
     return top_k(found, limit, [F.desc("score"), F.asc(key)])
 
 
-def containment_scores(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+def containment_scores(chunks: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
     """query_id, part, chunk_id, modified_at, raw, overlap, core of every chunk that holds a term of a part.
 
     asked: query_id, part, terms, core - the request, collected. An Aho-Corasick automaton over its terms
     reads every chunk once, whatever the number of queries; the scores are sums over the terms found.
     raw: file name and heading 3, path 2, snippet 1; overlap: file name and heading 3, else 1 (terms of two
-    characters and more); core: core terms found anywhere.
+    characters and more); core: core terms found anywhere. Of each batch and part only rows that can be among
+    the first ``keep`` by raw, then modified_at, are sent (ties with the last one stay).
     """
     import numpy as np
     import pyarrow as pa
@@ -92,8 +93,8 @@ def containment_scores(chunks: DataFrame, asked: DataFrame) -> DataFrame:
         for batch in batches:
             if not words:
                 return
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a in range(0, batch.num_rows, 4000):
+                part = batch.slice(a, 4000)
                 n = part.num_rows
                 found = np.zeros((4, n, len(words)), bool)
                 for f, name in enumerate(fields):
@@ -105,7 +106,14 @@ def containment_scores(chunks: DataFrame, asked: DataFrame) -> DataFrame:
                 head, rest = found[0] | found[1], found[2] | found[3]
                 weight = np.where(head, 3, np.where(found[2], 2, np.where(found[3], 1, 0))).astype(np.int32)
                 raw = weight @ uses
-                i, j = np.nonzero(raw)
+                when = np.array(part.column("modified_at").fill_null(0), np.int64)
+                if len(when) and 0 <= when.min() and when.max() < 1 << 40:
+                    order = np.where(raw > 0, raw.astype(np.int64) << 40 | when[:, None], -1)
+                    if n > keep:
+                        order[order < np.partition(order, n - keep, axis=0)[n - keep]] = -1
+                    i, j = np.nonzero(order >= 0)
+                else:
+                    i, j = np.nonzero(raw)
                 overlap = (np.where(head, 3, np.where(rest, 1, 0)) * long).astype(np.int32) @ uses
                 core = (head | rest).astype(np.int32) @ cores
                 at = pa.array(i)

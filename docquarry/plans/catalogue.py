@@ -256,7 +256,7 @@ def like_relevance_topk(spark, sf_dir):
     """Containment has no key to join on: one pass over every chunk finds the terms of all queries."""
     q = C.queries(spark, sf_dir).select("query_id", X.search_tokens("query_text").alias("terms"))
     asked = q.select("query_id", F.lit(0).alias("part"), "terms", F.filter("terms", lambda t: F.char_length(t) >= 2).alias("core"))
-    scored = retrieval.containment_scores(C.chunks(spark, sf_dir), asked)
+    scored = retrieval.containment_scores(C.chunks(spark, sf_dir), asked, LIMIT)
     return retrieval.top_k(scored, LIMIT, [F.desc("raw"), F.desc("modified_at"), F.asc("chunk_id")]).select("query_id", "chunk_id", "raw", "overlap", "core", "rank")
 
 
