@@ -14,10 +14,10 @@ registers bring candidates together: 0.8 meets with probability 1 - (1 - 0.8**4)
 
 Skew. Equal texts are folded into one class first. In a bucket of any size each class is compared with the
 bucket's smallest one only (a star); links that are verified on whole multisets give components. Where a
-bucket still holds several components, the classes outside its largest one are compared with ``HUBS`` other
-classes of that one, and what is still apart after that with every class of the bucket in another component
-(unless 26 of 64 registers disagree). So no link that changes a component is lost, and the number of
-comparisons follows the number of classes that stay apart, not the square of a bucket.
+bucket still holds several components, the classes outside its largest one are compared with all of the
+bucket, chunk by chunk: a task takes ``CHUNK`` of either, counts the overlaps of all their pairs exactly
+and sends a spanning forest of the links. So no link that changes a component is lost, no pairs leave a
+task, and no task holds more than two chunks.
 
 Cases: null text counts as empty; empty texts (no words) are linked with equal texts only; texts of any
 length are one row (memory per Arrow batch); an empty table gives an empty result; a null doc_id is its own
@@ -30,15 +30,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import Prefix, binary_views, components, mix64, ragged, stored, table, words_of
+from docquarry.llm.common import Prefix, binary_views, components, mix64, ragged, stored, table, width, words_of
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS = 16
 ROWS_PER_BAND = 4
 REGISTERS = BANDS * ROWS_PER_BAND
-HUBS = 3
-AGREE = 38  # of 64 registers; 0.8 stays below with probability 5e-5
+CHUNK = 512
+SLICE = 2048
 PORTION = 1 << 20
 U64 = np.uint64
 
@@ -158,6 +158,101 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """u and its shingles as a binary of 64-bit hashes, the k-th copy of a shingle being another element."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for i, j, data, bounds in portions(batch.column("text")):
+                doc, h, weight = shingles(data, bounds)
+                copy = ragged(np.zeros(len(h), np.int64), weight).astype(U64)
+                elements = mix64(np.repeat(h, weight) + copy * U64(0xD6E8FEB86659FD93))
+                ends = np.cumsum(np.bincount(np.repeat(doc, weight), minlength=j - i))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([elements[x:y].tobytes() for x, y in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], names=["u", "elements"])
+
+    return stored(texts.join(wanted.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "u long, elements binary"), "sets")
+
+
+def linked_in_blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges that join components: in every bucket, chunks of what is outside its main component against all chunks.
+
+    mixed: u, bucket, root, main, pa, pb (numbers of chunks). A task holds two chunks; overlaps of all their
+    pairs are counted exactly there and leave as a spanning forest, so no pairs are exchanged.
+    """
+    rows = mixed.join(sets, "u")
+    whole = F.pmod(F.xxhash64("u"), F.col("pb")).cast("int")
+    part = F.pmod(F.xxhash64("u", F.lit(1)), F.col("pa")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    out = rows.filter("root <> main").select("bucket", part.alias("ca"), every("pb").alias("cb"), F.lit(0).alias("side"), "u", "root", "elements")
+    all_rows = rows.select("bucket", every("pa").alias("ca"), whole.alias("cb"), F.lit(1).alias("side"), "u", "root", "elements")
+    dealt = out.unionByName(all_rows).repartition(width(mixed.sparkSession), "bucket", "ca", "cb").sortWithinPartitions("bucket", "ca", "cb", "side", "u")
+    return dealt.mapInArrow(block_links, "u long, v long")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each pair shares, by products of 0/1 matrices over slices of the shared elements."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    ia, ib = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (left, right))
+    shared = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(shared):
+        return out
+    pa, pb = np.searchsorted(shared, a), np.searchsorted(shared, b)
+    ka, kb = shared[np.minimum(pa, len(shared) - 1)] == a, shared[np.minimum(pb, len(shared) - 1)] == b
+    ia, pa, ib, pb = ia[ka], pa[ka], ib[kb], pb[kb]
+    order_a, order_b = np.argsort(pa, kind="stable"), np.argsort(pb, kind="stable")
+    ia, pa, ib, pb = ia[order_a], pa[order_a], ib[order_b], pb[order_b]
+    for at in range(0, len(shared), SLICE):
+        x0, x1 = np.searchsorted(pa, [at, at + SLICE])
+        y0, y1 = np.searchsorted(pb, [at, at + SLICE])
+        n = min(SLICE, len(shared) - at)
+        x, y = np.zeros((len(left), n), np.float32), np.zeros((len(right), n), np.float32)
+        x[ia[x0:x1], pa[x0:x1] - at] = 1
+        y[ib[y0:y1], pb[y0:y1] - at] = 1
+        out += x @ y.T
+    return out
+
+
+def block_links(batches):
+    """Sorted by bucket, chunks and side: the edges of a forest over the links between components."""
+    import pyarrow as pa
+
+    from docquarry.llm.pivots import forest
+
+    def of(rows):
+        left, right = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
+        if not left or not right:
+            return None
+        sets = [[np.frombuffer(r[3], U64) for r in side] for side in (left, right)]
+        both = overlaps(*sets)
+        total = np.add.outer([len(x) for x in sets[0]], [len(x) for x in sets[1]])
+        apart = np.not_equal.outer([r[2] for r in left], [r[2] for r in right])
+        good = apart & (both > 0) & (both >= SIMILAR * (total - both) - 1e-6)
+        if not good.any():
+            return None
+        n = len(left) + len(right)
+        links = np.zeros((n, n), bool)
+        links[: len(left), len(left) :] = good
+        links[len(left) :, : len(left)] = good.T
+        label = forest(links)
+        i = np.flatnonzero(label != np.arange(n))
+        ids = np.array([r[1] for r in left + right], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[label[i]])], names=["u", "v"])
+
+    key, rows = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("bucket", "ca", "cb", "side", "u", "root", "elements")]
+        for *k, side, u, root, elements in zip(*columns, strict=True):
+            if k != key:
+                if rows and (found := of(rows)) is not None:
+                    yield found
+                key, rows = k, []
+            rows.append((side, u, root, elements))
+    if rows and (found := of(rows)) is not None:
+        yield found
+
+
 def duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its group) for every row; a null id has a null class."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
@@ -175,30 +270,15 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     links = stored(verified(pairs, texts), "links")
     roots = components(links)
 
-    for last in (False, True):
-        placed = crowd.select("u", "bucket").join(roots.select(F.col("node").alias("u"), "root"), "u", "left").withColumn("root", F.coalesce("root", "u"))
-        per = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        most = per.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("most.root").alias("main"))
-        mixed = stored(placed.join(most, "bucket"), "mixed")
-        if mixed.isEmpty():
-            break
-        outside = mixed.filter("root <> main").select("u", "bucket", "root")
-        if last:
-            others = mixed.select(F.col("u").alias("v"), "bucket", F.col("root").alias("root2"), "main")
-            pair = outside.join(others, "bucket").filter("root <> root2 AND (root2 = main OR u < v)")
-        else:
-            hub = [F.min(F.struct(F.xxhash64("u", F.lit(k)).alias("h"), "u")).alias(f"h{k}") for k in range(HUBS)]
-            chosen = mixed.filter("root = main").groupBy("bucket").agg(*hub).select("bucket", F.explode(F.array_distinct(F.array(*[F.col(f"h{k}.u") for k in range(HUBS)]))).alias("v"))
-            pair = outside.join(chosen, "bucket")
-        pair = pair.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-        sig = classes.select("doc_id", "signature")
-        near = pair.join(sig.select(F.col("doc_id").alias("u"), F.col("signature").alias("s")), "u").join(sig.select(F.col("doc_id").alias("v"), F.col("signature").alias("t")), "v")
-        agree = F.aggregate(F.sequence(F.lit(0), F.lit(REGISTERS - 1)), F.lit(0), lambda n, i: n + F.when(F.substring("s", i * 4 + 1, F.lit(4)) == F.substring("t", i * 4 + 1, F.lit(4)), 1).otherwise(0))
-        more = stored(near.filter(agree >= AGREE).select("u", "v"), "pairs")
-        if not more.isEmpty():
-            links = links.unionByName(stored(verified(more, texts), "links"))
-            pairs = pairs.unionByName(more)
-            roots = components(links)
+    # What a star leaves apart: buckets that still hold several components.
+    placed = crowd.select("u", "bucket").join(roots.select(F.col("node").alias("u"), "root"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    per = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    most = per.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
+    most = most.select("bucket", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / CHUNK).cast("int").alias("pa"), F.ceil(F.col("n") / CHUNK).cast("int").alias("pb"))
+    mixed = stored(placed.join(most, "bucket"), "mixed")
+    if not mixed.isEmpty():
+        links = links.unionByName(stored(linked_in_blocks(mixed, shingle_sets(texts, mixed)), "links"))
+        roots = components(links)
 
     labelled = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     found = labelled.select("doc_id", F.coalesce("root", "rep").alias("class_id"))
