@@ -36,17 +36,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import ragged, scratch, stored, table, width
+from docquarry.llm.bpe import byte_alphabet, slices, vocabulary
+from docquarry.llm.common import binary_views, ragged, scratch, stored, table, width
 
 MAGIC, VERSION = b"RANS", 1
 SCALE = 22
 LOW = np.uint64(1 << 31)
-LANES = 512
+LANES = 2048
 CHECKPOINT = 128
-BLOCK_TOKENS = 131_072
+BLOCK_TOKENS = 524_288
 END_ID = 2
 NO_ID = -(1 << 63)
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+#: The byte-level pre-tokenizer's pattern (fixed value).
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEAD = struct.Struct("<4sIQQIQI")
 
 
@@ -59,61 +62,101 @@ class ByteBpe:
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
         special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.whole = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z|[\x1c-\x1f\x85]|" + "|".join(map(re.escape, special))).search
+        self.special = special
+        self.other_space = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
         self.size = self.library.get_vocab_size()
+        self.pieces, self.rare = regex.compile(PIECES).findall, re.compile("[^\n\x20-\u024f]").search
+        self.alphabet = "".join(byte_alphabet())
+        self.words: dict[str, list[int]] = {}
         self.reset()
 
+    def whole(self, text: str) -> bool:
+        """Whether a text must go to the library as it is."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+            return True
+        return any(x in text for x in self.special) or self.other_space(text) is not None
+
     def reset(self) -> None:
-        self.rows: dict[str, int] = {}
+        self.rows = Rows()
         self.flat, self.at = array("H" if self.size <= 65536 else "I", [0]), array("q", [1])
 
-    def learn(self, chunks: list[str]) -> None:
-        for found in self.library.encode_batch_fast(chunks, add_special_tokens=False):
-            self.flat.extend(found.ids)
-            self.at.append(len(self.flat))
-        for c in chunks:
-            self.rows[c] = len(self.rows)
+    def learn(self) -> None:
+        """Asks the library for what is new. The sign in front tells what stood before a chunk.
+
+        A chunk of common letters is cut into the pre-tokenizer's pieces here, and the library's model
+        is asked once for each distinct piece; others go through the whole library.
+        """
+        words, flat, at, model = self.words, self.flat, self.at, self.library.model
+        if len(words) > CACHE_WORDS:
+            words.clear()
+        for c in self.rows.new:
+            chunk = c[1:] if c[0] == "\r" else c if c[0] == "\n" else " " + c
+            if self.rare(chunk):
+                flat.extend(self.library.encode(chunk, add_special_tokens=False).ids)
+            else:
+                for piece in self.pieces(chunk):
+                    ids = words.get(piece)
+                    if ids is None:
+                        shown = piece.encode().decode("latin-1").translate(self.alphabet)
+                        ids = words[piece] = [t.id for t in model.tokenize(shown)]
+                    flat.extend(ids)
+            at.append(len(flat))
+        self.rows.new.clear()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts laid end to end, and n+1 bounds."""
         if len(self.rows) > CACHE_WORDS:
             self.reset()
-        cut, direct = [], {}
+        row, picked, counts, direct = self.rows.__getitem__, [], np.zeros(len(texts), np.int64), {}
         for k, text in enumerate(texts):
             if not text:
-                cut.append([])
-            elif self.whole(text):
+                continue
+            if self.whole(text):
                 direct[k] = None
-                cut.append([])
-            else:  # a chunk carries the space or the line end before it
-                chunks = text.replace("\n", " \n").split(" ")
-                cut.append([chunks[0], *[c if c[0] == "\n" else " " + c for c in chunks[1:]]])
-        rows = self.rows
-        missing = {c for chunks in cut for c in chunks if c not in rows}
-        if missing:
-            self.learn(sorted(missing))
-        picked = np.array([rows[c] for chunks in cut for c in chunks], np.int64)
+                continue
+            # A chunk starts at a single space, which is left out, or at a line end; nothing precedes the first.
+            chunks = text.replace("\n", " \n").split(" ")
+            chunks[0] = "\r" + chunks[0]
+            picked += map(row, chunks)
+            counts[k] = len(chunks)
+        if self.rows.new:
+            self.learn()
+        picked = np.array(picked, np.int64)
         at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, np.uint16 if self.flat.typecode == "H" else np.uint32)
         starts = at[picked]
         lengths = at[picked + 1] - starts if len(picked) else starts
         ids = flat[ragged(starts, lengths)]
         sums = np.concatenate([[0], np.cumsum(lengths)])
-        bounds = sums[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)]
+        bounds = sums[np.concatenate([[0], np.cumsum(counts)])]
         if direct:
             for k, found in zip(direct, self.library.encode_batch_fast([texts[k] for k in direct], add_special_tokens=False), strict=True):
                 direct[k] = np.array(found.ids, ids.dtype)
-            parts = [direct.get(k, ids[bounds[k] : bounds[k + 1]]) for k in range(len(texts))]
+            parts = [direct[k] if k in direct else ids[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
             ids = np.concatenate(parts)
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return ids, bounds
 
 
+class Rows(dict):
+    """Row numbers of chunks, given as they are asked for; ``new`` lists those not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     """One for each Python worker."""
@@ -137,7 +180,7 @@ class Coder:
         self.cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
         self.most = self.freq << np.uint64(63 - SCALE)
         if decoder:
-            self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+            self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 65536 else np.uint32), freq)
 
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
         """States at the start, words in reading order, checkpoints (word offset, states)."""
@@ -227,8 +270,6 @@ def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id and ids (little-endian 16-bit binary where the vocabulary allows, else 32-bit), end id included."""
     import pyarrow as pa
 
-    from docquarry.llm.bpe import slices
-
     def run(batches):
         bpe = byte_bpe(path)
         kind = "<u2" if bpe.size <= 65536 else "<u4"
@@ -250,8 +291,8 @@ def frequencies(coded: DataFrame, size: int, kind: str) -> np.ndarray:
     def run(batches):
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                counts += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=size)
+            raw, _ = binary_views(batch.column("ids"))
+            counts += np.bincount(np.frombuffer(raw.tobytes(), kind), minlength=size)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 
@@ -335,8 +376,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of all documents in the file format and reads them back: doc_id, start, n_tokens, ids_crc32."""
-    from docquarry.llm.bpe import vocabulary
-
     folder = scratch(spark, "token-files")
     write(table(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.json"))
     return read(spark, folder)
