@@ -4,13 +4,15 @@ Each stage takes (spark, docs, sf_dir) and works on all documents that the stage
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
 
 1. quality: documents whose score is under 0.3 go (the classifier learns from the labels of the corpus).
-2. near_duplicates: one document of each group stays, the one with the smallest doc_id.
+2. near_duplicates: one document of each group stays, the one with the smallest doc_id; of equal rows with
+   a doc_id one stays.
 3. repeats: passages of 100 bytes and more that an earlier document has are cut out of the texts; n_chars
    follows; a character that is cut through goes whole; a document may become empty and stays as such.
 4. mixture: documents are put in the order of the interleaved sources (range-partitioned files, sorted).
 5. token_ids: the ids of every text with digests of ids and decoded text.
 
-Cases: null texts count as empty; empty tables pass; repeated rows fall to stage 2.
+Cases: null texts count as empty; empty tables pass; repeated rows fall to stage 2 (rows without a doc_id
+are not compared and stay).
 """
 
 from __future__ import annotations
@@ -31,7 +33,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = near_dup.duplicate_classes(docs).filter("doc_id <> class_id").select("doc_id")
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    again = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates()).select(*COLUMNS)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,8 +22,9 @@ covered ranges; both are joins on doc_id, texts never meet in groups.
 
 Cases: null text counts as empty; texts under 100 bytes keep all; texts of any length are cut into pieces
 that overlap by what an anchor needs; equal texts: the one with the smallest doc_id stays; an empty table
-gives an empty result; rows with the same doc_id must not differ (ids are keys), null ids are left out of
-matching and keep their text; further columns are left out unless kept.
+gives an empty result; rows with the same doc_id must not differ (ids are keys): repeated rows are one document
+and get equal results; null ids are left out of matching and keep their text; further columns are left out
+unless kept.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def heads_of(*columns) -> np.ndarray:
 
 
 def once(*columns):
-    """Sorted rows without repetitions: a string that holds two anchors is met twice."""
+    """Sorted rows without repetitions: a string that holds two anchors is met twice, a repeated row's places too."""
     first = heads_of(*columns)
     return tuple(c[first] for c in columns)
 
@@ -155,6 +156,8 @@ class Folder:
         row = np.concatenate([p[8] for p in self.pieces])
         order = np.lexsort((pos, doc, c, h))
         h, c, doc, pos, place, piece, row = (x[order] for x in (h, c, doc, pos, place, piece, row))
+        one = heads_of(h, c, doc, pos)  # a repeated row is no earlier place
+        h, c, doc, pos, place, piece, row = (x[one] for x in (h, c, doc, pos, place, piece, row))
         first = heads_of(h, c)
         cover = [(doc[~first], np.maximum(pos[~first] - (MIN - K), 0), pos[~first] + MIN)]
         h, c, doc, pos, place, piece, row = (x[first] for x in (h, c, doc, pos, place, piece, row))
@@ -259,7 +262,7 @@ def sift(batches):
                 continue
             full_keys = np.unique(gh[gk == FULL])
             real = gk == ANCHOR
-            gh, gc, gd, gp = gh[real], gc[real], gd[real], gp[real]
+            gh, gc, gd, gp = once(gh[real], gc[real], gd[real], gp[real])
             first = heads_of(gh, gc)
             yield rows_of(COVER, 0, gp[~first] + MIN, gd[~first], np.maximum(gp[~first] - (MIN - K), 0))
             gh, gd, gp = gh[first], gd[first], gp[first]

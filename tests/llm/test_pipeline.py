@@ -19,3 +19,14 @@ def test_run(spark, sf_dir):
     rows = P.run(spark, sf_dir).collect()
     assert rows and len({r["doc_id"] for r in rows}) == len(rows)
     assert all(r["n_tokens"] == len(r["ids"]) for r in rows)
+
+
+def test_repeated_rows(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    one, two = (1, words(1), "en", "a", 9), (2, words(2), "en", "b", 9)
+    docs = spark.createDataFrame([one, one, two, (None, words(3), "en", None, 9), (None, words(3), "en", None, 9)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    after = P.near_duplicate_stage(spark, docs, "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in after.collect()) == [(0, words(3)), (0, words(3)), (1, words(1)), (2, words(2))]
+    # The stage on its own: repeated rows do not empty each other.
+    cut = P.repeat_stage(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in cut) == [(0, words(3))] * 2 + [(1, words(1))] * 2 + [(2, words(2))]

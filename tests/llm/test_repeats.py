@@ -71,3 +71,20 @@ def test_text_and_columns_are_kept(spark):
     df = spark.createDataFrame([(1, t, "a"), (2, t + "é", "b")], "doc_id long, text string, lang string")
     got = {x["doc_id"]: x for x in repeats.remove_repeats(df, keep=("lang",), with_text=True).collect()}
     assert got[1]["kept"] == t and got[2]["kept"] == "é" and got[2]["lang"] == "b"
+
+
+@pytest.mark.parametrize(("most", "parts"), [(32, 1), (32, 5), (2, 1), (2, 5)])
+def test_repeated_rows_are_one_document(spark, monkeypatch, most, parts):
+    """In one task and in several, folded, in blocks and by strings: a repeated row covers nothing of itself."""
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = text(150)
+    rows = [(1, text(400))] * 3 + [(2, text(100))] * 2 + [(3, "xy" * 200)] * 2
+    rows += [(10 + k, text(80) + passage + text(80)) for k in range(6)] * 2 + [(30, rows[0][1])] * 2
+    r.shuffle(rows)
+    monkeypatch.setattr(repeats, "MOST", most)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = repeats.remove_repeats(df, with_text=True).collect()
+    want = brute(set(rows))
+    assert sorted(tuple(x)[:5] for x in got) == sorted((d, *want[d]) for d, _ in rows)
+    assert {x["kept"] for x in got if x["doc_id"] <= 2} == {t for d, t in rows if d <= 2}
