@@ -8,7 +8,8 @@ written as Parquet and read again as the next one's docs. All but the last retur
    a doc_id one stays.
 3. repeats: passages of 100 bytes and more that an earlier document has are cut out of the texts; n_chars
    follows; a character that is cut through goes whole; a document may become empty and stays as such.
-4. mixture: documents are put in the order of the interleaved sources (range-partitioned files, sorted).
+4. mixture: documents are put in the order of the interleaved sources (range-partitioned files, sorted); all
+   rows stay, also those with a null or repeated doc_id.
 5. token_ids: the ids of every text with digests of ids and decoded text.
 
 Cases: null texts count as empty; empty tables pass; repeated rows fall to stage 2 (rows without a doc_id
@@ -46,8 +47,8 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    places = mixing.mix(docs).select("doc_id", "place")
-    mixed = docs.select(*COLUMNS).join(places, "doc_id")
+    # The mixture calls a null source ''; the documents keep theirs.
+    mixed = mixing.mix(docs.withColumn("own_source", F.col("source")), keep=("text", "lang", "n_chars", "own_source")).withColumn("source", F.col("own_source"))
     return mixed.repartitionByRange(width(spark), "place").sortWithinPartitions("place").select(*COLUMNS)
 
 

@@ -30,3 +30,12 @@ def test_repeated_rows(spark):
     # The stage on its own: repeated rows do not empty each other.
     cut = P.repeat_stage(spark, docs, "").collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in cut) == [(0, words(3))] * 2 + [(1, words(1))] * 2 + [(2, words(2))]
+
+
+def test_mixture_keeps_every_row(spark):
+    rows = [(k, f"t{k}", "en", "ab"[k % 2], 2) for k in range(20)] + [(7, "t7", "en", "b", 2)] * 2 + [(None, f"n{k}", None, None if k % 2 else "a", 2) for k in range(5)] + [(50, None, "de", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = P.mixture_stage(spark, docs, "")
+    assert tuple(got.columns) == P.COLUMNS
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(rows, key=key)
