@@ -2,7 +2,8 @@
 
 Method: markup is stripped into lines (one per block element), each with a text length; lengths are summed
 over a sliding window of lines; the text between the surge (the window sum rises over a threshold) and the
-dive (it falls to nothing) is kept, of several such stretches the one with most text. Lengths are weighted
+dive (it falls to nothing) is kept, with the weighing lines right before the surge; several such stretches,
+which only lines that weigh nothing part, are joined. Lengths are weighted
 by what the markup says: lines in menus, headers, footers, sidebars, notices, adverts, forms and comments
 are no lines at all; where a page marks its article, lines outside it weigh nothing, and the threshold is
 then zero, so a short article is kept whole; elsewhere lines that are mostly links weigh nothing.
@@ -134,7 +135,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
 
 
 def main_text(html: str | None) -> str:
-    """The text between surge and dive, a block on each line."""
+    """The texts between surge and dive, a block on each line."""
     found = lines(html or "")
     if not found:
         return ""
@@ -143,22 +144,23 @@ def main_text(html: str | None) -> str:
     least = 0 if marked else min(THRESHOLD, max(weights) - 1)
     n = len(found)
     sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    best, span = 0, (0, 0)
-    i = 0
+    kept: list[int] = []
+    i = end = 0
     while i < n:
         if sums[i] <= least or not weights[i]:
             i += 1
             continue
-        j, last = i, i
+        start = i
+        while start > end and weights[start - 1]:  # short lines right before the surge
+            start -= 1
+        j = end = i
         while j < n and sums[j] > 0:  # to the dive
             if weights[j]:
-                last = j
+                end = j + 1
             j += 1
-        total = sum(weights[i : last + 1])
-        if total > best:
-            best, span = total, (i, last + 1)
+        kept += range(start, end)
         i = max(j, i + 1)
-    return "\n".join(t for (t, _, inside), w in zip(found[slice(*span)], weights[slice(*span)], strict=True) if w or not marked)
+    return "\n".join(found[k][0] for k in kept if weights[k] or not marked)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

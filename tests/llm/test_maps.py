@@ -88,6 +88,20 @@ def test_pages(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_lines_before_the_surge_stay():
+    long = "word " * 60
+    page = f"<div><a href=1>Home</a></div><div><h1>T</h1><p>one</p><p>two</p><p>three</p><p>{long}</p></div>"
+    assert html_text.main_text(page) == f"T\none\ntwo\nthree\n{long.strip()}"
+
+
+def test_stretches_are_joined():
+    one, two = "word " * 60, "more " * 80
+    links = "".join(f"<p><a href={k}>Link {k}</a></p>" for k in range(4))
+    assert html_text.main_text(f"<p>{one}</p>{links}<p>Short</p><p>{two}</p>{links}") == f"{one.strip()}\nShort\n{two.strip()}"
+    plain = "<p>out</p>" * 4
+    assert html_text.main_text(f"{plain}<article><p>a</p></article>{plain}<article><p>b</p><p>c</p></article>{plain}") == "a\nb\nc"
+
+
 def test_page_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>a</p>", "x")], "page_id long, url string, html string, text string")
     assert [tuple(r) for r in html_text.extract(df).collect()] == [(1, "u", "a", 1)]
