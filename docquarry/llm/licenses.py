@@ -6,9 +6,10 @@ is looked for in windows of 3L/2 shingles that begin every L/2, so every run of
 whole. Each window and each template has ``BANDS`` bands of one minimum. A template of more than L/2
 shingles that stands whole in a window has Jaccard similarity 1/3 to it at least (0.27 with a fifth of
 its shingles changed; a band agrees then with that probability, and one of 32 with 0.9999.
-Windows that agree in a band are verified: the share of the template's distinct shingles in the window is
-counted exactly, and ``CONTAINED`` or more is a match. One row is returned for each document and template:
-the best containment and the first window that has it.
+Windows that agree in a band are verified: the share of the template's distinct shingles in the window, and
+in the window with L shingles more on either side, is counted exactly, and ``CONTAINED`` or more is a match;
+so a notice that inserted words stretch to 2L is counted whole. One row is returned for each document and
+template: the best containment and the first window that has it (one without the margins before one with).
 
 The templates are a parameter (names and texts); they are sent with the tasks, and their number and size do
 not depend on the documents. No exchange is needed; a text is read whole, in one portion of an Arrow batch.
@@ -98,9 +99,9 @@ class Index:
 
     def matches(self, doc: np.ndarray, h: np.ndarray, at: np.ndarray, n_docs: int):
         """(text number, template, containment, first byte) of the best window of each text and template."""
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+        best: dict[tuple[int, int], tuple[float, bool, int]] = {}
         if not len(h):
-            return best
+            return {}
         # Every text begins on a block border: blocks of the smallest stride, filled up with the largest value.
         per = np.bincount(doc, minlength=n_docs)
         largest = max(self.classes)
@@ -148,14 +149,14 @@ class Index:
             d = int(np.searchsorted(heads, w, side="right")) - 1
             a = (w - int(heads[d])) * step
             b = min(int(per[d]), a + 3 * step)
-            window = h[start[d] + a : start[d] + b]
-            share = float(np.isin(self.shingles[template], window).mean())
-            if share >= CONTAINED - 1e-12:
+            # The window, then L more on either side: words put into a notice push its ends out of every window.
+            for narrow, x, y in ((True, a, b), (False, max(0, a - 2 * step), min(int(per[d]), b + 2 * step))):
+                window = h[start[d] + x : start[d] + y]
+                share = float(np.isin(self.shingles[template], window).mean())
                 held = best.get((d, template))
-                place = int(at[start[d] + a + int(np.flatnonzero(np.isin(window, self.shingles[template]))[0])])
-                if held is None or share > held[0]:
-                    best[d, template] = (share, place)
-        return best
+                if share >= CONTAINED - 1e-12 and (held is None or (share, narrow) > held[:2]):
+                    best[d, template] = (share, narrow, int(at[start[d] + x + int(np.flatnonzero(np.isin(window, self.shingles[template]))[0])]))
+        return {k: (share, place) for k, (share, _, place) in best.items()}
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

@@ -37,6 +37,18 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_a_lengthened_notice_is_found_at_every_offset():
+    import numpy as np
+
+    index, notice = licenses.Index(licenses.TEMPLATES), licenses.TEMPLATES["ISC"].split()
+    longer = notice[:17] + [f"put{k}" for k in range(12)] + notice[17:]
+    for before in range(32):
+        raw = np.frombuffer(" ".join([f"x{k}" for k in range(before)] + longer + [f"y{k}" for k in range(200)]).encode(), np.uint8)
+        doc, h, at = licenses.runs(raw, np.array([0, len(raw)]))
+        share, place = index.matches(doc, h, at, 1)[0, index.names.index("ISC")]
+        assert share == 26 / 30 and place == raw.tobytes().index(b"Permission")
+
+
 def test_media(spark, tmp_path):
     rows = [(1, "abc"), (2, None), (3, "é" * 500), (4, "abc"), (None, "x"), (6, "z" * 300_000)]
     df = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, media long")
