@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from docquarry.llm.common import components, stored, table, width
 
 PIVOTS = 128
-PREFIX = 6
+PREFIX = 8
 SHARED = 3
 SAMPLE = 2048
 SIMILAR = 0.9

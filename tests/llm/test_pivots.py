@@ -36,3 +36,20 @@ def test_empty(spark):
     assert pivots.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     got = pivots.near_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()
     assert [tuple(x) for x in got] == [(1, 0, 1, True)]
+
+
+def test_pairs_meet_by_bands_of_cosine():
+    """Pairs at a set cosine share enough of their nearest pivots, at the threshold too."""
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(r.normal(size=(2000, 64)))
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < pivots.PIVOTS:
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    for cosine, least in ((0.9, 0.98), (0.92, 0.99), (0.95, 0.995), (0.99, 0.999)):
+        w = r.normal(size=x.shape)
+        w = unit(w - (w * x).sum(1)[:, None] * x)
+        a, b = (pivots.keys_of(v, x[chosen], pivots.PREFIX, pivots.SHARED)[0] for v in (x, cosine * x + np.sqrt(1 - cosine**2) * w))
+        met = np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)])
+        assert met >= least, (cosine, met)
