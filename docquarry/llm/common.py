@@ -1,7 +1,7 @@
 """What the training-data operators share: tables, shared folders, byte-level numpy helpers, components.
 
 Shared folders: everything that one task writes and another reads goes below the folder that the
-cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests) is a temporary one made.
+cluster names in ``spark.checkpoint.dir``; where that is unset on a cluster, it is an error.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+PORTION = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; made once for a session that has none (tests)."""
+    """The folder that driver and executors share. A machine-local one would lose data, so none is made up.
+
+    On ``local`` masters, where there is no other machine, a temporary folder stands in.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("docquarry.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set("docquarry.shared.dir", found)
     return found.rstrip("/")
@@ -36,20 +42,21 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cuts the lineage: writes the frame to the shared folder and reads it back."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Removes the files of a frame from ``stored`` when nothing reads them any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def discard(*frames: DataFrame) -> None:
+    """Removes the files of frames from ``stored`` when nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def width(spark: SparkSession) -> int:
@@ -162,6 +169,16 @@ def binary_views(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
+def portions(column, most: int = PORTION):
+    """Rows of a text column in portions of about so many bytes: first row, last row, bytes, bounds."""
+    data, bounds = binary_views(column)
+    n, i = len(column), 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, side="right")) - 1)
+        yield i, j, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        i = j
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of ``edges(u, v)``: returns ``(node, root)``, root the smallest node.
 
@@ -169,23 +186,27 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     and made distinct, until none is left; the maps are then chained. Each round is written to the
     shared folder, nothing but a count comes to the driver. Empty edges give an empty result.
     """
-    spark = edges.sparkSession
     cur = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     total = None
     while True:
         both = cur.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("to")))
         near = stored(both.groupBy("node").agg(F.min("to").alias("to")), label)
         if total is None:
-            total = near.select("node", F.col("to").alias("root"))
-            if near.isEmpty():
-                return total
+            total = stored(near.select("node", F.col("to").alias("root")), label)
         else:
             step = near.select(F.col("node").alias("root"), F.col("to").alias("next"))
-            total = stored(total.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), label)
+            chained = stored(total.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), label)
+            discard(total)
+            total = chained
+        if near.isEmpty():
+            discard(cur, near)
+            return total
         a = near.select(F.col("node").alias("u"), F.col("to").alias("nu"))
         b = near.select(F.col("node").alias("v"), F.col("to").alias("nv"))
         mapped = cur.join(a, "u").join(b, "v").filter("nu <> nv")
         nxt = stored(mapped.select(F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v")).distinct(), label)
-        if nxt.isEmpty():
-            return total
+        discard(cur, near)
         cur = nxt
+        if cur.isEmpty():
+            discard(cur)
+            return total

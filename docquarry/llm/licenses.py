@@ -24,8 +24,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm.common import Prefix, mix64, ragged, table, words_of
-from docquarry.llm.near_dup import portions
+from docquarry.llm.common import Prefix, mix64, portions, ragged, table, words_of
 
 SHINGLE = 5
 CONTAINED = 0.8

@@ -12,7 +12,8 @@ similarity. Processes stop as soon as their next point comes later than every re
 signatures of long texts cost about one point for each shingle. ``BANDS`` bands of ``ROWS_PER_BAND``
 registers bring candidates together: 0.8 meets with probability 1 - (1 - 0.8**4)**16 = 0.9998.
 
-Skew. Equal texts are folded into one class first. In a bucket of any size each class is compared with the
+Skew. Equal texts are folded into one class first, whose id reaches its members by a join in which keys with a
+share of 1/``HOT`` of all rows or more (``HOT`` keys at most) are broadcast. In a bucket of any size each class is compared with the
 bucket's smallest one only (a star); links that are verified on whole multisets give components. Where a
 bucket still holds several components, the classes outside its largest one are compared with all of the
 bucket, chunk by chunk: a task takes ``CHUNK`` of either, counts the overlaps of all their pairs exactly
@@ -20,8 +21,9 @@ and sends a spanning forest of the links. So no link that changes a component is
 task, and no task holds more than two chunks.
 
 Cases: null text counts as empty; empty texts (no words) are linked with equal texts only; texts of any
-length are one row (memory per Arrow batch); an empty table gives an empty result; a null doc_id is its own
-class; rows with equal doc_id share one class; further columns are left out.
+length are one row (memory per Arrow batch); an empty table gives an empty result; a row with a null doc_id
+is not compared; every input row gives one output row: repeated rows get equal results, rows with one doc_id
+and different texts each their own text's class; further columns are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import Prefix, binary_views, components, mix64, ragged, stored, table, width, words_of
+from docquarry.llm.common import PORTION, Prefix, binary_views, components, discard, mix64, portions, ragged, stored, table, width, words_of
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -38,8 +40,8 @@ BANDS = 16
 ROWS_PER_BAND = 4
 REGISTERS = BANDS * ROWS_PER_BAND
 CHUNK = 512
+HOT = 4096
 SLICE = 2048
-PORTION = 1 << 20
 U64 = np.uint64
 
 
@@ -100,20 +102,14 @@ def bag_min_hash(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int
     return registers.reshape(n_docs, REGISTERS)
 
 
-def portions(column, most: int = PORTION):
-    """Rows of a text column in portions of about so many bytes: first row, last row, bytes, bounds."""
-    data, bounds = binary_views(column)
-    n, i = len(column), 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, side="right")) - 1)
-        yield i, j, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
-        i = j
+def text_key(text="text"):
+    """What equal texts share: the first 16 bytes of their SHA-256 (null: as empty)."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, key (digest of the text), signature (64 x 32 bits; null without words); one map."""
-    import hashlib
-
+    """doc_id, key (of the text), signature (64 x 32 bits; null without words); one map."""
     import pyarrow as pa
 
     def run(batches):
@@ -123,26 +119,33 @@ def signatures(docs: DataFrame) -> DataFrame:
                 times = bag_min_hash(doc, h, weight, j - i)
                 bits = (mix64(times.view(U64)) >> U64(32)).astype("<u4")
                 empty = np.isinf(times[:, 0])
-                raw = data.tobytes()
-                keys = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                sigs = [None if none else row.tobytes() for row, none in zip(bits, empty, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "key", "signature"])
+                raw = pa.Array.from_buffers(pa.binary(4 * REGISTERS), j - i, [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pc.if_else(pa.array(empty), None, raw)], names=["doc_id", "key", "signature"])
+
+    import pyarrow.compute as pc
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key binary, signature binary")
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key binary, signature binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose weighted Jaccard similarity is SIMILAR or more."""
     import pyarrow as pa
 
+    def bags(column):
+        data, bounds = binary_views(column)
+        return shingles(data, bounds)
+
     def run(batches):
         for batch in batches:
             left, right = batch.column("a"), batch.column("b")
-            for i, j, data, bounds in portions(left):
-                d1, h1, w1 = shingles(data, bounds)
-                other, at = binary_views(right.slice(i, j - i))
-                d2, h2, w2 = shingles(other, at)
+            size = np.cumsum(np.diff(binary_views(left)[1]) + np.diff(binary_views(right)[1]))
+            i = 0
+            while i < len(size):  # pairs whose texts, of both sides, stay within a portion
+                j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + PORTION, side="right")))
                 n = j - i
+                d1, h1, w1 = bags(left.slice(i, n))
+                d2, h2, w2 = bags(right.slice(i, n))
                 total = np.bincount(d1, w1, n) + np.bincount(d2, w2, n)
                 d, h, w = np.concatenate([d1, d2]), np.concatenate([h1, h2]), np.concatenate([w1, w2])
                 order = np.lexsort((h, d))
@@ -152,10 +155,22 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 good = (both >= SIMILAR * (total - both) - 1e-9) & (both > 0)
                 part = batch.slice(i, n).filter(pa.array(good))
                 yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"])
+                i = j
 
-    a = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a"))
-    b = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    a = texts.select(F.col("key").alias("u"), F.col("text").alias("a"))
+    b = texts.select(F.col("key").alias("v"), F.col("text").alias("b"))
+    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+
+
+def by_key(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined to groups (one row for each key, ``n`` its number of rows), no key being one task's burden.
+
+    Keys with a ``HOT``-th of all rows or more are ``HOT`` at most, so that they can be broadcast; the rows of
+    the others are joined by an exchange.
+    """
+    hot = F.col("n") * HOT >= total
+    many = F.broadcast(groups.filter(hot).drop("n"))  # HOT rows at most
+    return rows.join(many, key).unionByName(rows.join(many, key, "left_anti").join(groups.filter(~hot).drop("n"), key))
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -169,9 +184,9 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 copy = ragged(np.zeros(len(h), np.int64), weight).astype(U64)
                 elements = mix64(np.repeat(h, weight) + copy * U64(0xD6E8FEB86659FD93))
                 ends = np.cumsum(np.bincount(np.repeat(doc, weight), minlength=j - i))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([elements[x:y].tobytes() for x, y in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], names=["u", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), pa.array([elements[x:y].tobytes() for x, y in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], names=["u", "elements"])
 
-    return stored(texts.join(wanted.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "u long, elements binary"), "sets")
+    return stored(texts.join(wanted.select(F.col("u").alias("key")).distinct(), "key", "left_semi").select("key", "text").mapInArrow(run, "u binary, elements binary"), "sets")
 
 
 def linked_in_blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,7 +202,7 @@ def linked_in_blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     out = rows.filter("root <> main").select("bucket", part.alias("ca"), every("pb").alias("cb"), F.lit(0).alias("side"), "u", "root", "elements")
     all_rows = rows.select("bucket", every("pa").alias("ca"), whole.alias("cb"), F.lit(1).alias("side"), "u", "root", "elements")
     dealt = out.unionByName(all_rows).repartition(width(mixed.sparkSession), "bucket", "ca", "cb").sortWithinPartitions("bucket", "ca", "cb", "side", "u")
-    return dealt.mapInArrow(block_links, "u long, v long")
+    return dealt.mapInArrow(block_links, "u binary, v binary")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -237,8 +252,8 @@ def block_links(batches):
         links[len(left) :, : len(left)] = good.T
         label = forest(links)
         i = np.flatnonzero(label != np.arange(n))
-        ids = np.array([r[1] for r in left + right], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[label[i]])], names=["u", "v"])
+        ids = [r[1] for r in left + right]
+        return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in i], pa.binary()), pa.array([ids[label[k]] for k in i], pa.binary())], names=["u", "v"])
 
     key, rows = None, []
     for batch in batches:
@@ -253,21 +268,23 @@ def block_links(batches):
         yield found
 
 
-def duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id (the smallest doc_id of its group) for every row; a null id has a null class."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = stored(signatures(docs.filter("doc_id IS NOT NULL")), "signatures")
-    firsts = signed.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    members = stored(signed.select("doc_id", "key").join(firsts, "key").select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "members")
-    classes = signed.filter("signature IS NOT NULL").join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """signed (doc_id, key: a row for each row with an id), texts' classes (key, rep: its smallest doc_id; n)
+    and what links join (key, root: the smallest key that links reach)."""
+    signed = stored(signatures(docs), "signatures")
+    firsts = stored(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.count("*").alias("n")), "classes")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * 4 * ROWS_PER_BAND + 1, F.lit(4 * ROWS_PER_BAND))))
-    placed = classes.select(F.col("doc_id").alias("u"), F.explode(bands).alias("bucket"))
-    hubs = placed.groupBy("bucket").agg(F.min("u").alias("v"), F.count("*").alias("n")).filter("n > 1").select("bucket", "v")
-    crowd = stored(placed.join(hubs, "bucket"), "buckets")  # u, bucket, v: buckets of two and more
+    placed = stored(firsts.filter("signature IS NOT NULL").select(F.col("key").alias("u"), F.explode(bands).alias("bucket")), "bands")
+    hubs = stored(placed.groupBy("bucket").agg(F.min("u").alias("v"), F.count("*").alias("n")).filter("n > 1"), "hubs")
+    crowd = stored(by_key(placed, hubs, "bucket", placed.count()), "buckets")  # u, bucket, v: buckets of two and more
+    discard(placed, hubs)
     pairs = stored(crowd.filter("u <> v").select("u", "v").distinct(), "pairs")
-    wanted = crowd.select(F.col("u").alias("doc_id")).distinct()
-    texts = stored(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    wanted = firsts.join(crowd.select(F.col("u").alias("key")).distinct(), "key", "left_semi").select("key", F.col("rep").alias("doc_id"))
+    # A text's own row is the one with its class's smallest id and its key; repeated rows count once.
+    texts = docs.join(wanted.withColumnRenamed("key", "own"), "doc_id").filter(text_key() == F.col("own")).select(F.col("own").alias("key"), "text").dropDuplicates(["key"])
+    texts = stored(texts, "texts")
     links = stored(verified(pairs, texts), "links")
+    discard(pairs)
     roots = components(links)
 
     # What a star leaves apart: buckets that still hold several components.
@@ -277,15 +294,42 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     most = most.select("bucket", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / CHUNK).cast("int").alias("pa"), F.ceil(F.col("n") / CHUNK).cast("int").alias("pb"))
     mixed = stored(placed.join(most, "bucket"), "mixed")
     if not mixed.isEmpty():
-        links = links.unionByName(stored(linked_in_blocks(mixed, shingle_sets(texts, mixed)), "links"))
-        roots = components(links)
+        sets = shingle_sets(texts, mixed)
+        more = stored(linked_in_blocks(mixed, sets), "links")
+        discard(sets)
+        discard(roots)
+        roots = components(links.unionByName(more))
+        discard(more)
+    discard(crowd, texts, links, mixed)
+    return signed.select("doc_id", "key"), firsts.select("key", "rep", "n"), roots.select(F.col("node").alias("key"), "root")
 
-    labelled = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    found = labelled.select("doc_id", F.coalesce("root", "rep").alias("class_id"))
-    missing = docs.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
-    return found.unionByName(missing)
+
+def class_table(firsts: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, rep, n, class_id and winner (the key of the text that stays) for each distinct text.
+
+    A class's members are pre-aggregated; only texts that have a link take part in the exchange by class.
+    """
+    linked = stored(firsts.join(roots, "key"), "linked")
+    heads = stored(linked.groupBy("root").agg(F.min(F.struct("rep", "key")).alias("head"), F.count("*").alias("n")), "heads")
+    own = by_key(linked.withColumnRenamed("n", "rows"), heads, "root", linked.count()).select("key", "rep", F.col("rows").alias("n"), F.col("head.rep").alias("class_id"), F.col("head.key").alias("winner"))
+    alone = firsts.join(roots, "key", "left_anti").select("key", "rep", "n", F.col("rep").alias("class_id"), F.col("key").alias("winner"))
+    return own.unionByName(alone)
+
+
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key, class_id, winner for every row with an id, and the rows without one."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    signed, firsts, roots = text_classes(docs.filter("doc_id IS NOT NULL"))
+    table_of = stored(class_table(firsts, roots).drop("rep"), "class-table")
+    return by_key(signed, table_of, "key", signed.count()), docs.filter("doc_id IS NULL")
+
+
+def duplicate_classes(docs: DataFrame) -> DataFrame:
+    """doc_id and class_id (the smallest doc_id of its group): a row for each input row; a null id has a null class."""
+    found, without = classified(docs)
+    return found.select("doc_id", "class_id").unionByName(without.select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, class_id, kept (it is its class's smallest id)."""
-    return duplicate_classes(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    """Per document: doc_id, class_id, kept (it has its class's smallest id; rows without an id stay)."""
+    return duplicate_classes(table(spark, sf_dir, "documents")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

@@ -36,8 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.bpe import byte_alphabet, slices, vocabulary
-from docquarry.llm.common import binary_views, ragged, scratch, stored, table, width
+from docquarry.llm.bpe import byte_alphabet, vocabulary
+from docquarry.llm.common import discard, portions, ragged, scratch, stored, table, width
 
 MAGIC, VERSION = b"RANS", 1
 SCALE = 22
@@ -47,7 +47,10 @@ CHECKPOINT = 128
 BLOCK_TOKENS = 524_288
 END_ID = 2
 NO_ID = -(1 << 63)
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
+#: White space that the byte-level pattern takes apart otherwise than single spaces and line ends (fixed values).
+OTHER_SPACE = "\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ENDS = ".,;:!?"
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEAD = struct.Struct("<4sIQQIQI")
@@ -57,8 +60,9 @@ class ByteBpe:
     """Ids by the ``tokenizers`` library, asked once for each distinct chunk between single spaces.
 
     The byte-level pattern always starts a new piece at a single space between two other characters and
-    at a line end between two others, so chunks are encoded one by one. Texts with other white space or
-    with special tokens go to the library whole.
+    at a line end between two others, so Arrow cuts the texts there and names each distinct chunk of a
+    portion once; only those are looked up in Python, and only new ones reach the library's model. Texts
+    with other white space or with special tokens go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -68,24 +72,26 @@ class ByteBpe:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.special = special
-        self.other_space = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+        self.special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.whole = "|".join(["  ", "\n\n", " \n", "\n ", "^[ \n]", "[ \n]$", f"[{OTHER_SPACE}]", *map(re.escape, self.special)])
         self.size = self.library.get_vocab_size()
+        self.kind = np.dtype("<u2" if self.size <= 65536 else "<u4")
         self.pieces, self.rare = regex.compile(PIECES).findall, re.compile("[^\n\x20-\u024f]").search
         self.alphabet = "".join(byte_alphabet())
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.reset()
 
-    def whole(self, text: str) -> bool:
-        """Whether a text must go to the library as it is."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-            return True
-        return any(x in text for x in self.special) or self.other_space(text) is not None
-
     def reset(self) -> None:
-        self.rows = Rows()
-        self.flat, self.at = array("H" if self.size <= 65536 else "I", [0]), array("q", [1])
+        self.rows, self.words = Rows(), {}
+        self.flat, self.at = bytearray(self.kind.itemsize), array("q", [1])  # not empty, so that views can be had
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of one piece by the library's model, as bytes."""
+        found = self.words.get(piece)
+        if found is None:
+            shown = piece.encode().decode("latin-1").translate(self.alphabet)
+            found = self.words[piece] = np.array([t.id for t in self.library.model.tokenize(shown)], self.kind).tobytes()
+        return found
 
     def learn(self) -> None:
         """Asks the library for what is new. The sign in front tells what stood before a chunk.
@@ -93,52 +99,50 @@ class ByteBpe:
         A chunk of common letters is cut into the pre-tokenizer's pieces here, and the library's model
         is asked once for each distinct piece; others go through the whole library.
         """
-        words, flat, at, model = self.words, self.flat, self.at, self.library.model
-        if len(words) > CACHE_WORDS:
-            words.clear()
+        flat, at, size, piece = self.flat, self.at, self.kind.itemsize, self.piece
         for c in self.rows.new:
             chunk = c[1:] if c[0] == "\r" else c if c[0] == "\n" else " " + c
             if self.rare(chunk):
-                flat.extend(self.library.encode(chunk, add_special_tokens=False).ids)
+                flat += np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+            elif c.isalpha():  # a word after a space
+                flat += piece(chunk)
+            elif c[:-1].isalpha() and c[-1] in ENDS:  # the same with a sign behind it
+                flat += piece(chunk[:-1])
+                flat += piece(chunk[-1])
             else:
-                for piece in self.pieces(chunk):
-                    ids = words.get(piece)
-                    if ids is None:
-                        shown = piece.encode().decode("latin-1").translate(self.alphabet)
-                        ids = words[piece] = [t.id for t in model.tokenize(shown)]
-                    flat.extend(ids)
-            at.append(len(flat))
+                for x in self.pieces(chunk):
+                    flat += piece(x)
+            at.append(len(flat) // size)
         self.rows.new.clear()
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts laid end to end, and n+1 bounds."""
-        if len(self.rows) > CACHE_WORDS:
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (an Arrow string array or a list; no nulls) laid end to end, and n+1 bounds."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if len(self.rows) > CACHE_WORDS or len(self.words) > CACHE_WORDS:
             self.reset()
-        row, picked, counts, direct = self.rows.__getitem__, [], np.zeros(len(texts), np.int64), {}
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            if self.whole(text):
-                direct[k] = None
-                continue
-            # A chunk starts at a single space, which is left out, or at a line end; nothing precedes the first.
-            chunks = text.replace("\n", " \n").split(" ")
-            chunks[0] = "\r" + chunks[0]
-            picked += map(row, chunks)
-            counts[k] = len(chunks)
+        whole = pc.match_substring_regex(texts, self.whole)
+        direct = np.flatnonzero(np.array(whole))
+        cut = pc.if_else(whole, "", texts) if len(direct) else texts
+        # A chunk starts at a single space, which is left out, or at a line end; nothing precedes the first.
+        chunks = pc.split_pattern(pc.binary_join_element_wise("\r", pc.replace_substring(cut, "\n", " \n"), ""), " ")
+        named = chunks.flatten().dictionary_encode()
+        row = np.array(list(map(self.rows.__getitem__, named.dictionary.to_pylist())), np.int64)
         if self.rows.new:
             self.learn()
-        picked = np.array(picked, np.int64)
-        at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, np.uint16 if self.flat.typecode == "H" else np.uint32)
+        picked = row[np.array(named.indices)]
+        at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, self.kind)
         starts = at[picked]
-        lengths = at[picked + 1] - starts if len(picked) else starts
+        lengths = at[picked + 1] - starts
         ids = flat[ragged(starts, lengths)]
         sums = np.concatenate([[0], np.cumsum(lengths)])
-        bounds = sums[np.concatenate([[0], np.cumsum(counts)])]
-        if direct:
-            for k, found in zip(direct, self.library.encode_batch_fast([texts[k] for k in direct], add_special_tokens=False), strict=True):
-                direct[k] = np.array(found.ids, ids.dtype)
-            parts = [direct[k] if k in direct else ids[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
+        bounds = sums[np.array(chunks.offsets, np.int64) - chunks.offsets[0].as_py()]
+        if len(direct):
+            parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            for k, found in zip(direct, self.library.encode_batch_fast(texts.take(pa.array(direct)).to_pylist(), add_special_tokens=False), strict=True):
+                parts[k] = np.array(found.ids, self.kind)
             ids = np.concatenate(parts)
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return ids, bounds
@@ -267,37 +271,56 @@ class Block:
 
 
 def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id and ids (little-endian 16-bit binary where the vocabulary allows, else 32-bit), end id included."""
+    """doc_id and ids (little-endian 16-bit binary where the vocabulary allows, else 32-bit), end id included.
+
+    Every task adds one row without ids: how often it met each id (32-bit counts), so that the shared table
+    needs no second read.
+    """
     import pyarrow as pa
 
     def run(batches):
         bpe = byte_bpe(path)
-        kind = "<u2" if bpe.size <= 65536 else "<u4"
+        counts = np.zeros(bpe.size, np.int64)
+        names = ["doc_id", "ids", "counts"]
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            texts = [t or "" for t in texts]
-            for a, b in slices(texts):
-                ids, bounds = bpe.encode(texts[a:b])
-                raw = [ids[s:e].astype(kind).tobytes() + int(end_id).to_bytes(int(kind[-1]), "little") for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(raw, pa.binary())], names=["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
-
-
-def frequencies(coded: DataFrame, size: int, kind: str) -> np.ndarray:
+            texts = batch.column("text")
+            for a, b, _, _ in portions(texts):
+                n = b - a
+                ids, bounds = bpe.encode(texts.slice(a, n).fill_null(""))
+                # The end id goes behind every document.
+                ends = bounds[1:] + np.arange(n)
+                out = np.empty(len(ids) + n, bpe.kind)
+                inner = np.ones(len(out), bool)
+                inner[ends] = False
+                out[inner], out[ends] = ids, end_id
+                counts += np.bincount(out, minlength=bpe.size)
+                offsets = ((bounds + np.arange(n + 1)) * bpe.kind.itemsize).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), raw, pa.nulls(n, pa.binary())], names=names)
+        if counts.any():
+            rest = counts
+            while rest.any():  # counts beyond 32 bits go into further rows
+                now = np.minimum(rest, 0xFFFFFFFF)
+                rest = rest - now
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([now.astype("<u4").tobytes()], pa.binary())], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, counts binary")
+
+
+def frequencies(coded: DataFrame, size: int) -> np.ndarray:
     """The shared table over all documents; one row for each id of the vocabulary reaches the driver."""
     import pyarrow as pa
 
     def run(batches):
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            raw, _ = binary_views(batch.column("ids"))
-            counts += np.bincount(np.frombuffer(raw.tobytes(), kind), minlength=size)
+            for raw in batch.column("counts"):
+                counts += np.frombuffer(raw.as_buffer(), "<u4")
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for r in coded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in coded.filter("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     return quantize(counts)
 
@@ -309,8 +332,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None
     spark = docs.sparkSession
     size = byte_bpe(path).size
     kind = "<u2" if size <= 65536 else "<u4"
-    coded = stored(tokens(docs, path, end_id), "token-ids")
-    freq = frequencies(coded, size, kind)
+    coded = stored(tokens(docs, path, end_id), "token-ids", "zstd")
+    freq = frequencies(coded, size)
     spark.createDataFrame([(bytearray(freq.astype("<u4").tobytes()), size, end_id)], "freq binary, vocabulary long, end_id long").coalesce(1).write.parquet(f"{folder}/table")
 
     def run(batches):
@@ -342,8 +365,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None
         if doc_ids:
             yield flush()
 
-    ordered = coded.repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id")
+    ordered = coded.filter("ids IS NOT NULL").select("doc_id", "ids").repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, "part long, seq long, before long, tokens long, payload binary").write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    discard(coded)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
