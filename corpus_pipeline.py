@@ -33,12 +33,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = near_dup.duplicate_classes(docs).filter("doc_id <> class_id").select("doc_id")
-    kept = docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
-    again = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates()).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    known = docs.filter("doc_id IS NOT NULL")
+    found = near_dup.classified(docs)[0]
+    # What goes: texts other than their class's first, and of equal texts all rows but those with its smallest id.
+    gone = found.filter("key <> winner OR doc_id <> class_id").select("doc_id", F.col("key").alias("gone")).distinct()
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    gone, again = stored(gone, "gone"), stored(again, "repeated")
+    same = (known["doc_id"] == gone["doc_id"]) & (near_dup.text_key(known["text"]) == gone["gone"])
+    kept = known.join(gone, same, "left_anti")
+    if not again.isEmpty():
+        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
+    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
