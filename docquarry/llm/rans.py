@@ -67,53 +67,92 @@ class ByteBpe:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.library, self.model):
+            t.no_padding()
+            t.no_truncation()
+        # The same model on pieces that are cut already and written in the byte-level alphabet.
+        self.model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         self.special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.whole = "|".join(["  ", "\n\n", " \n", "\n ", "^[ \n]", "[ \n]$", f"[{OTHER_SPACE}]", *map(re.escape, self.special)])
         self.size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 65536 else "<u4")
         self.pieces, self.rare = regex.compile(PIECES).findall, re.compile("[^\n\x20-\u024f]").search
-        self.alphabet = "".join(byte_alphabet())
-        self.words: dict[str, bytes] = {}
+        self.alphabet = " " + "".join(byte_alphabet())[1:]  # byte 0 parts the pieces
+        self.letters = np.zeros(self.size, np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.letters[i] = len(token)
         self.reset()
 
     def reset(self) -> None:
-        self.rows, self.words = Rows(), {}
-        self.flat, self.at = bytearray(self.kind.itemsize), array("q", [1])  # not empty, so that views can be had
-
-    def piece(self, piece: str) -> bytes:
-        """The ids of one piece by the library's model, as bytes."""
-        found = self.words.get(piece)
-        if found is None:
-            shown = piece.encode().decode("latin-1").translate(self.alphabet)
-            found = self.words[piece] = np.array([t.id for t in self.library.model.tokenize(shown)], self.kind).tobytes()
-        return found
+        """Two tables of ids laid end to end: by chunk (rows) and by piece (words). Not empty, so that views can be had."""
+        self.rows: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.flat, self.at = bytearray(self.kind.itemsize), array("q", [1])
+        self.piece_flat, self.piece_at = bytearray(self.kind.itemsize), array("q", [1])
+
+    def learn_pieces(self, fresh: list[str], odd: dict[int, str]) -> None:
+        """The library's ids of new pieces, asked for in one call; odd ones are texts for the whole library."""
+        shown = "\0".join(fresh).encode().decode("latin-1").translate(self.alphabet)
+        ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.kind)
+        # Tokens are spelled in full, so their lengths tell where a piece ends.
+        ends = np.cumsum(list(map(len, shown.split(" ")))) if fresh else np.zeros(0, np.int64)
+        reach = np.concatenate([[0], np.cumsum(self.letters[ids])])
+        upto = np.searchsorted(reach, ends)
+        if not np.array_equal(reach[upto], ends):
+            raise ValueError("the vocabulary does not spell a piece in full")
+        bounds = np.concatenate([[0], upto])
+        if odd:
+            parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            for k, text in odd.items():
+                parts[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
+            ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        self.piece_at.frombytes((bounds[1:] + len(self.piece_flat) // self.kind.itemsize).astype(np.int64).tobytes())
+        self.piece_flat += ids.tobytes()
 
-    def learn(self) -> None:
-        """Asks the library for what is new. The sign in front tells what stood before a chunk.
+    def learn(self, new: list[str]) -> None:
+        """Takes in new chunks. The sign in front tells what stood before a chunk.
 
         A chunk of common letters is cut into the pre-tokenizer's pieces here, and the library's model
         is asked once for each distinct piece; others go through the whole library.
         """
-        flat, at, size, piece = self.flat, self.at, self.kind.itemsize, self.piece
-        for c in self.rows.new:
+        words, get = self.words, self.words.get
+        fresh: list[str] = []
+        odd: dict[int, str] = {}
+        used, counts = array("q"), array("q")
+        for c in new:
             chunk = c[1:] if c[0] == "\r" else c if c[0] == "\n" else " " + c
             if self.rare(chunk):
-                flat += np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-            elif c.isalpha():  # a word after a space
-                flat += piece(chunk)
-            elif c[:-1].isalpha() and c[-1] in ENDS:  # the same with a sign behind it
-                flat += piece(chunk[:-1])
-                flat += piece(chunk[-1])
+                odd[len(fresh)] = chunk
+                words["\0" + chunk] = len(words)
+                fresh.append("")
+                used.append(len(words) - 1)
+                counts.append(1)
+                continue
+            if c.isalpha():  # a word after a space
+                found = (chunk,)
+            elif c[-1] in ENDS and c[:-1].isalpha():  # the same with a sign behind it
+                found = (chunk[:-1], c[-1])
             else:
-                for x in self.pieces(chunk):
-                    flat += piece(x)
-            at.append(len(flat) // size)
-        self.rows.new.clear()
+                found = self.pieces(chunk)
+            for x in found:
+                k = get(x)
+                if k is None:
+                    k = words[x] = len(words)
+                    fresh.append(x)
+                used.append(k)
+            counts.append(len(found))
+        if fresh:
+            self.learn_pieces(fresh, odd)
+        at, flat = np.frombuffer(self.piece_at, np.int64), np.frombuffer(self.piece_flat, self.kind)
+        which = np.frombuffer(used, np.int64) if used else np.zeros(0, np.int64)
+        starts = at[which]
+        lengths = at[which + 1] - starts
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        self.at.frombytes((sums[np.cumsum(np.frombuffer(counts, np.int64))] + len(self.flat) // self.kind.itemsize).astype(np.int64).tobytes())
+        self.flat += flat[ragged(starts, lengths)].tobytes()
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (an Arrow string array or a list; no nulls) laid end to end, and n+1 bounds."""
@@ -129,10 +168,17 @@ class ByteBpe:
         # A chunk starts at a single space, which is left out, or at a line end; nothing precedes the first.
         chunks = pc.split_pattern(pc.binary_join_element_wise("\r", pc.replace_substring(cut, "\n", " \n"), ""), " ")
         named = chunks.flatten().dictionary_encode()
-        row = np.array(list(map(self.rows.__getitem__, named.dictionary.to_pylist())), np.int64)
-        if self.rows.new:
-            self.learn()
-        picked = row[np.array(named.indices)]
+        distinct = named.dictionary
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct), " ")[0].as_py().split(" ") if len(distinct) else []
+        found = list(map(self.rows.get, names))
+        if None in found:
+            new = [x for x, r in zip(names, found, strict=True) if r is None]
+            known = len(self.rows)
+            self.rows.update(zip(new, range(known, known + len(new)), strict=True))
+            self.learn(new)
+            fill = iter(range(known, known + len(new)))
+            found = [next(fill) if r is None else r for r in found]
+        picked = np.array(found, np.int64)[np.array(named.indices)]
         at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, self.kind)
         starts = at[picked]
         lengths = at[picked + 1] - starts
@@ -148,19 +194,6 @@ class ByteBpe:
         return ids, bounds
 
 
-class Rows(dict):
-    """Row numbers of chunks, given as they are asked for; ``new`` lists those not yet encoded."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        n = self[chunk] = len(self)
-        self.new.append(chunk)
-        return n
-
-
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     """One for each Python worker."""
