@@ -1,21 +1,27 @@
 """Main text of web pages by line-block distribution (op 8).
 
 Method: markup is stripped into lines (one per block element), each with a text length; lengths are summed
-over a sliding window of lines; the text between the surge (the window sum rises over a threshold) and the
-dive (it falls to nothing) is kept, with the weighing lines right before the surge; several such stretches,
-which only lines that weigh nothing part, are joined. Lengths are weighted
-by what the markup says: lines in menus, headers, footers, sidebars, notices, adverts, forms and comments
-are no lines at all; where a page marks its article, lines outside it weigh nothing, and the threshold is
-then zero, so a short article is kept whole; elsewhere lines that are mostly links weigh nothing.
-
-Cases: null or empty html gives an empty text; unclosed elements, comments and tags end with the page;
-pages of any length are read whole (memory per Arrow batch); repeated rows give repeated results.
+over a sliding window of lines; a stretch of text reaches from a surge (the window sum rises over a threshold
+taken from the page's largest window) to the dive (it falls to nothing), with the weighing lines right before
+the surge. Every stretch that surges is kept, on marked pages and others alike. The markup only gives weights:
+lines of menus, headers, footers, forms and the like are none; lines that are mostly links weigh nothing; where
+a page marks its article, lines outside the mark weigh nothing, and a mark with a line in a surging stretch is
+kept whole, so that short marked cards beside a long article fall to the threshold.
+
+Names of classes, ids and roles (sidebar, comments, advert ..) take a container out only if it holds neither a
+mark nor a first heading nor, but for comments, most of the page's text: a wrapper is never taken for what one
+word of its name says.
+
+Cases: null or empty html gives an empty text; unclosed elements, comments and tags end with the page; a page
+whose lines are all links is weighed by plain lengths; pages of any length are read whole (memory per Arrow
+batch); repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +42,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login sidebar widget widgets nav navbar navigation menu breadcrumb breadcrumbs footer masthead toolbar share sharing social related recommended recommendations comment comments commentlist disqus respond replies reply pagination pager popup modal overlay copyright disclaimer complementary contentinfo banner search dialog".split()
 )
+#: Parts of a name that make it a layout's, not the thing's (has-sidebar, search-results).
+LAYOUT = frozenset("has with without no page layout wrapper wrap container content main results site body root app grid row col columns".split())
+REMARKS = frozenset("comment comments commentlist disqus respond replies reply".split())
 MARKS = frozenset({"article", "main"})
+LINKS = 3  # neighbouring lines of links that make a menu
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -50,26 +60,42 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
 CUT = re.compile(r"[\s_\-:]+")
 
 
-def other(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element holds something else than the article."""
-    if name in ASIDE or name == "header" and not in_article:
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
+def named(attrs: str) -> int:
+    """What an element's class, id and role say: 0 nothing, 1 something else than the article, 2 readers' comments."""
+    said = 0
     for _, a, b, c in NAMES.findall(attrs):
-        if not HINTS.isdisjoint(CUT.split((a or b or c).lower())):
-            return True
-    return bool(HIDDEN.search(attrs))
+        for token in (a or b or c).lower().split():
+            parts = CUT.split(token)
+            if HINTS.isdisjoint(parts) or len(parts) > 1 and not LAYOUT.isdisjoint(parts):
+                continue
+            said = max(said, 1 if REMARKS.isdisjoint(parts) else 2)
+    return said
 
 
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """Blocks in page order: text, length of its links, whether it stands in a marked article."""
-    out: list[tuple[str, int, bool]] = []
+class Line(NamedTuple):
+    text: str
+    links: int  # characters of it in links
+    mark: int  # number of the innermost article mark it stands in, 0: none
+    boxes: tuple[int, ...]  # open containers whose name says something else
+
+
+class Box:
+    """A container whose name says that it is not the article; whether it holds the article all the same."""
+
+    def __init__(self, remarks: bool):
+        self.remarks, self.holds = remarks, False
+
+
+def lines(html: str) -> list[Line]:
+    """Blocks in page order, without those in containers that are something else than the article."""
+    out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, ends the article text, is a marked article
-    skipping = marked = 0
-    anchor = linked = 0
-    inside = False
+    stack: list[tuple[str, bool, int, int]] = []  # name, ends the text, number of the mark, number of the box
+    boxes: list[Box] = []
+    open_boxes: list[int] = []
+    marks: list[int] = []
+    skipping = anchor = linked = made = 0
+    inside, around = 0, ()
     at = 0
 
     def flush() -> None:
@@ -77,23 +103,30 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((text, linked, inside))
+                out.append(Line(text, linked, inside, around))
             parts.clear()
         linked = 0
 
+    def take(piece: str) -> None:
+        nonlocal inside, around
+        if not parts:
+            inside, around = marks[-1] if marks else 0, tuple(open_boxes)
+        parts.append(piece)
+
     def drop(k: int) -> None:
-        nonlocal skipping, marked
-        for _, skip, mark in stack[k:]:
+        nonlocal skipping
+        for _, skip, mark, box in reversed(stack[k:]):
             skipping -= skip
-            marked -= mark
+            if mark:
+                marks.pop()
+            if box:
+                open_boxes.pop()
         del stack[k:]
 
     for m in TOKEN.finditer(html):
         if m.start() > at and not skipping:
             piece = html[at : m.start()]
-            if not parts:
-                inside = marked > 0
-            parts.append(piece)
+            take(piece)
             if anchor:
                 linked += len(piece.strip())
         at = m.end()
@@ -113,7 +146,8 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
                     drop(k)
                     break
             continue
-        if name in VOID or m["attrs"].endswith("/") and name not in BLOCK:
+        attrs = m["attrs"]
+        if name in VOID or attrs.endswith("/") and name not in BLOCK:
             continue
         if name in BLOCK and stack and stack[-1][0] == "p":  # a paragraph ends where the next block begins
             drop(len(stack) - 1)
@@ -121,30 +155,50 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             drop(len(stack) - 1)
         if name == "a":
             anchor = 1
-        skip, mark = other(name, m["attrs"], marked > 0), name in MARKS or 'role="main"' in m["attrs"]
-        if name in BLOCK or skip:
-            stack.append((name, skip, mark))
+        skip = name in ASIDE or name == "header" and not marks or bool(attrs and HIDDEN.search(attrs))
+        said = named(attrs) if attrs and name not in ("html", "body") else 0
+        mark = said == 0 and not skip and (name in MARKS or 'role="main"' in attrs)
+        if (mark or name == "h1" and not said) and not skipping and not skip:
+            for k in open_boxes:
+                if not boxes[k - 1].remarks:
+                    boxes[k - 1].holds = True
+        if name in BLOCK or skip or said:
+            made += mark
+            if mark:
+                marks.append(made)
+            if said:
+                boxes.append(Box(said == 2))
+                open_boxes.append(len(boxes))
+            stack.append((name, skip, made if mark else 0, len(boxes) if said else 0))
             skipping += skip
-            marked += mark
     if at < len(html) and not skipping:
-        if not parts:
-            inside = marked > 0
-        parts.append(html[at:])
+        take(html[at:])
     flush()
-    return out
+    if not boxes:
+        return out
+    size = [0] * (len(boxes) + 1)
+    for line in out:
+        size[0] += len(line.text)
+        for k in set(line.boxes):
+            size[k] += len(line.text)
+    gone = {k for k, box in enumerate(boxes, start=1) if not box.holds and (box.remarks or 2 * size[k] <= size[0])}
+    return [line for line in out if gone.isdisjoint(line.boxes)]
 
 
 def main_text(html: str | None) -> str:
-    """The texts between surge and dive, a block on each line."""
+    """The texts between surges and dives, a block on each line."""
     found = lines(html or "")
     if not found:
         return ""
-    marked = any(x[2] for x in found)
-    weights = [len(t) * inside if marked else len(t) * (2 * links <= len(t)) for t, links, inside in found]
-    least = 0 if marked else min(THRESHOLD, max(weights) - 1)
     n = len(found)
+    marked = any(x.mark for x in found)
+    linked = [2 * x.links > len(x.text) for x in found]
+    weights = [0 if linked[i] or marked and not x.mark else len(x.text) for i, x in enumerate(found)]
+    if not any(weights):
+        weights = [len(x.text) * (x.mark > 0 or not marked) for x in found]
     sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    kept: list[int] = []
+    least = min(THRESHOLD, max(sums) // 4)
+    kept: set[int] = set()
     i = end = 0
     while i < n:
         if sums[i] <= least or not weights[i]:
@@ -158,9 +212,21 @@ def main_text(html: str | None) -> str:
             if weights[j]:
                 end = j + 1
             j += 1
-        kept += range(start, end)
+        kept.update(range(start, end))
+        i = max(j, i + 1)
+    if marked:  # a mark that has a line in a stretch is kept whole, what stands outside marks is not
+        chosen = {found[k].mark for k in kept} - {0}
+        return "\n".join(x.text for x in found if x.mark in chosen)
+    menu = [False] * n
+    i = 0
+    while i < n:  # lines of links side by side are a menu, a single one is part of the text
+        j = i
+        while j < n and linked[j]:
+            j += 1
+        if j - i >= LINKS:
+            menu[i:j] = [True] * (j - i)
         i = max(j, i + 1)
-    return "\n".join(found[k][0] for k in kept if weights[k] or not marked)
+    return "\n".join(found[k].text for k in sorted(kept) if weights[k] or not menu[k])
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

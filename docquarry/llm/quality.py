@@ -1,25 +1,23 @@
 """Quality classifier by compression (op 9).
 
-Method: one zstandard dictionary is built from texts labelled good and one from texts labelled bad. A text
-is compressed with either, in pieces of ``PIECE`` bytes so that a long text does not become its own
-dictionary; the difference of the two sizes, normalised by the size without a dictionary, is the evidence,
-over the whole text and for its worst piece, beside the normalised sizes themselves (text that repeats
-itself shrinks under any dictionary). A logistic curve over these, fitted on labelled texts that are in
-neither dictionary and weighted to the classes' shares of all labels, makes it a calibrated probability
-of label 1.
-
-Bounded sample (documented parameters): ``PER_CLASS`` labelled rows of each class, the first by a hash of
-the id among the rows that may be learned from; of each of those, ``SAMPLE_BYTES`` at most go into the fit.
-Scores cover whole texts.
-
-Cases: null text counts as empty; an empty text gets the score of an average text; texts
-of any length are scored in pieces; a class without labels gives the other's share for every text, no
-labels at all 0.5; repeated rows get equal scores.
+Method: zstandard trains one dictionary on whole texts labelled good and one on whole texts labelled bad. A
+text is compressed with either, in pieces of ``PIECE`` bytes so that it does not become its own dictionary;
+the difference of the two sizes, normalised by the text's size, is the only evidence. A logistic curve over
+it, fitted on labelled texts that are in neither dictionary and weighted to the classes' shares of all labels,
+makes it a calibrated probability of label 1.
+
+Bounded sample (documented parameter): ``PER_CLASS`` labelled rows of each class, the first by a hash of the
+id among the rows that may be learned from; every other one of them goes whole to the driver for a dictionary,
+of the rest only the differences do. Scores cover whole texts.
+
+Cases: null text counts as empty; an empty text gets the score of an average text; texts of any length are
+scored in pieces; where zstandard finds too little to train on, the texts themselves are the dictionary; a
+class without labels gives the other's share for every text, no labels at all 0.5; repeated rows get equal
+scores.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,76 +27,52 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import table
 
 PER_CLASS = 1500
-SAMPLE_BYTES = 16_384
 DICT_BYTES = 112_640
-PIECE = 512
-FULL = 2_048  # bytes from which a text's evidence counts in full
+SEGMENT, RUN = 64, 6  # the trainer's segment and its least match, in bytes
+PIECE = 256
 LEVEL = 3
 CUT = 0.3
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries, curve and the share of label 1; small, sent with the tasks."""
+    """Dictionaries, the curve over the difference (slope, intercept, mean) and the share of label 1; small, sent with the tasks."""
 
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]
-    mean: tuple[float, ...]
-    spread: tuple[float, ...]
+    curve: tuple[float, float, float] | None
     share: float
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """Rows of features (NaN: an empty text) to probabilities."""
-        z = np.nan_to_num((x - self.mean) / self.spread, nan=0.0)
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ np.array(self.weights[1:]), -30, 30)))
-
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """Dictionary content: short samples spread over the texts, so that many texts are heard."""
-    each = max(256, DICT_BYTES // max(1, len(texts)))
-    parts, size = [], 0
-    for t in texts:
-        part = t[:each]
-        parts.append(part)
-        size += len(part)
-        if size >= DICT_BYTES:
-            break
-    return b"\n".join(parts)[-DICT_BYTES:]
+    """What zstandard trains on whole texts; too few or too short ones stand for themselves."""
+    import zstandard as zs
+
+    try:
+        return zs.train_dictionary(DICT_BYTES, texts, k=SEGMENT, d=RUN).as_bytes()
+    except zs.ZstdError:
+        return b"\n".join(texts)[-DICT_BYTES:]
 
 
 class Sizes:
-    """Compressed sizes of a text with the good dictionary, the bad one and none."""
+    """Compressed sizes of a text with the good and the bad dictionary."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard as zs
 
         self.makers = []
         for content in (good, bad):
-            d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+            d = zs.ZstdCompressionDict(content)
             d.precompute_compress(level=LEVEL)
             self.makers.append(zs.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        self.makers.append(zs.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False).compress)
 
-    def features(self, text: bytes) -> tuple[float, ...]:
-        """Normalised difference, the same damped for short texts, worst piece, three sizes by length, log of length."""
+    def difference(self, text: bytes) -> float:
+        """How much smaller the good dictionary makes a text, by its size (NaN: empty)."""
         if not text:
-            return (float("nan"),) * N_FEATURES
-        good, bad, plain = self.makers
-        g = b = p = 0
-        worst = 1e9
-        for at in range(0, len(text), PIECE):
-            piece = text[at : at + PIECE]
-            x, y, z = len(good(piece)), len(bad(piece)), len(plain(piece))
-            worst = min(worst, (y - x) / z)
-            g += x
-            b += y
-            p += z
-        n, d = len(text), (b - g) / p
-        return d, d * min(1.0, (n / FULL) ** 0.5), worst, p / n, g / n, b / n, math.log(n)
-
-
-N_FEATURES = 7
+            return float("nan")
+        good, bad = self.makers
+        pieces = [text[at : at + PIECE] for at in range(0, len(text), PIECE)]
+        return (sum(map(len, map(bad, pieces))) - sum(map(len, map(good, pieces)))) / len(text)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -122,53 +96,59 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from rows that are not held out; only the bounded sample reaches the driver."""
-    usable = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    spark = docs.sparkSession
+    usable = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     shares = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
     if len(shares) < 2:
-        return Model(b"", b"", (), (), (), shares.get(1, 0) / total if total else 0.5)
-    sample = None
-    for quality in (0, 1):
-        part = usable.filter(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS)
-        sample = part if sample is None else sample.unionByName(part)
+        return Model(b"", b"", None, shares.get(1, 0) / total if total else 0.5)
+    sample = [(r["doc_id"], quality, k % 2) for quality in (0, 1) for k, r in enumerate(usable.filter(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS).select("doc_id").collect())]
     # At most 2 * PER_CLASS ids: a bounded side.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id").alias("h")).collect()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"]))
-    texts = {q: [bytes(r["text"]) for r in rows if r["quality"] == q and r["text"]] for q in (0, 1)}
+    wanted = F.broadcast(spark.createDataFrame(sample, "doc_id long, quality int, part int"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").filter("text <> ''").join(wanted, "doc_id")
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in sorted(rows.filter("part = 0").select("doc_id", "quality", "text").collect(), key=lambda r: (r["doc_id"], r["text"])):
+        texts[r["quality"]].append(r["text"].encode())
     if not texts[0] or not texts[1]:
-        return Model(b"", b"", (), (), (), shares[1] / total)
-    learn = {q: t[::2] for q, t in texts.items()}
-    rest = {q: t[1::2] or t for q, t in texts.items()}
-    good, bad = dictionary(learn[1]), dictionary(learn[0])
+        return Model(b"", b"", None, shares[1] / total)
+    good, bad = dictionary(texts[1]), dictionary(texts[0])
+    found = differences(rows.filter("part = 1"), good, bad, ("quality",)).collect()
     sizes = Sizes(good, bad)
-    x = np.array([sizes.features(t) for q in (0, 1) for t in rest[q]])
-    y = np.array([q for q in (0, 1) for _ in rest[q]], float)
-    w = np.array([shares[q] / total / len(rest[q]) for q in (0, 1) for _ in rest[q]]) * len(y)
-    mean, spread = x.mean(0), x.std(0) + 1e-9
-    beta = logistic(np.hstack([np.ones((len(x), 1)), (x - mean) / spread]), y, w)
-    return Model(good, bad, tuple(beta), tuple(mean), tuple(spread), shares[1] / total)
-
-
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and ``score``, the calibrated probability of label 1; one map, no exchange."""
+    pairs = [(r["difference"], r["quality"]) for r in found]
+    for q in (0, 1):
+        if not any(quality == q for _, quality in pairs):
+            pairs += [(sizes.difference(t), q) for t in texts[q]]
+    x, y = (np.array(c, float) for c in zip(*pairs, strict=True))
+    w = np.array([shares[int(q)] / total / (y == q).sum() for q in y]) * len(y)
+    mean, spread = x.mean(), x.std() + 1e-9
+    intercept, slope = logistic(np.stack([np.ones(len(x)), (x - mean) / spread], 1), y, w)
+    return Model(good, bad, (slope / spread, intercept - slope * mean / spread, mean), shares[1] / total)
+
+
+def differences(docs: DataFrame, good: bytes, bad: bytes, keep: tuple[str, ...]) -> DataFrame:
+    """The kept columns and ``difference`` (NaN: an empty text); one map, no exchange."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("difference", T.DoubleType())])
 
     def run(batches):
-        sizes = Sizes(model.good, model.bad) if model.weights else None
+        sizes = Sizes(good, bad)
         for batch in batches:
-            n = batch.num_rows
-            if sizes is None:
-                found = np.full(n, model.share)
-            else:
-                x = np.array([sizes.features(t.encode() if t else b"") for t in batch.column("text").to_pylist()]).reshape(n, N_FEATURES)
-                found = model.scores(x)
+            found = [sizes.difference(t.as_py().encode() if t.is_valid else b"") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(found, pa.float64())], names=schema.names)
 
-    wanted = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*wanted).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns and ``score``, the calibrated probability of label 1; one map, no exchange."""
+    if model.curve is None:
+        return docs.select(*keep, F.lit(float(model.share)).alias("score"))
+    slope, intercept, mean = map(float, model.curve)
+    x = F.when(F.isnan("difference"), mean).otherwise(F.col("difference"))
+    z = F.least(F.greatest(intercept + slope * x, F.lit(-30.0)), F.lit(30.0))
+    return differences(docs, model.good, model.bad, keep).select(*keep, (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
