@@ -8,10 +8,11 @@ shingles that stands whole in a window has Jaccard similarity 1/3 to it at least
 its shingles changed; a band agrees then with that probability, and one of 32 with 0.9999.
 Windows that agree in a band are verified: the share of the template's distinct shingles in the window, and
 in the window with L shingles more on either side, is counted exactly, and ``CONTAINED`` or more is a match;
-so a notice that inserted words stretch to 2L is counted whole. One row is returned for each document and
-template: the best containment and the first window that has it (one without the margins before one with).
+so a notice that inserted words stretch to 2L is counted whole. One row is returned for each document,
+license and kind (text, header, notice): the best containment and the first window that has it (one without the
+margins before one with). A notice of five or six words has one or two shingles, of which all must be there.
 
-The templates are a parameter (names and texts); they are sent with the tasks, and their number and size do
+The templates are a parameter (licenses, kinds and texts); they are sent with the tasks, and their number and size do
 not depend on the documents. No exchange is needed; a text is read whole, in one portion of an Arrow batch.
 
 Cases: null or empty texts and texts under five words match nothing (templates under five words are not
@@ -25,6 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.llm.common import Prefix, mix64, portions, ragged, table, words_of
+from docquarry.llm.license_texts import templates as license_templates
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -32,22 +34,6 @@ BANDS = 32
 SMALLEST = 2
 U64 = np.uint64
 
-#: Notices and headers as their licensors publish them (fixed values).
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-}
-
 #: Bytes as words see them: letters and digits in lower case, the rest blank.
 FOLDED = np.array([b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256)], np.uint8)
 MULTIPLIERS = mix64(np.arange(1, BANDS + 1, dtype=U64) * U64(0x632BE59BD9B4E019)) | U64(1)
@@ -72,75 +58,74 @@ def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 class Index:
     """The templates by class of size and band."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.names = sorted(templates)
+    def __init__(self, templates: list[tuple[str, str, str]]):
         self.shingles = []
+        self.names: list[tuple[str, str]] = []
         self.classes: dict[int, list[int]] = {}
-        for i, name in enumerate(self.names):
-            raw = np.frombuffer(templates[name].encode(), np.uint8)
+        for name, kind, text in templates:
+            raw = np.frombuffer(text.encode(), np.uint8)
             _, h, _ = runs(raw, np.array([0, len(raw)]))
             if not len(h):
-                raise ValueError(f"the template {name} has fewer than {SHINGLE} words")
+                raise ValueError(f"the template {name} ({text}) has fewer than {SHINGLE} words")
+            i = len(self.names)
+            self.names.append((name, kind))
             own = np.unique(h)
             size = SMALLEST
             while size < len(h):
                 size *= 2
             self.shingles.append(own)
             self.classes.setdefault(size, []).append(i)
-        # By class and band: minima of the templates, and a bitmap over their leading bits.
-        self.minima, self.maybe = {}, {}
+        # By class and band: sorted minima of the templates, and a bitmap over their leading bits.
+        self.minima, self.order, self.maybe = {}, {}, {}
         for size, members in self.classes.items():
-            low = np.array([[(self.shingles[i] * m).min() for m in MULTIPLIERS] for i in members], U64)
+            low = np.array([[(self.shingles[i] * m).min() for i in members] for m in MULTIPLIERS], U64)
             bits = np.zeros((BANDS, 1 << 16), bool)
             for b in range(BANDS):
-                bits[b, (low[:, b] >> U64(48)).astype(np.int64)] = True
-            self.minima[size], self.maybe[size] = low, bits
+                bits[b, (low[b] >> U64(48)).astype(np.int64)] = True
+            self.order[size] = np.argsort(low, axis=1, kind="stable")
+            self.minima[size], self.maybe[size] = np.take_along_axis(low, self.order[size], 1), bits
+
+    def levels(self, per: np.ndarray):
+        """Blocks of 1, 2, 4 .. shingles that begin anew in every text: for each size the last block of each text,
+        and the pairs of blocks that the next size joins."""
+        count, step = per, 1
+        while True:
+            head = np.cumsum(count) - count
+            pairs = -(-count // 2)
+            left = ragged(head, pairs) + ragged(np.zeros(len(per), np.int64), pairs)
+            last = head + count - 1
+            yield 2 * step, last[count > 0], left, np.minimum(left + 1, np.repeat(last, pairs))
+            if 2 * step >= max(self.classes):
+                return
+            count, step = pairs, 2 * step
 
     def matches(self, doc: np.ndarray, h: np.ndarray, at: np.ndarray, n_docs: int):
-        """(text number, template, containment, first byte) of the best window of each text and template."""
+        """By text number and template: containment and first byte of the best window."""
         best: dict[tuple[int, int], tuple[float, bool, int]] = {}
         if not len(h):
             return {}
-        # Every text begins on a block border: blocks of the smallest stride, filled up with the largest value.
         per = np.bincount(doc, minlength=n_docs)
-        largest = max(self.classes)
-        base = SMALLEST // 2
-        blocks = -(-per // base)
-        first = np.cumsum(blocks) - blocks
-        slot = ragged(first * base, per)
-        total = int(blocks.sum()) * base
         start = np.cumsum(per) - per
-        owner = np.repeat(np.arange(n_docs), blocks)
+        levels = list(self.levels(per))
         asked: set[tuple[int, int, int]] = set()
         for b in range(BANDS):
-            values = np.full(total, ~U64(0))
-            values[slot] = h * MULTIPLIERS[b]
-            low = values.reshape(-1, base).min(1)
-            text, step = owner, base
-            while True:
-                size = step * 2
+            low = h * MULTIPLIERS[b]
+            for size, last, left, right in levels:
                 if size in self.classes:
-                    window = low.copy()
-                    for shift in (1, 2):
-                        if len(low) > shift:
-                            same = text[shift:] == text[:-shift]
-                            window[:-shift] = np.where(same, np.minimum(window[:-shift], low[shift:]), window[:-shift])
+                    window = low
+                    for _ in range(2):  # each block and the two behind it, up to the text's end
+                        wider = window.copy()
+                        np.minimum(window[:-1], window[1:], out=wider[:-1])
+                        wider[last] = window[last]
+                        window = wider
                     hit = np.flatnonzero(self.maybe[size][b][(window >> U64(48)).astype(np.int64)])
-                    for w in hit.tolist():
-                        for k in np.flatnonzero(self.minima[size][:, b] == window[w]).tolist():
-                            asked.add((size, w, self.classes[size][k]))
-                if size >= largest:
-                    break
-                # Blocks of twice the size, begun anew in every text.
-                per_text = np.bincount(text, minlength=n_docs)
-                half = -(-per_text // 2)
-                head = np.cumsum(per_text) - per_text
-                left = ragged(head, half) + ragged(np.zeros(n_docs, np.int64), half)
-                text = np.repeat(np.arange(n_docs), half)
-                right = np.minimum(left + 1, len(low) - 1)
-                paired = (left + 1 < (head + per_text)[text])
-                low = np.where(paired, np.minimum(low[left], low[right]), low[left])
-                step *= 2
+                    if len(hit):
+                        minima = self.minima[size][b]
+                        first, end = (np.searchsorted(minima, window[hit], side=x) for x in ("left", "right"))
+                        for w, x, y in zip(hit.tolist(), first.tolist(), end.tolist(), strict=True):
+                            for k in range(x, y):
+                                asked.add((size, w, self.classes[size][self.order[size][b, k]]))
+                low = np.minimum(low[left], low[right])
         for size, w, template in sorted(asked):
             step = size // 2
             counts = -(-per // step)
@@ -158,28 +143,35 @@ class Index:
         return {k: (share, place) for k, (share, _, place) in best.items()}
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, license, containment, first_byte: a row for each document and template that matches."""
-    import pyarrow as pa
+def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """doc_id, license, kind, containment, first_byte: a row for each document, license and kind that matches.
 
+    templates: (license, kind, text); of several texts of a license and kind the one that is contained best.
+    """
+    import pyarrow as pa
     from pyspark.sql import types as T
 
-    texts = templates or TEMPLATES
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("license", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("first_byte", T.LongType())])
+    texts = templates or license_templates()
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("license", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("first_byte", T.LongType())])
 
     def run(batches):
         index = Index(texts)
         for batch in batches:
             for i, j, data, bounds in portions(batch.column("text")):
                 doc, h, at = runs(data, bounds)
-                found = sorted(index.matches(doc, h, at, j - i).items())
-                if found:
+                best: dict[tuple[int, tuple[str, str]], tuple[float, int]] = {}
+                for (d, t), (share, place) in sorted(index.matches(doc, h, at, j - i).items()):
+                    held = best.get((d, index.names[t]))
+                    if held is None or (share, -place) > (held[0], -held[1]):
+                        best[d, index.names[t]] = (share, place)
+                if best:
+                    found = sorted(best.items())
                     ids = batch.column("doc_id").take(pa.array([i + d for (d, _), _ in found]))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([index.names[t] for (_, t), _ in found]), pa.array([x[0] for _, x in found]), pa.array([x[1] for _, x in found], pa.int64())], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([n[0] for (_, n), _ in found]), pa.array([n[1] for (_, n), _ in found]), pa.array([x[0] for _, x in found]), pa.array([x[1] for _, x in found], pa.int64())], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a license text: doc_id, license, containment, first_byte."""
+    """Documents that hold a license text, header or notice: doc_id, license, kind, containment, first_byte."""
     return scan(table(spark, sf_dir, "documents"))

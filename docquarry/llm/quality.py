@@ -2,9 +2,10 @@
 
 Method: zstandard trains one dictionary on whole texts labelled good and one on whole texts labelled bad. A
 text is compressed with either, in pieces of ``PIECE`` bytes so that it does not become its own dictionary;
-the difference of the two sizes, normalised by the text's size, is the only evidence. A logistic curve over
-it, fitted on labelled texts that are in neither dictionary and weighted to the classes' shares of all labels,
-makes it a calibrated probability of label 1.
+the difference of the two sizes, normalised by the text's size, is the only evidence. A rising curve over it
+(isotonic regression, with ``SMOOTH`` of a logistic curve so that it rises everywhere), fitted on labelled texts
+that are in neither dictionary and weighted to the classes' shares of all labels, makes it a calibrated
+probability of label 1.
 
 Bounded sample (documented parameter): ``PER_CLASS`` labelled rows of each class, the first by a hash of the
 id among the rows that may be learned from; every other one of them goes whole to the driver for a dictionary,
@@ -32,15 +33,33 @@ SEGMENT, RUN = 64, 6  # the trainer's segment and its least match, in bytes
 PIECE = 256
 LEVEL = 3
 CUT = 0.3
+SMOOTH = 0.03
+
+
+@dataclass(frozen=True)
+class Curve:
+    """A rising curve from difference to probability: steps (places, heights) and a logistic part."""
+
+    places: tuple[float, ...]
+    heights: tuple[float, ...]
+    slope: float
+    intercept: float
+    mean: float
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """NaN, an empty text, counts as the mean."""
+        x = np.where(np.isnan(x), self.mean, x)
+        smooth = 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * x, -30, 30)))
+        return (1 - SMOOTH) * np.interp(x, self.places, self.heights) + SMOOTH * smooth
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries, the curve over the difference (slope, intercept, mean) and the share of label 1; small, sent with the tasks."""
+    """Dictionaries, the curve over the difference and the share of label 1; small, sent with the tasks."""
 
     good: bytes
     bad: bytes
-    curve: tuple[float, float, float] | None
+    curve: Curve | None
     share: float
 
 
@@ -89,6 +108,17 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -
     return beta
 
 
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """The rising step function nearest to the points: places and heights, two places for each step."""
+    steps: list[list[float]] = []  # height, weight, first and last place
+    for k in np.lexsort((y, x)):
+        steps.append([y[k], w[k], x[k], x[k]])
+        while len(steps) > 1 and steps[-2][0] >= steps[-1][0]:
+            (h1, w1, first, _), (h2, w2, _, last) = steps[-2:]
+            steps[-2:] = [[(h1 * w1 + h2 * w2) / (w1 + w2), w1 + w2, first, last]]
+    return tuple(float(p) for s in steps for p in s[2:]), tuple(float(s[0]) for s in steps for _ in range(2))
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that are never learned from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
@@ -122,21 +152,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     w = np.array([shares[int(q)] / total / (y == q).sum() for q in y]) * len(y)
     mean, spread = x.mean(), x.std() + 1e-9
     intercept, slope = logistic(np.stack([np.ones(len(x)), (x - mean) / spread], 1), y, w)
-    return Model(good, bad, (slope / spread, intercept - slope * mean / spread, mean), shares[1] / total)
+    curve = Curve(*isotonic(x, y, w), float(slope / spread), float(intercept - slope * mean / spread), float(mean))
+    return Model(good, bad, curve, shares[1] / total)
 
 
-def differences(docs: DataFrame, good: bytes, bad: bytes, keep: tuple[str, ...]) -> DataFrame:
-    """The kept columns and ``difference`` (NaN: an empty text); one map, no exchange."""
+def differences(docs: DataFrame, good: bytes, bad: bytes, keep: tuple[str, ...], name: str = "difference", curve: Curve | None = None) -> DataFrame:
+    """The kept columns and the difference (NaN: an empty text), or what the curve makes of it; one map, no exchange."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("difference", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
 
     def run(batches):
         sizes = Sizes(good, bad)
         for batch in batches:
-            found = [sizes.difference(t.as_py().encode() if t.is_valid else b"") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(found, pa.float64())], names=schema.names)
+            found = np.array([sizes.difference(t.as_py().encode() if t.is_valid else b"") for t in batch.column("text")], float)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(curve(found) if curve else found, pa.float64())], names=schema.names)
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
@@ -145,10 +176,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     """The kept columns and ``score``, the calibrated probability of label 1; one map, no exchange."""
     if model.curve is None:
         return docs.select(*keep, F.lit(float(model.share)).alias("score"))
-    slope, intercept, mean = map(float, model.curve)
-    x = F.when(F.isnan("difference"), mean).otherwise(F.col("difference"))
-    z = F.least(F.greatest(intercept + slope * x, F.lit(-30.0)), F.lit(30.0))
-    return differences(docs, model.good, model.bad, keep).select(*keep, (1 / (1 + F.exp(-z))).alias("score"))
+    return differences(docs, model.good, model.bad, keep, "score", model.curve)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
