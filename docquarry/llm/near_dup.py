@@ -13,7 +13,7 @@ signatures of long texts cost about one point for each shingle. ``BANDS`` bands
 registers bring candidates together: 0.8 meets with probability 1 - (1 - 0.8**4)**16 = 0.9998.
 
 Skew. Equal texts are folded into one class first, whose id reaches its members by a join in which keys with a
-share of 1/``HOT`` of all rows or more (``HOT`` keys at most) are broadcast. In a bucket of any size each class is compared with the
+share of 1/4096 of all rows or more (4096 keys at most) are broadcast. In a bucket of any size each class is compared with the
 bucket's smallest one only (a star); links that are verified on whole multisets give components. Where a
 bucket still holds several components, the classes outside its largest one are compared with all of the
 bucket, chunk by chunk: a task takes ``CHUNK`` of either, counts the overlaps of all their pairs exactly
@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import PORTION, Prefix, binary_views, components, discard, mix64, portions, ragged, stored, table, width, words_of
+from docquarry.llm.common import PORTION, Prefix, binary_views, by_key, components, discard, mix64, portions, ragged, stored, table, width, words_of
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -40,7 +40,6 @@ BANDS = 16
 ROWS_PER_BAND = 4
 REGISTERS = BANDS * ROWS_PER_BAND
 CHUNK = 512
-HOT = 4096
 SLICE = 2048
 U64 = np.uint64
 
@@ -162,17 +161,6 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
-def by_key(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined to groups (one row for each key, ``n`` its number of rows), no key being one task's burden.
-
-    Keys with a ``HOT``-th of all rows or more are ``HOT`` at most, so that they can be broadcast; the rows of
-    the others are joined by an exchange.
-    """
-    hot = F.col("n") * HOT >= total
-    many = F.broadcast(groups.filter(hot).drop("n"))  # HOT rows at most
-    return rows.join(many, key).unionByName(rows.join(many, key, "left_anti").join(groups.filter(~hot).drop("n"), key))
-
-
 def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """u and its shingles as a binary of 64-bit hashes, the k-th copy of a shingle being another element."""
     import pyarrow as pa

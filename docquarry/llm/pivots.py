@@ -1,75 +1,64 @@
 """Near-duplicate embeddings by a pivot-permutation index (op 7).
 
-Method. A vector is described by its ``PREFIX`` nearest of ``PIVOTS`` reference points. Inverted lists hold,
-for every set of ``SHARED`` pivots, the vectors that have all of them among their nearest, so two vectors
-meet in a list exactly if they share that many pivots; a pair is counted in the list of its smallest shared
-pivots only. Pairs that meet are verified by their cosine in double precision, ``SIMILAR`` or more.
-
-The pivots are fitted on a bounded sample (``SAMPLE`` vectors, the first by a hash of the id; of these the
-ones farthest from each other, so that a crowd of like vectors gives one pivot); every vector is indexed.
-Measured recall against brute force: see the tests and the README.
-
-Skew. Lists longer than ``CHUNK`` are cut into chunks, and every two chunks are compared in a task of their
-own; pairs are counted where they are found and never leave as rows, only each vector's number of links and
-the edges of a spanning forest do.
-
-Cases: vectors that are null, empty, all zero, of another length than the pivots, or hold null or
-non-finite components link with nothing and form their own component; equal vectors are linked like others;
-an empty table gives an empty result; vec_id is a key (a null one is returned without links); further
+Method. A vector is described by its nearest reference points (pivots) in order of nearness, ``prefix`` of them.
+Inverted lists hold, for every two pivots, the vectors that have both among their nearest, so two vectors meet
+in a list exactly if they share ``SHARED`` = 2 pivots or more; a pair counts in the list of its two smallest
+shared pivots only. Pairs that meet are verified by their cosine in double precision, ``SIMILAR`` or more.
+
+Settings grow with the data: there are about 2 sqrt(n) pivots for n vectors (a power of two, ``LEAST_PIVOTS`` to
+``MOST_PIVOTS``), so that lists stay short, and the prefix is the shortest that makes ``RECALL`` of simulated pairs
+at exactly the threshold meet (pairs made from sampled vectors by a turn in a random direction); if ``LONGEST``
+does not suffice, there are half as many pivots. Pivots are fitted on a bounded sample (``SAMPLE`` vectors for each
+pivot, the first by a hash of the id among the vectors that can be linked; each pivot the farthest from those
+before, so that a crowd of like vectors gives one). Every vector is indexed. Vectors of different lengths are
+indexed apart. Measured recall against brute force: see the tests and the README.
+
+Skew. Equal vectors are folded into one that stands for its number, and lists longer than ``CHUNK`` are cut into
+chunks, every two chunks being compared in a task of their own; pairs are counted where they are found and
+never leave as rows, only each vector's number of links and the edges of a spanning forest do.
+
+Cases: vectors that are null, empty, all zero, or hold null or non-finite components link with nothing and form
+their own component; equal vectors are linked like others; an empty table gives an empty result; vec_id is a key
+(rows that repeat one with their vector link with each other, a null one is returned without links); further
 columns are left out.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import components, stored, table, width
+from docquarry.llm.common import by_key, components, discard, stored, table, width
 
-PIVOTS = 128
-PREFIX = 8
-SHARED = 3
-SAMPLE = 2048
+SHARED = 2
+LEAST_PIVOTS, MOST_PIVOTS = 64, 8192
+SAMPLE = 4
+RECALL = 0.995
+LONGEST = 16
+TURNS = 4000
 SIMILAR = 0.9
 CHUNK = 512
 TINY = 16
-U64 = np.uint64
-
-
-def vectors(column, dimension: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of an Arrow list column that can be linked: row numbers, unit vectors in double precision."""
-    n = len(column)
-    offsets = np.array(column.offsets)
-    length = np.diff(offsets)
-    valid = np.array(column.is_valid())
-    if dimension is None:
-        seen = length[valid & (length > 0)]
-        dimension = int(np.bincount(seen).argmax()) if len(seen) else 0
-    rows = np.flatnonzero(valid & (length == dimension)) if dimension else np.zeros(0, np.int64)
-    values = np.array(column.values.cast("double").fill_null(float("nan"))) if n else np.zeros(0)
-    x = values[offsets[rows][:, None] + np.arange(dimension)] if len(rows) else np.zeros((0, dimension))
-    good = np.isfinite(x).all(1)
-    x, rows = x[good], rows[good]
-    most = np.abs(x).max(1, initial=0.0)
-    x, rows, most = x[most > 0], rows[most > 0], most[most > 0]
-    x = x / most[:, None]
-    return rows, x / np.sqrt((x * x).sum(1))[:, None]
-
-
-def choose_pivots(embeddings: DataFrame, count: int, sample: int) -> np.ndarray:
-    """Reference points from a bounded sample: each the farthest from those before."""
-    import pyarrow as pa
+FEW = 50_000
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision and unit length (no zero rows)."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def usable(column: str = "embedding"):
+    """Whether a vector can be linked."""
+    finite = F.forall(column, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return F.coalesce((F.size(column) > 0) & finite & F.exists(column, lambda v: v != 0), F.lit(False))
+
 
-    rows = embeddings.filter("embedding IS NOT NULL AND size(embedding) > 0").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
-    if not rows:
-        return np.zeros((0, 0))
-    _, x = vectors(pa.array([r["embedding"] for r in rows], pa.list_(pa.float64())))
-    if not len(x):
-        return x
+def farthest(x: np.ndarray, count: int) -> np.ndarray:
+    """So many of the rows, each the farthest from those before."""
     chosen, near = [0], x @ x[0]
     while len(chosen) < min(count, len(x)):
         k = int(np.argmin(near))
@@ -78,28 +67,45 @@ def choose_pivots(embeddings: DataFrame, count: int, sample: int) -> np.ndarray:
     return x[chosen]
 
 
-def keys_of(x: np.ndarray, pivots: np.ndarray, prefix: int, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the lists of each vector (sets of pivots, as numbers) and its nearest pivots as two words of bits."""
-    near = np.sort(np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix], axis=1)
-    bits = np.zeros((len(x), 2), U64)
-    for k in range(near.shape[1]):
-        bits[np.arange(len(x)), near[:, k] >> 6] |= U64(1) << (near[:, k] & 63).astype(U64)
-    keys = np.stack([sum(near[:, c].astype(np.int64) << (8 * p) for p, c in enumerate(cols)) for cols in combinations(range(near.shape[1]), shared)], axis=1)
-    return keys, bits[:, 0], bits[:, 1]
+def nearest(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+    """Numbers of each row's nearest pivots, by rising number."""
+    far = -(x @ pivots.T)
+    if prefix < pivots.shape[0]:
+        far = np.argpartition(far, prefix - 1, axis=1)[:, :prefix]
+        return np.sort(far, axis=1)
+    return np.broadcast_to(np.arange(len(pivots)), (len(x), len(pivots))).copy()
+
+
+def shortest_prefix(x: np.ndarray, pivots: np.ndarray, similar: float, recall: float = RECALL) -> int | None:
+    """The shortest prefix by which pairs at the threshold meet often enough; None if LONGEST does not do."""
+    if len(pivots) <= SHARED or x.shape[1] < 2:
+        return min(len(pivots), SHARED)
+    r = np.random.default_rng(0)
+    a = x[r.integers(0, len(x), TURNS)]
+    turn = r.normal(size=a.shape)
+    turn -= (turn * a).sum(1)[:, None] * a
+    b = similar * a + (1 - similar**2) ** 0.5 * turn / np.sqrt((turn * turn).sum(1))[:, None]
+    most = min(LONGEST, len(pivots))
+    na, nb = (np.argsort(-(v @ pivots.T), axis=1, kind="stable")[:, :most] for v in (a, b))
+    for prefix in range(SHARED, most + 1):
+        both = (na[:, :prefix, None] == nb[:, None, :prefix]).sum((1, 2))
+        if (both >= SHARED).mean() >= recall:
+            return prefix
+    return most if most == len(pivots) else None
+
+
+def choose_pivots(x: np.ndarray, count: int, similar: float) -> tuple[np.ndarray, int]:
+    """Pivots from a sample of unit vectors, and the prefix that goes with them."""
+    while True:
+        pivots = farthest(x, count)
+        prefix = shortest_prefix(x, pivots, similar)
+        if prefix is not None:
+            return pivots, prefix
+        count //= 2
 
 
-def of_key(key: np.ndarray, shared: int) -> tuple[np.ndarray, ...]:
-    """Bits of a key's pivots, and of all pivots up to its largest."""
-    own, upto = np.zeros((len(key), 2), U64), np.zeros((len(key), 2), U64)
-    last = (key >> (8 * (shared - 1))) & 255
-    for p in range(shared):
-        v = (key >> (8 * p)) & 255
-        own[np.arange(len(key)), v >> 6] |= U64(1) << (v & 63).astype(U64)
-    full = ~U64(0)
-    low = np.where((last & 63) == 63, full, (U64(1) << ((last & 63) + 1).astype(U64)) - U64(1))
-    upto[:, 0] = np.where(last < 64, low, full)
-    upto[:, 1] = np.where(last < 64, U64(0), low)
-    return own[:, 0], own[:, 1], upto[:, 0], upto[:, 1]
+def wanted_pivots(n: int) -> int:
+    return min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << int(np.ceil(np.log2(2 * max(n, 1) ** 0.5)))))
 
 
 def forest(links: np.ndarray) -> np.ndarray:
@@ -113,11 +119,11 @@ def forest(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def meet(batches, shared: int, similar: float, kind: str):
-    """Sorted by key and chunks: counts of links (v null) and edges."""
+def meet(batches, similar: float, kind: str):
+    """Sorted by list and chunks: counts of links (v null) and edges."""
     import pyarrow as pa
 
-    names = ["key", "ci", "cj", "chunk", "vec_id", "m0", "m1", "vec"]
+    names = ["dim", "key", "ci", "cj", "chunk", "vec_id", "weight"]
 
     def out(u, v, n):
         none = np.asarray(n) > 0
@@ -126,15 +132,15 @@ def meet(batches, shared: int, similar: float, kind: str):
     def groups():
         held = None
         for batch in batches:
-            now = [np.array(batch.column(c)) for c in names[:-1]]
-            raw = batch.column("vec")
-            now.append(np.frombuffer(b"".join(raw.to_pylist()), kind).astype(np.float64).reshape(len(raw), -1))
+            now = [np.array(batch.column(c)) for c in names] + [batch.column(c).to_numpy(zero_copy_only=False) for c in ("near", "vec")]
             if held is not None:
                 now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
-            key, ci, cj = now[:3]
-            if not len(key):
+            if not len(now[0]):
                 continue
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])])
+            new = np.ones(len(now[0]), bool)
+            new[1:] = False
+            for c in now[:4]:
+                new[1:] |= c[1:] != c[:-1]
             cut = int(np.flatnonzero(new)[-1])
             if cut:
                 yield [x[:cut] for x in now], np.flatnonzero(new[:cut])
@@ -142,28 +148,33 @@ def meet(batches, shared: int, similar: float, kind: str):
         if held is not None:
             yield held, np.zeros(1, np.int64)
 
-    for (key, ci, cj, chunk, ids, m0, m1, x), heads in groups():
-        m0, m1 = m0.view(U64), m1.view(U64)
-        x = x / np.abs(x).max(1)[:, None]
-        x /= np.sqrt((x * x).sum(1))[:, None]
+    for (dim, key, ci, cj, chunk, ids, weight, near, vec), heads in groups():
         size = np.diff(np.concatenate([heads, [len(key)]]))
-        own0, own1, up0, up1 = of_key(key[heads], shared)
-        for m in np.unique(size):
-            if m < 2:
-                continue
-            which = np.flatnonzero(size == m)
-            for a in range(0, len(which), max(1, 65_536 // (m * m))):
-                g = which[a : a + max(1, 65_536 // (m * m))]
+        split = ci[heads] != cj[heads]
+        for d, m in np.unique(np.stack([dim[heads], size], 1)[size > 1], axis=0):
+            which = np.flatnonzero((size == m) & (dim[heads] == d))
+            step = max(1, 65_536 // (m * m))
+            for a in range(0, len(which), step):
+                g = which[a : a + step]
                 rows = heads[g][:, None] + np.arange(m)
-                cosine = x[rows] @ x[rows].transpose(0, 2, 1)
-                both0, both1 = m0[rows][:, :, None] & m0[rows][:, None, :], m1[rows][:, :, None] & m1[rows][:, None, :]
-                here = ((both0 & up0[g][:, None, None]) == own0[g][:, None, None]) & ((both1 & up1[g][:, None, None]) == own1[g][:, None, None])
-                here &= (cosine >= similar) & ~np.eye(m, dtype=bool)
-                split = ci[heads[g]] != cj[heads[g]]
-                if split.any():  # two chunks: only pairs across
+                flat = rows.ravel()
+                x = unit(np.frombuffer(b"".join(vec[flat]), kind).reshape(len(flat), -1)).reshape(len(g), m, -1)
+                here = (x @ x.transpose(0, 2, 1) >= similar) & ~np.eye(m, dtype=bool)
+                if split[g].any():  # two chunks: only pairs across
                     c = chunk[rows]
-                    here &= ~split[:, None, None] | (c[:, :, None] != c[:, None, :])
-                n = here.sum(2)
+                    here &= ~split[g][:, None, None] | (c[:, :, None] != c[:, None, :])
+                gi, i, j = np.nonzero(here)
+                if not len(gi):
+                    continue
+                # Of a pair's shared pivots the list's own must be the smallest ones.
+                low = np.frombuffer(b"".join(near[flat]), "<i4").reshape(len(g), m, -1)
+                first, last = key[heads[g]] >> 20, key[heads[g]] & 0xFFFFF
+                low = np.where((low < last[:, None, None]) & (low != first[:, None, None]), low, -1)
+                for at in range(0, len(gi), 100_000):
+                    s = slice(at, at + 100_000)
+                    p, q = low[gi[s], i[s]], low[gi[s], j[s]]
+                    here[gi[s], i[s], j[s]] = ~((p[:, :, None] == q[:, None, :]) & (p[:, :, None] >= 0)).any((1, 2))
+                n = (here * weight[rows][:, None, :]).sum(2)
                 linked = n > 0
                 if not linked.any():
                     continue
@@ -179,49 +190,68 @@ def meet(batches, shared: int, similar: float, kind: str):
                         yield out(ids[rows[k, i]], ids[rows[k, label[i]]], np.zeros(len(i)))
 
 
-def near_vectors(embeddings: DataFrame, pivots: int = PIVOTS, prefix: int = PREFIX, shared: int = SHARED, similar: float = SIMILAR) -> DataFrame:
+def fitted(known: DataFrame, pivots: int | None, similar: float) -> dict[int, tuple[np.ndarray, int]]:
+    """By length: pivots and prefix. Reaching the driver: each length's count and its bounded sample."""
+    counts = {r["dim"]: r["n"] for r in known.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    out = {}
+    for dim, n in sorted(counts.items()):
+        count = pivots or wanted_pivots(n)
+        rows = known.filter(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE * count).select("embedding").collect()
+        out[dim] = choose_pivots(unit(np.array([r["embedding"] for r in rows], np.float64)), count, similar)
+    return out
+
+
+def near_vectors(embeddings: DataFrame, pivots: int | None = None, similar: float = SIMILAR) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     import pyarrow as pa
 
     spark = embeddings.sparkSession
     wide = embeddings.schema["embedding"].dataType.elementType == T.DoubleType()
     kind = "<f8" if wide else "<f4"
-    points = choose_pivots(embeddings, pivots, SAMPLE)
-    rows = embeddings.select(F.col("vec_id").cast("long"), "embedding")
-    if len(points) == 0:
+    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>" if wide else "array<float>"))
+    # Equal vectors have equal keys of 128 bits; one of them stands for all.
+    same = F.concat(F.hex(F.xxhash64("embedding")), F.hex(F.xxhash64(F.lit("second"), "embedding")))
+    valid = stored(rows.filter(F.col("vec_id").isNotNull() & usable()).withColumn("same", same), "vectors")
+    known = valid.groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    known = stored(known, "distinct-vectors")
+    points = fitted(known, pivots, similar)
+    if not points:
+        discard(valid, known)
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    prefix = min(prefix, len(points))
-    shared = min(shared, prefix)
 
-    def post(batches):
+    def describe(batches):
+        names = ["vec_id", "weight", "dim", "p", "near", "vec"]
         for batch in batches:
-            column = batch.column("embedding")
-            for a in range(0, batch.num_rows, 1000):
-                part = column.slice(a, 1000)
-                found, x = vectors(part, points.shape[1])
-                if not len(found):
-                    continue
-                keys, m0, m1 = keys_of(x, points, prefix, shared)
-                per = keys.shape[1]
-                plain = part.take(pa.array(found)).flatten().cast("double" if wide else "float")
-                raw = np.array(plain).astype(kind).reshape(len(found), -1)
-                again = np.repeat(np.arange(len(found)), per)
-                ids = np.array(batch.column("vec_id").slice(a, 1000).take(pa.array(found)))
-                vec = pa.array([r.tobytes() for r in raw], pa.binary()).take(pa.array(again))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids[again]), pa.array(m0[again].view(np.int64)), pa.array(m1[again].view(np.int64)), vec], names=["key", "vec_id", "m0", "m1", "vec"])
-
-    lists = stored(rows.filter("vec_id IS NOT NULL").mapInArrow(post, "key long, vec_id long, m0 long, m1 long, vec binary"), "postings")
-    sizes = lists.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    chunked = lists.join(sizes, "key").withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("chunk", "other").cast("int").alias("ci"), F.greatest("chunk", "other").cast("int").alias("cj"), "chunk", "vec_id", "m0", "m1", "vec")
-    sorted_rows = dealt.repartition(width(spark), "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "vec_id")
-    found = stored(sorted_rows.mapInArrow(lambda b: meet(b, shared, similar, kind), "u long, v long, n long"), "links")
+            dims = np.array(batch.column("dim"))
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                for a in range(0, part.num_rows, 1000):
+                    some = part.slice(a, 1000)
+                    raw = np.array(some.column("embedding").flatten()).astype(kind).reshape(some.num_rows, dim)
+                    near = nearest(unit(raw), *points[dim]).astype("<i4")
+                    binary = [pa.array([x.tobytes() for x in m], pa.binary()) for m in (near, raw)]
+                    yield pa.RecordBatch.from_arrays([some.column("vec_id"), some.column("weight"), some.column("dim"), pa.array(near.astype(np.int64).tolist(), pa.list_(pa.int64())), *binary], names=names)
+
+    # The numbers of a vector's pivots are stored once; lists are made of them by expressions.
+    described = stored(known.select("vec_id", "weight", "dim", "embedding").mapInArrow(describe, "vec_id long, weight long, dim int, p array<long>, near binary, vec binary"), "described")
+    pairs = F.flatten(F.transform(F.col("p"), lambda x, i: F.transform(F.filter(F.col("p"), lambda y: y > x), lambda y: F.shiftleft(x, 20) + y)))
+    single = F.transform(F.col("p"), lambda x: F.shiftleft(x, 20) + x)
+    keyed = described.withColumn("key", F.explode(F.when(F.size("p") > 1, pairs).otherwise(single))).drop("p")
+    big = stored(keyed.groupBy("dim", "key").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).select("dim", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "long-lists")
+    if big.count() <= FEW:
+        big = F.broadcast(big)
+    parts = F.coalesce("parts", F.lit(1))
+    chunked = keyed.join(big, ["dim", "key"], "left").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
+    dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("dim", "key", F.least("chunk", "other").cast("int").alias("ci"), F.greatest("chunk", "other").cast("int").alias("cj"), "chunk", "vec_id", "weight", "near", "vec")
+    order = ["dim", "key", "ci", "cj"]
+    found = stored(dealt.repartition(width(spark), *order).sortWithinPartitions(*order, "vec_id").mapInArrow(lambda b: meet(b, similar, kind), "u long, v long, n long"), "links")
     counts = found.filter("v IS NULL").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("v IS NOT NULL").select("u", "v"))
-    full = rows.select("vec_id").join(counts, "vec_id", "left").join(roots.select(F.col("node").alias("vec_id"), "root"), "vec_id", "left")
-    component = F.coalesce("root", "vec_id")
-    return full.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    each = known.select("same", "vec_id", F.col("weight").alias("n")).join(counts.withColumnRenamed("n", "links"), "vec_id", "left").join(roots.select(F.col("node").alias("vec_id"), "root"), "vec_id", "left")
+    each = stored(each.select("same", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id")), "classes")
+    linked = by_key(valid.select("vec_id", "same"), each, "same", valid.count()).select("vec_id", "n_links", "component_id")
+    rest = rows.filter(F.col("vec_id").isNull() | ~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
