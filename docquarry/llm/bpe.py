@@ -24,11 +24,11 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm.common import ragged, table
+from docquarry.llm.common import ragged, table, tidy
 
 #: Characters with Unicode's White_Space property (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 
 def byte_alphabet() -> list[str]:
@@ -49,7 +49,7 @@ class PairTable:
         pair = (a, b)
         found = self.known.get(pair)
         if found is None:
-            if len(self.known) > 2_000_000:
+            if len(self.known) > 500_000:
                 self.known.clear()
             found = self.known[pair] = self.walk(a, b)
         return found
@@ -122,7 +122,6 @@ class WordBpe:
         shown = [by_id.get(i, "").encode() + b" " for i in range(max(by_id) + 1)]
         self.shown, self.shown_at = self.laid(shown)
         self.digits, self.digits_at = self.laid([b"%d " % i for i in range(len(shown))])
-        self.words: dict[str, array] = {}
         self.reset()
 
     @staticmethod
@@ -130,7 +129,10 @@ class WordBpe:
         return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
 
     def reset(self) -> None:
+        """Forgets what was learned of texts; the vocabulary's tables stay."""
         self.rows: dict[str, int] = {}
+        self.words: dict[str, array] = {}
+        self.pair_ok.known.clear()
         self.flat, self.at = array("i", [0]), array("q", [1])  # not empty, so that views can be had
 
     def word(self, word: bytes) -> list[int]:
@@ -292,8 +294,9 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) ->
                 part = batch.slice(a, b - a)
                 columns = [part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sha(bpe.decimals(ids, bounds))), pa.array(sha(bpe.decode(ids, bounds))), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns + [part.column(c) for c in keep], names=schema.names)
+        bpe.reset()
 
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *keep).mapInArrow(tidy(run), schema)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

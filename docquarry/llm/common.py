@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +59,32 @@ def discard(*frames: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def tidy(run):
+    """A map over Arrow batches that gives memory back to the system at a task's end, as Python workers live on."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for an exchange: the session's setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -88,15 +113,17 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=4)
-def _powers_upto(base: int, bits: int) -> np.ndarray:
-    return powers(base, 1 << bits)
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers_of(base: int, n: int) -> np.ndarray:
-    """The first n powers; tables up to four million entries are kept."""
-    bits = max(12, int(n - 1).bit_length())
-    return _powers_upto(base, bits)[:n] if bits <= 22 else powers(base, n)
+    """The first n powers; one table for each base is kept, of two million entries at most."""
+    if n > 1 << 21:
+        return powers(base, n)
+    found = _powers.get(base)
+    if found is None or len(found) < n:
+        found = _powers[base] = powers(base, 1 << max(12, int(n - 1).bit_length()))
+    return found[:n]
 
 
 BASE = 0x9E3779B97F4A7C15 | 1

@@ -25,7 +25,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm.common import table
+from docquarry.llm.common import table, tidy
 
 WINDOW = 3
 THRESHOLD = 80
@@ -241,7 +241,7 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
             texts = [main_text(h) for h in batch.column(html).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
 
-    return pages.select(*keep, html).mapInArrow(run, schema)
+    return pages.select(*keep, html).mapInArrow(tidy(run), schema)
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm.common import Prefix, mix64, portions, ragged, table, words_of
+from docquarry.llm.common import Prefix, mix64, portions, ragged, table, tidy, words_of
 from docquarry.llm.license_texts import templates as license_templates
 
 SHINGLE = 5
@@ -169,7 +169,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None) -
                     ids = batch.column("doc_id").take(pa.array([i + d for (d, _), _ in found]))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([n[0] for (_, n), _ in found]), pa.array([n[1] for (_, n), _ in found]), pa.array([x[0] for _, x in found]), pa.array([x[1] for _, x in found], pa.int64())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from docquarry.llm.common import scratch, stored, table
+from docquarry.llm.common import scratch, stored, table, tidy
 
 ROW = 64
 ARCHIVE_BYTES = 32 << 20
@@ -141,7 +141,7 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
         if state["zip"] is not None:
             yield end()
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, "path string, bytes long, members long"), "archives")
+    return stored(docs.select("doc_id", "text").mapInArrow(tidy(run), "path string, bytes long, members long"), "archives")
 
 
 class Plain(io.RawIOBase):
@@ -284,7 +284,7 @@ def describe(members: DataFrame) -> DataFrame:
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
 
-    return members.mapInArrow(run, schema)
+    return members.mapInArrow(tidy(run), schema)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import PORTION, Prefix, binary_views, by_key, components, discard, mix64, portions, ragged, stored, table, width, words_of
+from docquarry.llm.common import PORTION, Prefix, binary_views, by_key, components, discard, mix64, portions, ragged, stored, table, tidy, width, words_of
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -124,7 +124,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     import pyarrow.compute as pc
 
-    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key binary, signature binary")
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(tidy(run), "doc_id long, key binary, signature binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     a = texts.select(F.col("key").alias("u"), F.col("text").alias("a"))
     b = texts.select(F.col("key").alias("v"), F.col("text").alias("b"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(tidy(run), "u binary, v binary")
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 ends = np.cumsum(np.bincount(np.repeat(doc, weight), minlength=j - i))
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), pa.array([elements[x:y].tobytes() for x, y in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], names=["u", "elements"])
 
-    return stored(texts.join(wanted.select(F.col("u").alias("key")).distinct(), "key", "left_semi").select("key", "text").mapInArrow(run, "u binary, elements binary"), "sets")
+    return stored(texts.join(wanted.select(F.col("u").alias("key")).distinct(), "key", "left_semi").select("key", "text").mapInArrow(tidy(run), "u binary, elements binary"), "sets")
 
 
 def linked_in_blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def linked_in_blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     out = rows.filter("root <> main").select("bucket", part.alias("ca"), every("pb").alias("cb"), F.lit(0).alias("side"), "u", "root", "elements")
     all_rows = rows.select("bucket", every("pa").alias("ca"), whole.alias("cb"), F.lit(1).alias("side"), "u", "root", "elements")
     dealt = out.unionByName(all_rows).repartition(width(mixed.sparkSession), "bucket", "ca", "cb").sortWithinPartitions("bucket", "ca", "cb", "side", "u")
-    return dealt.mapInArrow(block_links, "u binary, v binary")
+    return dealt.mapInArrow(tidy(block_links), "u binary, v binary")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import by_key, components, discard, stored, table, width
+from docquarry.llm.common import by_key, components, discard, stored, table, tidy, width
 
 SHARED = 2
 LEAST_PIVOTS, MOST_PIVOTS = 64, 8192
@@ -233,7 +233,7 @@ def near_vectors(embeddings: DataFrame, pivots: int | None = None, similar: floa
                     yield pa.RecordBatch.from_arrays([some.column("vec_id"), some.column("weight"), some.column("dim"), pa.array(near.astype(np.int64).tolist(), pa.list_(pa.int64())), *binary], names=names)
 
     # The numbers of a vector's pivots are stored once; lists are made of them by expressions.
-    described = stored(known.select("vec_id", "weight", "dim", "embedding").mapInArrow(describe, "vec_id long, weight long, dim int, p array<long>, near binary, vec binary"), "described")
+    described = stored(known.select("vec_id", "weight", "dim", "embedding").mapInArrow(tidy(describe), "vec_id long, weight long, dim int, p array<long>, near binary, vec binary"), "described")
     pairs = F.flatten(F.transform(F.col("p"), lambda x, i: F.transform(F.filter(F.col("p"), lambda y: y > x), lambda y: F.shiftleft(x, 20) + y)))
     single = F.transform(F.col("p"), lambda x: F.shiftleft(x, 20) + x)
     keyed = described.withColumn("key", F.explode(F.when(F.size("p") > 1, pairs).otherwise(single))).drop("p")
@@ -244,7 +244,7 @@ def near_vectors(embeddings: DataFrame, pivots: int | None = None, similar: floa
     chunked = keyed.join(big, ["dim", "key"], "left").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
     dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("dim", "key", F.least("chunk", "other").cast("int").alias("ci"), F.greatest("chunk", "other").cast("int").alias("cj"), "chunk", "vec_id", "weight", "near", "vec")
     order = ["dim", "key", "ci", "cj"]
-    found = stored(dealt.repartition(width(spark), *order).sortWithinPartitions(*order, "vec_id").mapInArrow(lambda b: meet(b, similar, kind), "u long, v long, n long"), "links")
+    found = stored(dealt.repartition(width(spark), *order).sortWithinPartitions(*order, "vec_id").mapInArrow(tidy(lambda b: meet(b, similar, kind)), "u long, v long, n long"), "links")
     counts = found.filter("v IS NULL").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("v IS NOT NULL").select("u", "v"))
     each = known.select("same", "vec_id", F.col("weight").alias("n")).join(counts.withColumnRenamed("n", "links"), "vec_id", "left").join(roots.select(F.col("node").alias("vec_id"), "root"), "vec_id", "left")

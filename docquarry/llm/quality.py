@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import table
+from docquarry.llm.common import table, tidy
 
 PER_CLASS = 1500
 DICT_BYTES = 112_640
@@ -169,7 +169,7 @@ def differences(docs: DataFrame, good: bytes, bad: bytes, keep: tuple[str, ...],
             found = np.array([sizes.difference(t.as_py().encode() if t.is_valid else b"") for t in batch.column("text")], float)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(curve(found) if curve else found, pa.float64())], names=schema.names)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidy(run), schema)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.bpe import byte_alphabet, vocabulary
-from docquarry.llm.common import discard, portions, ragged, scratch, stored, table, width
+from docquarry.llm.common import discard, portions, ragged, scratch, stored, table, tidy, width
 
 MAGIC, VERSION = b"RANS", 1
 SCALE = 22
@@ -337,7 +337,7 @@ def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 rest = rest - now
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([now.astype("<u4").tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, ids binary, counts binary")
 
 
 def frequencies(coded: DataFrame, size: int) -> np.ndarray:
@@ -353,7 +353,7 @@ def frequencies(coded: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for r in coded.filter("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in coded.filter("counts IS NOT NULL").select("counts").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     return quantize(counts)
 
@@ -399,7 +399,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None
             yield flush()
 
     ordered = coded.filter("ids IS NOT NULL").select("doc_id", "ids").repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, "part long, seq long, before long, tokens long, payload binary").write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    ordered.mapInArrow(tidy(run), "part long, seq long, before long, tokens long, payload binary").write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     discard(coded)
 
 
@@ -428,7 +428,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 none = block.doc_ids == NO_ID
                 yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids.astype(np.int64), mask=none), pa.array(starts + offset[part] + before), pa.array(block.lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks.select("part", "before", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.select("part", "before", "payload").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

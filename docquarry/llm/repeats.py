@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import Prefix, binary_views, ragged, stored, table, width
+from docquarry.llm.common import Prefix, binary_views, ragged, stored, table, tidy, width
 from docquarry.llm.gsaca import suffix_arrays
 
 MIN = 100
@@ -44,7 +44,7 @@ K = 40
 SPAN = MIN - K + 1  # anchors are minimal among so many neighbours
 MOST = 32
 PIECE = 1 << 20
-HELD = 48 << 20  # bytes of text whose anchors a task folds at once
+HELD = 24 << 20  # bytes of text whose anchors a task folds at once
 SORTED = 1 << 20  # symbols that are sorted side by side
 
 ANCHOR, FULL, STRING, COVER, BLOCK, FETCH = range(6)
@@ -131,8 +131,18 @@ def strings_at(data, spans, bounds_of, place, doc, pos):
     return spans.spans(start, start + MIN), np.repeat(doc, n), start - np.repeat(place - pos, n)
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes (8 at least) at a and at b are the same, eight at a time."""
+    words = np.lib.stride_tricks.as_strided(data.view("<u1"), (max(0, len(data) - 7), 8), (1, 1), writeable=False).view("<u8")[:, 0] if len(data) >= 8 else np.zeros(0, U64)
+    same = np.ones(len(a), bool)
+    for at in range(0, int(size.max(initial=0)), 8):
+        step = np.minimum(at, size - 8)
+        same &= words[a + step] == words[b + step]
+    return same
+
+
 class Folder:
-    """Folds the anchors of one task's texts before they are sent."""
+    """Folds the anchors of one task's texts before they are sent: equal surroundings, compared byte by byte."""
 
     def __init__(self):
         self.held, self.pieces = 0, []
@@ -159,6 +169,19 @@ class Folder:
         one = heads_of(h, c, doc, pos)  # a repeated row is no earlier place
         h, c, doc, pos, place, piece, row = (x[one] for x in (h, c, doc, pos, place, piece, row))
         first = heads_of(h, c)
+        # Equal hashes are no proof: what differs from its group's first stays apart, under a hash of its own.
+        data, shift = np.concatenate([p[6] for p in self.pieces]), np.cumsum([0] + [len(p[6]) for p in self.pieces])[piece]
+        edges = [np.stack([p[7][:-1][p[8]], p[7][1:][p[8]]], 1) for p in self.pieces]
+        edge = np.concatenate(edges)[order][one]
+        left, right = np.maximum(place - (MIN - K), edge[:, 0]) + shift, np.minimum(place + MIN, edge[:, 1]) + shift
+        head = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+        later = np.flatnonzero(~first)
+        odd = later[~same_bytes(data, left[later], left[head[later]], (right - left)[later])]
+        if len(odd):
+            first[odd] = True
+            c = c.copy()
+            c[odd] = (doc[odd].astype(U64) * U64(0x9E3779B97F4A7C15)) ^ pos[odd].astype(U64) ^ c[odd]
+        del data, edges, edge, left, right
         cover = [(doc[~first], np.maximum(pos[~first] - (MIN - K), 0), pos[~first] + MIN)]
         h, c, doc, pos, place, piece, row = (x[first] for x in (h, c, doc, pos, place, piece, row))
         group = np.cumsum(heads_of(h)) - 1
@@ -412,12 +435,12 @@ def cover(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = width(spark)
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sent = texts.mapInArrow(send, ROWS)
-    sifted = stored(sent.repartition(n, "h").sortWithinPartitions("h", "c", "doc", "pos").mapInArrow(sift, ROWS), "anchors")
+    sent = texts.mapInArrow(tidy(send), ROWS)
+    sifted = stored(sent.repartition(n, "h").sortWithinPartitions("h", "c", "doc", "pos").mapInArrow(tidy(sift), ROWS), "anchors")
     asked = sifted.filter(F.col("kind").isin(BLOCK, FETCH)).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("kind", "h", "pos")).alias("asked"))
-    fetched = texts.join(asked, "doc_id").mapInArrow(fetch, "h long, kind int, doc long, pos long, left long, around binary")
+    fetched = texts.join(asked, "doc_id").mapInArrow(tidy(fetch), "h long, kind int, doc long, pos long, left long, around binary")
     strings = sifted.filter(F.col("kind") == STRING).select("h", "kind", "doc", "pos", F.lit(0).cast("long").alias("left"), F.lit(None).cast("binary").alias("around"))
-    settled = fetched.unionByName(strings).repartition(n, "h").sortWithinPartitions("h", "doc", "pos").mapInArrow(settle, ROWS)
+    settled = fetched.unionByName(strings).repartition(n, "h").sortWithinPartitions("h", "doc", "pos").mapInArrow(tidy(settle), ROWS)
     found = sifted.filter(F.col("kind") == COVER).unionByName(settled)
     return found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct(F.col("pos").alias("start"), F.col("c").alias("end"))).alias("ranges"))
 
@@ -459,7 +482,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool
                 columns.append(pa.array([r[4] for r in out], pa.string()))
             yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in keep], names=schema.names)
 
-    return docs.select("doc_id", "text", *keep).join(ranges, "doc_id", "left").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *keep).join(ranges, "doc_id", "left").mapInArrow(tidy(run), schema)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
