@@ -45,14 +45,20 @@ def ascii_lower(x) -> Column:
 
 
 def search_tokens(x) -> Column:
-    """Letters-and-digits runs in lower case, overlapping pairs of Han runs; each token once, in order."""
-    runs = F.regexp_extract_all(F.coalesce(col(x), F.lit("")), F.lit(f"[A-Za-z0-9]+|[{HAN}]+"), F.lit(0))
+    """Letters-and-digits runs in lower case, overlapping pairs of Han runs; each token once, in order.
+
+    A text without Han characters is cut by one replacement, others run by run.
+    """
+    text = F.coalesce(col(x), F.lit(""))
+    runs = F.regexp_extract_all(text, F.lit(f"[A-Za-z0-9]+|[{HAN}]+"), F.lit(0))
     split = lambda r: (
         F.when(r.rlike("^[A-Za-z0-9]"), F.array(F.lower(r)))
         .when(F.char_length(r) == 1, F.array(r))
         .otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))
     )
-    return F.array_distinct(F.flatten(F.transform(runs, split)))
+    words = F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
+    plain = F.when(words == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(words, " ")))
+    return F.when(text.rlike(f"[{HAN}]"), F.array_distinct(F.flatten(F.transform(runs, split)))).otherwise(plain)
 
 
 def normalize_search_text(x) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import scoring as S
 from docquarry.functions import text as X
+from docquarry.operators.storage import blocks, written
 
 EXACT = "decimal(38,12)"  # sums of these do not depend on the order of rows
 
@@ -15,22 +16,37 @@ def exact_sum(x) -> Column:
     return F.sum(X.col(x).cast("decimal(28,12)")).cast("double")
 
 
+TERM_BYTES = 40
+QUERY_BLOCK = 1024  # parts of a request that are answered together
+
+
+def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, terms (each once), length: what an index keeps of a document."""
+    return docs.select(key, X.search_tokens(text).alias("terms")).select(key, "terms", F.size("terms").alias("length"))
+
+
+def exploded(index: DataFrame, key: str = "doc_id") -> DataFrame:
+    return index.select(key, "length", F.explode("terms").alias("term")).filter(F.octet_length("term") <= TERM_BYTES)
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, length: a row for each distinct token of a document."""
-    return docs.select(key, X.search_tokens(text).alias("terms")).select(key, F.size("terms").alias("length"), F.explode("terms").alias("term")).filter("octet_length(term) <= 40")
+    """key, length, term: a row for each distinct token of a document."""
+    return exploded(tokenized(docs, key, text), key)
 
 
-def bm25_matches(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def bm25_matches(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", index: DataFrame | None = None) -> DataFrame:
     """query_id, key, score, matched, n_terms of every document with one term at least.
 
-    queries: query_id, query_text. Only the terms that are asked for survive the first join, so the
-    exchange by document carries matches, not the index.
+    queries: query_id, query_text. index: ``tokenized`` documents; without one the documents are tokenized once
+    and written. Only the terms that are asked for survive the first join, so the exchange by document carries
+    matches, not the index.
     """
-    index = postings(docs, key, text)
-    size = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(X.search_tokens(text))).alias("mean_length"))
+    if index is None:
+        index = written(tokenized(docs, key, text), "tokenized")
+    size = index.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     asked = queries.select("query_id", X.search_tokens("query_text").alias("terms")).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     wanted = asked.select("term").distinct()
-    hits = index.join(wanted, "term", "left_semi")
+    hits = exploded(index, key).join(wanted, "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     terms = asked.join(df, "term")
     return (
@@ -41,43 +57,70 @@ def bm25_matches(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text:
     )
 
 
-def all_or_any(matches: DataFrame) -> DataFrame:
-    """Documents with all terms; for queries that have none, those with any. One pass, no second search."""
-    complete = (F.col("matched") == F.col("n_terms")).alias("complete")
-    per = Window.partitionBy("query_id")
-    return matches.withColumn("complete", complete).withColumn("some", F.max("complete").over(per)).filter("complete OR NOT some").drop("some")
+def with_mode(matches: DataFrame) -> DataFrame:
+    return matches.withColumn("complete", F.col("matched") == F.col("n_terms"))
 
 
-def top_k(rows: DataFrame, k: int | Column, order: list[Column], by: str = "query_id", rank: str = "rank") -> DataFrame:
-    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")).filter(F.col(rank) <= k)
+def strict_or_loose(rows: DataFrame) -> DataFrame:
+    """Of each query's complete and other rows the complete ones, the others where there are none.
 
+    rows: few for each query (counts by mode, first rows by mode), never all matches.
+    """
+    some = F.max("complete").over(Window.partitionBy("query_id"))
+    return rows.withColumn("some", some).filter("complete OR NOT some").drop("some")
 
-def bm25_search(queries: DataFrame, docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The first documents of each query by score (nine decimals), then key."""
-    found = all_or_any(bm25_matches(queries, docs, key, text)).withColumn("score", F.round("score", 6))
-    return top_k(found, limit, [F.desc("score"), F.asc(key)])
+
+def mode_counts(matches: DataFrame) -> DataFrame:
+    """query_id, complete, hits: matches of the mode that counts, documents with all terms or else with any."""
+    return strict_or_loose(with_mode(matches).groupBy("query_id", "complete").agg(F.count("*").alias("hits")))
+
+
+def top_k(rows: DataFrame, k: int | Column, order: list[Column], by: str | list[str] = "query_id", rank: str = "rank") -> DataFrame:
+    keys = [by] if isinstance(by, str) else by
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).filter(F.col(rank) <= k)
+
+
+def bm25_search(queries: DataFrame, docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text", index: DataFrame | None = None) -> DataFrame:
+    """The first documents of each query by score (six decimals), then key: those with all terms, else with any.
+
+    The first rows of either kind are cut down in every partition before the exchange, so that no task sees all
+    matches of a query.
+    """
+    found = with_mode(bm25_matches(queries, docs, key, text, index)).withColumn("score", F.round("score", 6))
+    return strict_or_loose(top_k(found, limit, [F.desc("score"), F.asc(key)], ["query_id", "complete"]))
 
 
 def containment_scores(chunks: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
     """query_id, part, chunk_id, modified_at, raw, overlap, core of every chunk that holds a term of a part.
 
-    asked: query_id, part, terms, core - the request, collected. An Aho-Corasick automaton over its terms
-    reads every chunk once, whatever the number of queries; the scores are sums over the terms found.
+    asked: query_id, part, terms, core - the request; it comes to the driver in blocks of ``QUERY_BLOCK`` parts,
+    and every block is one pass. An Aho-Corasick automaton over a block's terms reads every chunk once; the
+    scores are products of chunk x term with term x part matrices over a slice of chunks.
     raw: file name and heading 3, path 2, snippet 1; overlap: file name and heading 3, else 1 (terms of two
-    characters and more); core: core terms found anywhere. Of each batch and part only rows that can be among
+    characters and more); core: core terms found anywhere. Of each slice and part only rows that can be among
     the first ``keep`` by raw, then modified_at, are sent (ties with the last one stay).
     """
+    asked = written(asked.select("query_id", "part", "terms", "core"), "asked")
+    found = None
+    for block in blocks(asked, ["query_id", "part"], QUERY_BLOCK):
+        part = _contained(chunks, [(r["query_id"], r["part"], [t.lower() for t in r["terms"] if t], [t.lower() for t in r["core"] if t]) for r in block.collect()], keep)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _contained(chunks: DataFrame, request: list[tuple], keep: int) -> DataFrame:
+    """One block of a request against all chunks."""
     import numpy as np
     import pyarrow as pa
 
-    request = [(r["query_id"], r["part"], [t.lower() for t in r["terms"] if t], [t.lower() for t in r["core"] if t]) for r in asked.select("query_id", "part", "terms", "core").collect()]
     words = sorted({t for _, _, terms, core in request for t in [*terms, *core]})
     place = {t: k for k, t in enumerate(words)}
-    uses, cores = np.zeros((len(words), len(request)), np.int32), np.zeros((len(words), len(request)), np.int32)
+    # Small whole numbers, exact in single precision.
+    uses, cores = np.zeros((len(words), len(request)), np.float32), np.zeros((len(words), len(request)), np.float32)
     for j, (_, _, terms, core) in enumerate(request):
         uses[[place[t] for t in terms], j] = 1
         cores[[place[t] for t in core], j] = 1
-    long = np.array([len(t) >= 2 for t in words], np.int32)
+    long = np.array([len(t) >= 2 for t in words], np.float32)
     ids, parts = np.array([r[0] for r in request], np.int64), np.array([r[1] for r in request], np.int32)
     fields = ("file_name", "heading", "path", "snippet")
     schema = f"query_id long, part int, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, modified_at long, raw long, overlap long, core long"
@@ -85,16 +128,15 @@ def containment_scores(chunks: DataFrame, asked: DataFrame, keep: int) -> DataFr
     def run(batches):
         import ahocorasick
 
+        if not words:
+            return
         automaton = ahocorasick.Automaton()
         for t, k in place.items():
             automaton.add_word(t, k)
-        if words:
-            automaton.make_automaton()
+        automaton.make_automaton()
         for batch in batches:
-            if not words:
-                return
-            for a in range(0, batch.num_rows, 4000):
-                part = batch.slice(a, 4000)
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
                 n = part.num_rows
                 found = np.zeros((4, n, len(words)), bool)
                 for f, name in enumerate(fields):
@@ -104,18 +146,17 @@ def containment_scores(chunks: DataFrame, asked: DataFrame, keep: int) -> DataFr
                             row, last = [k for _, k in automaton.iter((text or "").lower())], text
                         found[f, i, row] = True
                 head, rest = found[0] | found[1], found[2] | found[3]
-                weight = np.where(head, 3, np.where(found[2], 2, np.where(found[3], 1, 0))).astype(np.int32)
-                raw = weight @ uses
+                weight = np.where(head, 3, np.where(found[2], 2, found[3])).astype(np.float32)
+                raw = (weight @ uses).astype(np.int64)
                 when = np.array(part.column("modified_at").fill_null(0), np.int64)
-                if len(when) and 0 <= when.min() and when.max() < 1 << 40:
-                    order = np.where(raw > 0, raw.astype(np.int64) << 40 | when[:, None], -1)
-                    if n > keep:
-                        order[order < np.partition(order, n - keep, axis=0)[n - keep]] = -1
+                if n > keep and 0 <= when.min() and when.max() < 1 << 40:
+                    order = np.where(raw > 0, raw << 40 | when[:, None], -1)
+                    order[order < np.partition(order, n - keep, axis=0)[n - keep]] = -1
                     i, j = np.nonzero(order >= 0)
                 else:
                     i, j = np.nonzero(raw)
-                overlap = (np.where(head, 3, np.where(rest, 1, 0)) * long).astype(np.int32) @ uses
-                core = (head | rest).astype(np.int32) @ cores
+                overlap = (np.where(head, 3, rest).astype(np.float32) * long) @ uses
+                core = (head | rest).astype(np.float32) @ cores
                 at = pa.array(i)
                 columns = [pa.array(ids[j]), pa.array(parts[j]), part.column("chunk_id").take(at), part.column("modified_at").take(at), *[pa.array(x[i, j].astype(np.int64)) for x in (raw, overlap, core)]]
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "part", "chunk_id", "modified_at", "raw", "overlap", "core"])
@@ -126,11 +167,56 @@ def containment_scores(chunks: DataFrame, asked: DataFrame, keep: int) -> DataFr
 def cosine_search(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", distance: bool = True) -> DataFrame:
     """Exact search: every vector against the queries (query_id, query): query_id, key, score, rank.
 
-    distance: score 1 / (1 + cosine distance), else the cosine. The queries are the request, a bounded side.
+    distance: score 1 / (1 + cosine distance), else the cosine; 0 for empty vectors, other lengths and zero norms.
+    The request comes to the driver in blocks of ``QUERY_BLOCK`` queries; a block is a matrix product in double
+    precision with every Arrow batch of vectors, of which each query's first k (and ties) go on.
     """
-    pairs = vectors.crossJoin(queries).withColumn("cosine", S.cosine("query", "embedding"))
-    score = S.distance_score(1.0 - F.col("cosine")) if distance else F.col("cosine")
-    return top_k(pairs.select("query_id", key, F.round(score, 6).alias("score")), k, [F.desc("score"), F.asc(key)])
+    asked = written(queries.select("query_id", F.col("query").cast("array<double>").alias("query")), "asked")
+    found = None
+    for block in blocks(asked, ["query_id"], QUERY_BLOCK):
+        part = _nearest(vectors, block.collect(), k, key)
+        found = part if found is None else found.unionByName(part)
+    cosine = F.col("cosine")
+    score = S.distance_score(1.0 - cosine) if distance else cosine
+    return top_k(found.select("query_id", key, F.round(score, 6).alias("score")), k, [F.desc("score"), F.asc(key)])
+
+
+def _nearest(vectors: DataFrame, request: list, k: int, key: str) -> DataFrame:
+    """One block of queries against all vectors: query_id, key, cosine of what can be among the first k."""
+    import numpy as np
+    import pyarrow as pa
+
+    def unit(rows: list) -> np.ndarray:
+        x = np.array(rows, np.float64).reshape(len(rows), -1)
+        norm = np.sqrt((x * x).sum(1))
+        return np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
+
+    sizes: dict[int, list[int]] = {}
+    for j, r in enumerate(request):
+        sizes.setdefault(len(r["query"] or ()), []).append(j)
+    units = {n: unit([request[j]["query"] for j in js]) for n, js in sizes.items() if n}
+    ids = np.array([r["query_id"] for r in request], np.int64)
+    schema = f"query_id long, {key} {vectors.schema[key].dataType.simpleString()}, cosine double"
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                column = part.column("embedding")
+                length = np.diff(np.array(column.offsets))
+                cosine = np.zeros((part.num_rows, len(ids)))
+                for n in np.unique(length).tolist():
+                    if n in units:
+                        rows = np.flatnonzero((length == n) & np.array(column.is_valid()))
+                        x = np.array(column.take(pa.array(rows)).flatten().cast("double").fill_null(float("nan"))).reshape(len(rows), n)
+                        cosine[np.ix_(rows, sizes[n])] = unit(x) @ units[n].T
+                keep = np.ones(cosine.shape, bool)
+                if part.num_rows > k:
+                    keep = cosine >= np.partition(cosine, part.num_rows - k, axis=0)[part.num_rows - k] - 1e-5
+                i, j = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), part.column(key).take(pa.array(i)), pa.array(cosine[i, j])], names=["query_id", key, "cosine"])
+
+    return vectors.select(key, "embedding").mapInArrow(run, schema)
 
 
 def recall_limit(limit: int) -> int:
@@ -167,18 +253,31 @@ def origin(snippet, heading, file_name, path, terms) -> Column:
     return F.when(has(snippet), "正文摘要命中").when(has(heading), "标题命中").when(has(file_name), "文件名命中").when(has(path), "路径命中").otherwise("正文摘要命中")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int, now: int, semantic: DataFrame | None = None, favorites: DataFrame | None = None, opens: DataFrame | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+RECENT_CAP, FAVORITE_CAP = 50, 200
+
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int, now: int, semantic: DataFrame | None = None, favorites: DataFrame | None = None, opens: DataFrame | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), index: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
     """The whole search: recall, fusion, boosts, cap, final ranks.
 
     queries: query_id, query_text. chunks: chunk_id, path, file_name, heading, snippet, text (what is
     searched), modified_at, chunk_score. semantic: query_id, chunk_id, rank. favorites: path.
-    opens: path, open_count.
+    opens: path, open_count. index: the chunks ``tokenized`` by chunk_id. history: query_id, term - terms of the
+    user's past queries, which are searched as well (rows they bring get a small bonus and a reason).
     """
-    expanded = queries.select("query_id", F.array_join(X.rewrite_terms("query_text"), " ").alias("query_text"))
-    keyword = bm25_search(expanded, chunks, limit, "chunk_id", "text")
+    terms = X.rewrite_terms("query_text")
+    expanded = queries.select("query_id", F.array_join(terms, " ").alias("query_text"))
+    if history is not None:
+        past = history.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("past"))
+        expanded = expanded.join(past, "query_id", "left").select("query_id", F.concat_ws(" ", "query_text", "past").alias("query_text"), F.col("past").isNotNull().alias("grown"))
+    keyword = bm25_search(expanded, chunks, limit, "chunk_id", "text", index)
     if semantic is None:
         semantic = keyword.select("query_id", "chunk_id", "rank").limit(0)
+    # Both lists hold a few rows for each query; they are used by the join and by what follows.
     fused = fuse(keyword, semantic, "chunk_id")
+    if history is not None:
+        fused = fused.join(expanded.select("query_id", "grown"), "query_id")
+    else:
+        fused = fused.withColumn("grown", F.lit(False))
     rows = fused.join(chunks.drop("text"), "chunk_id").join(queries, "query_id")
     rows = rows.join(favorites.select("path", F.lit(True).alias("favorite")), "path", "left") if favorites is not None else rows.withColumn("favorite", F.lit(False))
     rows = rows.join(opens.select("path", "open_count"), "path", "left") if opens is not None else rows.withColumn("open_count", F.lit(0))
@@ -189,7 +288,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int, now: int, s
     wp, wt, wf = weights
     final = (
         S.boosted(base, "match_origin", "modified_at", F.lit(now))
-        + S.preference("favorite", "open_count", F.lit(False)) * wp
+        + S.preference("favorite", "open_count", F.col("grown")) * wp
         + S.name_bonus("heading", F.col("terms"), 0.32, 0.18) * wt
         + S.name_bonus("file_name", F.col("terms"), 0.45, 0.25) * wf
     )
@@ -203,7 +302,8 @@ def rank_reason() -> Column:
     both = F.when(F.col("keyword_rank").isNotNull() & F.col("semantic_rank").isNotNull(), "全文+语义共同命中").when(F.col("semantic_rank").isNotNull(), "语义召回")
     name = F.when(X.contains_all("file_name", t), "文件名完整命中").when(X.contains_all("heading", t), "标题完整命中").when(X.contains_all("path", t), "路径完整命中")
     opened = F.when(F.col("open_count") >= 3, F.concat(F.lit("最近打开 "), F.col("open_count").cast("string"), F.lit(" 次"))).when(F.col("open_count") > 0, "最近打开")
-    parts = F.array(F.col("match_origin"), name, both, F.when(F.col("favorite"), "已收藏优先"), opened)
+    grown = F.when(F.col("grown"), "历史词扩展")
+    parts = F.array(F.col("match_origin"), name, both, F.when(F.col("favorite"), "已收藏优先"), opened, grown)
     return F.array_join(F.array_distinct(F.filter(parts, lambda p: p.isNotNull())), " · ")
 
 

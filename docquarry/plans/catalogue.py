@@ -235,8 +235,8 @@ def bm25_topk(spark, sf_dir):
 @query(f"WITH {BM25} SELECT query_id, CASE WHEN complete THEN 'all' ELSE 'any' END AS mode, count(*) AS hits FROM r GROUP BY 1, 2")
 def bm25_and_or(spark, sf_dir):
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = retrieval.all_or_any(retrieval.bm25_matches(C.queries(spark, sf_dir), docs))
-    return found.groupBy("query_id", F.when(F.col("complete"), "all").otherwise("any").alias("mode")).agg(F.count("*").alias("hits"))
+    found = retrieval.mode_counts(retrieval.bm25_matches(C.queries(spark, sf_dir), docs))
+    return found.select("query_id", F.when(F.col("complete"), "all").otherwise("any").alias("mode"), "hits")
 
 
 @query(f"WITH p AS (SELECT unnest({TOKENS.format('text')}) AS term FROM documents) SELECT term, count(*) AS df FROM p WHERE strlen(term) <= 40 GROUP BY 1")
@@ -318,8 +318,9 @@ f AS (SELECT coalesce(a2.query_id, b2.query_id) AS query_id, coalesce(a2.vec_id,
 def fused_lists(spark, sf_dir):
     """A list by a made-up keyword score and the cosine list, fused."""
     e, q = vector_queries(spark, sf_dir)
-    pairs = e.select("vec_id").crossJoin(q.select("query_id")).withColumn("other", F.col("vec_id") * 7919 % 1009)
-    keyword = retrieval.top_k(pairs, 20, [F.desc("other"), F.asc("vec_id")])
+    # The made-up score is the same for every query: twenty rows, given to each.
+    first = e.select(F.lit(0).alias("one"), "vec_id", (F.col("vec_id") * 7919 % 1009).alias("other"))
+    keyword = F.broadcast(retrieval.top_k(first, 20, [F.desc("other"), F.asc("vec_id")], "one")).crossJoin(q.select("query_id"))
     semantic = retrieval.cosine_search(q, e.select("vec_id", "embedding"), 160, distance=False)
     return retrieval.fuse(keyword, semantic, "vec_id").withColumn("fused", F.round("fused", 9)), e
 
