@@ -1,128 +1,277 @@
 """One object for a collection: ingest, search, browse, ask; tables are Parquet below one folder.
 
-A table is written as a new version and a pointer file names the current one, so a reader never sees a half
-written table and nothing is read and overwritten at the same path.
+A table is written as a new version; a log of manifests, one line appended for each commit, names the versions
+that belong together. So a reader never sees a half written table or tables of different commits, and nothing is
+read and overwritten at the same path.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as X
-from docquarry.operators import answers, indexing, retrieval
+from docquarry.operators import answers, indexing, lists, retrieval, tasks
+from docquarry.operators.storage import written
+from docquarry.settings import IndexSettings
 from docquarry.sources import chunking, embedding, files
 
-DOCUMENTS = "document_id long, path string, file_name string, ext string, size long, modified_at long, hash string"
-CHUNKS = "chunk_id string, document_id long, chunk_seq long, path string, file_name string, heading string, snippet string, modified_at long, chunk_score double"
-VECTORS = "chunk_id string, document_id long, text_hash string, embedding array<float>"
-SCHEMAS = {"documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS}
+SCHEMAS = {
+    "documents": "document_id long, path string, file_name string, ext string, size long, modified_at long, hash string, dir_path string, parser string, warning string",
+    "chunks": "chunk_id string, document_id long, chunk_seq long, path string, file_name string, heading string, snippet string, modified_at long, chunk_score double, block_indexes array<int>",
+    "blocks": "document_id long, block_index int, kind string, text string, heading string, level int, page int, section string",
+    "index": "chunk_id string, document_id long, terms array<string>, length int",
+    "vectors": "chunk_id string, document_id long, text_hash string, embedding array<float>",
+    "failures": "file string, reason string, category string, code string, retry_count long, last_failed_at long",
+    "dirs": tasks.DIRECTORY,
+}
+PER_DOCUMENT = ("documents", "chunks", "blocks", "index", "vectors")
+
+
+def columns(name: str) -> list[str]:
+    return [f.split()[0] for f in SCHEMAS[name].split(", ")]
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, dimension: int = 512, embedder=None):
+    def __init__(self, spark: SparkSession, root: str, dimension: int = 512, embedder=None, settings: IndexSettings | None = None):
         self.spark, self.root, self.dimension, self.embedder = spark, root.rstrip("/"), dimension, embedder
+        self.settings = (settings or IndexSettings()).clamped()
 
     # tables
 
-    def _pointer(self, name: str) -> str | None:
+    def manifest(self) -> dict:
+        """The last commit: a version number, the tables' paths, what is known of the vectors. Only a collection
+        that does not exist yet has none; any other error is raised, not taken for an empty collection."""
         try:
-            rows = self.spark.read.text(f"{self.root}/{name}/_current").collect()
-        except Exception:
-            return None
-        return rows[0][0] if rows else None
+            lines = self.spark.read.text(f"{self.root}/_manifests").collect()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            lines = []
+        return max((json.loads(r[0]) for r in lines), key=lambda m: m["version"], default={"version": 0, "tables": {}, "vectors": {"model": "", "status": "empty"}})
 
     def table(self, name: str) -> DataFrame:
-        at = self._pointer(name)
+        at = self.manifest()["tables"].get(name)
         return self.spark.read.schema(SCHEMAS[name]).parquet(at) if at else self.spark.createDataFrame([], SCHEMAS[name])
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        at = f"{self.root}/{name}/v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        df.select(*[f.split()[0] for f in SCHEMAS[name].split(", ")]).write.parquet(at)
-        self.spark.createDataFrame([(at,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/_current")
+    def commit(self, changes: dict[str, DataFrame], vectors: dict | None = None) -> None:
+        """Writes new versions of the tables, then the manifest that makes them the current ones together."""
+        last, paths = self.manifest(), {}
+        for name, df in changes.items():
+            paths[name] = f"{self.root}/{name}/v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+            df.select(*columns(name)).write.parquet(paths[name])
+        line = json.dumps({"version": last["version"] + 1, "tables": last["tables"] | paths, "vectors": last["vectors"] | (vectors or {})})
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/_manifests")
 
     # ingest
 
-    def plan(self, folder: str, **options) -> DataFrame:
+    def _scan(self, folder: str) -> DataFrame:
+        """What the folder holds, read and hashed once."""
+        s = self.settings
+        found = files.scan(self.spark, folder, s.max_file_size_mb, s.exclude_exts, s.exclude_dirs)
+        return found.withColumnRenamed("content_hash", "hash")
+
+    def plan(self, folder: str, found: DataFrame | None = None) -> DataFrame:
         """What a refresh of the folder would do: path, action."""
-        found = files.scan(self.spark, folder, **options)
+        found = self._scan(folder).drop("content") if found is None else found
         known = self.table("documents").filter(X.in_directory("path", F.lit(folder)) | F.startswith("path", F.lit(f"file:{folder}")))
-        return indexing.incremental_plan(found.withColumnRenamed("content_hash", "hash"), known)
+        return indexing.incremental_plan(found, known)
 
-    def refresh(self, folder: str, **options) -> dict[str, int]:
-        """Takes in new and changed files, removes deleted ones; returns how many of each."""
-        plan = self.plan(folder, **options)
+    def refresh(self, folder: str, only: DataFrame | None = None, virtual: str | None = None) -> dict[str, int]:
+        """Takes in new and changed files, removes deleted ones; returns how many of each.
+
+        only: path - read these again whatever the plan says (retry). A file that cannot be read becomes a row of
+        ``failures``; its older version stays. The scan and the parsed documents are each written once.
+        """
+        snapshot = written(self._scan(folder).drop("content"), "scan")
+        plan = written(self.plan(folder, snapshot) if only is None else tasks.retried(self.plan(folder, snapshot), only.withColumnRenamed("path", "file")), "plan")
         counts = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
         if not counts.keys() - {"skip"}:
             return counts
         changed = plan.filter("action IN ('insert', 'update')").select("path")
-        gone = plan.filter("action IN ('delete', 'update')").select("path")
-        fresh = files.scan(self.spark, folder, **options).join(changed, "path", "left_semi").withColumn("document_id", F.xxhash64("path")).withColumnRenamed("content_hash", "hash")
-        documents = self.table("documents").join(gone, "path", "left_anti").unionByName(fresh.select(*[f.split()[0] for f in DOCUMENTS.split(", ")]))
-        parsed = chunking.chunks(fresh.select("document_id", "ext", F.col("file_name").alias("stem"), F.col("content").alias("text")))
-        made = parsed.join(fresh.select("document_id", "path", "file_name", "modified_at"), "document_id").select(
-            F.concat_ws(":", F.col("document_id").cast("string"), F.col("chunk_seq").cast("string")).alias("chunk_id"), "document_id", "chunk_seq", "path", "file_name", "heading", X.truncate_chars("snippet", 800).alias("snippet"), "modified_at", F.least(F.greatest("score", F.lit(0.25)), F.lit(1.0)).alias("chunk_score")
-        )
-        chunks = self.table("chunks").join(gone, "path", "left_anti").unionByName(made)
-        self._write("chunks", chunks)
-        self._write("documents", documents)
+        fresh = self._scan(folder).join(changed, "path", "left_semi").withColumn("document_id", F.xxhash64("path"))
+        about = ["document_id", "path", "file_name", "ext", "size", "modified_at", "hash"]
+        parsed = written(chunking.outcomes(fresh.select("document_id", "ext", F.col("file_name").alias("stem"), F.col("content").alias("text"))), "parsed")
+        known = snapshot.withColumn("document_id", F.xxhash64("path")).select(*about)
+        read = parsed.filter("reason IS NULL").join(known, "document_id")
+        documents = read.withColumn("dir_path", F.lit(virtual) if virtual else F.regexp_replace("path", "/[^/]*$", ""))
+        chunks = read.select("document_id", "path", "file_name", "modified_at", F.inline("chunks")).select(
+            F.concat_ws(":", F.col("document_id").cast("string"), F.col("chunk_seq").cast("string")).alias("chunk_id"),
+            "document_id", "chunk_seq", "path", "file_name", "heading", X.truncate_chars("snippet", 800).alias("snippet"), "modified_at",
+            F.least(F.greatest("score", F.lit(0.25)), F.lit(1.0)).alias("chunk_score"), "block_indexes",
+        )
+        chunks = written(chunks, "chunks")
+        made = {"documents": documents, "chunks": chunks, "blocks": chunking.blocks_of(parsed), "index": self.indexed(chunks)}
+        # What goes: deleted files, and the old rows of those that were read anew.
+        gone = plan.filter("action = 'delete'").select(F.xxhash64("path").alias("document_id")).unionByName(read.select("document_id"))
+        kept = indexing.cascade({n: self.table(n) for n in PER_DOCUMENT}, gone)
+        changes = {n: kept[n].select(*columns(n)).unionByName(made[n].select(*columns(n))) if n in made else kept[n] for n in PER_DOCUMENT}
+        changes["failures"] = self._failures(parsed.filter("reason IS NOT NULL").join(known, "document_id").select(F.col("path").alias("file"), "reason"), plan)
+        self.commit(changes, {"status": "needs_rebuild"})
         return counts
 
+    def _failures(self, fresh: DataFrame, plan: DataFrame) -> DataFrame:
+        """Failed files: counted up where they fail again, gone where they were read or deleted."""
+        old = self.table("failures")
+        category, code = X.classify_failure("reason", "file")
+        again = fresh.join(old.select("file", F.col("retry_count").alias("before")), "file", "left").select("file", "reason", category.alias("category"), code.alias("code"), (F.coalesce("before", F.lit(0)) + 1).alias("retry_count"), F.lit(int(time.time())).alias("last_failed_at"))
+        return old.join(plan.filter("action <> 'skip'").select(F.col("path").alias("file")), "file", "left_anti").unionByName(again)
+
+    ingest = refresh
+
+    def retry(self, folder: str) -> dict[str, int]:
+        """Reads the folder's failed files again."""
+        return self.refresh(folder, self.table("failures").select(F.col("file").alias("path")))
+
+    def import_paths(self, paths: DataFrame) -> DataFrame:
+        """paths: path, is_dir, exists. How each would be taken in: kind, dir."""
+        return files.classify_imports(paths, self.table("dirs").select(F.col("path").alias("dir")))
+
+    def run(self, folder: str, batches: int, task: tasks.Task, paused: Callable[[], bool], mark: Callable[[dict[str, bool]], None], done: DataFrame | None = None) -> tasks.Task:
+        """Works a plan off in so many batches of files, each a commit of its own; what ``done`` (path) names is left out."""
+        done = done if done is not None else self.spark.createDataFrame([], "path string")
+        todo = written(tasks.remaining(self.plan(folder), done).withColumn("batch", F.pmod(F.xxhash64("path"), F.lit(batches))), "todo")
+
+        def step(batch: list[tuple[str, str]]) -> dict[str, bool]:
+            paths = self.spark.createDataFrame([(p,) for p, _ in batch], "path string")
+            self.refresh(folder, paths)
+            failed = {r["file"] for r in self.table("failures").join(paths.withColumnRenamed("path", "file"), "file", "left_semi").select("file").collect()}
+            return {p: p not in failed for p, _ in batch}
+
+        # A batch's paths at a time reach the driver, as many as the caller wants in a commit.
+        parts = [[(r["path"], r["action"]) for r in todo.filter(F.col("batch") == k).select("path", "action").collect()] for k in range(batches)]
+        return tasks.run_plan([p for p in parts if p], step, task, mark, paused, lambda: int(time.time()))
+
+    # vectors
+
+    def _texts(self) -> DataFrame:
+        text = X.normalize_embedding_text(F.concat_ws("\n", "file_name", "heading", "snippet"))
+        return self.table("chunks").select("chunk_id", "document_id", text.alias("text"))
+
     def rebuild_vectors(self) -> None:
         """Embeds the chunks whose text is new; vectors of chunks that are gone go."""
-        text = X.normalize_embedding_text(F.concat_ws("\n", "file_name", "heading", "snippet"))
-        chunks = self.table("chunks").select("chunk_id", "document_id", text.alias("text"))
-        old = self.table("vectors")
+        chunks, old = written(self._texts(), "texts"), self.table("vectors")
         new = embedding.embed(embedding.stale(chunks, old, "chunk_id", "text"), "text", self.dimension, self.embedder)
         hashed = chunks.select("chunk_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"))
-        self._write("vectors", old.join(hashed, ["chunk_id", "text_hash"], "left_semi").unionByName(new.select("chunk_id", "document_id", "text_hash", "embedding")))
+        self.commit({"vectors": old.join(hashed, ["chunk_id", "text_hash"], "left_semi").unionByName(new.select(*old.columns))}, {"status": "ready"})
+
+    def use_model(self, model: str) -> None:
+        """Another model: no vector of the old one stays, all have to be made anew."""
+        self.dimension = embedding.dimension_of(model, self.dimension)
+        self.commit({"vectors": self.table("vectors").limit(0)}, {"model": model, "dimension": self.dimension, "status": "needs_rebuild"})
+
+    # upkeep
+
+    @staticmethod
+    def indexed(chunks: DataFrame) -> DataFrame:
+        """The keyword index of chunks: their distinct terms and number of terms."""
+        text = F.concat_ws(" ", "file_name", "path", "heading", "snippet")
+        return chunks.select("chunk_id", "document_id", X.search_tokens(text).alias("terms")).withColumn("length", F.size("terms"))
+
+    def needs_repair(self) -> bool:
+        return indexing.needs_repair(self.table("chunks"), self.table("index")).first()["needs_repair"]
+
+    def repair(self) -> None:
+        """Makes the keyword index anew from the chunks."""
+        self.commit({"index": self.indexed(self.table("chunks"))})
 
     def delete(self, directory: str) -> None:
-        """Removes a directory's documents with all that belongs to them."""
-        gone = self.table("documents").filter(X.in_directory("path", F.lit(directory))).select("document_id")
-        kept = indexing.cascade({n: self.table(n) for n in SCHEMAS}, gone)
-        for name, df in kept.items():
-            self._write(name, df)
+        """Removes a directory's documents and failed files with all that belongs to them."""
+        gone = self.table("documents").filter(X.in_directory("path", F.lit(directory), "dir_path")).select("document_id")
+        kept = indexing.cascade({n: self.table(n) for n in PER_DOCUMENT}, gone)
+        kept["failures"] = self.table("failures").filter(~X.in_directory("file", F.lit(directory)))
+        self.commit(kept)
+
+    def clear(self) -> None:
+        """Everything but the directories goes."""
+        self.commit(tasks.cleared({n: self.table(n) for n in SCHEMAS}), {"status": "empty"})
+
+    def add_directories(self, paths: list[str]) -> None:
+        self.commit({"dirs": tasks.add_directories(self.table("dirs"), self._paths(paths))})
+
+    def remove_directory(self, path: str) -> None:
+        self.delete(path)
+        self.commit({"dirs": tasks.remove_directories(self.table("dirs"), self._paths([path]))})
+
+    def enable(self, path: str, on: bool = True) -> None:
+        self.commit({"dirs": tasks.set_enabled(self.table("dirs"), self._paths([path]).withColumn("enabled", F.lit(on)))})
+
+    def refresh_directories(self) -> None:
+        self.commit({"dirs": tasks.refreshed(self.table("dirs"), self._counted())})
+
+    def _paths(self, paths: list[str]) -> DataFrame:
+        return self.spark.createDataFrame([(p,) for p in paths], "path string")
+
+    def _counted(self) -> DataFrame:
+        counts = self.table("chunks").groupBy("document_id").agg(F.count("*").alias("n_chunks"))
+        return self.table("documents").join(counts, "document_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
 
     def status(self) -> DataFrame:
         vectors = self.table("vectors").agg(F.count("*").alias("vectors"))
         totals = self.table("documents").agg(F.count("*").alias("documents")).crossJoin(self.table("chunks").agg(F.count("*").alias("chunks"))).crossJoin(vectors)
-        return totals.withColumn("needs_rebuild", F.col("chunks") != F.col("vectors"))
+        return totals.crossJoin(self.table("failures").agg(F.count("*").alias("failures"))).withColumn("needs_rebuild", F.col("chunks") != F.col("vectors"))
 
     # browse
 
     def documents(self, directory: str | None = None) -> DataFrame:
         d = self.table("documents")
-        return d.filter(X.in_directory("path", F.lit(directory))) if directory else d
+        return lists.listed(d.filter(X.in_directory("path", F.lit(directory), "dir_path")) if directory else d, "documents")
 
     def chunks(self, path: str) -> DataFrame:
-        return self.table("chunks").filter(F.col("path") == path).orderBy("chunk_seq")
+        """A document's chunks in order, each with its preview blocks (kind, text, page, asset); none for an unknown path."""
+        rows = self.table("chunks").filter(F.col("path") == path)
+        view = indexing.block_view(self.table("blocks").join(rows.select("document_id").distinct(), "document_id", "left_semi"), self.table("documents"))
+        shown = retrieval.preview_blocks(rows, view, fields=("kind", "text", "page", "asset"))
+        return rows.join(shown.select("chunk_id", "blocks"), "chunk_id").orderBy("chunk_seq")
+
+    def blocks(self, ids: DataFrame) -> DataFrame:
+        return indexing.blocks_of(self.table("blocks"), ids)
 
     def dirs(self) -> DataFrame:
-        counts = self.table("chunks").groupBy("document_id").agg(F.count("*").alias("n_chunks"))
-        d = self.table("documents").join(counts, "document_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
-        return indexing.rollup(d)
+        return indexing.rollup(self._counted())
 
     # search and answers
 
-    def search(self, queries: DataFrame, limit: int = 20, now: int | None = None, semantic: bool = True, threshold: float = 0.2, **signals) -> DataFrame:
+    def _semantic(self, queries: DataFrame, limit: int, threshold: float) -> DataFrame:
+        texts = queries.select("query_id", F.array_join(X.rewrite_terms("query_text"), " ").alias("t"))
+        asked = embedding.embed(texts, "t", self.dimension, self.embedder).select("query_id", F.col("embedding").alias("query"))
+        vectors = self.table("vectors").join(self.table("chunks").select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "embedding")
+        return retrieval.cosine_search(asked, vectors, retrieval.recall_limit(limit), "chunk_id").filter(F.col("score") >= threshold)
+
+    def _ranked(self, queries: DataFrame, limit: int, now: int | None, semantic: bool, threshold: float, **signals) -> DataFrame:
+        if self.needs_repair():
+            raise RuntimeError("the keyword index is empty: call repair() first")
+        found = self._semantic(queries, limit, threshold) if semantic else None
+        now = now or int(time.time())
+        rows = retrieval.hybrid_search(queries, self.table("chunks").withColumn("text", F.lit("")), limit, now, found, index=self.table("index").select("chunk_id", "terms", "length"), **signals)
+        return rows.withColumn("reason", retrieval.rank_reason(now))
+
+    def search(self, queries: DataFrame, limit: int = 20, now: int | None = None, semantic: bool = True, threshold: float | None = None, **signals) -> DataFrame:
         """queries: query_id, query_text. Ranked chunks with origin, reason, snippet and highlights."""
-        chunks = self.table("chunks").withColumn("text", F.concat_ws(" ", "file_name", "path", "heading", "snippet"))
-        found = None
-        if semantic:
-            texts = queries.select("query_id", F.array_join(X.rewrite_terms("query_text"), " ").alias("t"))
-            asked = embedding.embed(texts, "t", self.dimension, self.embedder).select("query_id", F.col("embedding").alias("query"))
-            vectors = self.table("vectors").join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "embedding")
-            found = retrieval.cosine_search(asked, vectors, retrieval.recall_limit(limit), "chunk_id").filter(F.col("score") >= threshold)
-        rows = retrieval.hybrid_search(queries, chunks, limit, now or int(time.time()), found, **signals)
-        rows = rows.withColumn("reason", retrieval.rank_reason()).withColumn("cut", X.search_snippet("snippet", X.highlight_spans("snippet", F.col("terms"))))
+        rows = self._ranked(queries, limit, now, semantic, self.settings.semantic_threshold if threshold is None else threshold, **signals)
+        rows = rows.withColumn("cut", X.search_snippet("snippet", X.highlight_spans("snippet", F.col("terms"))))
         return rows.select("query_id", "final_rank", "rank_delta", "chunk_id", "path", "heading", "final_score", "keyword_rank", "semantic_rank", "match_origin", "reason", F.col("cut.text").alias("shown"), F.col("cut.spans").alias("highlights"))
 
-    def ask(self, questions: DataFrame, limit: int = 8, answerer=answers.extractive, rules=answers.INTENTS) -> DataFrame:
-        """questions: query_id, question. Answers with sources, state and citation warning."""
+    def explain_search(self, queries: DataFrame, limit: int = 20, now: int | None = None) -> DataFrame:
+        """For each query: terms, rewritten terms, the query vector's norm, hits by list and in all, and the
+        collection's numbers."""
+        threshold = self.settings.semantic_threshold
+        rows = written(self._ranked(queries, limit, now, True, threshold), "explained")
+        hits = rows.groupBy("query_id").agg(F.count("keyword_rank").alias("keyword_hits"), F.count("semantic_rank").alias("semantic_hits"), F.count_if(F.col("keyword_rank").isNotNull() & F.col("semantic_rank").isNotNull()).alias("both"), F.count("*").alias("hits"))
+        asked = queries.select("query_id", X.search_tokens("query_text").alias("terms"), X.rewrite_terms("query_text").alias("rewritten"))
+        vector = embedding.embed(asked.select("query_id", F.array_join("rewritten", " ").alias("t")), "t", self.dimension, self.embedder)
+        norm = vector.select("query_id", F.size("embedding").alias("dimension"), F.round(retrieval.S.norm("embedding"), 6).alias("norm"))
+        out = asked.join(norm, "query_id").join(hits, "query_id", "left").fillna(0, ["keyword_hits", "semantic_hits", "both", "hits"])
+        return out.crossJoin(F.broadcast(self.status()))  # one row
+
+    def ask(self, questions: DataFrame, limit: int = 8, answerer=answers.extractive, rules=answers.INTENTS, scopes: DataFrame | None = None) -> DataFrame:
+        """questions: query_id, question. scopes: query_id, scope. Answers with sources, state and citation warning."""
         chunks = self.table("chunks")
-        found = answers.recall(questions, chunks, max(6 * limit, 50), rules).join(chunks.select("chunk_id", "path", "chunk_seq", "snippet"), "chunk_id")
+        found = answers.recall(questions, chunks, max(6 * limit, 50), rules, scopes=scopes).join(chunks.select("chunk_id", "path", "chunk_seq", "snippet"), "chunk_id")
         return answers.answer(questions, answers.pack_context(answers.select_evidence(found, limit), limit), answerer)

@@ -97,7 +97,7 @@ def split_paragraphs(x) -> Column:
 
 
 def derive_heading(text, file_name) -> Column:
-    """The text of a leading '#' line, else the file name."""
+    """The text of a leading '#' line, else the file name (whole texts that were collapsed to a line included)."""
     found = F.trim(F.regexp_extract(F.trim(col(text)), r"^#+([^\n]*)", 1))
     return F.when(found != "", found).otherwise(col(file_name))
 
@@ -134,16 +134,20 @@ def highlight_spans(x, terms) -> Column:
         )
         return F.when(size > 0, ends).otherwise(F.array().cast(f"array<{span}>"))
 
-    found = F.array_sort(F.flatten(F.transform(terms, of)))
-    last = lambda a: F.element_at(a, -1)
+    return merge_spans(F.flatten(F.transform(terms, of)))
+
+
+def merge_spans(spans) -> Column:
+    """Spans by their place, those that overlap or touch joined."""
+    span = "struct<start:int,end:int>"
+    last = lambda a: F.try_element_at(a, F.lit(-1))
     join = lambda a, s: (
         F.when(
-            (F.size(a) > 0) & (s["start"] <= F.try_element_at(a, F.lit(-1))["end"]),
-            F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"]).alias("end")))),
+            (F.size(a) > 0) & (s["start"] <= last(a)["end"]),
+            F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end")))),
         ).otherwise(F.concat(a, F.array(s)))
     )
-    del last
-    return F.aggregate(found, F.array().cast(f"array<{span}>"), join)
+    return F.aggregate(F.array_sort(spans), F.array().cast(f"array<{span}>"), join)
 
 
 def search_snippet(x, spans, limit: int = 220) -> Column:
@@ -195,6 +199,31 @@ def version_newer(a, b) -> Column:
     return F.coalesce(F.get(signs, F.lit(0)) > 0, F.lit(False))
 
 
+def platform_key(system, machine) -> Column:
+    return F.concat(F.lower(F.trim(col(system))), F.lit("-"), F.lower(F.trim(col(machine))))
+
+
+#: Error codes of older callers (fixed values).
+LEGACY_CODES = (("invalidrequest", "invalid_request"), ("filenotfound", "file_not_found"), ("parsefailed", "parse_failed"), ("internalerror", "internal_error"), ("unsupportedfiletype", "unsupported_file_type"))
+
+
+def error_code(x) -> Column:
+    """Lower case with underscores; older spellings by a table."""
+    code = F.replace(F.lower(F.trim(col(x))), F.lit("-"), F.lit("_"))
+    bare = F.replace(code, F.lit("_"), F.lit(""))
+    out = None
+    for old, new in LEGACY_CODES:
+        out = F.when(bare == old, new) if out is None else out.when(bare == old, new)
+    return out.otherwise(code)
+
+
+def inferred_title(kinds, texts) -> Column:
+    """The first block with text: a heading's whole text, of others the first word (80 characters at most)."""
+    pairs = F.filter(F.zip_with(col(kinds), col(texts), lambda k, t: F.struct(k.alias("k"), t.alias("t"))), lambda p: F.coalesce(p["t"], F.lit("")) != "")
+    first = F.get(pairs, F.lit(0))
+    return F.when(first["k"] == "heading", first["t"]).otherwise(F.left(F.get(F.filter(F.split(first["t"], WHITE), lambda w: w != ""), F.lit(0)), F.lit(80)))
+
+
 def classify_failure(reason, path) -> tuple[Column, Column]:
     """Category and code of a failure."""
     low = F.lower(col(reason))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as X
@@ -51,14 +51,26 @@ def history_terms(history: DataFrame, current: DataFrame, limit: int = 4, least:
     return weights.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= limit)
 
 
-def nearest_rank(rows: DataFrame, value: str, by: str, percents: tuple[int, ...]) -> DataFrame:
-    """Nearest-rank percentiles (place round((n-1) p), halves up), minimum, maximum and mean of each group."""
-    n = F.count("*").over(Window.partitionBy(by))
-    placed = rows.select(by, value, F.row_number().over(Window.partitionBy(by).orderBy(value)).alias("i"), n.alias("n"))
-    pick = lambda p: F.max(F.when(F.col("i") - 1 == F.floor((F.col("n") - 1) * p / 100.0 + 0.5), F.col(value)))
-    return placed.groupBy(by).agg(F.count("*").alias("n"), F.min(value).alias("lowest"), F.max(value).alias("highest"), *[pick(p).alias(f"p{p}") for p in percents])
+RANGES = 64
 
 
-def latest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_n = 1").drop("_n")
+def nearest_rank(rows: DataFrame, value: str, by: str, percents: tuple[int, ...]) -> DataFrame:
+    """Nearest-rank percentiles (place round((n-1) p), halves up), number, minimum and maximum of each group.
+
+    A group is dealt into ranges of like size by approximate quantiles; the ranges' exact counts tell which one
+    holds a place, and only inside ranges are rows numbered, so no task sorts a whole group.
+    """
+    steps = [k / RANGES for k in range(1, RANGES)]
+    known = rows.select(by, value).filter(F.col(value).isNotNull())
+    cuts = known.groupBy(by).agg(F.percentile_approx(value, steps, 10_000).alias("cuts"))
+    # A row belongs to the first range whose upper cut is not below it: equal values share a range.
+    dealt = known.join(cuts, by).select(by, value, F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("range"))
+    sizes = dealt.groupBy(by, "range").agg(F.count("*").alias("size"))
+    upto = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(by, "range", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy(by, "range").orderBy(value)) - 1
+    total = known.groupBy(by).agg(F.count("*").alias("n"))
+    placed = dealt.withColumn("i", inside).join(starts, [by, "range"]).join(total, by)
+    at = F.col("start") + F.col("i")
+    pick = lambda p: F.max(F.when(at == F.floor((F.col("n") - 1) * p / 100.0 + 0.5), F.col(value)))
+    return placed.groupBy(by).agg(F.count("*").alias("n"), F.min(value).alias("lowest"), F.max(value).alias("highest"), *[pick(p).alias(f"p{p}") for p in percents])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as X
+from docquarry.operators.storage import written
 
 
 def incremental_plan(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -58,9 +59,48 @@ def resolve_directory(paths: DataFrame, dirs: DataFrame) -> DataFrame:
 
 
 def tree_rows(dirs: DataFrame) -> DataFrame:
-    """dir, depth, in depth-first order: the order of the path's parts."""
+    """dir, depth, position in depth-first order: the order of the path's parts.
+
+    Directories are dealt by ranges of that order and numbered inside; one row for each range, its size, gives
+    the ranges their first numbers.
+    """
+    spark = dirs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = F.split("dir", "/")
-    return dirs.select("dir", (F.size(parts) - 2).cast("long").alias("depth"), F.row_number().over(Window.orderBy(parts)).cast("long").alias("position"))
+    rows = dirs.select("dir", parts.alias("parts"), (F.size(parts) - 2).cast("long").alias("depth"))
+    dealt = written(rows.repartitionByRange(n, "parts").withColumn("range", F.spark_partition_id()), "tree")
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("size"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))  # as many rows as ranges
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("parts"))
+    return dealt.withColumn("inside", inside).join(F.broadcast(starts), "range").select("dir", "depth", (F.col("start") + F.col("inside")).cast("long").alias("position"))
+
+
+def document_ids(documents: DataFrame, paths: DataFrame) -> DataFrame:
+    """path, document_id of the paths that are indexed."""
+    return paths.select("path").distinct().join(documents.select("path", "document_id"), "path")
+
+
+def blocks_of(blocks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The blocks of listed documents (document_id), by document and index."""
+    return blocks.join(ids.select("document_id").distinct(), "document_id", "left_semi").orderBy("document_id", "block_index")
+
+
+def block_view(blocks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Blocks as a preview shows them: an image's file stands beside its document unless its place is absolute."""
+    joined = blocks.join(documents.select("document_id", "path"), "document_id")
+    return joined.withColumn("asset", F.when(F.col("kind") == "image", X.resolve_asset("text", "path"))).drop("path")
+
+
+def without_term(index: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Index rows less those whose column (dir_path, path) is exactly one of the values; subdirectories stay."""
+    return index.join(values.select(F.col(values.columns[0]).alias(column)).distinct(), column, "left_anti")
+
+
+def needs_repair(chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: whether there are chunks but no index."""
+    a, b = chunks.limit(1).agg(F.count("*").alias("chunks")), index.limit(1).agg(F.count("*").alias("rows"))
+    return a.crossJoin(b).select(((F.col("chunks") > 0) & (F.col("rows") == 0)).alias("needs_repair"))
 
 
 def index_status(documents: DataFrame, chunks: DataFrame, failures: DataFrame, queue: DataFrame) -> DataFrame:
@@ -71,7 +111,12 @@ def index_status(documents: DataFrame, chunks: DataFrame, failures: DataFrame, q
     return out
 
 
-def to_chunks(texts: DataFrame, key: str = "document_id", text: str = "text", file_name: str = "file_name", limit: int = 240) -> DataFrame:
-    """The fallback chunker: a chunk for each paragraph, cut to ``limit`` characters; headings from '#' lines."""
-    parts = texts.select(key, file_name, F.posexplode(X.split_paragraphs(text)).alias("seq", "paragraph"))
+def to_chunks(texts: DataFrame, key: str = "document_id", text: str = "text", file_name: str = "file_name", limit: int = 240, compat: bool = False) -> DataFrame:
+    """The fallback chunker: a chunk for each paragraph, cut to ``limit`` characters; headings from '#' lines.
+
+    compat: white space is collapsed before the paragraphs are cut, so a document is one chunk, whose heading is
+    the whole text if that begins with '#'.
+    """
+    body = X.normalize_whitespace(text) if compat else F.col(text)
+    parts = texts.select(key, file_name, F.posexplode(X.split_paragraphs(body)).alias("seq", "paragraph"))
     return parts.select(F.concat_ws(":", F.col(key).cast("string"), F.col("seq").cast("string")).alias("chunk_id"), key, F.col("seq").cast("long").alias("chunk_seq"), X.derive_heading("paragraph", file_name).alias("heading"), X.truncate_chars(X.normalize_whitespace("paragraph"), limit).alias("snippet"))

@@ -296,14 +296,15 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int, now: int, s
     return diversify(rows, limit, document_cap(limit), "final_score", "path", [F.asc_nulls_last("keyword_rank"), F.asc_nulls_last("semantic_rank"), F.asc("chunk_id")])
 
 
-def rank_reason() -> Column:
+def rank_reason(now: int | None = None) -> Column:
     """Why a row of ``hybrid_search`` stands where it does, as labels joined by a dot."""
     t = F.col("terms")
     both = F.when(F.col("keyword_rank").isNotNull() & F.col("semantic_rank").isNotNull(), "全文+语义共同命中").when(F.col("semantic_rank").isNotNull(), "语义召回")
     name = F.when(X.contains_all("file_name", t), "文件名完整命中").when(X.contains_all("heading", t), "标题完整命中").when(X.contains_all("path", t), "路径完整命中")
     opened = F.when(F.col("open_count") >= 3, F.concat(F.lit("最近打开 "), F.col("open_count").cast("string"), F.lit(" 次"))).when(F.col("open_count") > 0, "最近打开")
-    grown = F.when(F.col("grown"), "历史词扩展")
-    parts = F.array(F.col("match_origin"), name, both, F.when(F.col("favorite"), "已收藏优先"), opened, grown)
+    grown = F.when(F.col("grown"), "历史扩展")
+    fresh = F.when((F.col("modified_at") > 0) & (F.lit(now) > F.col("modified_at")) & (F.lit(now) - F.col("modified_at") < 30 * 86_400), "最近更新")
+    parts = F.array(F.col("match_origin"), name, both, F.when(F.col("favorite"), "已收藏优先"), opened, grown, fresh)
     return F.array_join(F.array_distinct(F.filter(parts, lambda p: p.isNotNull())), " · ")
 
 
@@ -313,11 +314,14 @@ def group_by_document(rows: DataFrame, score: str) -> DataFrame:
     return rows.groupBy("query_id", "path").agg(F.count("*").alias("hits"), F.round(exact_sum(score), 6).alias("total_score"), F.max(score).alias("top_score"), best.alias("top_chunk"))
 
 
-def preview_blocks(rows: DataFrame, blocks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """key, document_id, texts of the blocks that block_indexes names, in that order, misses left out."""
+def preview_blocks(rows: DataFrame, blocks: DataFrame, key: str = "chunk_id", fields: tuple[str, ...] = ("text",)) -> DataFrame:
+    """key, document_id, blocks: what block_indexes names, in that order, misses left out; one field as itself,
+    several as a struct."""
     wanted = rows.select(key, "document_id", F.posexplode("block_indexes").alias("pos", "block_index"))
-    found = wanted.join(blocks, ["document_id", "block_index"]).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("blocks"))
-    return rows.select(key, "document_id").join(found, key, "left").withColumn("blocks", F.coalesce("blocks", F.array().cast("array<string>")))
+    value = F.col(fields[0]) if len(fields) == 1 else F.struct(*fields)
+    found = wanted.join(blocks, ["document_id", "block_index"]).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("value")))), lambda x: x["value"]).alias("blocks"))
+    out = rows.select(key, "document_id").join(found, key, "left")
+    return out.withColumn("blocks", F.coalesce("blocks", F.array().cast(found.schema["blocks"].dataType)))
 
 
 def neighbours(chunks: DataFrame, key: str, group: str, seq: str) -> DataFrame:

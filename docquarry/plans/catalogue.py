@@ -1,4 +1,7 @@
-"""Registered queries of the engine's own operators, each with the SQL that checks it."""
+"""Registered queries of search, ranking, text and activity operators, each with the SQL that checks it.
+
+Those of lists, jobs, settings and answers are in ``upkeep``; both register in ``registry``.
+"""
 
 from __future__ import annotations
 
@@ -9,26 +12,13 @@ from docquarry.functions import scoring as S
 from docquarry.functions import text as X
 from docquarry.operators import activity, answers, indexing, library, retrieval
 from docquarry.plans import corpus as C
+from docquarry.plans.registry import ORACLES, QUERIES, query
 from docquarry.sources import chunking, parsers
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 NOW = 1_735_689_600
 LIMIT = 20
 
 
-def query(sql: str | None = None):
-    """Registers a query under its name with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # SQL pieces that several checks share.
 TOKENS = "list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+'), lambda t: lower(t)))"
 SPACE = r"'[\t\n\x0b\f\r\x{85}\p{Z}]+'"
@@ -555,3 +545,8 @@ def chunk_builder(spark, sf_dir):
     """Chunks of up to 800 characters of every page."""
     pages = C.table(spark, sf_dir, "pages").select(F.col("page_id").alias("document_id"), F.lit("html").alias("ext"), F.col("html").alias("text"), F.lit("page").alias("stem"))
     return chunking.chunks(pages).select("document_id", "chunk_seq", "heading", "snippet", "score")
+
+
+from docquarry.plans import upkeep  # noqa: E402, F401 - registers its queries beside these
+
+__all__ = ["ORACLES", "QUERIES"]

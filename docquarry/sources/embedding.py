@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,17 +19,38 @@ def features(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)] + han + [a + b for a, b in zip(han, han[1:])]
 
 
+@lru_cache(maxsize=200_000)
+def digest(feature: str) -> tuple[int, float]:
+    """A feature's number (its place, modulo the dimension) and sign; kept for each worker's frequent ones."""
+    h = hashlib.sha256(feature.encode()).digest()
+    return int.from_bytes(h[:8], "little"), 1.0 if h[8] & 1 == 0 else -1.0
+
+
 def hash_vector(text: str, dimension: int) -> list[float]:
     """Each feature adds or takes 1/sqrt(n) at a place, both given by its SHA-256; then unit length."""
     found = features(text)
     v = np.zeros(dimension)
     for f, times in Counter(found).items():
-        h = hashlib.sha256(f.encode()).digest()
-        v[int.from_bytes(h[:8], "little") % dimension] += (1.0 if h[8] & 1 == 0 else -1.0) * times / len(found) ** 0.5
+        number, sign = digest(f)
+        v[number % dimension] += sign * times / len(found) ** 0.5
     n = float(np.sqrt((v * v).sum()))
     return (v / n if n else v).tolist()
 
 
+#: Dimensions of models by name (fixed values); others have 384.
+DIMENSIONS = {
+    "BAAI/bge-small-zh-v1.5": 512,
+    "BAAI/bge-small-en-v1.5": 384,
+    "sentence-transformers/all-MiniLM-L6-v2": 384,
+    "jinaai/jina-embeddings-v2-small-en": 512,
+    "jinaai/jina-embeddings-v2-base-zh": 768,
+}
+
+
+def dimension_of(model: str, default: int = 384) -> int:
+    return DIMENSIONS.get(model.strip(), default)
+
+
 def embed(rows: DataFrame, text: str, dimension: int = 512, embedder=None) -> DataFrame:
     """Adds ``embedding``. embedder: texts -> vectors, for a model of the caller's."""
     import pyarrow as pa

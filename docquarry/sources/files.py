@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ SUPPORTED = "txt md markdown html htm docx pptx xlsx epub csv json xml yaml yml
 
 def skipped(path: Column, root: str, extra: tuple[str, ...] = ()) -> Column:
     """Whether a directory below the root is hidden or on a list, in any case."""
-    below = F.regexp_replace(path, "^.*?" + root.rstrip("/").replace(".", r"\."), "")
+    below = F.regexp_replace(path, "^.*?" + re.escape(root.rstrip("/").removeprefix("file:")), "")
     parts = F.filter(F.split(below, "/"), lambda s: s != "")
     dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     return F.exists(dirs, lambda s: F.startswith(s, F.lit(".")) | F.lower(s).isin(*SKIPPED, *[e.lower() for e in extra]))

@@ -1,7 +1,8 @@
 """Documents to blocks: text, Markdown, HTML, DOCX, PPTX, XLSX and EPUB, with the standard library only.
 
 A block is (kind, text, heading, level, page, section). ``blocks`` runs the parsers as one map over
-documents; a document that cannot be parsed gives one block of kind ``error`` instead of failing the job.
+documents; a document that its parser cannot read goes to a plainer reader, and what that cannot read either
+gives one block of kind ``error`` instead of failing the job.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
-from html import escape
+from html import escape, unescape
 from html.parser import HTMLParser
 from typing import NamedTuple
 from xml.etree import ElementTree
@@ -283,9 +284,8 @@ def parse_pptx(data: bytes) -> Iterator[Block]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         main = "ppt/presentation.xml"
         targets = relations(z, main)
-        order = [targets.get(attribute(n, "id"), "") for n in ElementTree.fromstring(z.read(main)).iter() if local(n.tag) == "sldId" for _ in (0,)]
         ids = [next((v for k, v in n.attrib.items() if k.endswith("}id")), "") for n in ElementTree.fromstring(z.read(main)).iter() if local(n.tag) == "sldId"]
-        order = [targets[i] for i in ids if i in targets] or [p for p in order if p]
+        order = [targets[i] for i in ids if i in targets]
         for k, part in enumerate(order, start=1):
             yield Block("heading", f"Slide {k}", f"Slide {k}", 1, k)
             root = ElementTree.fromstring(z.read(part))
@@ -338,20 +338,82 @@ TEXT_PARSERS = {"txt": parse_text, "md": parse_markdown, "markdown": parse_markd
 BINARY_PARSERS = {"docx": parse_docx, "pptx": parse_pptx, "xlsx": parse_xlsx, "epub": parse_epub}
 
 
+def raw_bytes(content: str | bytes) -> bytes:
+    return content.encode() if isinstance(content, str) else bytes(content)
+
+
 def parse(ext: str, content: str | bytes) -> list[Block]:
     """Blocks of one document; an unknown extension is read as plain text."""
     ext = (ext or "").lower().lstrip(".")
     if ext in BINARY_PARSERS:
-        return list(BINARY_PARSERS[ext](bytes(content)))
-    text = content if isinstance(content, str) else bytes(content).decode("utf-8", "ignore")
+        return list(BINARY_PARSERS[ext](raw_bytes(content)))
+    text = content if isinstance(content, str) else raw_bytes(content).decode("utf-8", "ignore")
     return list(TEXT_PARSERS.get(ext, parse_text)(text))
 
 
-def safe_parse(ext: str, content) -> list[Block]:
+BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError, StopIteration, EOFError, OSError)
+#: Parts of an archive and the elements that hold text in them, for reading without a parser (fixed values).
+LOOSE = {
+    "docx": (r"word/(document|header\d*|footer\d*)\.xml", "w:t"),
+    "pptx": (r"ppt/slides/slide\d+\.xml", "a:t"),
+    "xlsx": (r"xl/(sharedStrings|worksheets/[^/]+)\.xml", "t"),
+}
+
+
+def fallback(ext: str, content: str | bytes) -> list[Block]:
+    """The text as a plainer reader finds it: marked-up text without its marks, archives' text elements, other
+    files as they are, which must be UTF-8. Raises ValueError where there is nothing to be had."""
+    ext = (ext or "").lower().lstrip(".")
+    if ext == "pdf":
+        raise ValueError("PDF has no fallback")
+    if ext in LOOSE:
+        parts, tag = LOOSE[ext]
+        with zipfile.ZipFile(io.BytesIO(raw_bytes(content))) as z:
+            names = sorted((n for n in z.namelist() if re.fullmatch(parts, n)), key=lambda n: (len(n), n))
+            found = [squeeze(unescape(t)) for n in names for t in re.findall(rf"<{tag}(?:\s[^>]*)?>([^<]*)</{tag}>", z.read(n).decode("utf-8", "ignore"))]
+        text = "\n".join(t for t in found if t)
+    elif ext == "epub":
+        with zipfile.ZipFile(io.BytesIO(raw_bytes(content))) as z:
+            names = sorted(n for n in z.namelist() if n.lower().endswith((".xhtml", ".html", ".htm")))
+            text = "\n\n".join(strip_tags(z.read(n).decode("utf-8", "ignore")) for n in names)
+    else:
+        text = content if isinstance(content, str) else raw_bytes(content).decode("utf-8")
+        text = strip_tags(text) if ext in ("html", "htm") else text
+    if not text.strip():
+        raise ValueError("no text found")
+    return list(parse_text(text))
+
+
+def strip_tags(text: str) -> str:
+    return unescape(re.sub(r"<[^>]*(?:>|$)", "", text))
+
+
+class Outcome(NamedTuple):
+    """What reading a document came to: parser default, fallback (with a warning) or none (with a reason)."""
+
+    parser: str
+    warning: str | None
+    reason: str | None
+    blocks: list[Block]
+
+
+def read(ext: str, content: str | bytes | None) -> Outcome:
+    """The parser's blocks; where it fails, the fallback's with a warning; where that fails too, the reason."""
+    content = content if content is not None else ""
+    try:
+        return Outcome("default", None, None, parse(ext, content))
+    except BROKEN as e:
+        first = f"{type(e).__name__}: {e}"
     try:
-        return parse(ext, content if content is not None else "")
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError) as e:
-        return [Block("error", f"{type(e).__name__}: {e}")]
+        return Outcome("fallback", f"主解析失败，已使用备用解析: {first}", None, fallback(ext, content))
+    except BROKEN as e:
+        return Outcome("none", None, f"{first}; {type(e).__name__}: {e}", [])
+
+
+def safe_parse(ext: str, content) -> list[Block]:
+    """The blocks that ``read`` finds; a document that cannot be read is one block of kind error."""
+    found = read(ext, content)
+    return found.blocks if found.reason is None else [Block("error", found.reason)]
 
 
 def blocks(documents: DataFrame, content: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ def test_engine(spark, tmp_path):
     assert e.refresh(str(folder)) == {"insert": 2}
     assert e.refresh(str(folder)) == {"skip": 2}
     e.rebuild_vectors()
-    assert e.status().first().asDict() == {"documents": 2, "chunks": 2, "vectors": 2, "needs_rebuild": False}
+    assert e.status().first().asDict() == {"documents": 2, "chunks": 2, "vectors": 2, "failures": 0, "needs_rebuild": False}
     queries = spark.createDataFrame([(1, "harbour port"), (2, "rain")], "query_id long, query_text string")
     got = {(r["query_id"], r["final_rank"]): r for r in e.search(queries, 5, now=2_000_000_000).collect()}
     assert got[1, 1]["path"].endswith("a.md") and got[2, 1]["path"].endswith("b.txt")
@@ -26,6 +26,73 @@ def test_engine(spark, tmp_path):
     assert [r["snippet"] for r in e.table("chunks").collect()] == ["Changed words here."]
 
 
+def test_failures_previews_and_directories(spark, tmp_path):
+    folder = tmp_path / "docs"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "a.md").write_text("# Harbour\n\nThe harbour needs a pilot.\n\n![map](img/map.png)\n")
+    (folder / "sub" / "bad.docx").write_bytes(b"not a zip")
+    e = Engine(spark, f"file://{tmp_path}/store", dimension=32)
+    assert e.manifest()["version"] == 0 and e.table("chunks").count() == 0
+    assert e.refresh(str(folder)) == {"insert": 2}
+    failed = e.table("failures").collect()
+    assert [(r["file"].endswith("bad.docx"), r["retry_count"]) for r in failed] == [(True, 1)]
+    assert e.retry(str(folder)) == {"update": 1} and e.table("failures").first()["retry_count"] == 2
+    path = e.documents().first()["path"]
+    shown = e.chunks(path).collect()
+    assert [b["kind"] for r in shown for b in r["blocks"]] == ["paragraph", "image"]
+    assert shown[0]["blocks"][1]["asset"].endswith("/docs/map") and e.chunks("nowhere").count() == 0
+    e.add_directories([f"file:{folder}"])
+    e.refresh_directories()
+    row = e.table("dirs").first()
+    assert (row["docs"], row["chunks"], row["status"], row["enabled"]) == (1, 1, "indexed", True)
+    e.enable(f"file:{folder}", False)
+    assert not e.table("dirs").first()["enabled"]
+    e.commit({"index": e.table("index").limit(0)})
+    assert e.needs_repair()
+    e.repair()
+    e.rebuild_vectors()
+    q = spark.createDataFrame([(1, "harbour pilot")], "query_id long, query_text string")
+    told = e.explain_search(q, 5, now=2_000_000_000).first()
+    assert told["keyword_hits"] == 1 and told["hits"] >= 1 and told["dimension"] == 32
+    scopes = spark.createDataFrame([(1, "/elsewhere"), (2, f"FILE:{folder}")], "query_id long, scope string")
+    asked = spark.createDataFrame([(1, "harbour pilot"), (2, "harbour pilot"), (3, "harbour pilot")], "query_id long, question string")
+    states = {r["query_id"]: r["state"] for r in e.ask(asked, scopes=scopes).collect()}
+    assert states == {1: "insufficient_evidence", 2: "answered", 3: "answered"}
+    e.use_model("BAAI/bge-small-zh-v1.5")
+    assert e.table("vectors").count() == 0 and e.manifest()["vectors"]["dimension"] == 512
+    e.remove_directory(f"file:{folder}")
+    assert e.table("documents").count() == e.table("failures").count() == e.table("dirs").count() == 0
+    e.clear()
+    assert e.status().first()["chunks"] == 0
+
+
+def test_a_paused_run_goes_on(spark, tmp_path):
+    from docquarry.operators.tasks import Task
+
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    for k in range(4):
+        (folder / f"{k}.txt").write_text(f"text number {k}")
+    e, marks = Engine(spark, f"file://{tmp_path}/store", dimension=16), {}
+    stop = iter([False, True])
+    task = e.run(str(folder), 4, Task("all"), lambda: next(stop, True), marks.update)
+    assert task.state == "paused" and 0 < len(marks) < 4 and all(marks.values())
+    done = spark.createDataFrame([(p,) for p in marks], "path string")
+    started = task.started_at
+    task = e.run(str(folder), 4, task.resumed(), lambda: False, marks.update, done)
+    assert task.state == "done" and len(marks) == 4 and task.started_at == started and task.percent == 100
+    assert e.table("documents").count() == 4
+
+
+def test_read_errors_are_not_empty_collections(spark, tmp_path):
+    (tmp_path / "store" / "_manifests").mkdir(parents=True)
+    (tmp_path / "store" / "_manifests" / "part-0.txt").write_text("{broken\n")
+    import pytest
+
+    with pytest.raises(ValueError):
+        Engine(spark, f"file://{tmp_path}/store").table("documents")
+
+
 def test_sql_functions(spark):
     register(spark)
     row = spark.sql("SELECT search_tokens('A b 中文字') AS t, cosine(array(1D, 0D), array(1D, 0D)) AS c, citation_ids('x [1] [2] [1]') AS i, truncate_chars('abc', 2) AS s, size(hash_embed('x y', 8)) AS h").first()
