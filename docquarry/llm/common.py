@@ -18,8 +18,19 @@ PORTION = 1 << 20
 HOT = 4096
 
 
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def lean(spark: SparkSession) -> None:
+    """Small Arrow batches for the session, unless it has another size than Spark's own: a batch stands in the
+    JVM's direct memory and in the worker at once, and neither gives back what a large one took."""
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by a path that only Spark has to be able to read."""
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
+    lean(spark)
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
