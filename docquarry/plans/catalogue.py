@@ -250,7 +250,26 @@ def like_relevance_topk(spark, sf_dir):
     return retrieval.top_k(scored, LIMIT, [F.desc("raw"), F.desc("modified_at"), F.asc("chunk_id")]).select("query_id", "chunk_id", "raw", "overlap", "core", "rank")
 
 
-@query()
+EVIDENCE = f"""{CHUNKS}, q AS (SELECT item_id AS query_id, lower(text) AS low, {TOKENS.format('text')} AS own FROM benchmark),
+p AS (SELECT query_id, 0 AS part, list_distinct(list_concat(own, CASE WHEN contains(low, 'repo') OR contains(low, 'offline') THEN ['offline', 'repo', 'repository', 'local repository'] ELSE [] END,
+ CASE WHEN contains(low, 'semantic') OR contains(low, 'embedding') THEN ['semantic search', 'embedding', 'vector'] ELSE [] END, CASE WHEN contains(low, 'chunk') THEN ['chunk', 'paragraph', 'snippet'] ELSE [] END,
+ CASE WHEN contains(low, 'markdown') OR contains(low, 'md') THEN ['markdown', 'md'] ELSE [] END, CASE WHEN contains(low, 'docx') OR contains(low, 'word') THEN ['docx', 'word'] ELSE [] END, CASE WHEN contains(low, 'html') THEN ['html'] ELSE [] END)) AS terms, list_filter(own, lambda t: length(t) >= 2) AS core FROM q
+ UNION ALL SELECT query_id, -1, list_filter(own, lambda t: length(t) >= 2), list_filter(own, lambda t: length(t) >= 2) FROM q),
+c AS (SELECT chunk_id, doc_id, seq, path, snippet, modified_at, lower(file_name) AS f, lower(path) AS p, lower(snippet) AS s FROM chunks),
+x AS (SELECT query_id, part, chunk_id, path, seq, snippet, modified_at, CAST(list_sum(list_transform(terms, lambda t: CASE WHEN contains(f, t) THEN 3 WHEN contains(p, t) THEN 2 WHEN contains(s, t) THEN 1 ELSE 0 END)) AS BIGINT) AS raw,
+ CAST(list_sum(list_transform(terms, lambda t: CASE WHEN length(t) < 2 THEN 0 WHEN contains(f, t) THEN 3 WHEN contains(p, t) OR contains(s, t) THEN 1 ELSE 0 END)) AS BIGINT) AS overlap,
+ len(list_filter(core, lambda t: contains(f, t) OR contains(p, t) OR contains(s, t))) AS core FROM c, (SELECT * FROM p) AS pq),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, part ORDER BY raw DESC, modified_at DESC, chunk_id) AS place FROM x WHERE raw > 0),
+m AS (SELECT query_id, chunk_id, any_value(path) AS path, any_value(seq) AS seq, any_value(snippet) AS snippet, max(raw) AS best, count(*) AS hits, max(overlap) AS overlap, max(core) AS core FROM k WHERE place <= CASE WHEN part < 0 THEN 80 ELSE 50 END GROUP BY 1, 2),
+g AS (SELECT *, round(best + 0.18::DOUBLE * greatest(hits - 1, 0) + 0.08::DOUBLE * least(overlap, 8) + 0.65::DOUBLE * least(core, 4), 6) AS score FROM m),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY core > 0 DESC, score DESC, chunk_id) AS in_doc FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY core > 0 DESC, score DESC, chunk_id) AS rank FROM d WHERE in_doc <= 2),
+w AS (SELECT *, seq - row_number() OVER (PARTITION BY query_id, path ORDER BY seq) AS island FROM r WHERE rank <= 16),
+i AS (SELECT query_id, path, min(seq) AS first_seq, max(seq) AS last_seq, min(rank) AS rank, CASE WHEN count(*) = 1 THEN min(snippet) ELSE array_to_string(list_transform(list(snippet ORDER BY seq), lambda t, n: '连续段落 ' || n || ': ' || t), chr(10)) END AS text FROM w GROUP BY query_id, path, island),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, path, first_seq) AS source_id FROM i)"""
+
+
+@query(f"WITH {EVIDENCE} SELECT query_id, source_id, path, first_seq, last_seq, text FROM o WHERE source_id <= 8")
 def evidence_context(spark, sf_dir):
     """Recall, selection and packing of evidence for every benchmark passage."""
     chunks = C.chunks(spark, sf_dir)
@@ -288,13 +307,22 @@ def vector_norms(spark, sf_dir):
     return C.table(spark, sf_dir, "embeddings").select("vec_id", F.round(S.norm("embedding"), 6).alias("norm"))
 
 
-@query()
+HASHED = f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(translate(trim(regexp_replace(text, {SPACE}, ' ', 'g')), '{X.UPPER}', '{X.LOWER}'), '[A-Za-z0-9_]+'), lambda w: lower(w)) AS words FROM documents),
+w AS (SELECT doc_id, word, count(*) AS times FROM (SELECT doc_id, unnest(words) AS word FROM t) GROUP BY 1, 2),
+h AS (SELECT doc_id, CAST('0x' || substr(sha256(word), 1, 2) AS INT) % 64 AS place, CASE WHEN CAST('0x' || substr(sha256(word), 17, 2) AS INT) % 2 = 0 THEN times ELSE -times END AS part FROM w),
+p AS (SELECT doc_id, place, sign(sum(part)) AS s FROM h GROUP BY 1, 2),
+f AS (SELECT d.doc_id, i AS place, coalesce(s, 0) AS s FROM documents d CROSS JOIN range(64) r(i) LEFT JOIN p ON p.doc_id = d.doc_id AND p.place = i)"""
+
+
+@query(HASHED + " SELECT doc_id, CAST(count(*) FILTER (s <> 0) AS BIGINT) AS places, string_agg(CASE WHEN s > 0 THEN '+' WHEN s < 0 THEN '-' ELSE '0' END, '' ORDER BY place) AS signs, max(CASE WHEN s <> 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS norm FROM f GROUP BY 1")
 def hash_embeddings(spark, sf_dir):
-    """Feature-hashed vectors of all documents, as norm and digest."""
+    """Feature-hashed vectors of all documents: places in use, signs and norm."""
     from docquarry.sources.embedding import embed
 
     d = C.table(spark, sf_dir, "documents").select("doc_id", X.normalize_embedding_text("text").alias("text"))
-    return embed(d, "text", 64).select("doc_id", F.round(S.norm("embedding"), 6).alias("norm"), F.md5(F.array_join(F.transform("embedding", lambda v: F.format_string("%.5f", v)), ",").cast("binary")).alias("digest"))
+    signs = F.array_join(F.transform("embedding", lambda v: F.when(v > 0, "+").when(v < 0, "-").otherwise("0")), "")
+    used = F.size(F.filter("embedding", lambda v: v != 0)).cast("long")
+    return embed(d, "text", 64).select("doc_id", used.alias("places"), signs.alias("signs"), F.round(S.norm("embedding"), 5).alias("norm"))
 
 
 # --- fusion and ranking ---------------------------------------------------------------------------------
@@ -342,16 +370,54 @@ def group_by_document(spark, sf_dir):
     return retrieval.group_by_document(rows.withColumnRenamed("vec_id", "chunk_id"), "fused").select("query_id", F.col("path").alias("label"), "hits", "total_score", "top_score")
 
 
-@query()
+HYBRID = f"""WITH {DOCS}, q0 AS (SELECT item_id AS query_id, lower(text) AS low, {TOKENS.format('text')} AS own FROM benchmark),
+q1 AS (SELECT query_id, own, array_to_string(list_concat(own, CASE WHEN contains(low, 'repo') OR contains(low, 'offline') THEN ['offline', 'repo', 'repository', 'local repository'] ELSE [] END,
+ CASE WHEN contains(low, 'semantic') OR contains(low, 'embedding') THEN ['semantic search', 'embedding', 'vector'] ELSE [] END, CASE WHEN contains(low, 'chunk') THEN ['chunk', 'paragraph', 'snippet'] ELSE [] END,
+ CASE WHEN contains(low, 'markdown') OR contains(low, ' md ') THEN ['markdown', 'md'] ELSE [] END, CASE WHEN contains(low, 'docx') OR contains(low, 'word') THEN ['docx', 'word'] ELSE [] END, CASE WHEN contains(low, 'html') THEN ['html'] ELSE [] END), ' ') AS t FROM q0),
+q AS (SELECT query_id, unnest({TOKENS.format('t')}) AS term, len({TOKENS.format('t')}) AS n_terms FROM q1),
+t AS (SELECT doc_id, {TOKENS.format("(file_name || ' ' || path || ' ' || text)")} AS terms FROM docs), s AS (SELECT count(*) AS n_docs, avg(len(terms)) AS mean_length FROM t),
+p AS (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM t), pq AS (SELECT * FROM p WHERE term IN (SELECT term FROM q) AND strlen(term) <= 40),
+df AS (SELECT term, count(*) AS df FROM pq GROUP BY 1),
+m AS (SELECT query_id, doc_id, n_terms, count(*) AS matched, CAST(sum(CAST(ln(1.0::DOUBLE + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * 2.2::DOUBLE / (1.0::DOUBLE + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean_length)) AS DECIMAL(28,12))) AS DOUBLE) AS score
+ FROM q JOIN df USING (term) JOIN pq USING (term), s GROUP BY 1, 2, 3),
+f AS (SELECT *, matched = n_terms AS complete, max(CASE WHEN matched = n_terms THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS has_all FROM m),
+k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS keyword_rank FROM f WHERE complete OR has_all = 0),
+v AS (SELECT b.item_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(CAST(z.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS cosine FROM benchmark b JOIN embeddings z ON z.vec_id = b.item_id, embeddings e),
+vs AS (SELECT query_id, doc_id, round(CASE WHEN 1 - cosine <= 0 THEN 1.0 ELSE 1.0 / (1.0 + (1.0 - cosine)) END, 6) AS score FROM v),
+vr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS semantic_rank FROM vs),
+u AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, keyword_rank, semantic_rank, coalesce(0.7::DOUBLE / (60 + keyword_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) AS fused
+ FROM (SELECT * FROM k WHERE keyword_rank <= {LIMIT}) a FULL JOIN (SELECT * FROM vr WHERE semantic_rank <= 160) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
+ev AS (SELECT user_id AS doc_id, count(*) AS opens FROM events WHERE event_type = 'view' GROUP BY 1),
+g AS (SELECT u.*, path, modified_at, file_name, own AS terms, lower(text) AS lt, lower(file_name) AS lf, lower(path) AS lp, quality IS NOT NULL AS favorite, coalesce(opens, 0) AS opens FROM u JOIN docs USING (doc_id) JOIN q1 USING (query_id) LEFT JOIN (SELECT doc_id, quality FROM labels WHERE quality = 1) USING (doc_id) LEFT JOIN ev USING (doc_id)),
+o AS (SELECT *, CASE WHEN keyword_rank IS NULL THEN '语义命中' WHEN len(list_filter(terms, lambda t: contains(lt, t))) > 0 THEN '正文摘要命中' WHEN len(list_filter(terms, lambda t: contains(lf, t))) > 0 THEN '标题命中' WHEN len(list_filter(terms, lambda t: contains(lp, t))) > 0 THEN '路径命中' ELSE '正文摘要命中' END AS match_origin,
+ len(list_filter(terms, lambda t: contains(lf, t))) AS in_name, len(list_filter(terms, lambda t: contains(lp, t))) AS in_path, len(terms) AS n FROM g),
+z AS (SELECT *, round(fused * 1.0::DOUBLE + (CASE match_origin WHEN '标题命中' THEN 0.32 WHEN '正文摘要命中' THEN 0.18 WHEN '路径命中' THEN 0.08 ELSE 0.12 END)::DOUBLE + (CASE WHEN modified_at > 0 AND {NOW} > modified_at THEN 0.15 / (1 + least(({NOW} - modified_at) / 86400.0, 3650) / 30.0) ELSE 0.05 END)::DOUBLE
+ + ((CASE WHEN favorite THEN 0.12 ELSE 0 END)::DOUBLE + (CASE WHEN opens >= 3 THEN 0.06 WHEN opens > 0 THEN 0.04 ELSE 0 END)::DOUBLE)
+ + (CASE WHEN n > 0 AND in_name = n THEN 0.32 WHEN in_name > 0 THEN 0.18 ELSE 0 END)::DOUBLE + (CASE WHEN n > 0 AND in_name = n THEN 0.45 WHEN in_name > 0 THEN 0.25 ELSE 0 END)::DOUBLE, 6) AS final_score FROM o),
+y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, keyword_rank NULLS LAST, semantic_rank NULLS LAST, doc_id) AS final_rank FROM z)"""
+
+
+@query(
+    HYBRID
+    + f""" SELECT query_id, doc_id AS chunk_id, final_rank, CAST(0 AS BIGINT) AS rank_delta, final_score, match_origin,
+ concat_ws(' · ', match_origin, CASE WHEN n > 0 AND in_name = n THEN '文件名完整命中' WHEN n > 0 AND in_path = n THEN '路径完整命中' END, CASE WHEN keyword_rank IS NOT NULL AND semantic_rank IS NOT NULL THEN '全文+语义共同命中' WHEN semantic_rank IS NOT NULL THEN '语义召回' END,
+ CASE WHEN favorite THEN '已收藏优先' END, CASE WHEN opens >= 3 THEN '最近打开 ' || opens || ' 次' WHEN opens > 0 THEN '最近打开' END, CASE WHEN modified_at > 0 AND {NOW} > modified_at AND {NOW} - modified_at < 30 * 86400 THEN '最近更新' END) AS reason FROM y WHERE final_rank <= {LIMIT}"""
+)
 def hybrid_search(spark, sf_dir):
-    """The whole search over all documents for the benchmark's passages, with favourites and opens."""
+    """The whole search over all documents for the benchmark's passages, with a semantic list, favourites and opens.
+
+    A document's vector is the one of its number, a passage's likewise.
+    """
     d = C.documents(spark, sf_dir)
     chunks = d.select(F.col("doc_id").alias("chunk_id"), "path", "file_name", F.col("file_name").alias("heading"), F.col("text").alias("snippet"), F.concat_ws(" ", "file_name", "path", "text").alias("text"), "modified_at", F.lit(1.0).alias("chunk_score"))
+    vectors = C.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = vectors.join(C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    semantic = retrieval.cosine_search(asked, vectors, retrieval.recall_limit(LIMIT), "chunk_id")
     labels = C.table(spark, sf_dir, "labels")
     favorites = d.join(labels.filter("quality = 1"), "doc_id", "left_semi").select("path")
     opens = C.events(spark, sf_dir).filter("event_type = 'view'").groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").cast("int").alias("open_count")).join(d.select("doc_id", "path"), "doc_id").select("path", "open_count")
-    found = retrieval.hybrid_search(C.queries(spark, sf_dir), chunks, LIMIT, NOW, favorites=favorites, opens=opens)
-    return found.select("query_id", "chunk_id", "final_rank", "rank_delta", "final_score", "match_origin", retrieval.rank_reason().alias("reason"))
+    found = retrieval.hybrid_search(C.queries(spark, sf_dir), chunks, LIMIT, NOW, semantic, favorites, opens)
+    return found.select("query_id", "chunk_id", "final_rank", "rank_delta", "final_score", "match_origin", retrieval.rank_reason(NOW).alias("reason"))
 
 
 BONUS = f"WITH {DOCS}, d AS (SELECT doc_id, lower(path) AS p, ['corpus', 'src' || (doc_id % 20)] AS terms FROM docs)"
@@ -390,7 +456,18 @@ def highlight_spans(spark, sf_dir):
     return spans.select("chunk_id", F.size("s").cast("long").alias("spans"), F.col("s")[0]["start"].cast("long").alias("first_start"))
 
 
-@query()
+#: The two terms share no letter, so merged spans are runs of them.
+SNIPPETS = f"""{CHUNKS}, a AS (SELECT chunk_id, snippet, length(snippet) AS n, list_transform(regexp_extract_all(lower(snippet), '(?:tion|ch)+'), lambda x: length(x)) AS m, list_transform(string_split_regex(lower(snippet), '(?:tion|ch)+'), lambda x: length(x)) AS g FROM chunks),
+b AS (SELECT *, list_transform(range(1, len(m) + 1), lambda i: CAST(list_sum(g[1:i]) + coalesce(list_sum(m[1:i - 1]), 0) AS BIGINT)) AS starts FROM a),
+c AS (SELECT *, list_transform(range(1, len(m) + 1), lambda i: starts[i] + m[i]) AS ends FROM b),
+d AS (SELECT *, starts[1] AS s0, ends[len(m)] AS e0, greatest(220 - (ends[len(m)] - starts[1]), 0) AS room FROM c),
+e AS (SELECT *, greatest(s0 - (room * 2) // 5, 0) AS a1, least(e0 + (room - (room * 2) // 5), n) AS b1 FROM d),
+f AS (SELECT *, greatest(220 - (b1 - a1), 0) AS short FROM e),
+h AS (SELECT *, greatest(a1 - short // 2, 0) AS a2, least(b1 + (short - short // 2), n) AS b2 FROM f),
+i AS (SELECT *, CASE WHEN len(m) = 0 OR n <= 220 THEN 0 ELSE a2 END AS lo, CASE WHEN len(m) = 0 THEN least(n, 220) WHEN n <= 220 THEN n ELSE least(b2, a2 + 220) END AS hi FROM h)"""
+
+
+@query(f"WITH {SNIPPETS} SELECT chunk_id, CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(snippet, CAST(lo + 1 AS BIGINT), CAST(hi - lo AS BIGINT)) || CASE WHEN hi < n THEN '…' ELSE '' END AS snippet, CAST(len(list_filter(range(1, len(m) + 1), lambda k: ends[k] > lo AND starts[k] < hi)) AS BIGINT) AS spans FROM i")
 def search_snippets(spark, sf_dir):
     d = C.chunks(spark, sf_dir).select("chunk_id", "snippet", X.highlight_spans("snippet", F.array(F.lit("tion"), F.lit("ch"))).alias("s"))
     cut = d.select("chunk_id", X.search_snippet("snippet", F.col("s")).alias("c"))

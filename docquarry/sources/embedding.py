@@ -27,12 +27,15 @@ def digest(feature: str) -> tuple[int, float]:
 
 
 def hash_vector(text: str, dimension: int) -> list[float]:
-    """Each feature adds or takes 1/sqrt(n) at a place, both given by its SHA-256; then unit length."""
+    """Each feature adds or takes one at a place, both given by its SHA-256; then unit length.
+
+    A weight of 1/sqrt(n) for each would cancel out; whole numbers cancel exactly.
+    """
     found = features(text)
     v = np.zeros(dimension)
     for f, times in Counter(found).items():
         number, sign = digest(f)
-        v[number % dimension] += sign * times / len(found) ** 0.5
+        v[number % dimension] += sign * times
     n = float(np.sqrt((v * v).sum()))
     return (v / n if n else v).tolist()
 

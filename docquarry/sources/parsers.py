@@ -335,6 +335,7 @@ def parse_epub(data: bytes) -> Iterator[Block]:
 
 
 TEXT_PARSERS = {"txt": parse_text, "md": parse_markdown, "markdown": parse_markdown, "html": parse_html, "htm": parse_html}
+UNREAD = ("pdf", "doc", "ppt")  # need a library or a host program
 BINARY_PARSERS = {"docx": parse_docx, "pptx": parse_pptx, "xlsx": parse_xlsx, "epub": parse_epub}
 
 
@@ -345,6 +346,8 @@ def raw_bytes(content: str | bytes) -> bytes:
 def parse(ext: str, content: str | bytes) -> list[Block]:
     """Blocks of one document; an unknown extension is read as plain text."""
     ext = (ext or "").lower().lstrip(".")
+    if ext in UNREAD:
+        raise ValueError(f"no reader for {ext} files")
     if ext in BINARY_PARSERS:
         return list(BINARY_PARSERS[ext](raw_bytes(content)))
     text = content if isinstance(content, str) else raw_bytes(content).decode("utf-8", "ignore")
