@@ -31,15 +31,6 @@ def patch(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return base.join(new, key, "left").select(key, *[F.coalesce(f"_new_{c}", c).alias(c) if c in changes.columns else F.col(c) for c in fields])
 
 
-def without(rows: DataFrame, gone: DataFrame, key: str | list[str]) -> DataFrame:
-    return rows.join(gone, key, "left_anti")
-
-
-def facets(items: DataFrame, tag: str) -> DataFrame:
-    """Items per tag, most first."""
-    return items.groupBy(tag).agg(F.count("*").alias("n"))
-
-
 def assign_tags(tags: DataFrame, items: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """wanted: target, name. Finds tags by name in any case or creates them; each triple once."""
     named = wanted.select("target", X.display_name("name", "未命名").alias("name")).withColumn("low", F.lower("name"))

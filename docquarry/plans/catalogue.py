@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import scoring as S
 from docquarry.functions import text as X
-from docquarry.operators import activity, answers, indexing, library, retrieval
+from docquarry.operators import activity, answers, indexing, library, lists, retrieval
 from docquarry.plans import corpus as C
 from docquarry.plans.registry import ORACLES, QUERIES, query
 from docquarry.sources import chunking, parsers
@@ -40,10 +40,21 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text ---------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, len({TOKENS.format('text')}) AS n_tokens, md5(array_to_string(list_sort({TOKENS.format('text')}), ' ')) AS digest FROM documents")
+#: Tokens in the order of their first places; a Han run before the text gives pairs, a single Han character itself.
+IN_ORDER = "list_filter({0}, lambda t, i: list_position({0}, t) = i)"
+HAN_TOKENS = "list_concat(['中文', '文字', 'x', '好'], list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda t: lower(t)))"
+
+
+@query(f"WITH t AS (SELECT doc_id, {HAN_TOKENS} AS every FROM documents), u AS (SELECT doc_id, {IN_ORDER.format('every')} AS terms FROM t) SELECT doc_id, len(terms) AS n_tokens, md5(array_to_string(terms, ' ')) AS digest FROM u")
 def tokenize_documents(spark, sf_dir):
-    t = C.table(spark, sf_dir, "documents").select("doc_id", X.search_tokens("text").alias("t"))
-    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join(F.array_sort("t"), " ").cast("binary")).alias("digest"))
+    """Every document behind a few Han characters; the order of the tokens counts."""
+    t = C.table(spark, sf_dir, "documents").select("doc_id", X.search_tokens(F.concat(F.lit("中文字x 好 "), "text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
+
+
+@query(f"WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda t: lower(t)) AS every FROM documents) SELECT doc_id, md5(array_to_string({IN_ORDER.format('every')}, ' ')) AS digest FROM t")
+def normalize_queries(spark, sf_dir):
+    return C.table(spark, sf_dir, "documents").select("doc_id", F.md5(X.normalize_search_text("text").cast("binary")).alias("digest"))
 
 
 @query(f"SELECT doc_id, md5(translate(trim(regexp_replace(text, {SPACE}, ' ', 'g')), '{X.UPPER}', '{X.LOWER}')) AS digest FROM documents")
@@ -78,16 +89,19 @@ def text_hash(spark, sf_dir):
 
 
 @query(
-    "SELECT conv_id, turn, len(list_filter(list_transform(string_split_regex(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s)), lambda s: s <> '')) AS n_sentences FROM conversations"
+    "SELECT conv_id, turn, md5(array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s)), lambda s: s <> ''), '|')) AS digest FROM conversations"
 )
 def split_sentences(spark, sf_dir):
-    return C.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(X.split_sentences("text")).cast("long").alias("n_sentences"))
+    return C.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.array_join(X.split_sentences("text"), "|").cast("binary")).alias("digest"))
+
+
+CITED = "regexp_extract_all(text || ' [' || turn || '] [1] [1]', '\\[(\\d+)\\]', 1)"
 
 
-@query("SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(text || ' [' || turn || '] [1] [1]', '\\[(\\d+)\\]', 1))), ',') AS ids FROM conversations")
+@query(f"SELECT conv_id, turn, array_to_string({IN_ORDER.format(CITED)}, ',') AS ids FROM conversations")
 def citation_ids(spark, sf_dir):
     marked = F.concat(F.col("text"), F.lit(" ["), F.col("turn").cast("string"), F.lit("] [1] [1]"))
-    return C.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(X.citation_ids(marked)), ",").alias("ids"))
+    return C.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.citation_ids(marked), ",").alias("ids"))
 
 
 @query("SELECT doc_id, strftime(make_timestamp((doc_id * 86400 + 1704067200) * 1000000), '%Y-%m-%d %H:%M:%S') AS shown FROM documents")
@@ -121,12 +135,12 @@ def classify_failure(spark, sf_dir):
 
 @query(
     f"""WITH q AS (SELECT item_id, lower(text) AS low, text FROM benchmark)
-SELECT item_id, len(list_distinct(list_concat({TOKENS.format('text')}, CASE WHEN contains(low, 'repo') OR contains(low, 'offline') THEN ['offline', 'repo', 'repository', 'local repository'] ELSE [] END,
+SELECT item_id, array_to_string(list_sort(list_distinct(list_concat({TOKENS.format('text')}, CASE WHEN contains(low, 'repo') OR contains(low, 'offline') THEN ['offline', 'repo', 'repository', 'local repository'] ELSE [] END,
  CASE WHEN contains(low, 'semantic') OR contains(low, 'embedding') THEN ['semantic search', 'embedding', 'vector'] ELSE [] END, CASE WHEN contains(low, 'chunk') THEN ['chunk', 'paragraph', 'snippet'] ELSE [] END,
- CASE WHEN contains(low, 'markdown') OR contains(low, ' md ') THEN ['markdown', 'md'] ELSE [] END, CASE WHEN contains(low, 'docx') OR contains(low, 'word') THEN ['docx', 'word'] ELSE [] END, CASE WHEN contains(low, 'html') THEN ['html'] ELSE [] END))) AS n_terms FROM q"""
+ CASE WHEN contains(low, 'markdown') OR contains(low, ' md ') THEN ['markdown', 'md'] ELSE [] END, CASE WHEN contains(low, 'docx') OR contains(low, 'word') THEN ['docx', 'word'] ELSE [] END, CASE WHEN contains(low, 'html') THEN ['html'] ELSE [] END))), '|') AS terms FROM q"""
 )
 def rewrite_queries(spark, sf_dir):
-    return C.table(spark, sf_dir, "benchmark").select("item_id", F.size(X.rewrite_terms("text")).cast("long").alias("n_terms"))
+    return C.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_sort(X.rewrite_terms("text")), "|").alias("terms"))
 
 
 # --- paths and directories ------------------------------------------------------------------------------
@@ -170,18 +184,24 @@ def inherited_enabled(spark, sf_dir):
     return indexing.inherit_enabled(leaf, explicit)
 
 
-SNAPSHOTS = """a AS (SELECT 'd' || doc_id AS path, length(text) AS size, doc_id AS modified_at, sha256(text) AS hash FROM documents WHERE doc_id % 7 <> 0),
-b AS (SELECT 'd' || doc_id AS path, length(text) AS size, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE doc_id END AS modified_at, sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0)"""
+#: Now and then: labelled good documents are new, toxic ones had another name, labelled bad ones another time.
+SNAPSHOTS = """l AS (SELECT doc_id, length(text) AS size, sha256(text) AS hash, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+a AS (SELECT 'd' || doc_id AS path, size, doc_id AS modified_at, hash FROM l),
+b AS (SELECT CASE WHEN toxic = 1 THEN 'old-' ELSE '' END || 'd' || doc_id AS path, size, CASE WHEN quality = 0 THEN -1 ELSE doc_id END AS modified_at, hash FROM l WHERE quality IS NULL OR quality <> 1 OR toxic = 1)"""
 
 
 @query(
     f"WITH {SNAPSHOTS} SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'delete' WHEN b.path IS NULL THEN 'insert' WHEN a.size <> b.size OR a.modified_at <> b.modified_at OR a.hash <> b.hash THEN 'update' ELSE 'skip' END AS action FROM a FULL JOIN b ON a.path = b.path"
 )
 def incremental_plan(spark, sf_dir):
-    """Two snapshots of the documents, made to differ."""
-    d = C.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.char_length("text").alias("size"), F.col("doc_id").alias("modified_at"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
-    known = d.filter("doc_id % 3 <> 0").withColumn("modified_at", F.when(F.col("doc_id") % 5 == 0, -1).otherwise(F.col("modified_at")))
-    return indexing.incremental_plan(d.filter("doc_id % 7 <> 0"), known)
+    """Two snapshots of all documents that differ by what the labels say."""
+    d = C.table(spark, sf_dir, "documents").join(C.table(spark, sf_dir, "labels"), "doc_id", "left")
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    d = d.select(name.alias("path"), F.char_length("text").alias("size"), F.col("doc_id").alias("modified_at"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"), "quality", "toxic")
+    renamed, touched = F.coalesce(F.col("toxic") == 1, F.lit(False)), F.coalesce(F.col("quality") == 0, F.lit(False))
+    known = d.filter(~F.coalesce(F.col("quality") == 1, F.lit(False)) | renamed)
+    known = known.withColumn("path", F.when(renamed, F.concat(F.lit("old-"), "path")).otherwise(F.col("path"))).withColumn("modified_at", F.when(touched, -1).otherwise(F.col("modified_at")))
+    return indexing.incremental_plan(d, known)
 
 
 @query(f"WITH {DOCS} SELECT doc_id, path, CASE WHEN quality = 1 THEN 'new' ELSE 'old' END AS version FROM docs LEFT JOIN labels USING (doc_id)")
@@ -440,20 +460,17 @@ def rerank_bonus(spark, sf_dir):
     return lab.select("doc_id", F.round(S.preference(F.col("quality") == 1, F.col("doc_id") % 5, F.col("toxic") == 1), 6).alias("bonus"))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, CASE WHEN contains(lower(text), 'the') THEN '正文摘要命中' WHEN contains(file_name, '7') THEN '标题命中' WHEN contains(lower(path), 'the') OR contains(lower(path), '7') THEN '路径命中' ELSE '正文摘要命中' END AS origin FROM docs")
+@query(f"WITH {DOCS} SELECT doc_id, CASE WHEN contains(lower(left(text, 40)), '7') THEN '正文摘要命中' WHEN contains(substr(text, 41, 200), '7') THEN '标题命中' WHEN contains(file_name, '7') THEN '文件名命中' WHEN contains(path, '7') THEN '路径命中' ELSE '正文摘要命中' END AS origin FROM docs")
 def match_origin(spark, sf_dir):
-    d = C.documents(spark, sf_dir).withColumn("heading", F.when(F.contains("file_name", F.lit("7")), "the").otherwise(""))
-    by_name = retrieval.origin("text", "heading", "heading", "path", F.array(F.lit("the")))
-    other = F.when(F.contains(F.lower("path"), F.lit("7")) & ~F.contains(F.lower("text"), F.lit("the")) & (F.col("heading") == ""), "路径命中")
-    return d.select("doc_id", F.coalesce(other, by_name).alias("origin"))
+    d = C.documents(spark, sf_dir).select("doc_id", "file_name", "path", F.substring("text", 1, 40).alias("snippet"), F.substring("text", 41, 200).alias("heading"))
+    return d.select("doc_id", retrieval.origin("snippet", "heading", "file_name", "path", F.array(F.lit("7"))).alias("origin"))
 
 
-@query(f"WITH {CHUNKS} SELECT chunk_id, CAST(len(string_split(lower(snippet), 'the')) - 1 AS BIGINT) AS spans, CAST(instr(lower(snippet), 'the') - 1 AS BIGINT) AS first_start FROM chunks WHERE contains(lower(snippet), 'the') AND NOT contains(lower(snippet), 'thethe')")
+@query(f"WITH {CHUNKS} SELECT chunk_id, CAST(len(regexp_extract_all(lower(snippet), '(?:the)+')) AS BIGINT) AS spans, CASE WHEN contains(lower(snippet), 'the') THEN CAST(instr(lower(snippet), 'the') - 1 AS BIGINT) END AS first_start FROM chunks")
 def highlight_spans(spark, sf_dir):
-    low = F.lower("snippet")
-    d = C.chunks(spark, sf_dir).filter(F.contains(low, F.lit("the")) & ~F.contains(low, F.lit("thethe")))
-    spans = d.select("chunk_id", X.highlight_spans("snippet", F.array(F.lit("the"))).alias("s"))
-    return spans.select("chunk_id", F.size("s").cast("long").alias("spans"), F.col("s")[0]["start"].cast("long").alias("first_start"))
+    """Every chunk; terms that touch are one span."""
+    spans = C.chunks(spark, sf_dir).select("chunk_id", X.highlight_spans("snippet", F.array(F.lit("the"))).alias("s"))
+    return spans.select("chunk_id", F.size("s").cast("long").alias("spans"), F.get("s", F.lit(0))["start"].cast("long").alias("first_start"))
 
 
 #: The two terms share no letter, so merged spans are runs of them.
@@ -475,11 +492,12 @@ def search_snippets(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CHUNKS}, s AS (SELECT doc_id, seq, snippet FROM chunks WHERE length(snippet) % 3 <> 0), i AS (SELECT *, seq - row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS island FROM s)
+    f"""WITH {CHUNKS}, s AS (SELECT doc_id, seq, snippet FROM chunks WHERE contains(lower(snippet), 'an')), i AS (SELECT *, seq - row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS island FROM s)
 SELECT doc_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS parts, md5(CASE WHEN count(*) = 1 THEN min(snippet) ELSE array_to_string(list_transform(list(snippet ORDER BY seq), lambda t, n: '连续段落 ' || n || ': ' || t), chr(10)) END) AS digest FROM i GROUP BY doc_id, island"""
 )
 def merge_islands(spark, sf_dir):
-    rows = C.chunks(spark, sf_dir).filter(F.char_length("snippet") % 3 != 0)
+    """All chunks that a word hits, neighbours merged."""
+    rows = C.chunks(spark, sf_dir).filter(X.contains_any("snippet", F.array(F.lit("an"))))
     return retrieval.islands(rows, ["doc_id"], "seq", "snippet").select("doc_id", "first_seq", "last_seq", "parts", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -552,9 +570,10 @@ def collection_counts(spark, sf_dir):
     return library.child_counts(C.table(spark, sf_dir, "customer").select("c_custkey"), C.table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "o_orderkey")
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@query("SELECT p_type AS tag_id, upper(p_type) AS name, count(*) AS n FROM part GROUP BY 1, 2")
 def tag_facets(spark, sf_dir):
-    return C.table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    items = C.table(spark, sf_dir, "part").select(F.col("p_type").alias("tag_id"))
+    return lists.tag_facets(items, items.distinct().select("tag_id", F.upper("tag_id").alias("name")))
 
 
 @query("SELECT p_brand, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
