@@ -2,9 +2,10 @@
 
 Method. Each document's payload becomes a PNG image (8-bit grey, 64 samples a row, the unpadded size in a
 text chunk) and a stored member of a zip archive in the shared folder; every task writes archives of about
-``ARCHIVE_BYTES``. The custom Spark data source plans partitions as byte ranges of the archives: the driver
-sees names and sizes only, each task reads the directory at an archive's end and takes the members whose
-header begins in its range. Members are read one by one at their offset, checked against the directory's
+``ARCHIVE_BYTES``. The custom Spark data source plans partitions as byte ranges of the archives. Ranges are made
+and dealt into groups by a Spark job and written as a list; the driver knows the number of groups only (one range
+each, or several where there would be more than ``MOST_GROUPS``), a task reads its group's rows of the list, the
+directory at each archive's end, and takes the members whose header begins in a range. Members are read one by one at their offset, checked against the directory's
 checksum and read again on their own when that fails (``RETRIES``), and leave in Arrow batches of about
 ``BATCH_BYTES``.
 
@@ -27,7 +28,8 @@ import zlib
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from docquarry.llm.common import scratch, stored, table, tidy
@@ -35,6 +37,8 @@ from docquarry.llm.common import scratch, stored, table, tidy
 ROW = 64
 ARCHIVE_BYTES = 32 << 20
 SPLIT_BYTES = 8 << 20
+MOST_GROUPS = 100_000
+GROUPS_A_FOLDER = 256
 BATCH_BYTES = 4 << 20
 RETRIES = 3
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -165,57 +169,63 @@ class Plain(io.RawIOBase):
         return self.at
 
 
-class Range(InputPartition):
-    """Members of one archive whose header begins at first <= offset < last."""
+class Group(InputPartition):
+    """A group of ranges, by its number in the list, or ranges (path, first, last) themselves."""
 
-    def __init__(self, path: str, first: int, last: int):
-        super().__init__((path, first, last))
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, number: int, ranges: tuple = ()):
+        super().__init__((number, ranges))
+        self.number, self.ranges = number, ranges
+
+
+def cut(size: int, split: int) -> list[tuple[int, int]]:
+    return [(a, min(size, a + split)) for a in range(0, size, split)]
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in options.get("paths", "").split("\n") if p]
-        self.list = options.get("list")
+        self.list, self.groups = options.get("list"), int(options.get("groups", 0))
         self.split = int(options.get("split", SPLIT_BYTES))
 
     def partitions(self):
-        """Byte ranges from the archives' names and sizes; an archive's members stay with its tasks."""
-        found = []
-        if self.list:
-            files, base = opened(self.list)
-            import pyarrow.dataset as ds
-
-            rows = ds.dataset(base, filesystem=files, format="parquet", exclude_invalid_files=False).to_table(columns=["path", "bytes"])
-            found = list(zip(rows["path"].to_pylist(), rows["bytes"].to_pylist(), strict=True))
+        """Numbers of groups; for paths that were given one by one their ranges. An archive's members stay with its tasks."""
+        found = [Group(k) for k in range(self.groups)] if self.list else []
         for p in self.paths:
             files, path = opened(p)
-            found.append((p, files.get_file_info(path).size))
-        return [Range(p, a, min(n, a + self.split)) for p, n in sorted(found) for a in range(0, n, self.split)] or [Range("", 0, 0)]
+            found += [Group(-1, ((p, a, b),)) for a, b in cut(files.get_file_info(path).size, self.split)]
+        return found or [Group(-1)]
+
+    def ranges(self, group: Group) -> list[tuple]:
+        if group.number < 0:
+            return list(group.ranges)
+        import pyarrow.dataset as ds
+
+        files, base = opened(f"{self.list}/folder={group.number // GROUPS_A_FOLDER}")
+        rows = ds.dataset(base, filesystem=files, format="parquet", exclude_invalid_files=False).to_table(columns=["path", "first", "last"], filter=ds.field("group") == group.number)
+        return sorted(zip(*(rows[c].to_pylist() for c in ("path", "first", "last")), strict=True))
 
     def read(self, partition):
         import pyarrow as pa
 
-        if not partition.path:
-            return
-        files, path = opened(partition.path)
-        names, images, held = [], [], 0
+        for archive, first, last in self.ranges(partition):
+            files, path = opened(archive)
+            names, images, held = [], [], 0
 
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array([None if n == "null" else int(n) for n in names], pa.int64()), pa.array(images, pa.binary())], names=["doc_id", "media"])
+            def batch(names, images):
+                return pa.RecordBatch.from_arrays([pa.array([None if n == "null" else int(n) for n in names], pa.int64()), pa.array(images, pa.binary())], names=["doc_id", "media"])
 
-        with files.open_input_file(path) as f:
-            with zipfile.ZipFile(f) as z:
-                members = [(m.header_offset, m.filename, m.compress_size, m.CRC) for m in z.infolist() if partition.first <= m.header_offset < partition.last]
-            for offset, name, size, crc in sorted(members):
-                images.append(member(files, path, f, offset, size, crc))
-                names.append(name)
-                held += size
-                if held >= BATCH_BYTES:
-                    yield batch()
-                    names, images, held = [], [], 0
-        if names:
-            yield batch()
+            with files.open_input_file(path) as f:
+                with zipfile.ZipFile(f) as z:
+                    members = [(m.header_offset, m.filename, m.compress_size, m.CRC) for m in z.infolist() if first <= m.header_offset < last]
+                for offset, name, size, crc in sorted(members):
+                    images.append(member(files, path, f, offset, size, crc))
+                    names.append(name)
+                    held += size
+                    if held >= BATCH_BYTES:
+                        yield batch(names, images)
+                        names, images, held = [], [], 0
+            if names:
+                yield batch(names, images)
 
 
 def member(files, path: str, f, offset: int, size: int, crc: int) -> bytes:
@@ -242,7 +252,7 @@ def member(files, path: str, f, offset: int, size: int, crc: int) -> bytes:
 class ArchiveSource(DataSource):
     """``spark.read.format("archive_members")``: doc_id and the stored image of every member.
 
-    Options: ``list`` (a Parquet folder with path and bytes of the archives) or ``paths`` (one a line),
+    Options: ``list`` (a folder as ``plan`` writes it) and ``groups`` (their number), or ``paths`` (one a line) and
     ``split`` (bytes in a partition).
     """
 
@@ -257,13 +267,27 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options)
 
 
-def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
+def plan(archives: DataFrame, split: int = SPLIT_BYTES, most: int = MOST_GROUPS) -> tuple[str, int]:
+    """Writes the ranges of all archives with their groups; returns the list's folder and the number of groups."""
+    spark = archives.sparkSession
+    ranges = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("first")).select("path", "first", F.least("bytes", F.col("first") + split).alias("last"))
+    n = ranges.count()
+    if n <= most:  # so few rows that one task may number them
+        numbered = ranges.withColumn("group", F.row_number().over(Window.orderBy("path", "first")) - 1)
+    else:
+        numbered = ranges.withColumn("group", F.pmod(F.xxhash64("path", "first"), F.lit(most)))
+    folder = scratch(spark, "ranges")
+    numbered.withColumns({"group": F.col("group").cast("long"), "folder": F.floor(F.col("group") / GROUPS_A_FOLDER).cast("long")}).repartition("folder").sortWithinPartitions("folder", "group").write.partitionBy("folder").parquet(folder)
+    return folder, min(n, most)
+
+
+def read_archives(spark: SparkSession, archives: DataFrame, split: int = SPLIT_BYTES, most: int = MOST_GROUPS) -> DataFrame:
     """doc_id and media of all members of the archives that ``write_archives`` returned."""
     spark.dataSource.register(ArchiveSource)
-    files = archives.inputFiles()
-    if not files:
+    folder, groups = plan(archives, split, most)
+    if not groups:
         return spark.createDataFrame([], "doc_id long, media binary")
-    return spark.read.format("archive_members").option("list", files[0].rsplit("/", 1)[0]).load()
+    return spark.read.format("archive_members").option("list", folder).option("groups", str(groups)).load()
 
 
 def describe(members: DataFrame) -> DataFrame:

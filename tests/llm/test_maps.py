@@ -58,15 +58,25 @@ def test_a_lengthened_notice_is_found_at_every_offset():
 
 
 def test_media(spark, tmp_path):
-    rows = [(1, "abc"), (2, None), (3, "é" * 500), (4, "abc"), (None, "x"), (6, "z" * 300_000)]
+    """What comes back against the payloads and images made here, with their features counted one by one."""
+    rows = [(1, "abc"), (2, None), (3, "é" * 500), (4, "abc"), (None, "x"), (6, "z" * 300_000), (7, ""), (7, "")]
     df = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, media long")
     archives = media.write_archives(df, f"file://{tmp_path}/m")
-    got = {x["doc_id"]: x for x in media.describe(media.read_archives(spark, archives)).collect()}
-    for k, text in rows:
-        raw = (text or "").encode()
-        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
-        assert (got[k]["n_bytes"], got[k]["payload_sha256"], got[k]["tail_crc32"]) == (len(raw), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-    assert tuple(got[1])[1:] == tuple(got[4])[1:]
+    for split, most in ((media.SPLIT_BYTES, media.MOST_GROUPS), (300, 3)):  # a range a group, many ranges a group
+        every = media.describe(media.read_archives(spark, archives, split, most)).collect()
+        assert len(every) == len(rows)
+        got = {x["doc_id"]: x for x in every}
+        for k, text in rows:
+            raw = (text or "").encode()
+            payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+            image = media.to_png(payload, len(raw))
+            assert media.from_png(image) == (payload, len(raw))
+            n, mean = len(payload), sum(payload) / len(payload)
+            spread = max(0.0, sum(b * b for b in payload) / n - mean * mean) ** 0.5
+            shown = f"{n // 64}x64;mean={mean:.4f};sd={spread:.4f};hist=" + ",".join(str(sum(32 * h <= b < 32 * h + 32 for b in payload)) for h in range(8))
+            assert tuple(got[k])[1:] == (len(raw), n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), shown)
+    empty = media.write_archives(df.limit(0), f"file://{tmp_path}/none")
+    assert media.read_archives(spark, empty).collect() == []
 
 
 def test_a_split_archive_gives_every_member_once(spark, tmp_path):

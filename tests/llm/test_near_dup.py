@@ -71,6 +71,23 @@ def test_empty_and_null_ids(spark):
     assert {(x["doc_id"], x["class_id"]) for x in N.duplicate_classes(df).collect()} == {(None, None), (1, 1)}
 
 
+def test_every_row_has_its_row(spark):
+    """Repeated rows, one id with two texts, null ids beside equal texts."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(5, words(1)), (5, words(1)), (5, words(2)), (3, words(2)), (9, words(1)), (None, words(1)), (None, words(1)), (7, None), (8, ""), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x["doc_id"] or 0, x["class_id"] or 0) for x in N.duplicate_classes(df).collect()))
+    assert got == sorted([(5, 5), (5, 5), (5, 3), (3, 3), (9, 5), (0, 0), (0, 0), (7, 7), (8, 7), (8, 7)])
+
+
+def test_a_crowd_of_copies(spark):
+    """One text on a third of all rows and one on many near copies: keys that a broadcast serves."""
+    r = random.Random(3)
+    rows = [(k, "the same text over and over again in every row") for k in range(600)] + group(r, 300, 100, 4, 1000) + [(5000 + k, " ".join(f"q{r.randrange(10**6)}" for _ in range(30))) for k in range(300)]
+    got = {x["doc_id"]: x["class_id"] for x in N.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_estimator_is_unbiased():
     r = np.random.default_rng(0)
     texts, true = [], []

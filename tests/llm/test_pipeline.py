@@ -39,3 +39,26 @@ def test_mixture_keeps_every_row(spark):
     assert tuple(got.columns) == P.COLUMNS
     key = lambda r: tuple((x is None, x or 0) for x in r)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(rows, key=key)
+
+
+def test_empty_tables_and_clashing_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    few = docs.limit(30).selectExpr("*", "1 AS key", "2 AS class_id", "3 AS winner", "4 AS score", "5 AS place", "6 AS kept", "7 AS ranges", "8 AS own")
+    for name, stage in P.STAGES[:-1]:
+        assert tuple(stage(spark, docs.limit(0), sf_dir).columns) == P.COLUMNS, name
+        assert stage(spark, docs.limit(0), sf_dir).collect() == [], name
+        got = stage(spark, few, sf_dir)
+        assert tuple(got.columns) == P.COLUMNS and got.count() <= 30, name
+    assert P.token_stage(spark, docs.limit(0), sf_dir).collect() == []
+
+
+def test_null_columns_and_ids(spark, sf_dir):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, None, None, None, None), (1, None, None, None, None), (2, "", "en", "a", 0), (None, words(1), None, None, 3), (3, words(1), "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in P.STAGES[1:4]:
+        got = stage(spark, docs, sf_dir).collect()
+        # Texts 1 (null) and 2 (empty) are equal, so one of them goes with the near duplicates; nothing else does.
+        assert len(got) == (4 if name == "near_duplicates" else 5), name
+        assert sum(r["doc_id"] is None for r in got) == 2, name
+    assert P.token_stage(spark, docs, sf_dir).count() == 5
