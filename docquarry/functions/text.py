@@ -18,18 +18,18 @@ SYNONYMS = (
     (("html",), ("html",)),
 )
 
-#: Failure categories and codes by keyword, first match wins (fixed values). A '*' marks words that are
-#: looked for in the lower-cased reason, the others are looked for as they stand.
+#: Failure categories and codes by keyword, first match wins (fixed values): words that are looked for as they
+#: stand, words that are looked for in the lower-cased reason, category, code.
 FAILURES = (
-    (("文件过大",), "文件过大", "file_too_large"),
-    (("暂不支持 PDF", "不支持的文件类型", "*unsupported file type"), "不支持的格式", "unsupported_format"),
-    (("*permission denied", "权限", "*access denied"), "权限不足", "permission_denied"),
-    (("*no such file", "不存在", "找不到", "*not found"), "文件缺失", "file_missing"),
-    (("*is a directory", "目录", "*invalid path", "*not a file"), "路径无效", "invalid_path"),
-    (("*timed out", "*timeout"), "处理超时", "timeout"),
-    (("*sqlite", "*database", "*pool timed out"), "数据库错误", "database_error"),
-    (("*tantivy", "*index"), "索引错误", "index_error"),
-    (("*io error", "*input/output"), "IO 错误", "io_error"),
+    (("文件过大",), (), "文件过大", "file_too_large"),
+    (("暂不支持 PDF", "不支持的文件类型"), ("unsupported file type",), "不支持的格式", "unsupported_format"),
+    (("权限",), ("permission denied", "access denied"), "权限不足", "permission_denied"),
+    (("不存在", "找不到"), ("no such file", "not found"), "文件缺失", "file_missing"),
+    (("目录",), ("is a directory", "invalid path", "not a file"), "路径无效", "invalid_path"),
+    ((), ("timed out", "timeout"), "处理超时", "timeout"),
+    ((), ("sqlite", "database", "pool timed out"), "数据库错误", "database_error"),
+    ((), ("tantivy", "index"), "索引错误", "index_error"),
+    ((), ("io error", "input/output"), "IO 错误", "io_error"),
 )
 
 WHITE = r"(?U)\s+"
@@ -228,10 +228,12 @@ def classify_failure(reason, path) -> tuple[Column, Column]:
     """Category and code of a failure."""
     low = F.lower(col(reason))
     category = code = None
-    for words, name, short in FAILURES:
+    for words, lowered, name, short in FAILURES:
         hit = F.lit(False)
         for w in words:
-            hit = hit | (F.contains(low, F.lit(w[1:])) if w[0] == "*" else F.contains(col(reason), F.lit(w)))
+            hit = hit | F.contains(col(reason), F.lit(w))
+        for w in lowered:
+            hit = hit | F.contains(low, F.lit(w))
         category = F.when(hit, name) if category is None else category.when(hit, name)
         code = F.when(hit, short) if code is None else code.when(hit, short)
     pdf = F.endswith(F.lower(col(path)), F.lit(".pdf"))
