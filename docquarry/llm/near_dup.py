@@ -279,8 +279,9 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     placed = crowd.select("u", "bucket").join(roots.select(F.col("node").alias("u"), "root"), "u", "left").withColumn("root", F.coalesce("root", "u"))
     per = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     most = per.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
-    most = most.select("bucket", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / CHUNK).cast("int").alias("pa"), F.ceil(F.col("n") / CHUNK).cast("int").alias("pb"))
-    mixed = stored(placed.join(most, "bucket"), "mixed")
+    most = most.select("bucket", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / CHUNK).cast("int").alias("pa"), F.ceil(F.col("n") / CHUNK).cast("int").alias("pb"), "n")
+    most = stored(most, "several")
+    mixed = stored(by_key(placed, most, "bucket", crowd.count()), "mixed")
     if not mixed.isEmpty():
         sets = shingle_sets(texts, mixed)
         more = stored(linked_in_blocks(mixed, sets), "links")
@@ -288,7 +289,7 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         discard(roots)
         roots = components(links.unionByName(more))
         discard(more)
-    discard(crowd, texts, links, mixed)
+    discard(crowd, texts, links, most, mixed)
     return signed.select("doc_id", "key"), firsts.select("key", "rep", "n"), roots.select(F.col("node").alias("key"), "root")
 
 
