@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.llm import bpe, html_text, licenses, media, mixing, near_dup, pivots, quality, rans, repeats
+from docquarry.llm import bpe, divergence, html_text, licenses, media, mixing, near_dup, pivots, quality, rans, repeats, token_counts, whitening
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_html": html_text.op8_html,
     "op9_quality": quality.op9_quality,
     "op10_repeats": repeats.op10_repeats,
+    "op11_token_counts": token_counts.op11_token_counts,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_divergence": divergence.op13_divergence,
 }
 
-ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op13_divergence": divergence.ORACLE}
