@@ -1,8 +1,10 @@
 """One object for a collection: ingest, search, browse, ask; tables are Parquet below one folder.
 
-A table is written as a new version; a log of manifests, one line appended for each commit, names the versions
-that belong together. So a reader never sees a half written table or tables of different commits, and nothing is
-read and overwritten at the same path.
+A commit writes new files, then a manifest that names all files which belong together; a manifest is created once
+under its version's number, so a reader never sees a half written table and of two writers one is told. Tables of
+documents are dealt into buckets by document; a commit writes anew the buckets that it touches, the manifest keeps the
+paths of the others. The keyword index is a list of segments, one for each commit that brought documents, merged when
+there are more than ``SEGMENTS``.
 """
 
 from __future__ import annotations
@@ -12,26 +14,35 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as X
-from docquarry.operators import answers, indexing, lists, retrieval, tasks
-from docquarry.operators.storage import written
-from docquarry.settings import IndexSettings
+from docquarry.operators import activity, answers, indexing, inverted, lists, retrieval, tasks
+from docquarry.operators.storage import children, create, read_text, written
+from docquarry.settings import AnswerSettings, IndexSettings
 from docquarry.sources import chunking, embedding, files
 
 SCHEMAS = {
     "documents": "document_id long, path string, file_name string, ext string, size long, modified_at long, hash string, dir_path string, parser string, warning string",
     "chunks": "chunk_id string, document_id long, chunk_seq long, path string, file_name string, heading string, snippet string, modified_at long, chunk_score double, block_indexes array<int>",
     "blocks": "document_id long, block_index int, kind string, text string, heading string, level int, page int, section string",
-    "index": "chunk_id string, document_id long, terms array<string>, length int",
+    "live": "document_id long, segment string",
     "vectors": "chunk_id string, document_id long, text_hash string, embedding array<float>",
     "failures": "file string, reason string, category string, code string, retry_count long, last_failed_at long",
     "dirs": tasks.DIRECTORY,
+    "history": "query string, hit_count long, created_at long, last_hit_at long",
+    "recents": "path string, open_count long, title string, last_opened_at long",
+    "favorites": "path string, title string, created_at long, updated_at long",
 }
-PER_DOCUMENT = ("documents", "chunks", "blocks", "index", "vectors")
+#: Tables that are dealt into buckets by document_id.
+PER_DOCUMENT = ("documents", "chunks", "blocks", "live", "vectors")
+BUCKETS = 16
+SEGMENTS = 8
+
+
+def bucket_of(document: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(document), F.lit(buckets)).cast("int")
 
 
 def columns(name: str) -> list[str]:
@@ -39,35 +50,53 @@ def columns(name: str) -> list[str]:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, dimension: int = 512, embedder=None, settings: IndexSettings | None = None):
+    def __init__(self, spark: SparkSession, root: str, dimension: int = 512, embedder=None, settings: IndexSettings | None = None, buckets: int = BUCKETS):
+        """buckets: of a new collection; one that exists keeps its own."""
         self.spark, self.root, self.dimension, self.embedder = spark, root.rstrip("/"), dimension, embedder
         self.settings = (settings or IndexSettings()).clamped()
+        self.buckets = self.manifest().get("buckets", buckets)
 
     # tables
 
     def manifest(self) -> dict:
-        """The last commit: a version number, the tables' paths, what is known of the vectors. Only a collection
-        that does not exist yet has none; any other error is raised, not taken for an empty collection."""
-        try:
-            lines = self.spark.read.text(f"{self.root}/_manifests").collect()
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            lines = []
-        return max((json.loads(r[0]) for r in lines), key=lambda m: m["version"], default={"version": 0, "tables": {}, "vectors": {"model": "", "status": "empty"}})
-
-    def table(self, name: str) -> DataFrame:
-        at = self.manifest()["tables"].get(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(at) if at else self.spark.createDataFrame([], SCHEMAS[name])
-
-    def commit(self, changes: dict[str, DataFrame], vectors: dict | None = None) -> None:
-        """Writes new versions of the tables, then the manifest that makes them the current ones together."""
-        last, paths = self.manifest(), {}
+        """The last commit: version, the tables' paths, the index's segments, what is known of the vectors. Only a
+        collection that does not exist yet has none; any other error is raised, not taken for an empty collection."""
+        names = sorted(n for n in children(self.spark, f"{self.root}/_manifests") if n.endswith(".json"))
+        if not names:
+            return {"version": 0, "tables": {}, "segments": [], "vectors": {"model": "", "status": "empty"}}
+        return json.loads(read_text(self.spark, f"{self.root}/_manifests/{names[-1]}"))
+
+    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table as of the last commit; of a table by document only the given buckets."""
+        at = self.manifest()["tables"].get(name, {})
+        paths = [p for k, p in at.items() if buckets is None or k == "all" or int(k) in buckets]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def commit(self, changes: dict[str, DataFrame], vectors: dict | None = None, touched: list[int] | None = None, segments: list[str] | None = None) -> None:
+        """Writes new versions of the tables, then the manifest that makes them the current ones together.
+
+        touched: the buckets that a table by document is given for (all, if not told); the others stay as they are.
+        """
+        last, tables = self.manifest(), {}
         for name, df in changes.items():
-            paths[name] = f"{self.root}/{name}/v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-            df.select(*columns(name)).write.parquet(paths[name])
-        line = json.dumps({"version": last["version"] + 1, "tables": last["tables"] | paths, "vectors": last["vectors"] | (vectors or {})})
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/_manifests")
+            path, df = f"{self.root}/{name}/v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}", df.select(*columns(name))
+            if name not in PER_DOCUMENT:
+                df.write.parquet(path)
+                tables[name] = {"all": path}
+                continue
+            every = list(range(self.buckets)) if touched is None else touched
+            df.withColumn("_bucket", bucket_of("document_id", self.buckets)).filter(F.col("_bucket").isin(every)).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+            kept = {k: p for k, p in last["tables"].get(name, {}).items() if int(k) not in every}
+            tables[name] = kept | {d.split("=")[1]: f"{path}/{d}" for d in children(self.spark, path) if d.startswith("_bucket=")}
+        now = {"version": last["version"] + 1, "buckets": self.buckets, "tables": last["tables"] | tables, "segments": last["segments"] if segments is None else segments, "vectors": last["vectors"] | (vectors or {})}
+        create(self.spark, f"{self.root}/_manifests/v-{now['version']:012d}.json", json.dumps(now))
+
+    def touched(self, documents: DataFrame) -> list[int]:
+        """The buckets of some documents: at most as many numbers as there are buckets."""
+        return sorted(r[0] for r in documents.select(bucket_of("document_id", self.buckets).alias("b")).distinct().collect())
+
+    def index(self) -> inverted.Index:
+        return inverted.Index(self.spark, "bigint", "string", self.manifest()["segments"], self.buckets)
 
     # ingest
 
@@ -107,15 +136,38 @@ class Engine:
             F.least(F.greatest("score", F.lit(0.25)), F.lit(1.0)).alias("chunk_score"), "block_indexes",
         )
         chunks = written(chunks, "chunks")
-        made = {"documents": documents, "chunks": chunks, "blocks": chunking.blocks_of(parsed), "index": self.indexed(chunks)}
+        made = {"documents": documents, "chunks": chunks, "blocks": chunking.blocks_of(parsed)}
         # What goes: deleted files, and the old rows of those that were read anew.
-        gone = plan.filter("action = 'delete'").select(F.xxhash64("path").alias("document_id")).unionByName(read.select("document_id"))
-        kept = indexing.cascade({n: self.table(n) for n in PER_DOCUMENT}, gone)
+        gone = written(plan.filter("action = 'delete'").select(F.xxhash64("path").alias("document_id")).unionByName(read.select("document_id")), "gone")
+        touched = self.touched(gone)
+        segments, merged = self._segments(chunks, read, gone)
+        made["live"] = read.select("document_id", F.lit(segments[-1] if segments else "").alias("segment"))
+        ready = self.manifest()["vectors"]["status"] == "ready"
+        if ready:  # vectors come with their documents once the collection has some
+            made["vectors"] = self._embedded(chunks)
+        kept = indexing.cascade({n: self.table(n, touched) for n in PER_DOCUMENT}, gone)
         changes = {n: kept[n].select(*columns(n)).unionByName(made[n].select(*columns(n))) if n in made else kept[n] for n in PER_DOCUMENT}
         changes["failures"] = self._failures(parsed.filter("reason IS NOT NULL").join(known, "document_id").select(F.col("path").alias("file"), "reason"), plan)
-        self.commit(changes, {"status": "needs_rebuild"})
+        self.commit(changes, {} if ready else {"status": "needs_rebuild"}, touched, segments)
+        if merged:
+            self.merge_segments()
         return counts
 
+    def _segments(self, chunks: DataFrame, read: DataFrame, gone: DataFrame) -> tuple[list[str], bool]:
+        """The index's segments with a new one for what was read, and whether there are too many of them."""
+        contents = read.select("document_id", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").alias("content"))
+        with_ext = chunks.join(read.select("document_id", "ext"), "document_id")
+        path = f"{self.root}/index/s-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        inverted.build(with_ext, contents, path, self.buckets)
+        segments = [*self.manifest()["segments"], path]
+        return segments, len(segments) > SEGMENTS
+
+    def merge_segments(self) -> None:
+        """All segments become one, without what was replaced or deleted."""
+        path, live = f"{self.root}/index/s-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}", self.table("live")
+        inverted.merge(self.index(), live, path)
+        self.commit({"live": live.select("document_id", F.lit(path).alias("segment"))}, segments=[path])
+
     def _failures(self, fresh: DataFrame, plan: DataFrame) -> DataFrame:
         """Failed files: counted up where they fail again, gone where they were read or deleted."""
         old = self.table("failures")
@@ -151,15 +203,26 @@ class Engine:
     # vectors
 
     def _texts(self) -> DataFrame:
+        return self._embeddable(self.table("chunks"))
+
+    @staticmethod
+    def _embeddable(chunks: DataFrame) -> DataFrame:
         text = X.normalize_embedding_text(F.concat_ws("\n", "file_name", "heading", "snippet"))
-        return self.table("chunks").select("chunk_id", "document_id", text.alias("text"))
+        return chunks.select("chunk_id", "document_id", text.alias("text"))
+
+    def _embedded(self, chunks: DataFrame) -> DataFrame:
+        none = self.spark.createDataFrame([], SCHEMAS["vectors"])
+        return embedding.embed(embedding.stale(self._embeddable(chunks), none, "chunk_id", "text"), "text", self.dimension, self.embedder)
 
     def rebuild_vectors(self) -> None:
         """Embeds the chunks whose text is new; vectors of chunks that are gone go."""
         chunks, old = written(self._texts(), "texts"), self.table("vectors")
         new = embedding.embed(embedding.stale(chunks, old, "chunk_id", "text"), "text", self.dimension, self.embedder)
         hashed = chunks.select("chunk_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"))
-        self.commit({"vectors": old.join(hashed, ["chunk_id", "text_hash"], "left_semi").unionByName(new.select(*old.columns))}, {"status": "ready"})
+        new, gone = written(new.select(*old.columns), "vectors"), written(old.join(hashed, ["chunk_id", "text_hash"], "left_anti").select("chunk_id", "document_id"), "stale")
+        touched = self.touched(new.select("document_id").unionByName(gone.select("document_id")))
+        kept = self.table("vectors", touched).join(gone, "chunk_id", "left_anti")
+        self.commit({"vectors": kept.unionByName(new)}, {"status": "ready"}, touched)
 
     def use_model(self, model: str) -> None:
         """Another model: no vector of the old one stays, all have to be made anew."""
@@ -168,29 +231,51 @@ class Engine:
 
     # upkeep
 
-    @staticmethod
-    def indexed(chunks: DataFrame) -> DataFrame:
-        """The keyword index of chunks: their distinct terms and number of terms."""
-        text = F.concat_ws(" ", "file_name", "path", "heading", "snippet")
-        return chunks.select("chunk_id", "document_id", X.search_tokens(text).alias("terms")).withColumn("length", F.size("terms"))
-
     def needs_repair(self) -> bool:
-        return indexing.needs_repair(self.table("chunks"), self.table("index")).first()["needs_repair"]
+        """Whether there are chunks but no index."""
+        return not self.manifest()["segments"] and not self.table("chunks").isEmpty()
 
     def repair(self) -> None:
-        """Makes the keyword index anew from the chunks."""
-        self.commit({"index": self.indexed(self.table("chunks"))})
+        """Makes the keyword index anew: chunks from their table, contents from the blocks."""
+        blocks = F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda b: b["text"])
+        contents = self.table("blocks").groupBy("document_id").agg(F.array_join(blocks, "\n").alias("content"))
+        documents, path = self.table("documents"), f"{self.root}/index/s-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        inverted.build(self.table("chunks").join(documents.select("document_id", "ext"), "document_id"), contents, path, self.buckets)
+        self.commit({"live": documents.select("document_id", F.lit(path).alias("segment"))}, segments=[path])
 
     def delete(self, directory: str) -> None:
         """Removes a directory's documents and failed files with all that belongs to them."""
         gone = self.table("documents").filter(X.in_directory("path", F.lit(directory), "dir_path")).select("document_id")
-        kept = indexing.cascade({n: self.table(n) for n in PER_DOCUMENT}, gone)
+        touched = self.touched(gone)
+        kept = indexing.cascade({n: self.table(n, touched) for n in PER_DOCUMENT}, gone)
         kept["failures"] = self.table("failures").filter(~X.in_directory("file", F.lit(directory)))
-        self.commit(kept)
+        self.commit(kept, touched=touched)
 
     def clear(self) -> None:
         """Everything but the directories goes."""
-        self.commit(tasks.cleared({n: self.table(n) for n in SCHEMAS}), {"status": "empty"})
+        self.commit(tasks.cleared({n: self.table(n) for n in SCHEMAS}), {"status": "empty"}, segments=[])
+
+    # what users do
+
+    def opened(self, rows: DataFrame) -> None:
+        """rows: path, title, ts. Documents that were opened, counted up."""
+        new = activity.fold_recents(rows.withColumn("seq", F.monotonically_increasing_id()))
+        both = self.table("recents").unionByName(new.select(*columns("recents")))
+        self.commit({"recents": both.groupBy("path").agg(F.sum("open_count").alias("open_count"), F.max_by("title", "last_opened_at").alias("title"), F.max("last_opened_at").alias("last_opened_at"))})
+
+    def toggle_favorites(self, rows: DataFrame) -> None:
+        """rows: path, title, ts. A favourite goes if toggled an odd number of times, another path becomes one."""
+        odd = activity.toggled(rows.withColumnRenamed("path", "target")).withColumnRenamed("target", "path")
+        old = self.table("favorites")
+        titles = rows.groupBy("path").agg(F.max_by("title", "ts").alias("title"))
+        new = odd.join(old, "path", "left_anti").join(titles, "path").select("path", "title", F.col("updated_at").alias("created_at"), "updated_at")
+        self.commit({"favorites": old.join(odd, "path", "left_anti").unionByName(new)})
+
+    def record(self, hits: DataFrame) -> None:
+        """hits: query, hits, ts. Searches, added to the history."""
+        new = activity.fold_history(hits)
+        both = self.table("history").unionByName(new.select(*columns("history")))
+        self.commit({"history": both.groupBy("query").agg(F.sum("hit_count").alias("hit_count"), F.min("created_at").alias("created_at"), F.max("last_hit_at").alias("last_hit_at"))})
 
     def add_directories(self, paths: list[str]) -> None:
         self.commit({"dirs": tasks.add_directories(self.table("dirs"), self._paths(paths))})
@@ -249,12 +334,23 @@ class Engine:
             raise RuntimeError("the keyword index is empty: call repair() first")
         found = self._semantic(queries, limit, threshold) if semantic else None
         now = now or int(time.time())
-        rows = retrieval.hybrid_search(queries, self.table("chunks").withColumn("text", F.lit("")), limit, now, found, index=self.table("index").select("chunk_id", "terms", "length"), **signals)
+        s = self.settings
+        own = {"favorites": self.table("favorites") if s.prefer_favorites_enabled else None, "opens": self.table("recents") if s.prefer_recent_enabled else None, "history": self.table("history") if s.prefer_history_enabled else None, "weights": (s.preference_weight, s.title_weight, s.filename_weight)}
+        rows = retrieval.hybrid_search(queries, self.table("chunks"), self.index(), limit, now, found, live=self.table("live"), **own | signals)
         return rows.withColumn("reason", retrieval.rank_reason(now))
 
-    def search(self, queries: DataFrame, limit: int = 20, now: int | None = None, semantic: bool = True, threshold: float | None = None, **signals) -> DataFrame:
-        """queries: query_id, query_text. Ranked chunks with origin, reason, snippet and highlights."""
+    def search(self, queries: DataFrame, limit: int = 20, now: int | None = None, semantic: bool = True, threshold: float | None = None, record: bool = False, **signals) -> DataFrame:
+        """queries: query_id, query_text. Ranked chunks with origin, reason, snippet and highlights.
+
+        Favourites, opened documents and past queries are the collection's own where the settings want them;
+        signals stand in for them. record: the queries become history with their numbers of hits.
+        """
         rows = self._ranked(queries, limit, now, semantic, self.settings.semantic_threshold if threshold is None else threshold, **signals)
+        if record:
+            rows = written(rows, "ranked")
+            counts = rows.groupBy("query_id").agg(F.count("*").alias("hits"))
+            asked = queries.join(counts, "query_id", "left").select(F.col("query_text").alias("query"), F.coalesce("hits", F.lit(0)).alias("hits"), F.lit(now or int(time.time())).cast("long").alias("ts"))
+            self.record(asked)
         rows = rows.withColumn("cut", X.search_snippet("snippet", X.highlight_spans("snippet", F.col("terms"))))
         return rows.select("query_id", "final_rank", "rank_delta", "chunk_id", "path", "heading", "final_score", "keyword_rank", "semantic_rank", "match_origin", "reason", F.col("cut.text").alias("shown"), F.col("cut.spans").alias("highlights"))
 
@@ -270,8 +366,11 @@ class Engine:
         out = asked.join(norm, "query_id").join(hits, "query_id", "left").fillna(0, ["keyword_hits", "semantic_hits", "both", "hits"])
         return out.crossJoin(F.broadcast(self.status()))  # one row
 
-    def ask(self, questions: DataFrame, limit: int = 8, answerer=answers.extractive, rules=answers.INTENTS, scopes: DataFrame | None = None) -> DataFrame:
-        """questions: query_id, question. scopes: query_id, scope. Answers with sources, state and citation warning."""
+    def ask(self, questions: DataFrame, limit: int | None = None, answerer=answers.extractive, rules=answers.INTENTS, scopes: DataFrame | None = None, settings: AnswerSettings | None = None) -> DataFrame:
+        """questions: query_id, question (and context, a session's text). scopes: query_id, scope. Answers with sources,
+        state and citation warning; the settings give the number of sources, the least score and rules of the user's."""
+        s = (settings or AnswerSettings()).clamped()
+        limit, rules = limit or s.context_chunk_limit, [*rules, *answers.rules_from_json(s.intent_synonym_rules_json)]
         chunks = self.table("chunks")
-        found = answers.recall(questions, chunks, max(6 * limit, 50), rules, scopes=scopes).join(chunks.select("chunk_id", "path", "chunk_seq", "snippet"), "chunk_id")
-        return answers.answer(questions, answers.pack_context(answers.select_evidence(found, limit), limit), answerer)
+        found = answers.recall(questions, chunks, max(6 * limit, 50), rules, "context" in questions.columns, scopes).join(chunks.select("chunk_id", "path", "chunk_seq", "snippet"), "chunk_id")
+        return answers.answer(questions, answers.pack_context(answers.select_evidence(found, limit, s.min_retrieval_score), limit), answerer)

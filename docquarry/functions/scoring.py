@@ -33,10 +33,13 @@ def distance_score(distance) -> Column:
     return F.when(col(distance) <= 0, 1.0).otherwise(1.0 / (1.0 + col(distance)))
 
 
-def bm25(df, n_docs, length, mean_length) -> Column:
+def idf(df, n_docs) -> Column:
+    return F.log(1.0 + (col(n_docs) - col(df) + 0.5) / (col(df) + 0.5))
+
+
+def bm25(idf, length, mean_length) -> Column:
     """A term's part, its frequency being 1."""
-    idf = F.log(1.0 + (col(n_docs) - col(df) + 0.5) / (col(df) + 0.5))
-    return idf * (K1 + 1) / (1.0 + K1 * (1 - B + B * col(length) / col(mean_length)))
+    return col(idf) * (K1 + 1) / (1.0 + K1 * (1 - B + B * col(length) / col(mean_length)))
 
 
 def rrf(keyword_rank, vector_rank) -> Column:

@@ -56,9 +56,10 @@ def search_tokens(x) -> Column:
         .when(F.char_length(r) == 1, F.array(r))
         .otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))
     )
-    words = F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
-    plain = F.when(words == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(words, " ")))
-    return F.when(text.rlike(f"[{HAN}]"), F.array_distinct(F.flatten(F.transform(runs, split)))).otherwise(plain)
+    words = F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))
+    plain = F.array_remove(F.array_distinct(F.split(words, " ")), "")
+    # One range is quicker to look for than all blocks; what it finds beyond them is cut right as well.
+    return F.when(text.rlike(r"[\x{3400}-\x{10FFFF}]"), F.array_distinct(F.flatten(F.transform(runs, split)))).otherwise(plain)
 
 
 def normalize_search_text(x) -> Column:

@@ -44,8 +44,9 @@ def histogram(rows: DataFrame, by: str) -> DataFrame:
 
 
 def history_terms(history: DataFrame, current: DataFrame, limit: int = 4, least: int = 2) -> DataFrame:
-    """history: user, query, hit_count; current: user, term. Terms of past queries that are not in use, by weight."""
-    terms = history.select("user", F.explode(X.search_tokens("query")).alias("term"), F.greatest("hit_count", F.lit(1)).alias("w"))
+    """history: user, query, hit_count; current: user, term. Terms of past queries (two bytes and more) that are not in
+    use, by weight."""
+    terms = history.select("user", F.explode(X.search_tokens("query")).alias("term"), F.greatest("hit_count", F.lit(1)).alias("w")).filter(F.octet_length("term") >= 2)
     weights = terms.join(current, ["user", "term"], "left_anti").groupBy("user", "term").agg(F.sum("w").alias("weight")).filter(F.col("weight") >= least)
     rank = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("weight"), "term"))
     return weights.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= limit)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as X
-from docquarry.operators.retrieval import top_k
+from docquarry.operators.ranking import top_k
 
 #: What each list is sorted by (fixed values; '-' is descending).
 ORDERS = {

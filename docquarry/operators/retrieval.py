@@ -1,4 +1,4 @@
-"""Search over many queries at once: postings, BM25, vectors, fusion, re-ranking, diversity."""
+"""Search over many queries at once: containment, vectors, fusion, re-ranking, diversity."""
 
 from __future__ import annotations
 
@@ -7,17 +7,10 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import scoring as S
 from docquarry.functions import text as X
+from docquarry.operators import activity, inverted, lists
+from docquarry.operators.ranking import TERM_BYTES, exact_sum, top_k
 from docquarry.operators.storage import blocks, written
 
-DIGITS = 1e12
-
-
-def exact_sum(x) -> Column:
-    """A sum that does not depend on the order of rows: whole numbers of 1e-12 (up to nine million in all)."""
-    return F.sum(F.floor(X.col(x) * DIGITS + 0.5)) / F.lit(DIGITS)
-
-
-TERM_BYTES = 40
 QUERY_BLOCK = 1024  # parts of a request that are answered together
 
 
@@ -35,68 +28,13 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return exploded(tokenized(docs, key, text), key)
 
 
-def bm25_matches(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", index: DataFrame | None = None) -> DataFrame:
-    """query_id, key, score, matched, n_terms of every document with one term at least.
-
-    queries: query_id, query_text. index: ``tokenized`` documents; without one the documents are tokenized once
-    and written. Only the terms that are asked for survive the first join, so the exchange by document carries
-    matches, not the index.
-    """
-    if index is None:
-        index = written(tokenized(docs, key, text), "tokenized")
-    size = index.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    asked = queries.select("query_id", X.search_tokens("query_text").alias("terms")).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    wanted = asked.select("term").distinct()
-    hits = exploded(index, key).join(wanted, "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    terms = asked.join(df, "term")
-    return (
-        hits.join(terms, "term")
-        .crossJoin(F.broadcast(size))  # one row
-        .groupBy("query_id", key, "n_terms")
-        .agg(exact_sum(S.bm25("df", "n_docs", "length", "mean_length")).alias("score"), F.count("*").alias("matched"))
-    )
-
-
-def with_mode(matches: DataFrame) -> DataFrame:
-    return matches.withColumn("complete", F.col("matched") == F.col("n_terms"))
-
-
-def strict_or_loose(rows: DataFrame) -> DataFrame:
-    """Of each query's complete and other rows the complete ones, the others where there are none.
-
-    rows: few for each query (counts by mode, first rows by mode), never all matches.
-    """
-    some = F.max("complete").over(Window.partitionBy("query_id"))
-    return rows.withColumn("some", some).filter("complete OR NOT some").drop("some")
-
-
-def mode_counts(matches: DataFrame) -> DataFrame:
-    """query_id, complete, hits: matches of the mode that counts, documents with all terms or else with any."""
-    return strict_or_loose(with_mode(matches).groupBy("query_id", "complete").agg(F.count("*").alias("hits")))
-
-
-def top_k(rows: DataFrame, k: int | Column, order: list[Column], by: str | list[str] = "query_id", rank: str = "rank") -> DataFrame:
-    keys = [by] if isinstance(by, str) else by
-    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).filter(F.col(rank) <= k)
-
-
-def bm25_search(queries: DataFrame, docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text", index: DataFrame | None = None) -> DataFrame:
-    """The first documents of each query by score (six decimals), then key: those with all terms, else with any.
-
-    The first rows of either kind are cut down in every partition before the exchange, so that no task sees all
-    matches of a query.
-    """
-    found = with_mode(bm25_matches(queries, docs, key, text, index)).withColumn("score", F.round("score", 6))
-    return strict_or_loose(top_k(found, limit, [F.desc("score"), F.asc(key)], ["query_id", "complete"]))
-
-
 def containment_scores(chunks: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
     """query_id, part, chunk_id, modified_at, raw, overlap, core of every chunk that holds a term of a part.
 
-    asked: query_id, part, terms, core - the request; it comes to the driver in blocks of ``QUERY_BLOCK`` parts,
-    and every block is one pass. An Aho-Corasick automaton over a block's terms reads every chunk once; the
-    scores are products of chunk x term with term x part matrices over a slice of chunks.
+    asked: query_id, part, terms, core - the request; it comes to the driver in blocks of about ``QUERY_BLOCK`` parts,
+    and every block is one pass over all chunks (``substrings`` reads an index instead). An Aho-Corasick automaton over a
+    block's terms reads every chunk once; what it finds, a row for each chunk and term, is given to the parts
+    that use the term and added up by chunk and part.
     raw: file name and heading 3, path 2, snippet 1; overlap: file name and heading 3, else 1 (terms of two
     characters and more); core: core terms found anywhere. Of each slice and part only rows that can be among
     the first ``keep`` by raw, then modified_at, are sent (ties with the last one stay).
@@ -110,21 +48,31 @@ def containment_scores(chunks: DataFrame, asked: DataFrame, keep: int) -> DataFr
 
 
 def _contained(chunks: DataFrame, request: list[tuple], keep: int) -> DataFrame:
-    """One block of a request against all chunks."""
+    """One block of a request against all chunks. A worker holds a slice's finds and numbers by chunk and part."""
     import numpy as np
     import pyarrow as pa
 
     words = sorted({t for _, _, terms, core in request for t in [*terms, *core]})
     place = {t: k for k, t in enumerate(words)}
-    # Small whole numbers, exact in single precision.
-    uses, cores = np.zeros((len(words), len(request)), np.float32), np.zeros((len(words), len(request)), np.float32)
-    for j, (_, _, terms, core) in enumerate(request):
-        uses[[place[t] for t in terms], j] = 1
-        cores[[place[t] for t in core], j] = 1
-    long = np.array([len(t) >= 2 for t in words], np.float32)
+
+    def users(lists) -> tuple[np.ndarray, np.ndarray]:
+        """The parts that use each word, end to end, and where each word's begin."""
+        pairs = np.array(sorted((place[t], j) for j, terms in enumerate(lists) for t in set(terms)), np.int64).reshape(-1, 2)
+        return pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(words) + 1))
+
+    uses, cores = users([r[2] for r in request]), users([r[3] for r in request])
+    long = np.array([len(t) >= 2 for t in words], bool)
     ids, parts = np.array([r[0] for r in request], np.int64), np.array([r[1] for r in request], np.int32)
-    fields = ("file_name", "heading", "path", "snippet")
+    fields = ("snippet", "path", "heading", "file_name")  # by rising weight: 1, 2, 3, 3
     schema = f"query_id long, part int, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, modified_at long, raw long, overlap long, core long"
+    rows = max(1, min(2000, (1 << 21) // max(1, len(request))))  # of a slice: its numbers take 48 MB at most
+
+    def spread(row, word, weight, lists, shape):
+        """Sums of weights by chunk and part."""
+        flat, at = lists
+        n = at[word + 1] - at[word]
+        every = np.repeat(at[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(np.repeat(row, n) * shape[1] + flat[every], np.repeat(weight, n), shape[0] * shape[1]).astype(np.int64).reshape(shape)
 
     def run(batches):
         import ahocorasick
@@ -135,31 +83,49 @@ def _contained(chunks: DataFrame, request: list[tuple], keep: int) -> DataFrame:
         for t, k in place.items():
             automaton.add_word(t, k)
         automaton.make_automaton()
+        seen: dict[str, list[int]] = {}  # names and paths come again and again
+
+        def finds(text: str | None, short: bool) -> list[int]:
+            if not text:
+                return []
+            found = seen.get(text) if short else None
+            if found is None:
+                found = list({k for _, k in automaton.iter(text.lower())})
+                if short:
+                    if len(seen) > 10_000:
+                        seen.clear()
+                    seen[text] = found
+            return found
+
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
+            for a in range(0, batch.num_rows, rows):
+                part = batch.slice(a, rows)
                 n = part.num_rows
-                found = np.zeros((4, n, len(words)), bool)
+                row, word, weight = [], [], []
                 for f, name in enumerate(fields):
-                    last, row = None, None
-                    for i, text in enumerate(part.column(name).to_pylist()):
-                        if text != last:
-                            row, last = [k for _, k in automaton.iter((text or "").lower())], text
-                        found[f, i, row] = True
-                head, rest = found[0] | found[1], found[2] | found[3]
-                weight = np.where(head, 3, np.where(found[2], 2, found[3])).astype(np.float32)
-                raw = (weight @ uses).astype(np.int64)
+                    lists = [finds(text, f > 0) for text in part.column(name).to_pylist()]
+                    row.append(np.repeat(np.arange(n), [len(x) for x in lists]))
+                    word.append(np.array([k for x in lists for k in x], np.int64))
+                    weight.append(np.full(len(word[-1]), min(f + 1, 3)))
+                # A chunk's best field for each word.
+                key = np.concatenate(row) * len(words) + np.concatenate(word)
+                order = np.lexsort((np.concatenate(weight), key))
+                key, weight = key[order], np.concatenate(weight)[order]
+                last = np.append(key[1:] != key[:-1], True)[: len(key)]
+                (row, word), weight = np.divmod(key[last], len(words)), weight[last]
+                shape = n, len(request)
+                raw = spread(row, word, weight, uses, shape)
                 when = np.array(part.column("modified_at").fill_null(0), np.int64)
                 if n > keep and 0 <= when.min() and when.max() < 1 << 40:
-                    order = np.where(raw > 0, raw << 40 | when[:, None], -1)
-                    order[order < np.partition(order, n - keep, axis=0)[n - keep]] = -1
-                    i, j = np.nonzero(order >= 0)
+                    first = np.where(raw > 0, raw << 40 | when[:, None], -1)
+                    first[first < np.partition(first, n - keep, axis=0)[n - keep]] = -1
+                    i, j = np.nonzero(first >= 0)
                 else:
                     i, j = np.nonzero(raw)
-                overlap = (np.where(head, 3, rest).astype(np.float32) * long) @ uses
-                core = (head | rest).astype(np.float32) @ cores
+                overlap = spread(row, word, np.where(weight == 3, 3, 1) * long[word], uses, shape)
+                core = spread(row, word, np.ones(len(word)), cores, shape)
                 at = pa.array(i)
-                columns = [pa.array(ids[j]), pa.array(parts[j]), part.column("chunk_id").take(at), part.column("modified_at").take(at), *[pa.array(x[i, j].astype(np.int64)) for x in (raw, overlap, core)]]
+                columns = [pa.array(ids[j]), pa.array(parts[j]), part.column("chunk_id").take(at), part.column("modified_at").take(at), *[pa.array(x[i, j]) for x in (raw, overlap, core)]]
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "part", "chunk_id", "modified_at", "raw", "overlap", "core"])
 
     return chunks.select("chunk_id", "modified_at", *fields).mapInArrow(run, schema)
@@ -254,23 +220,49 @@ def origin(snippet, heading, file_name, path, terms) -> Column:
     return F.when(has(snippet), "正文摘要命中").when(has(heading), "标题命中").when(has(file_name), "文件名命中").when(has(path), "路径命中").otherwise("正文摘要命中")
 
 
-RECENT_CAP, FAVORITE_CAP = 50, 200
+#: How many of a user's recent documents, favourites and past queries a search looks at (fixed values).
+RECENT_CAP, FAVORITE_CAP, HISTORY_CAP = 50, 200, 30
+
+
+def with_user(rows: DataFrame) -> DataFrame:
+    """Lists without a user are one user's, who asks all queries."""
+    return rows if "user" in rows.columns else rows.withColumn("user", F.lit(0))
+
 
+def preferred(rows: DataFrame, name: str, cap: int) -> DataFrame:
+    """The first rows of a user's list, in the list's own order."""
+    return lists.listed_per(with_user(rows), name, "user", cap).drop("rank")
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int, now: int, semantic: DataFrame | None = None, favorites: DataFrame | None = None, opens: DataFrame | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), index: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
-    """The whole search: recall, fusion, boosts, cap, final ranks.
 
-    queries: query_id, query_text. chunks: chunk_id, path, file_name, heading, snippet, text (what is
-    searched), modified_at, chunk_score. semantic: query_id, chunk_id, rank. favorites: path.
-    opens: path, open_count. index: the chunks ``tokenized`` by chunk_id. history: query_id, term - terms of the
-    user's past queries, which are searched as well (rows they bring get a small bonus and a reason).
+def past_terms(queries: DataFrame, history: DataFrame) -> DataFrame:
+    """query_id, past: up to four terms of the user's last queries that the query does not have, by weight.
+
+    queries: query_id, query_text (and user). history: query, hit_count, last_hit_at (and user).
+    """
+    q = with_user(queries).select("query_id", "user", X.rewrite_terms("query_text").alias("terms"))
+    last = preferred(history, "history", HISTORY_CAP)
+    mine = q.select("query_id", "user").join(last, "user").select(F.col("query_id").alias("user"), "query", "hit_count")
+    current = q.select(F.col("query_id").alias("user"), F.explode("terms").alias("term")).select("user", F.lower(F.trim("term")).alias("term"))
+    found = activity.history_terms(mine, current)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"])
+    return found.groupBy(F.col("user").alias("query_id")).agg(F.array_join(in_order, " ").alias("past"))
+
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame, index: inverted.Index, limit: int, now: int, semantic: DataFrame | None = None, favorites: DataFrame | None = None, opens: DataFrame | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), history: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
+    """The whole search: recall by fields, fusion, boosts, cap, final ranks.
+
+    queries: query_id, query_text (and user). chunks: chunk_id, path, file_name, heading, snippet, modified_at,
+    chunk_score. index: of these chunks; live: document_id, segment that are not gone. semantic: query_id, chunk_id, rank.
+    A user's lists, each cut to its cap: favorites: path, title, created_at, updated_at; opens: path, open_count,
+    last_opened_at; history: query, hit_count, last_hit_at, whose terms are searched as well (rows of such a query get a
+    small bonus and a reason).
     """
-    terms = X.rewrite_terms("query_text")
-    expanded = queries.select("query_id", F.array_join(terms, " ").alias("query_text"))
+    queries = with_user(queries)
+    expanded = queries.select("query_id", F.array_join(X.rewrite_terms("query_text"), " ").alias("query_text"))
     if history is not None:
-        past = history.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("past"))
-        expanded = expanded.join(past, "query_id", "left").select("query_id", F.concat_ws(" ", "query_text", "past").alias("query_text"), F.col("past").isNotNull().alias("grown"))
-    keyword = bm25_search(expanded, chunks, limit, "chunk_id", "text", index)
+        expanded = expanded.join(past_terms(queries, history), "query_id", "left").select("query_id", F.concat_ws(" ", "query_text", "past").alias("query_text"), F.col("past").isNotNull().alias("grown"))
+        expanded = written(expanded, "expanded")
+    keyword = inverted.search(expanded, index, limit, live)
     if semantic is None:
         semantic = keyword.select("query_id", "chunk_id", "rank").limit(0)
     # Both lists hold a few rows for each query; they are used by the join and by what follows.
@@ -279,9 +271,15 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int, now: int, s
         fused = fused.join(expanded.select("query_id", "grown"), "query_id")
     else:
         fused = fused.withColumn("grown", F.lit(False))
-    rows = fused.join(chunks.drop("text"), "chunk_id").join(queries, "query_id")
-    rows = rows.join(favorites.select("path", F.lit(True).alias("favorite")), "path", "left") if favorites is not None else rows.withColumn("favorite", F.lit(False))
-    rows = rows.join(opens.select("path", "open_count"), "path", "left") if opens is not None else rows.withColumn("open_count", F.lit(0))
+    rows = fused.join(chunks, "chunk_id").join(queries, "query_id")
+    if favorites is not None:
+        rows = rows.join(preferred(favorites, "favorites", FAVORITE_CAP).select("user", "path", F.lit(True).alias("favorite")), ["user", "path"], "left")
+    else:
+        rows = rows.withColumn("favorite", F.lit(False))
+    if opens is not None:
+        rows = rows.join(preferred(opens, "recents", RECENT_CAP).select("user", "path", "open_count"), ["user", "path"], "left")
+    else:
+        rows = rows.withColumn("open_count", F.lit(0))
     rows = rows.withColumns({"favorite": F.coalesce("favorite", F.lit(False)), "open_count": F.coalesce("open_count", F.lit(0)), "terms": X.search_tokens("query_text")})
     found = F.when(F.col("keyword_rank").isNull(), "语义命中").otherwise(origin("snippet", "heading", "file_name", "path", F.col("terms")))
     rows = rows.withColumn("match_origin", found)

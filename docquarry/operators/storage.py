@@ -35,3 +35,34 @@ def blocks(rows: DataFrame, key: list[str], most: int) -> list[DataFrame]:
 
     n = max(1, -(-rows.count() // most))
     return [rows] if n == 1 else [rows.filter(F.pmod(F.xxhash64(*key), F.lit(n)) == k) for k in range(n)]
+
+
+def filesystem(spark: SparkSession, path: str):
+    """Spark's own file system for a path, and the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder that the program itself keeps small; none where it does not exist."""
+    fs, at = filesystem(spark, folder)
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = filesystem(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a file that must not exist yet: a second writer of the same name is refused."""
+    fs, at = filesystem(spark, path)
+    stream = fs.create(at, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import scoring as S
 from docquarry.functions import text as X
-from docquarry.operators import activity, answers, indexing, library, lists, retrieval
+from docquarry.operators import activity, answers, indexing, inverted, library, lists, retrieval
 from docquarry.plans import corpus as C
 from docquarry.plans.registry import ORACLES, QUERIES, query
 from docquarry.sources import chunking, parsers
@@ -226,26 +226,76 @@ def index_status(spark, sf_dir):
 
 # --- keyword search -------------------------------------------------------------------------------------
 
-BM25 = f"""q AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term, len({TOKENS.format('text')}) AS n_terms FROM benchmark),
-t AS (SELECT doc_id, {TOKENS.format('text')} AS terms FROM documents), s AS (SELECT count(*) AS n_docs, avg(len(terms)) AS mean_length FROM t),
-p AS (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM t), pq AS (SELECT * FROM p WHERE term IN (SELECT term FROM q) AND strlen(term) <= 40),
-df AS (SELECT term, count(*) AS df FROM pq GROUP BY 1),
-m AS (SELECT query_id, doc_id, n_terms, count(*) AS matched, CAST(sum(CAST(ln(1.0::DOUBLE + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * 2.2::DOUBLE / (1.0::DOUBLE + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean_length)) AS DECIMAL(28,12))) AS DOUBLE) AS score
- FROM q JOIN df USING (term) JOIN pq USING (term), s GROUP BY 1, 2, 3),
+def fielded(queries: str) -> str:
+    """SQL of a search by field. ``u`` (chunk_id, doc_id, file_name, path, heading, snippet) and ``docs`` come before it;
+    queries: SQL of query_id and terms. Gives m (query_id, chunk_id, n_terms, matched, score) and r, the rows that count."""
+    T = TOKENS.format
+    return f"""qt AS ({queries}), q AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM qt),
+ct AS (SELECT doc_id, {T('text')} AS terms FROM docs),
+fl AS (SELECT chunk_id, 'file_name' AS field, {T('file_name')} AS terms FROM u UNION ALL SELECT chunk_id, 'path', {T('path')} FROM u UNION ALL SELECT chunk_id, 'ext', ['txt'] FROM u UNION ALL SELECT chunk_id, 'heading', {T('heading')} FROM u
+ UNION ALL SELECT chunk_id, 'snippet', {T("(file_name || ' ' || path || ' ' || heading || ' ' || snippet)")} FROM u UNION ALL SELECT chunk_id, 'content', terms FROM u JOIN ct USING (doc_id)),
+ft AS (SELECT chunk_id, field, list_filter(terms, lambda t: strlen(t) <= 40) AS terms FROM fl),
+st AS (SELECT field, count(*) AS n, sum(len(terms))::DOUBLE / count(*) AS mean FROM ft GROUP BY field),
+po AS (SELECT * FROM (SELECT chunk_id, field, len(terms) AS length, unnest(terms) AS term FROM ft) WHERE term IN (SELECT term FROM q)),
+df AS (SELECT field, term, count(*) AS df FROM po GROUP BY ALL),
+m AS (SELECT query_id, chunk_id, n_terms, count(DISTINCT term) AS matched, CAST(sum(CAST(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * 2.2::DOUBLE / (1.0::DOUBLE + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)) AS DECIMAL(28,12))) AS DOUBLE) AS score
+ FROM q JOIN po USING (term) JOIN df USING (field, term) JOIN st USING (field) GROUP BY query_id, chunk_id, n_terms),
 f AS (SELECT *, matched = n_terms AS complete, max(CASE WHEN matched = n_terms THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS has_all FROM m),
-r AS (SELECT query_id, doc_id, round(score, 6) AS score, complete FROM f WHERE complete OR has_all = 0)"""
+r AS (SELECT query_id, chunk_id, round(score, 6) AS score, complete FROM f WHERE complete OR has_all = 0)"""
 
 
-@query(f"WITH {BM25}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) SELECT query_id, doc_id, score, rank FROM k WHERE rank <= {LIMIT}")
+#: A chunk for each document: its first 240 characters as the snippet.
+WHOLE = f"{DOCS}, u AS (SELECT doc_id, doc_id AS chunk_id, file_name, path, file_name AS heading, CASE WHEN length(text) > 240 THEN left(text, 240) || '…' ELSE text END AS snippet FROM docs)"
+#: A chunk for each line.
+BY_LINE = f"{CHUNKS}, u AS (SELECT doc_id, chunk_id, file_name, path, heading, snippet FROM chunks)"
+PASSAGES = f"SELECT item_id AS query_id, {TOKENS.format('text')} AS terms FROM benchmark"
+#: The first and the last two words of every passage.
+ENDS = r"(regexp_extract(text, '^\S+') || ' ' || regexp_extract(text, '\S+\s+\S+$'))"
+SHORT = f"SELECT item_id AS query_id, {TOKENS.format(ENDS)} AS terms FROM benchmark"
+
+
+def document_index(spark, sf_dir) -> inverted.Index:
+    d = C.documents(spark, sf_dir).withColumns({"document_id": F.col("doc_id"), "chunk_id": F.col("doc_id"), "heading": F.col("file_name"), "ext": F.lit("txt"), "snippet": X.truncate_chars("text", 240)})
+    return inverted.build(d, d.select("document_id", F.col("text").alias("content")))
+
+
+def line_index(spark, sf_dir) -> inverted.Index:
+    chunks = C.chunks(spark, sf_dir).withColumnRenamed("doc_id", "document_id").withColumn("ext", F.lit("txt"))
+    return inverted.build(chunks, C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content")))
+
+
+def short_queries(spark, sf_dir):
+    text = F.concat_ws(" ", F.regexp_extract("query_text", r"^\S+", 0), F.regexp_extract("query_text", r"\S+\s+\S+$", 0))
+    return C.queries(spark, sf_dir).withColumn("query_text", text)
+
+
+TOP = f", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM r) SELECT query_id, chunk_id AS {{key}}, score, rank FROM k WHERE rank <= {LIMIT}"
+MODES = " SELECT query_id, CASE WHEN complete THEN 'all' ELSE 'any' END AS mode, count(*) AS hits FROM r GROUP BY 1, 2"
+
+
+@query(f"WITH {WHOLE}, {fielded(PASSAGES)}" + TOP.format(key="doc_id"))
 def bm25_topk(spark, sf_dir):
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return retrieval.bm25_search(C.queries(spark, sf_dir), docs, LIMIT).select("query_id", "doc_id", "score", "rank")
+    """Every passage against all documents, by field."""
+    found = inverted.search(C.queries(spark, sf_dir), document_index(spark, sf_dir), LIMIT)
+    return found.select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
 
 
-@query(f"WITH {BM25} SELECT query_id, CASE WHEN complete THEN 'all' ELSE 'any' END AS mode, count(*) AS hits FROM r GROUP BY 1, 2")
+@query(f"WITH {WHOLE}, {fielded(PASSAGES)}" + MODES)
 def bm25_and_or(spark, sf_dir):
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = retrieval.mode_counts(retrieval.bm25_matches(C.queries(spark, sf_dir), docs))
+    found = inverted.mode_counts(C.queries(spark, sf_dir), document_index(spark, sf_dir))
+    return found.select("query_id", F.when(F.col("complete"), "all").otherwise("any").alias("mode"), "hits")
+
+
+@query(f"WITH {BY_LINE}, {fielded(SHORT)}" + TOP.format(key="chunk_id"))
+def bm25_lines(spark, sf_dir):
+    """Chunks that share their document's content: three words of every passage against all lines."""
+    found = inverted.search(short_queries(spark, sf_dir), line_index(spark, sf_dir), LIMIT)
+    return found.select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {BY_LINE}, {fielded(SHORT)}" + MODES)
+def bm25_line_modes(spark, sf_dir):
+    found = inverted.mode_counts(short_queries(spark, sf_dir), line_index(spark, sf_dir))
     return found.select("query_id", F.when(F.col("complete"), "all").otherwise("any").alias("mode"), "hits")
 
 
@@ -347,30 +397,36 @@ def hash_embeddings(spark, sf_dir):
 
 # --- fusion and ranking ---------------------------------------------------------------------------------
 
-FUSED = f"""WITH {VECTORS}, s AS (SELECT query_id, vec_id, label, round(cosine, 6) AS cosine, round(list_cosine_similarity(list_reverse(query), list_reverse(query)) * ((vec_id * 7919) % 1009), 6) AS other FROM x JOIN q USING (query_id)),
-a AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY other DESC, vec_id) AS keyword_rank FROM s), b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS semantic_rank FROM s),
-a2 AS (SELECT * FROM a WHERE keyword_rank <= 20), b2 AS (SELECT * FROM b WHERE semantic_rank <= 160),
-f AS (SELECT coalesce(a2.query_id, b2.query_id) AS query_id, coalesce(a2.vec_id, b2.vec_id) AS vec_id, keyword_rank, semantic_rank, round(coalesce(0.7::DOUBLE / (60 + keyword_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0), 9) AS fused FROM a2 FULL JOIN b2 ON a2.query_id = b2.query_id AND a2.vec_id = b2.vec_id)"""
+#: The keyword list of every passage and the list of its vector (the one of its number), fused.
+SEMANTIC = """v AS (SELECT b.item_id AS query_id, e.vec_id, list_cosine_similarity(CAST(z.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS cosine FROM benchmark b JOIN embeddings z ON z.vec_id = b.item_id, embeddings e),
+vs AS (SELECT query_id, vec_id, round(CASE WHEN 1 - cosine <= 0 THEN 1.0 ELSE 1.0 / (1.0 + (1.0 - cosine)) END, 6) AS score FROM v),
+vr AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS semantic_rank FROM vs)"""
+FUSED = f"""WITH {WHOLE}, {fielded(PASSAGES)}, {SEMANTIC}, a AS (SELECT query_id, chunk_id AS vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS keyword_rank FROM r),
+a2 AS (SELECT * FROM a WHERE keyword_rank <= {LIMIT}), b2 AS (SELECT * FROM vr WHERE semantic_rank <= 160),
+fu AS (SELECT coalesce(a2.query_id, b2.query_id) AS query_id, coalesce(a2.vec_id, b2.vec_id) AS vec_id, keyword_rank, semantic_rank, round(coalesce(0.7::DOUBLE / (60 + keyword_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0), 9) AS fused FROM a2 FULL JOIN b2 ON a2.query_id = b2.query_id AND a2.vec_id = b2.vec_id)"""
+
+
+def passage_vectors(spark, sf_dir, key: str = "vec_id"):
+    """The vectors, and what the passages' own vectors find among them."""
+    vectors = C.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(key), "embedding")
+    asked = vectors.join(C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias(key)), key, "left_semi").select(F.col(key).alias("query_id"), F.col("embedding").alias("query"))
+    return vectors, retrieval.cosine_search(asked, vectors, retrieval.recall_limit(LIMIT), key)
 
 
 def fused_lists(spark, sf_dir):
-    """A list by a made-up keyword score and the cosine list, fused."""
-    e, q = vector_queries(spark, sf_dir)
-    # The made-up score is the same for every query: twenty rows, given to each.
-    first = e.select(F.lit(0).alias("one"), "vec_id", (F.col("vec_id") * 7919 % 1009).alias("other"))
-    keyword = F.broadcast(retrieval.top_k(first, 20, [F.desc("other"), F.asc("vec_id")], "one")).crossJoin(q.select("query_id"))
-    semantic = retrieval.cosine_search(q, e.select("vec_id", "embedding"), 160, distance=False)
-    return retrieval.fuse(keyword, semantic, "vec_id").withColumn("fused", F.round("fused", 9)), e
+    keyword = inverted.search(C.queries(spark, sf_dir), document_index(spark, sf_dir), LIMIT).withColumnRenamed("chunk_id", "vec_id")
+    fused = retrieval.fuse(keyword, passage_vectors(spark, sf_dir)[1], "vec_id")
+    return fused.withColumn("fused", F.round("fused", 9)), C.table(spark, sf_dir, "embeddings")
 
 
-@query(FUSED + " SELECT * FROM f")
+@query(FUSED + " SELECT * FROM fu")
 def rrf_fusion(spark, sf_dir):
     return fused_lists(spark, sf_dir)[0]
 
 
 CAPPED = (
     FUSED
-    + """, g AS (SELECT f.*, label FROM f JOIN embeddings USING (vec_id)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vec_id) AS original_rank,
+    + """, g AS (SELECT fu.*, label FROM fu JOIN embeddings USING (vec_id)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vec_id) AS original_rank,
  row_number() OVER (PARTITION BY query_id, label ORDER BY fused DESC, vec_id) > 3 AS over_cap FROM g), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over_cap, fused DESC, vec_id) AS place FROM o),
  z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, over_cap, vec_id) AS final_rank FROM c WHERE place <= 20)"""
 )
@@ -390,29 +446,31 @@ def group_by_document(spark, sf_dir):
     return retrieval.group_by_document(rows.withColumnRenamed("vec_id", "chunk_id"), "fused").select("query_id", F.col("path").alias("label"), "hits", "total_score", "top_score")
 
 
-HYBRID = f"""WITH {DOCS}, q0 AS (SELECT item_id AS query_id, lower(text) AS low, {TOKENS.format('text')} AS own FROM benchmark),
-q1 AS (SELECT query_id, own, array_to_string(list_concat(own, CASE WHEN contains(low, 'repo') OR contains(low, 'offline') THEN ['offline', 'repo', 'repository', 'local repository'] ELSE [] END,
+#: Passages belong to five users. A user's past queries are the user's turns of conversations.
+HYBRID = f"""WITH {WHOLE}, q0 AS (SELECT item_id AS query_id, item_id % 5 AS usr, lower(text) AS low, {TOKENS.format('text')} AS own FROM benchmark),
+q1 AS (SELECT query_id, usr, own, list_distinct(list_concat(own, CASE WHEN contains(low, 'repo') OR contains(low, 'offline') THEN ['offline', 'repo', 'repository', 'local repository'] ELSE [] END,
  CASE WHEN contains(low, 'semantic') OR contains(low, 'embedding') THEN ['semantic search', 'embedding', 'vector'] ELSE [] END, CASE WHEN contains(low, 'chunk') THEN ['chunk', 'paragraph', 'snippet'] ELSE [] END,
- CASE WHEN contains(low, 'markdown') OR contains(low, ' md ') THEN ['markdown', 'md'] ELSE [] END, CASE WHEN contains(low, 'docx') OR contains(low, 'word') THEN ['docx', 'word'] ELSE [] END, CASE WHEN contains(low, 'html') THEN ['html'] ELSE [] END), ' ') AS t FROM q0),
-q AS (SELECT query_id, unnest({TOKENS.format('t')}) AS term, len({TOKENS.format('t')}) AS n_terms FROM q1),
-t AS (SELECT doc_id, {TOKENS.format("(file_name || ' ' || path || ' ' || text)")} AS terms FROM docs), s AS (SELECT count(*) AS n_docs, avg(len(terms)) AS mean_length FROM t),
-p AS (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM t), pq AS (SELECT * FROM p WHERE term IN (SELECT term FROM q) AND strlen(term) <= 40),
-df AS (SELECT term, count(*) AS df FROM pq GROUP BY 1),
-m AS (SELECT query_id, doc_id, n_terms, count(*) AS matched, CAST(sum(CAST(ln(1.0::DOUBLE + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * 2.2::DOUBLE / (1.0::DOUBLE + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean_length)) AS DECIMAL(28,12))) AS DOUBLE) AS score
- FROM q JOIN df USING (term) JOIN pq USING (term), s GROUP BY 1, 2, 3),
-f AS (SELECT *, matched = n_terms AS complete, max(CASE WHEN matched = n_terms THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS has_all FROM m),
-k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS keyword_rank FROM f WHERE complete OR has_all = 0),
-v AS (SELECT b.item_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(CAST(z.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS cosine FROM benchmark b JOIN embeddings z ON z.vec_id = b.item_id, embeddings e),
-vs AS (SELECT query_id, doc_id, round(CASE WHEN 1 - cosine <= 0 THEN 1.0 ELSE 1.0 / (1.0 + (1.0 - cosine)) END, 6) AS score FROM v),
-vr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS semantic_rank FROM vs),
-u AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, keyword_rank, semantic_rank, coalesce(0.7::DOUBLE / (60 + keyword_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) AS fused
- FROM (SELECT * FROM k WHERE keyword_rank <= {LIMIT}) a FULL JOIN (SELECT * FROM vr WHERE semantic_rank <= 160) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
-ev AS (SELECT user_id AS doc_id, count(*) AS opens FROM events WHERE event_type = 'view' GROUP BY 1),
-g AS (SELECT u.*, path, modified_at, file_name, own AS terms, lower(text) AS lt, lower(file_name) AS lf, lower(path) AS lp, quality IS NOT NULL AS favorite, coalesce(opens, 0) AS opens FROM u JOIN docs USING (doc_id) JOIN q1 USING (query_id) LEFT JOIN (SELECT doc_id, quality FROM labels WHERE quality = 1) USING (doc_id) LEFT JOIN ev USING (doc_id)),
+ CASE WHEN contains(low, 'markdown') OR contains(low, ' md ') THEN ['markdown', 'md'] ELSE [] END, CASE WHEN contains(low, 'docx') OR contains(low, 'word') THEN ['docx', 'word'] ELSE [] END, CASE WHEN contains(low, 'html') THEN ['html'] ELSE [] END)) AS rw FROM q0),
+h AS (SELECT conv_id % 5 AS usr, text, turn + 1 AS w, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY turn DESC, turn + 1 DESC, text) AS rn FROM conversations WHERE role = 'user'),
+hw AS (SELECT query_id, rw, unnest({TOKENS.format('text')}) AS term, w FROM h JOIN q1 USING (usr) WHERE rn <= 30),
+ht AS (SELECT query_id, term, sum(w) AS weight FROM hw WHERE strlen(term) >= 2 AND NOT list_contains(rw, term) GROUP BY ALL HAVING sum(w) >= 2),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS rn FROM ht),
+hp AS (SELECT query_id, string_agg(term, ' ' ORDER BY rn) AS past FROM hr WHERE rn <= 4 GROUP BY 1),
+q2 AS (SELECT query_id, usr, own, array_to_string(rw, ' ') || coalesce(' ' || past, '') AS t, past IS NOT NULL AS grown FROM q1 LEFT JOIN hp USING (query_id)),
+{fielded(f"SELECT query_id, {TOKENS.format('t')} AS terms FROM q2")},
+k AS (SELECT query_id, chunk_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS keyword_rank FROM r),
+{SEMANTIC},
+fu AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.vec_id) AS doc_id, keyword_rank, semantic_rank, coalesce(0.7::DOUBLE / (60 + keyword_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) AS fused
+ FROM (SELECT * FROM k WHERE keyword_rank <= {LIMIT}) a FULL JOIN (SELECT * FROM vr WHERE semantic_rank <= 160) b ON a.query_id = b.query_id AND a.doc_id = b.vec_id),
+ev AS (SELECT event_id % 5 AS usr, doc_id, path, count(*) AS opens, CAST(floor(epoch(max(ts))) AS BIGINT) AS last FROM events JOIN docs ON user_id = doc_id WHERE event_type = 'view' GROUP BY 1, 2, 3),
+er AS (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY last DESC, opens DESC, path) AS rn FROM ev),
+fa AS (SELECT doc_id % 5 AS usr, doc_id, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY modified_at DESC, file_name) AS rn FROM docs JOIN labels USING (doc_id) WHERE quality = 1),
+g AS (SELECT fu.*, grown, path, modified_at, file_name, own AS terms, lower(text) AS lt, lower(file_name) AS lf, lower(path) AS lp, fa.doc_id IS NOT NULL AS favorite, coalesce(opens, 0) AS opens FROM fu JOIN docs USING (doc_id) JOIN q2 USING (query_id)
+ LEFT JOIN (SELECT * FROM fa WHERE rn <= 200) fa ON fa.doc_id = fu.doc_id AND fa.usr = q2.usr LEFT JOIN (SELECT usr, doc_id, opens FROM er WHERE rn <= 50) er ON er.doc_id = fu.doc_id AND er.usr = q2.usr),
 o AS (SELECT *, CASE WHEN keyword_rank IS NULL THEN '语义命中' WHEN len(list_filter(terms, lambda t: contains(lt, t))) > 0 THEN '正文摘要命中' WHEN len(list_filter(terms, lambda t: contains(lf, t))) > 0 THEN '标题命中' WHEN len(list_filter(terms, lambda t: contains(lp, t))) > 0 THEN '路径命中' ELSE '正文摘要命中' END AS match_origin,
  len(list_filter(terms, lambda t: contains(lf, t))) AS in_name, len(list_filter(terms, lambda t: contains(lp, t))) AS in_path, len(terms) AS n FROM g),
 z AS (SELECT *, round(fused * 1.0::DOUBLE + (CASE match_origin WHEN '标题命中' THEN 0.32 WHEN '正文摘要命中' THEN 0.18 WHEN '路径命中' THEN 0.08 ELSE 0.12 END)::DOUBLE + (CASE WHEN modified_at > 0 AND {NOW} > modified_at THEN 0.15 / (1 + least(({NOW} - modified_at) / 86400.0, 3650) / 30.0) ELSE 0.05 END)::DOUBLE
- + ((CASE WHEN favorite THEN 0.12 ELSE 0 END)::DOUBLE + (CASE WHEN opens >= 3 THEN 0.06 WHEN opens > 0 THEN 0.04 ELSE 0 END)::DOUBLE)
+ + ((CASE WHEN favorite THEN 0.12 ELSE 0 END)::DOUBLE + (CASE WHEN opens >= 3 THEN 0.06 WHEN opens > 0 THEN 0.04 ELSE 0 END)::DOUBLE + (CASE WHEN grown THEN 0.03 ELSE 0 END)::DOUBLE)
  + (CASE WHEN n > 0 AND in_name = n THEN 0.32 WHEN in_name > 0 THEN 0.18 ELSE 0 END)::DOUBLE + (CASE WHEN n > 0 AND in_name = n THEN 0.45 WHEN in_name > 0 THEN 0.25 ELSE 0 END)::DOUBLE, 6) AS final_score FROM o),
 y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, keyword_rank NULLS LAST, semantic_rank NULLS LAST, doc_id) AS final_rank FROM z)"""
 
@@ -421,22 +479,25 @@ y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DE
     HYBRID
     + f""" SELECT query_id, doc_id AS chunk_id, final_rank, CAST(0 AS BIGINT) AS rank_delta, final_score, match_origin,
  concat_ws(' · ', match_origin, CASE WHEN n > 0 AND in_name = n THEN '文件名完整命中' WHEN n > 0 AND in_path = n THEN '路径完整命中' END, CASE WHEN keyword_rank IS NOT NULL AND semantic_rank IS NOT NULL THEN '全文+语义共同命中' WHEN semantic_rank IS NOT NULL THEN '语义召回' END,
- CASE WHEN favorite THEN '已收藏优先' END, CASE WHEN opens >= 3 THEN '最近打开 ' || opens || ' 次' WHEN opens > 0 THEN '最近打开' END, CASE WHEN modified_at > 0 AND {NOW} > modified_at AND {NOW} - modified_at < 30 * 86400 THEN '最近更新' END) AS reason FROM y WHERE final_rank <= {LIMIT}"""
+ CASE WHEN favorite THEN '已收藏优先' END, CASE WHEN opens >= 3 THEN '最近打开 ' || opens || ' 次' WHEN opens > 0 THEN '最近打开' END, CASE WHEN grown THEN '历史扩展' END, CASE WHEN modified_at > 0 AND {NOW} > modified_at AND {NOW} - modified_at < 30 * 86400 THEN '最近更新' END) AS reason FROM y WHERE final_rank <= {LIMIT}"""
 )
 def hybrid_search(spark, sf_dir):
-    """The whole search over all documents for the benchmark's passages, with a semantic list, favourites and opens.
+    """The whole search over all documents for the benchmark's passages, with a semantic list and the lists of five
+    users: favourites, opened documents, past queries.
 
     A document's vector is the one of its number, a passage's likewise.
     """
     d = C.documents(spark, sf_dir)
-    chunks = d.select(F.col("doc_id").alias("chunk_id"), "path", "file_name", F.col("file_name").alias("heading"), F.col("text").alias("snippet"), F.concat_ws(" ", "file_name", "path", "text").alias("text"), "modified_at", F.lit(1.0).alias("chunk_score"))
-    vectors = C.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    asked = vectors.join(C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
-    semantic = retrieval.cosine_search(asked, vectors, retrieval.recall_limit(LIMIT), "chunk_id")
-    labels = C.table(spark, sf_dir, "labels")
-    favorites = d.join(labels.filter("quality = 1"), "doc_id", "left_semi").select("path")
-    opens = C.events(spark, sf_dir).filter("event_type = 'view'").groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").cast("int").alias("open_count")).join(d.select("doc_id", "path"), "doc_id").select("path", "open_count")
-    found = retrieval.hybrid_search(C.queries(spark, sf_dir), chunks, LIMIT, NOW, semantic, favorites, opens)
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), "path", "file_name", F.col("file_name").alias("heading"), F.col("text").alias("snippet"), "modified_at", F.lit(1.0).alias("chunk_score"))
+    semantic = passage_vectors(spark, sf_dir, "chunk_id")[1]
+    labels = C.table(spark, sf_dir, "labels").filter("quality = 1")
+    favorites = d.join(labels, "doc_id", "left_semi").select((F.col("doc_id") % 5).alias("user"), "path", F.col("file_name").alias("title"), F.col("modified_at").alias("created_at"), F.col("modified_at").alias("updated_at"))
+    views = C.events(spark, sf_dir).filter("event_type = 'view'").join(d.select(F.col("doc_id").alias("user_id"), "path"), "user_id")
+    opens = views.groupBy((F.col("event_id") % 5).alias("user"), "path").agg(F.count("*").cast("int").alias("open_count"), F.max("ts").alias("last_opened_at"))
+    turns = C.table(spark, sf_dir, "conversations").filter("role = 'user'")
+    history = turns.select((F.col("conv_id") % 5).alias("user"), F.col("text").alias("query"), (F.col("turn") + 1).alias("hit_count"), F.col("turn").alias("last_hit_at"))
+    queries = C.queries(spark, sf_dir).withColumn("user", F.col("query_id") % 5)
+    found = retrieval.hybrid_search(queries, chunks, document_index(spark, sf_dir), LIMIT, NOW, semantic, favorites, opens, history=history)
     return found.select("query_id", "chunk_id", "final_rank", "rank_delta", "final_score", "match_origin", retrieval.rank_reason(NOW).alias("reason"))
 
 

@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 EPOCH, DAY = 1_704_067_200, 86_400
 
 
+#: Tables of long texts with the key that deals them out where they are a file or two.
+TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """An input table. Texts in fewer files than there are cores (a file of one row group is one task) are dealt out."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, TEXTS[name])
+    return df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

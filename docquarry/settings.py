@@ -9,31 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def clean_text(value: Any) -> str:
-    return "" if value is None else str(value).strip()
-
-
-def clean_number(value: Any, default, kind=int):
-    """A number of the kind, the default for blanks and what is none."""
-    if value is None or value == "":
-        return default
+#: Words that stand for a switch's two positions (fixed values).
+SWITCH = {"1": True, "true": True, "yes": True, "on": True, "0": False, "false": False, "no": False, "off": False}
+
+
+def fitted(raw: Any, default):
+    """What a caller sent as a value of the default's type.
+
+    Texts and lists of texts are trimmed, blank ones left out; numbers also switch; what cannot be read, and a blank
+    number, is the default.
+    """
+    text = str(raw).strip() if raw is not None else ""
+    match default:
+        case list():
+            return [t for t in (fitted(x, "") for x in raw) if t] if isinstance(raw, list) else default
+        case bool():
+            return raw != 0 if isinstance(raw, (int, float)) else SWITCH.get(text.lower(), default)
+        case str():
+            return text
     try:
-        return kind(value)
+        return type(default)(raw) if text else default
     except (TypeError, ValueError, OverflowError):
         return default
 
 
-def clean_bool(value: Any, default: bool = False) -> bool:
-    if isinstance(value, (bool, int, float)):
-        return bool(value)
-    low = clean_text(value).lower()
-    return True if low in ("1", "true", "yes", "on") else False if low in ("0", "false", "no", "off") else default
-
-
-def clean_list(values: Any) -> list[str]:
-    return [t for v in values if (t := clean_text(v))] if isinstance(values, list) else []
-
-
 def between(value, low, high):
     return max(low, min(high, value))
 
@@ -107,12 +106,10 @@ class Request:
         options = data.get("options") if isinstance(data.get("options"), dict) else {}
         get = lambda name: options[name] if name in options else data.get(name)
         default = AnswerSettings()
-        given = {}
-        for f in fields(AnswerSettings):
-            old = getattr(default, f.name)
-            kind = type(old)
-            given[f.name] = clean_bool(get(f.name), old) if kind is bool else clean_number(get(f.name), old, kind) if kind in (int, float) else clean_text(get(f.name)) or old
-        return cls(clean_text(get("question")), clean_list(get("scope_paths")), clean_list(get("recent_questions")), clean_text(get("session_context")), AnswerSettings(**given).clamped())
+        sent = {f.name: fitted(get(f.name), getattr(default, f.name)) for f in fields(default)}
+        # A blank text is no choice.
+        settings = AnswerSettings(**{name: value if value != "" else getattr(default, name) for name, value in sent.items()})
+        return cls(fitted(get("question"), ""), fitted(get("scope_paths"), []), fitted(get("recent_questions"), []), fitted(get("session_context"), ""), settings.clamped())
 
 
 KINDS = {"index": IndexSettings, "answers": AnswerSettings, "proxy": ProxySettings}

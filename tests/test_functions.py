@@ -187,7 +187,7 @@ def test_settings(spark, tmp_path):
     assert index.exclude_exts == ("log",) and index.semantic_threshold == 1.0
     r = settings.Request.of({"question": " q ", "temperature": "x", "options": {"max_output_tokens": "9", "enabled": "yes"}, "scope_paths": [" a ", None, ""], "recent_questions": "no"})
     assert (r.question, r.settings.temperature, r.settings.max_output_tokens, r.settings.enabled, r.scope_paths, r.recent_questions) == ("q", 0.2, 9, True, ["a"], [])
-    assert [settings.clean_bool(v, True) for v in ("off", 0, None, "?", True)] == [False, False, True, True, True]
+    assert [settings.fitted(v, True) for v in ("off", 0, None, "?", True)] == [False, False, True, True, True]
 
 
 def test_the_running_task():

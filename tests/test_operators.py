@@ -32,13 +32,6 @@ def test_cap_equals_the_loop(spark):
         assert [x["i"] for x in got if x["query_id"] == q] == want
 
 
-def test_strict_before_loose(spark):
-    docs = spark.createDataFrame([(1, "red blue"), (2, "red"), (3, "green")], "doc_id long, text string")
-    queries = spark.createDataFrame([(1, "red blue"), (2, "red green"), (3, "none")], "query_id long, query_text string")
-    got = {(r["query_id"], r["doc_id"]) for r in retrieval.bm25_search(queries, docs, 10).collect()}
-    assert got == {(1, 1), (2, 1), (2, 2), (2, 3)}
-
-
 def test_synonym_recall_finds_the_note(spark):
     chunks = spark.createDataFrame(
         [("off:0", "off", "离职流程.md", "离职流程", "/a/离职流程.md", "员工离职需要办理工作交接手续", 1, 0), ("exp:0", "exp", "报销.md", "报销", "/a/报销.md", "差旅报销说明", 1, 0), ("com:0", "com", "公司.md", "公司介绍", "/a/公司.md", "公司概况", 1, 0)],
