@@ -39,6 +39,7 @@ TOP = 10
 CHUNK = 4096
 BLOCK = 32
 STRIDE = 64
+SALTS = 64
 HELD = 400_000
 I64 = np.int64
 
@@ -180,7 +181,10 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int = BLOC
     vocabulary = real.groupBy("lang", "term").agg(F.sum("tf").alias("in_lang"), F.sum("df").alias("df")).filter(F.col("df") >= least)
     size = vocabulary.groupBy("lang").agg(F.count("*").alias("v"), F.sum("in_lang").alias("lang_n"))
     # Every chunk numbers its own terms; it has about ``chunk`` of them, as terms are dealt by hash.
-    numbered = vocabulary.join(size, "lang").withColumn("chunk", F.expr(f"CAST(pmod(xxhash64(term), CAST(ceil(v / {chunk}) AS BIGINT)) AS INT)"))
+    # A language has more terms than a task should see, so its size goes to them by language and salt.
+    spread = size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = vocabulary.withColumn("salt", F.expr(f"CAST(pmod(xxhash64(term), {SALTS}) AS INT)"))
+    numbered = salted.join(spread, ["lang", "salt"]).withColumn("chunk", F.expr(f"CAST(pmod(xxhash64(term), CAST(ceil(v / {chunk}) AS BIGINT)) AS INT)"))
     in_chunk = Window.partitionBy("lang", "chunk")
     numbered = numbered.withColumns({"position": F.row_number().over(in_chunk.orderBy("term")) - 1, "size": F.count("*").over(in_chunk)})
     numbered = stored(numbered.select("lang", "term", "in_lang", "lang_n", "v", "chunk", "position", "size"), "vocabulary")
