@@ -12,8 +12,8 @@ order the places with the same 100 bytes, compared byte by byte, stand in a row;
 covered.
 
 A block takes ``MOST`` different surroundings. Anchors with more (the ends of passages that thousands of
-documents share) are handled exactly another way: all their 100-byte strings are exchanged by their own
-hash and all but the first occurrence are covered. A task that sees more than ``MOST`` surroundings of an
+documents share) are handled another way: all their 100-byte strings are exchanged by two hashes of theirs
+(128 bits) and all but the first occurrence are covered. A task that sees more than ``MOST`` surroundings of an
 anchor on its own says so with one row and sends the strings at once, so no key brings more than ``MOST``
 rows from a task.
 
@@ -22,9 +22,10 @@ covered ranges; both are joins on doc_id, texts never meet in groups.
 
 Cases: null text counts as empty; texts under 100 bytes keep all; texts of any length are cut into pieces
 that overlap by what an anchor needs; equal texts: the one with the smallest doc_id stays; an empty table
-gives an empty result; rows with the same doc_id must not differ (ids are keys): repeated rows are one document
-and get equal results; null ids are left out of matching and keep their text; further columns are left out
-unless kept.
+gives an empty result; repeated rows (same doc_id and text) are one document and get equal results; different texts
+under one doc_id are parts of one document, in the order of their hashes, each with its own ranges (strings do not
+cross them; an id is meant to have few of them: their sizes are added up in one task); null ids are left out of
+matching and keep their text; further columns are left out unless kept.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +49,7 @@ HELD = 24 << 20  # bytes of text whose anchors a task folds at once
 SORTED = 1 << 20  # symbols that are sorted side by side
 
 ANCHOR, FULL, STRING, COVER, BLOCK, FETCH = range(6)
+SHIFT = "_shift"
 ROWS = "kind int, h long, c long, doc long, pos long"
 I64, U64 = np.int64, np.uint64
 
@@ -122,13 +124,14 @@ def once(*columns):
     return tuple(c[first] for c in columns)
 
 
-def strings_at(data, spans, bounds_of, place, doc, pos):
-    """Hashes of all 100-byte strings that hold the anchor at each place, with document and start."""
+def strings_at(data, bounds_of, place, doc, pos):
+    """Two hashes of all 100-byte strings that hold the anchor at each place, with document and start."""
+    one, two = Prefix(data), Prefix(data, 1)
     first = np.maximum(place - (MIN - K), bounds_of[0])
     last = np.minimum(place + K, bounds_of[1] - (MIN - K)) - K  # the last start so that the string ends inside
     n = np.maximum(last - first + 1, 0)
     start = ragged(first, n).astype(I64)
-    return spans.spans(start, start + MIN), np.repeat(doc, n), start - np.repeat(place - pos, n)
+    return one.spans(start, start + MIN), two.spans(start, start + MIN), np.repeat(doc, n), start - np.repeat(place - pos, n)
 
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -191,13 +194,13 @@ class Folder:
             for k in np.unique(piece[full]):
                 mine = full & (piece == k)
                 data, bounds = self.pieces[k][6:8]
-                found.append(strings_at(data, Prefix(data), (bounds[row[mine]], bounds[row[mine] + 1]), place[mine], doc[mine], pos[mine]))
-            sh, sd, sp = (np.concatenate([f[k] for f in found]) for k in range(3))
-            order = np.lexsort((sp, sd, sh))
-            sh, sd, sp = once(sh[order], sd[order], sp[order])
-            one = heads_of(sh)
+                found.append(strings_at(data, (bounds[row[mine]], bounds[row[mine] + 1]), place[mine], doc[mine], pos[mine]))
+            sh, sc, sd, sp = (np.concatenate([f[k] for f in found]) for k in range(4))
+            order = np.lexsort((sp, sd, sc, sh))
+            sh, sc, sd, sp = once(sh[order], sc[order], sd[order], sp[order])
+            one = heads_of(sh, sc)
             cover.append((sd[~one], sp[~one], sp[~one] + MIN))
-            yield rows_of(STRING, sh[one], 0, sd[one], sp[one])
+            yield rows_of(STRING, sh[one], sc[one], sd[one], sp[one])
             marks = np.unique(h[full])
             yield rows_of(FULL, marks, 0, np.zeros(len(marks), I64), np.zeros(len(marks), I64))
         yield rows_of(ANCHOR, h[~full], c[~full], doc[~full], pos[~full])
@@ -209,7 +212,7 @@ class Folder:
 def texts_of(batch, most: int = PIECE):
     """Texts of an Arrow batch laid end to end in portions; long ones in overlapping pieces. Skips null ids."""
     data, bounds = binary_views(batch.column("text"))
-    docs = np.array(batch.column("doc_id").fill_null(0))
+    docs, shift = np.array(batch.column("doc_id").fill_null(0)), np.array(batch.column(SHIFT))
     known = np.array(batch.column("doc_id").is_valid())
     size = np.diff(bounds)
     use = np.flatnonzero(known & (size >= MIN))
@@ -226,14 +229,14 @@ def texts_of(batch, most: int = PIECE):
                 stop = min(b - a, at + most)
                 # An anchor belongs to one piece, which holds all of its surroundings.
                 own = (0 if at == 0 else MIN, stop - at if stop == b - a else stop - at - 2 * MIN)
-                yield data[a + at : a + stop], np.array([0, stop - at]), docs[use[i : i + 1]], np.array([at]), own
+                yield data[a + at : a + stop], np.array([0, stop - at]), docs[use[i : i + 1]], shift[use[i : i + 1]] + at, own
                 if stop == b - a:
                     break
                 at = stop - 3 * MIN
         else:
             rows = use[i:j]
             where = ragged(bounds[rows], size[rows])
-            yield data[where], np.concatenate([[0], np.cumsum(size[rows])]), docs[rows], np.zeros(len(rows), I64), (0, len(where))
+            yield data[where], np.concatenate([[0], np.cumsum(size[rows])]), docs[rows], shift[rows], (0, len(where))
         i = j
 
 
@@ -278,9 +281,9 @@ def sift(batches):
                 continue
             gh, gk, gc, gd, gp = h[mine], kind[mine], c[mine], doc[mine], pos[mine]
             if which == STRING:
-                gh, gd, gp = once(gh, gd, gp)
-                first = heads_of(gh)
-                yield rows_of(STRING, gh[first], 0, gd[first], gp[first])
+                gh, gc, gd, gp = once(gh, gc, gd, gp)
+                first = heads_of(gh, gc)
+                yield rows_of(STRING, gh[first], gc[first], gd[first], gp[first])
                 yield rows_of(COVER, 0, gp[~first] + MIN, gd[~first], gp[~first])
                 continue
             full_keys = np.unique(gh[gk == FULL])
@@ -300,7 +303,7 @@ def sift(batches):
 
 
 def fetch(batches):
-    """Surroundings (BLOCK) and strings (STRING) that were asked for, from the texts."""
+    """Surroundings (BLOCK) and strings (STRING, with their second hash in ``left``) that were asked for, from the texts."""
     import pyarrow as pa
 
     names = ["h", "kind", "doc", "pos", "left", "around"]
@@ -312,7 +315,11 @@ def fetch(batches):
         flat = asked.flatten()
         kind, h, pos = (np.array(flat.field(n)) for n in ("kind", "h", "pos"))
         row = np.repeat(np.arange(len(docs)), count)
-        place = bounds[row] + pos
+        shift = np.array(batch.column(SHIFT))
+        inside = pos - shift[row]  # another text of the same document has places of its own
+        here = (inside >= 0) & (inside < np.diff(bounds)[row])
+        kind, h, pos, row, inside = kind[here], h[here], pos[here], row[here], inside[here]
+        place = bounds[row] + inside
         mine = kind == BLOCK
         a, b = np.maximum(place[mine] - (MIN - K), bounds[row[mine]]), np.minimum(place[mine] + MIN, bounds[row[mine] + 1])
         raw = data[ragged(a, b - a)]
@@ -325,8 +332,8 @@ def fetch(batches):
             text = data[bounds[r] : bounds[r + 1]]
             n = int(own.sum())
             edge = (np.zeros(n, I64), np.full(n, len(text), I64))
-            sh, sd, sp = strings_at(text, Prefix(text), edge, pos[own], np.full(n, docs[r], I64), pos[own])
-            yield pa.RecordBatch.from_arrays([pa.array(sh.view(I64)), pa.array(np.full(len(sh), STRING, np.int32)), pa.array(sd), pa.array(sp), pa.array(np.zeros(len(sh), I64)), pa.nulls(len(sh), pa.binary())], names=names)
+            sh, sc, sd, sp = strings_at(text, edge, inside[own], np.full(n, docs[r], I64), pos[own])
+            yield pa.RecordBatch.from_arrays([pa.array(sh.view(I64)), pa.array(np.full(len(sh), STRING, np.int32)), pa.array(sd), pa.array(sp), pa.array(sc.view(I64)), pa.nulls(len(sh), pa.binary())], names=names)
 
 
 def covered(doc: np.ndarray, start: np.ndarray, sizes: np.ndarray, keys: np.ndarray, data: np.ndarray):
@@ -366,7 +373,7 @@ def covered(doc: np.ndarray, start: np.ndarray, sizes: np.ndarray, keys: np.ndar
 
 
 def settle(batches):
-    """Reduce side, sorted by h, doc, pos: first occurrences of strings; suffix sorting of blocks."""
+    """Reduce side, sorted by h, left, doc, pos: first occurrences of strings; suffix sorting of blocks."""
     waiting, size = [], 0
 
     def run():
@@ -388,11 +395,11 @@ def settle(batches):
             yield covered(doc[picked], start[picked], sizes[picked], keys[picked], raw[ragged(at[picked], sizes[picked])])
             i = j
 
-    for h, kind, doc, pos, around in whole_columns(batches):
+    for h, kind, doc, pos, left, around in whole_columns(batches):
         strings = kind == STRING
         if strings.any():
-            sh, sd, sp = once(h[strings], doc[strings], pos[strings])
-            later = ~heads_of(sh)
+            sh, sc, sd, sp = once(h[strings], left[strings], doc[strings], pos[strings])
+            later = ~heads_of(sh, sc)
             d, s, e = merged(sd[later], sp[later], sp[later] + MIN)
             yield rows_of(COVER, 0, e, d, s)
         blocks = np.flatnonzero(~strings)
@@ -411,14 +418,14 @@ def settle(batches):
 
 
 def whole_columns(batches):
-    """h, kind, doc, pos and the surroundings of a stream sorted by h, cut so that no key is divided."""
+    """h, kind, doc, pos, left and the surroundings of a stream sorted by h, cut so that no key is divided."""
     held = None
     for batch in batches:
-        now = [np.array(batch.column(n)) for n in ("h", "kind", "doc", "pos")]
+        now = [np.array(batch.column(n)) for n in ("h", "kind", "doc", "pos", "left")]
         data, bounds = binary_views(batch.column("around"))
         if held is not None:
-            now = [np.concatenate([a, b]) for a, b in zip(held[:4], now, strict=True)]
-            data, bounds = np.concatenate([held[4], data]), np.concatenate([held[5], bounds[1:] + held[5][-1]])
+            now = [np.concatenate([a, b]) for a, b in zip(held[:5], now, strict=True)]
+            data, bounds = np.concatenate([held[5], data]), np.concatenate([held[6], bounds[1:] + held[6][-1]])
         key = now[0]
         if not len(key):
             continue
@@ -427,30 +434,47 @@ def whole_columns(batches):
             yield *[x[:cut] for x in now], (data[: bounds[cut]], bounds[: cut + 1])
         held = [*[x[cut:] for x in now], data[bounds[cut] :], bounds[cut:] - bounds[cut]]
     if held is not None and len(held[0]):
-        yield *held[:4], (held[4], held[5])
+        yield *held[:5], (held[5], held[6])
+
+
+def shifted(docs: DataFrame) -> DataFrame:
+    """docs with ``SHIFT``: where each text begins in its document. 0 but for different texts under one doc_id, which
+    follow one another, so far apart that the surroundings of one's places do not reach another."""
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    each = docs.filter("doc_id IS NOT NULL").select("doc_id", key.alias("_key"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("_size"))
+    mixed = stored(each.groupBy("doc_id").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).filter("a <> b").select("doc_id"), "mixed")
+    if mixed.isEmpty():
+        return docs.withColumn(SHIFT, F.lit(0).cast("long"))
+    before = Window.partitionBy("doc_id").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    parts = each.join(mixed, "doc_id", "left_semi").distinct().select("doc_id", "_key", F.coalesce(F.sum(F.col("_size") + 2 * MIN).over(before), F.lit(0)).alias(SHIFT))
+    return docs.withColumn("_key", key).join(stored(parts, "shifts"), ["doc_id", "_key"], "left").drop("_key").withColumn(SHIFT, F.coalesce(SHIFT, F.lit(0).cast("long")))
 
 
 def cover(docs: DataFrame) -> DataFrame:
-    """Covered ranges: doc_id and ``ranges``, an array of (start, end) in bytes, unsorted, per document."""
+    """Covered ranges of ``shifted`` documents: doc_id and ``ranges``, an array of (start, end) in bytes, unsorted."""
     spark = docs.sparkSession
     n = width(spark)
-    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), SHIFT)
     sent = texts.mapInArrow(tidy(send), ROWS)
     sifted = stored(sent.repartition(n, "h").sortWithinPartitions("h", "c", "doc", "pos").mapInArrow(tidy(sift), ROWS), "anchors")
     asked = sifted.filter(F.col("kind").isin(BLOCK, FETCH)).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("kind", "h", "pos")).alias("asked"))
     fetched = texts.join(asked, "doc_id").mapInArrow(tidy(fetch), "h long, kind int, doc long, pos long, left long, around binary")
-    strings = sifted.filter(F.col("kind") == STRING).select("h", "kind", "doc", "pos", F.lit(0).cast("long").alias("left"), F.lit(None).cast("binary").alias("around"))
-    settled = fetched.unionByName(strings).repartition(n, "h").sortWithinPartitions("h", "doc", "pos").mapInArrow(tidy(settle), ROWS)
+    strings = sifted.filter(F.col("kind") == STRING).select("h", "kind", "doc", "pos", F.col("c").alias("left"), F.lit(None).cast("binary").alias("around"))
+    settled = fetched.unionByName(strings).repartition(n, "h").sortWithinPartitions("h", "left", "doc", "pos").mapInArrow(tidy(settle), ROWS)
     found = sifted.filter(F.col("kind") == COVER).unionByName(settled)
     return found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct(F.col("pos").alias("start"), F.col("c").alias("end"))).alias("ranges"))
 
 
-def cut(text: bytes, ranges) -> tuple[bytes, int, int]:
-    """What is left of a text, bytes removed, maximal runs removed."""
+def cut(text: bytes, ranges, shift: int = 0) -> tuple[bytes, int, int]:
+    """What is left of a text, bytes removed, maximal runs removed. shift: where it begins in its document."""
     if not ranges:
         return text, 0, 0
-    start = np.array([r["start"] for r in ranges], I64)
-    end = np.minimum(np.array([r["end"] for r in ranges], I64), len(text))
+    start = np.maximum(np.array([r["start"] for r in ranges], I64) - shift, 0)
+    end = np.minimum(np.array([r["end"] for r in ranges], I64) - shift, len(text))
+    own = start < end  # the others are another text's
+    start, end = start[own], end[own]
+    if not len(start):
+        return text, 0, 0
     _, s, e = merged(np.zeros(len(start), I64), start, end)
     parts, at = [], 0
     for a, b in zip(s.tolist(), e.tolist(), strict=True):
@@ -464,6 +488,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, as text) and the kept columns."""
     import pyarrow as pa
 
+    docs = shifted(docs.select("doc_id", "text", *keep))
     ranges = cover(docs)
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())]
     if with_text:
@@ -473,16 +498,16 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool
     def run(batches):
         for batch in batches:
             out = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+            for text, found, shift in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), batch.column(SHIFT).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                kept, removed, runs = cut(raw, found)
+                kept, removed, runs = cut(raw, found, shift)
                 out.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
             columns = [batch.column("doc_id"), *[pa.array([r[k] for r in out], pa.int64()) for k in range(3)], pa.array([r[3] for r in out], pa.string())]
             if with_text:
                 columns.append(pa.array([r[4] for r in out], pa.string()))
             yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in keep], names=schema.names)
 
-    return docs.select("doc_id", "text", *keep).join(ranges, "doc_id", "left").mapInArrow(tidy(run), schema)
+    return docs.join(ranges, "doc_id", "left").mapInArrow(tidy(run), schema)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,14 @@ def test_null_columns_and_ids(spark, sf_dir):
         assert len(got) == (4 if name == "near_duplicates" else 5), name
         assert sum(r["doc_id"] is None for r in got) == 2, name
     assert P.token_stage(spark, docs, sf_dir).count() == 5
+
+
+def test_texts_that_share_an_id_lose_nothing(spark):
+    """A unique text stays whole although another text of its doc_id repeats an earlier document."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(0, words(1), "en", "a", 9), (1, words(1) + " " + words(2), "en", "a", 9), (1, words(3), "en", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    after = P.repeat_stage(spark, P.near_duplicate_stage(spark, docs, ""), "").collect()
+    kept = sorted((r["doc_id"], r["text"]) for r in after)
+    assert [d for d, _ in kept] == [0, 1, 1] and (1, words(3)) in kept and (0, words(1)) in kept
+    assert any(d == 1 and t.endswith(words(2)) and len(t) < len(rows[1][1]) for d, t in kept)

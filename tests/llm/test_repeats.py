@@ -88,3 +88,43 @@ def test_repeated_rows_are_one_document(spark, monkeypatch, most, parts):
     want = brute(set(rows))
     assert sorted(tuple(x)[:5] for x in got) == sorted((d, *want[d]) for d, _ in rows)
     assert {x["kept"] for x in got if x["doc_id"] <= 2} == {t for d, t in rows if d <= 2}
+
+
+def brute_rows(rows):
+    """As ``brute``, by row: different texts of an id are parts of it, in the order of their MD5."""
+    import hashlib as h
+
+    texts = sorted({(d, t or "") for d, t in rows if d is not None}, key=lambda x: (x[0], h.md5(x[1].encode()).hexdigest()))
+    one = brute([(k, t) for k, (_, t) in enumerate(texts)])
+    number = {x: k for k, x in enumerate(texts)}
+    whole = lambda t: (len(t.encode()), 0, 0, h.sha256(t.encode()).hexdigest())
+    return sorted(((d, *(one[number[d, t or ""]] if d is not None else whole(t or ""))) for d, t in rows), key=repr)
+
+
+@pytest.mark.parametrize(("most", "piece"), [(32, 1 << 20), (2, 1 << 20), (2, 600)])
+def test_different_texts_under_one_id(spark, monkeypatch, most, piece):
+    """Ids that repeat with other texts: a range found in one text takes nothing from another; null ids keep theirs."""
+    r = random.Random(most + piece)
+    text = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    shared, t = text(300), text(295)
+    rows = [(0, t), (1, t), (1, text(280)), (None, t), (None, t), (2, None), (2, ""), (2, text(50))]
+    for d in range(3, 12):
+        rows += [(d, text(r.randint(0, 400)) + (shared if r.random() < 0.5 else shared[: r.randint(90, 299)]) + text(r.randint(0, 200))) for _ in range(r.randint(1, 4))]
+    rows += [(12, t + shared), (12, shared + t), (13, text(101)), (13, text(100)), rows[9], rows[9]]
+    monkeypatch.setattr(repeats, "MOST", most)
+    monkeypatch.setattr(repeats.texts_of, "__defaults__", (piece,))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(x)[:5] for x in repeats.remove_repeats(df).collect()), key=repr)
+    assert got == brute_rows(rows)
+    assert next(x for x in got if x[0] == 1 and x[1] == len(rows[2][1].encode()))[2] == 0
+
+
+def test_a_passage_of_thousands(spark):
+    """One passage in 3000 documents: far more surroundings than a block takes."""
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefghijk ") for _ in range(n))
+    passage = text(180)
+    rows = [(k, text(60) + passage + text(60)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows)
+    assert {x["doc_id"]: tuple(x)[1:5] for x in repeats.remove_repeats(df).collect()} == want
