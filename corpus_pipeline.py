@@ -12,8 +12,9 @@ written as Parquet and read again as the next one's docs. All but the last retur
    rows stay, also those with a null or repeated doc_id.
 5. token_ids: the ids of every text with digests of ids and decoded text.
 
-Cases: null texts count as empty; empty tables pass; repeated rows fall to stage 2 (rows without a doc_id
-are not compared and stay).
+Cases: null texts count as empty; empty tables pass; of equal rows stage 2 keeps one; different texts under one
+doc_id are documents of their own there and parts of one in stage 3, where none loses what only another has repeated
+(rows without a doc_id are not compared and stay).
 """
 
 from __future__ import annotations
