@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as X
-from docquarry.operators import activity, answers, indexing, inverted, lists, retrieval, tasks
+from docquarry.operators import activity, answers, indexing, inverted, lists, retrieval, substrings, tasks
 from docquarry.operators.storage import children, create, read_text, written
 from docquarry.settings import AnswerSettings, IndexSettings
 from docquarry.sources import chunking, embedding, files
@@ -162,6 +162,18 @@ class Engine:
         segments = [*self.manifest()["segments"], path]
         return segments, len(segments) > SEGMENTS
 
+    def index_substrings(self) -> None:
+        """Builds the index for containment recall over the chunks as they are; the next change of chunks makes it old."""
+        path = f"{self.root}/substrings/v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        substrings.build(self.table("chunks"), path, self.buckets)
+        self.commit({}, {"substrings": path, "of_chunks": self.manifest()["tables"].get("chunks", {})})
+
+    def substring_index(self) -> substrings.Index | None:
+        """The index of the chunks as they are, if there is one."""
+        m = self.manifest()
+        known = m["vectors"].get("substrings")
+        return substrings.Index(self.spark, known, "string", self.buckets) if known and m["vectors"]["of_chunks"] == m["tables"].get("chunks", {}) else None
+
     def merge_segments(self) -> None:
         """All segments become one, without what was replaced or deleted."""
         path, live = f"{self.root}/index/s-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}", self.table("live")
@@ -372,5 +384,5 @@ class Engine:
         s = (settings or AnswerSettings()).clamped()
         limit, rules = limit or s.context_chunk_limit, [*rules, *answers.rules_from_json(s.intent_synonym_rules_json)]
         chunks = self.table("chunks")
-        found = answers.recall(questions, chunks, max(6 * limit, 50), rules, "context" in questions.columns, scopes).join(chunks.select("chunk_id", "path", "chunk_seq", "snippet"), "chunk_id")
+        found = answers.recall(questions, chunks, max(6 * limit, 50), rules, "context" in questions.columns, scopes, self.substring_index()).join(chunks.select("chunk_id", "path", "chunk_seq", "snippet"), "chunk_id")
         return answers.answer(questions, answers.pack_context(answers.select_evidence(found, limit, s.min_retrieval_score), limit), answerer)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import scoring as S
 from docquarry.functions import text as X
-from docquarry.operators import activity, answers, indexing, inverted, library, lists, retrieval
+from docquarry.operators import activity, answers, indexing, inverted, library, lists, retrieval, substrings
 from docquarry.plans import corpus as C
 from docquarry.plans.registry import ORACLES, QUERIES, query
 from docquarry.sources import chunking, parsers
@@ -304,11 +304,13 @@ def term_document_frequency(spark, sf_dir):
     return retrieval.postings(C.table(spark, sf_dir, "documents")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-RECALL = f"""{CHUNKS}, q AS (SELECT item_id AS query_id, {TOKENS.format('text')} AS terms FROM benchmark),
+RECALL_OF = f"""{CHUNKS}, q AS ({{0}}),
 c AS (SELECT chunk_id, doc_id, modified_at, lower(file_name) AS f, lower(path) AS p, lower(snippet) AS s FROM chunks),
 x AS (SELECT query_id, chunk_id, doc_id, modified_at, terms, CAST(list_sum(list_transform(terms, lambda t: CASE WHEN contains(f, t) THEN 3 WHEN contains(p, t) THEN 2 WHEN contains(s, t) THEN 1 ELSE 0 END)) AS BIGINT) AS raw,
  CAST(list_sum(list_transform(terms, lambda t: CASE WHEN length(t) < 2 THEN 0 WHEN contains(f, t) THEN 3 WHEN contains(p, t) OR contains(s, t) THEN 1 ELSE 0 END)) AS BIGINT) AS overlap,
  len(list_filter(terms, lambda t: length(t) >= 2 AND (contains(f, t) OR contains(p, t) OR contains(s, t)))) AS core FROM c, q)"""
+RECALL = RECALL_OF.format(PASSAGES)
+SUBSTRINGS = RECALL_OF.format(f"SELECT conv_id * 100 + turn AS query_id, {TOKENS.format(ENDS)} AS terms FROM conversations WHERE turn = 0")
 
 
 @query(f"WITH {RECALL}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, modified_at DESC, chunk_id) AS rank FROM x WHERE raw > 0) SELECT query_id, chunk_id, raw, overlap, CAST(core AS BIGINT) AS core, rank FROM k WHERE rank <= {LIMIT}")
@@ -320,6 +322,17 @@ def like_relevance_topk(spark, sf_dir):
     return retrieval.top_k(scored, LIMIT, [F.desc("raw"), F.desc("modified_at"), F.asc("chunk_id")]).select("query_id", "chunk_id", "raw", "overlap", "core", "rank")
 
 
+@query(f"WITH {SUBSTRINGS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, modified_at DESC, chunk_id) AS rank FROM x WHERE raw > 0) SELECT query_id, chunk_id, raw, overlap, CAST(core AS BIGINT) AS core, rank FROM k WHERE rank <= {LIMIT}")
+def substring_topk(spark, sf_dir):
+    """Containment by the stored index: three words of every conversation's first turn against all lines."""
+    ends = F.concat_ws(" ", F.regexp_extract("text", r"^\S+", 0), F.regexp_extract("text", r"\S+\s+\S+$", 0))
+    q = C.table(spark, sf_dir, "conversations").filter("turn = 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), X.search_tokens(ends).alias("terms"))
+    asked = q.select("query_id", F.lit(0).alias("part"), "terms", F.filter("terms", lambda t: F.char_length(t) >= 2).alias("core"))
+    chunks = C.chunks(spark, sf_dir)
+    scored = substrings.containment_scores(chunks, asked, substrings.build(chunks))
+    return retrieval.top_k(scored, LIMIT, [F.desc("raw"), F.desc("modified_at"), F.asc("chunk_id")]).select("query_id", "chunk_id", "raw", "overlap", "core", "rank")
+
+
 EVIDENCE = f"""{CHUNKS}, q AS (SELECT item_id AS query_id, lower(text) AS low, {TOKENS.format('text')} AS own FROM benchmark),
 p AS (SELECT query_id, 0 AS part, list_distinct(list_concat(own, CASE WHEN contains(low, 'repo') OR contains(low, 'offline') THEN ['offline', 'repo', 'repository', 'local repository'] ELSE [] END,
  CASE WHEN contains(low, 'semantic') OR contains(low, 'embedding') THEN ['semantic search', 'embedding', 'vector'] ELSE [] END, CASE WHEN contains(low, 'chunk') THEN ['chunk', 'paragraph', 'snippet'] ELSE [] END,
@@ -348,6 +361,21 @@ def evidence_context(spark, sf_dir):
     return answers.pack_context(answers.select_evidence(found, 8), 8).select("query_id", "source_id", "path", "first_seq", "last_seq", "text")
 
 
+#: Every passage with one source's folder as its scope.
+SCOPED = EVIDENCE.replace("FROM c, (SELECT * FROM p) AS pq)", "FROM c JOIN p AS pq ON starts_with(c.path, '/corpus/src' || (query_id % 20) || '/'))")
+
+
+@query(f"WITH {SCOPED} SELECT query_id, source_id, path, first_seq, last_seq, text FROM o WHERE source_id <= 8")
+def scoped_evidence(spark, sf_dir):
+    """Evidence from one folder for each passage, by the index of substrings."""
+    chunks = C.chunks(spark, sf_dir)
+    q = C.queries(spark, sf_dir).select("query_id", F.col("query_text").alias("question"))
+    scopes = q.select("query_id", F.concat(F.lit("/corpus/src"), (F.col("query_id") % 20).cast("string")).alias("scope"))
+    recalled = answers.recall(q, chunks, 50, scopes=scopes, index=substrings.build(chunks))
+    found = recalled.join(chunks.select("chunk_id", "path", F.col("seq").alias("chunk_seq"), "snippet"), "chunk_id")
+    return answers.pack_context(answers.select_evidence(found, 8), 8).select("query_id", "source_id", "path", "first_seq", "last_seq", "text")
+
+
 # --- vectors --------------------------------------------------------------------------------------------
 
 VECTORS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM embeddings WHERE vec_id % 50 = 0),
@@ -521,9 +549,9 @@ def rerank_bonus(spark, sf_dir):
     return lab.select("doc_id", F.round(S.preference(F.col("quality") == 1, F.col("doc_id") % 5, F.col("toxic") == 1), 6).alias("bonus"))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, CASE WHEN contains(lower(left(text, 40)), '7') THEN '正文摘要命中' WHEN contains(substr(text, 41, 200), '7') THEN '标题命中' WHEN contains(file_name, '7') THEN '文件名命中' WHEN contains(path, '7') THEN '路径命中' ELSE '正文摘要命中' END AS origin FROM docs")
+@query(f"WITH {DOCS} SELECT doc_id, CASE WHEN contains(lower(left(text, 40)), '7') THEN '正文摘要命中' WHEN contains(substr(text, 41), '7') THEN '标题命中' WHEN contains(file_name, '7') THEN '文件名命中' WHEN contains(path, '7') THEN '路径命中' ELSE '正文摘要命中' END AS origin FROM docs")
 def match_origin(spark, sf_dir):
-    d = C.documents(spark, sf_dir).select("doc_id", "file_name", "path", F.substring("text", 1, 40).alias("snippet"), F.substring("text", 41, 200).alias("heading"))
+    d = C.documents(spark, sf_dir).select("doc_id", "file_name", "path", F.substring("text", 1, 40).alias("snippet"), F.substring("text", 41, 2**31 - 1).alias("heading"))
     return d.select("doc_id", retrieval.origin("snippet", "heading", "file_name", "path", F.array(F.lit("7"))).alias("origin"))
 
 

@@ -386,9 +386,9 @@ def seeded_rows(spark, sf_dir):
 # --- answers --------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {DOCS}, s AS (SELECT user_id AS query_id, '/corpus/src' || (user_id % 20) AS scope FROM events GROUP BY 1, 2 HAVING user_id < 40) SELECT query_id, doc_id AS chunk_id FROM s JOIN docs ON lower(path) = lower(scope) OR starts_with(lower(path), lower(scope) || '/')")
+@query(f"WITH {DOCS}, s AS (SELECT user_id AS query_id, '/corpus/src' || (user_id % 20) AS scope FROM events GROUP BY 1, 2) SELECT query_id, doc_id AS chunk_id FROM s JOIN docs ON lower(path) = lower(scope) OR starts_with(lower(path), lower(scope) || '/')")
 def scoped_chunks(spark, sf_dir):
-    e = C.table(spark, sf_dir, "events").filter("user_id < 40")
+    e = C.table(spark, sf_dir, "events")
     scopes = e.select(F.col("user_id").alias("query_id"), F.concat(F.lit("/CORPUS\\src"), (F.col("user_id") % 20).cast("string"), F.lit("/")).alias("scope")).distinct()
     return answers.in_scope(C.documents(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), scopes)
 
