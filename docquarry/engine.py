@@ -21,7 +21,7 @@ from docquarry.functions import text as X
 from docquarry.operators import activity, answers, indexing, inverted, lists, retrieval, substrings, tasks
 from docquarry.operators.storage import children, create, read_text, written
 from docquarry.settings import AnswerSettings, IndexSettings
-from docquarry.sources import chunking, embedding, files
+from docquarry.sources import chunking, embedding, files, listing
 
 SCHEMAS = {
     "documents": "document_id long, path string, file_name string, ext string, size long, modified_at long, hash string, dir_path string, parser string, warning string",
@@ -100,34 +100,43 @@ class Engine:
 
     # ingest
 
-    def _scan(self, folder: str) -> DataFrame:
-        """What the folder holds, read and hashed once."""
+    def _listed(self, folder: str) -> DataFrame:
+        """What the folder holds: names, sizes and times."""
         s = self.settings
-        found = files.scan(self.spark, folder, s.max_file_size_mb, s.exclude_exts, s.exclude_dirs)
-        return found.withColumnRenamed("content_hash", "hash")
+        return files.found(self.spark, folder, s.max_file_size_mb, s.exclude_exts, s.exclude_dirs)
 
-    def plan(self, folder: str, found: DataFrame | None = None) -> DataFrame:
-        """What a refresh of the folder would do: path, action."""
-        found = self._scan(folder).drop("content") if found is None else found
+    def plan(self, folder: str, found: DataFrame | None = None, thorough: bool = False) -> DataFrame:
+        """What a refresh of the folder would do: path, action. A file whose size and time are the known ones counts as
+        unchanged and is not opened; thorough: all files are read and their hashes compared as well."""
+        found = self._listed(folder) if found is None else found
         known = self.table("documents").filter(X.in_directory("path", F.lit(folder)) | F.startswith("path", F.lit(f"file:{folder}")))
+        if thorough:
+            found = found.join(listing.read_files(found).select("path", F.col("content_hash").alias("hash")), "path")
+        else:
+            found, known = found.withColumn("hash", F.lit("")), known.withColumn("hash", F.lit(""))
         return indexing.incremental_plan(found, known)
 
-    def refresh(self, folder: str, only: DataFrame | None = None, virtual: str | None = None) -> dict[str, int]:
+    def refresh(self, folder: str, only: DataFrame | None = None, virtual: str | None = None, thorough: bool = False) -> dict[str, int]:
         """Takes in new and changed files, removes deleted ones; returns how many of each.
 
         only: path - read these again whatever the plan says (retry). A file that cannot be read becomes a row of
-        ``failures``; its older version stays. The scan and the parsed documents are each written once.
+        ``failures``; its older version stays. The folder is listed once, and only new and changed files are opened.
         """
-        snapshot = written(self._scan(folder).drop("content"), "scan")
-        plan = written(self.plan(folder, snapshot) if only is None else tasks.retried(self.plan(folder, snapshot), only.withColumnRenamed("path", "file")), "plan")
+        snapshot = written(self._listed(folder), "listing")
+        return self._apply(snapshot, self.plan(folder, snapshot, thorough), only, virtual)
+
+    def _apply(self, snapshot: DataFrame, plan: DataFrame, only: DataFrame | None, virtual: str | None = None) -> dict[str, int]:
+        """Works off a plan over a listing, all of it or the paths of ``only`` whatever it says of them."""
+        plan = written(plan if only is None else tasks.retried(plan, only.withColumnRenamed("path", "file")), "plan")
         counts = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
         if not counts.keys() - {"skip"}:
             return counts
         changed = plan.filter("action IN ('insert', 'update')").select("path")
-        fresh = self._scan(folder).join(changed, "path", "left_semi").withColumn("document_id", F.xxhash64("path"))
-        about = ["document_id", "path", "file_name", "ext", "size", "modified_at", "hash"]
-        parsed = written(chunking.outcomes(fresh.select("document_id", "ext", F.col("file_name").alias("stem"), F.col("content").alias("text"))), "parsed")
-        known = snapshot.withColumn("document_id", F.xxhash64("path")).select(*about)
+        fresh = snapshot.join(changed, "path", "left_semi").withColumn("document_id", F.xxhash64("path"))
+        contents = listing.read_files(fresh).join(fresh.select("path", "document_id", "ext", "file_name"), "path")
+        hashed = contents.select("document_id", "ext", F.col("file_name").alias("stem"), F.col("content").alias("text"))
+        parsed = written(chunking.outcomes(hashed).join(contents.select("document_id", F.col("content_hash").alias("hash")), "document_id"), "parsed")
+        known = fresh.select("document_id", "path", "file_name", "ext", "size", "modified_at")
         read = parsed.filter("reason IS NULL").join(known, "document_id")
         documents = read.withColumn("dir_path", F.lit(virtual) if virtual else F.regexp_replace("path", "/[^/]*$", ""))
         chunks = read.select("document_id", "path", "file_name", "modified_at", F.inline("chunks")).select(
@@ -200,17 +209,23 @@ class Engine:
     def run(self, folder: str, batches: int, task: tasks.Task, paused: Callable[[], bool], mark: Callable[[dict[str, bool]], None], done: DataFrame | None = None) -> tasks.Task:
         """Works a plan off in so many batches of files, each a commit of its own; what ``done`` (path) names is left out."""
         done = done if done is not None else self.spark.createDataFrame([], "path string")
-        todo = written(tasks.remaining(self.plan(folder), done).withColumn("batch", F.pmod(F.xxhash64("path"), F.lit(batches))), "todo")
+        snapshot = written(self._listed(folder), "listing")
+        plan = written(self.plan(folder, snapshot), "plan")
+        todo = written(tasks.remaining(plan, done).withColumn("batch", F.when(F.col("action") == "delete", -1).otherwise(F.pmod(F.xxhash64("path"), F.lit(batches)))), "todo")
 
         def step(batch: list[tuple[str, str]]) -> dict[str, bool]:
             paths = self.spark.createDataFrame([(p,) for p, _ in batch], "path string")
-            self.refresh(folder, paths)
+            self._apply(snapshot, plan, paths)
             failed = {r["file"] for r in self.table("failures").join(paths.withColumnRenamed("path", "file"), "file", "left_semi").select("file").collect()}
             return {p: p not in failed for p, _ in batch}
 
-        # A batch's paths at a time reach the driver, as many as the caller wants in a commit.
-        parts = [[(r["path"], r["action"]) for r in todo.filter(F.col("batch") == k).select("path", "action").collect()] for k in range(batches)]
-        return tasks.run_plan([p for p in parts if p], step, task, mark, paused, lambda: int(time.time()))
+        def parts():
+            # A batch's paths at a time reach the driver, as many as the caller wants in a commit; deletes come first.
+            for k in range(-1, batches):
+                if part := [(r["path"], r["action"]) for r in todo.filter(F.col("batch") == k).select("path", "action").collect()]:
+                    yield part
+
+        return tasks.run_plan(parts(), todo.count(), step, task, mark, paused, lambda: int(time.time()))
 
     # vectors
 

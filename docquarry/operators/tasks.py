@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -153,12 +153,12 @@ class Task:
         return 0 if self.total <= 0 else max(0, min(100, round(100 * self.done / self.total)))
 
 
-def run_plan(batches: list[list[tuple[str, str]]], step: Callable[[list[tuple[str, str]]], dict[str, bool]], task: Task, mark: Callable[[dict[str, bool]], None], paused: Callable[[], bool], now: Callable[[], int]) -> Task:
+def run_plan(batches: Iterable[list[tuple[str, str]]], steps: int, step: Callable[[list[tuple[str, str]]], dict[str, bool]], task: Task, mark: Callable[[dict[str, bool]], None], paused: Callable[[], bool], now: Callable[[], int]) -> Task:
     """Works a plan off batch by batch (path, action): each batch is one Spark job, its marks are kept before the
-    next one begins, so a run that is paused or dies goes on after the last mark. Deletes come first."""
-    every = [s for b in batches for s in b]
-    task = task.moved(now(), state="running", total=task.done + len(every))
-    for batch in sorted(batches, key=lambda b: any(a != "delete" for _, a in b)):
+    next one begins, so a run that is paused or dies goes on after the last mark. steps: of all batches, which come in
+    the order they are worked off in, deletes first."""
+    task = task.moved(now(), state="running", total=task.done + steps)
+    for batch in batches:
         if paused():
             return task.moved(now(), state="paused", pause_requested=True)
         marks = step(batch)

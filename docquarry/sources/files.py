@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as X
+from docquarry.sources import listing
 
 #: Directories that are never read (fixed values).
 SKIPPED = ("git", "node_modules", "target", "library", "caches", "application support")
 SUPPORTED = "txt md markdown html htm docx pptx xlsx epub csv json xml yaml yml toml ini log py js ts tsx jsx vue rs go java c h cpp hpp cs rb sh sql css".split()
 
 
-def skipped(path: Column, root: str, extra: tuple[str, ...] = ()) -> Column:
-    """Whether a directory below the root is hidden or on a list, in any case."""
-    below = F.regexp_replace(path, "^.*?" + re.escape(root.rstrip("/").removeprefix("file:")), "")
-    parts = F.filter(F.split(below, "/"), lambda s: s != "")
-    dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.exists(dirs, lambda s: F.startswith(s, F.lit(".")) | F.lower(s).isin(*SKIPPED, *[e.lower() for e in extra]))
+def found(spark: SparkSession, root: str, max_mb: int = 50, exclude_exts: tuple[str, ...] = (), exclude_dirs: tuple[str, ...] = ()) -> DataFrame:
+    """path, file_name, ext, size, modified_at of every supported file below root; no file is opened, no skipped
+    folder entered, and what is excluded by extension or size is left out where files are listed."""
+    kept = listing.listing(spark, root, (*SKIPPED, *exclude_dirs)).filter(F.col("ext").isin([e for e in SUPPORTED if e not in exclude_exts]))
+    return kept.filter(F.col("size") <= max_mb * 1024 * 1024) if max_mb > 0 else kept
 
 
 def scan(spark: SparkSession, root: str, max_mb: int = 50, exclude_exts: tuple[str, ...] = (), exclude_dirs: tuple[str, ...] = ()) -> DataFrame:
-    """path, file_name, ext, size, modified_at, content_hash, content of every supported file below root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    ext = X.extension("path")
-    kept = files.filter(ext.isin(*SUPPORTED) & ~ext.isin(*(exclude_exts or ("",))) & ~skipped(F.col("path"), root, exclude_dirs))
-    if max_mb > 0:
-        kept = kept.filter(F.col("length") <= max_mb * 1024 * 1024)
-    return kept.select("path", X.leaf_name("path").alias("file_name"), ext.alias("ext"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("content_hash"), "content")
+    """``found`` files with content_hash and content."""
+    files = found(spark, root, max_mb, exclude_exts, exclude_dirs)
+    return files.join(listing.read_files(files), "path").select("path", "file_name", "ext", "size", "modified_at", "content_hash", "content")
 
 
 def classify_imports(paths: DataFrame, known_dirs: DataFrame) -> DataFrame:

@@ -72,17 +72,17 @@ def test_a_paused_run_goes_on(spark, tmp_path):
 
     folder = tmp_path / "docs"
     folder.mkdir()
-    for k in range(4):
+    for k in range(9):
         (folder / f"{k}.txt").write_text(f"text number {k}")
     e, marks = Engine(spark, f"file://{tmp_path}/store", dimension=16, buckets=2), {}
     stop = iter([False, True])
-    task = e.run(str(folder), 4, Task("all"), lambda: next(stop, True), marks.update)
-    assert task.state == "paused" and 0 < len(marks) < 4 and all(marks.values())
+    task = e.run(str(folder), 3, Task("all"), lambda: next(stop, True), marks.update)
+    assert task.state == "paused" and 0 < len(marks) < 9 and all(marks.values())
     done = spark.createDataFrame([(p,) for p in marks], "path string")
     started = task.started_at
-    task = e.run(str(folder), 4, task.resumed(), lambda: False, marks.update, done)
-    assert task.state == "done" and len(marks) == 4 and task.started_at == started and task.percent == 100
-    assert e.table("documents").count() == 4
+    task = e.run(str(folder), 3, task.resumed(), lambda: False, marks.update, done)
+    assert task.state == "done" and len(marks) == 9 and task.started_at == started and task.percent == 100
+    assert e.table("documents").count() == 9
 
 
 def test_read_errors_are_not_empty_collections(spark, tmp_path):
