@@ -49,6 +49,7 @@ MARKS = frozenset({"article", "main"})
 LINKS = 3  # neighbouring lines of links that make a menu
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"  # these close themselves, unlike a script
     r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)"
@@ -80,10 +81,15 @@ class Line(NamedTuple):
 
 
 class Box:
-    """A container whose name says that it is not the article; whether it holds the article all the same."""
+    """A container whose name says that it is not the article; the best mark it has inside: 2 an article's, 1 a heading."""
 
     def __init__(self, remarks: bool):
-        self.remarks, self.holds = remarks, False
+        self.remarks, self.mark = remarks, 0
+
+    def holds(self, size: int, outside: int, headed: bool) -> bool:
+        """Whether it holds the article all the same: a mark counts if less marked text stands outside all such
+        containers, a heading if neither that nor a heading does."""
+        return self.mark == 2 and size > outside or self.mark == 1 and not outside and not headed
 
 
 def lines(html: str) -> list[Line]:
@@ -95,6 +101,7 @@ def lines(html: str) -> list[Line]:
     open_boxes: list[int] = []
     marks: list[int] = []
     skipping = anchor = linked = made = 0
+    headed = False  # a heading outside all boxes
     inside, around = 0, ()
     at = 0
 
@@ -159,9 +166,10 @@ def lines(html: str) -> list[Line]:
         said = named(attrs) if attrs and name not in ("html", "body") else 0
         mark = said == 0 and not skip and (name in MARKS or 'role="main"' in attrs)
         if (mark or name == "h1" and not said) and not skipping and not skip:
+            headed = headed or not mark and not open_boxes
             for k in open_boxes:
                 if not boxes[k - 1].remarks:
-                    boxes[k - 1].holds = True
+                    boxes[k - 1].mark = max(boxes[k - 1].mark, 1 + mark)
         if name in BLOCK or skip or said:
             made += mark
             if mark:
@@ -181,7 +189,10 @@ def lines(html: str) -> list[Line]:
         size[0] += len(line.text)
         for k in set(line.boxes):
             size[k] += len(line.text)
-    gone = {k for k, box in enumerate(boxes, start=1) if not box.holds and (box.remarks or 2 * size[k] <= size[0])}
+    outside = sum(len(line.text) for line in out if line.mark and not line.boxes)
+    # Where the page says elsewhere what it is about, such a container goes whatever its size; else the larger half stays.
+    told = outside or headed
+    gone = {k for k, box in enumerate(boxes, start=1) if not box.holds(size[k], outside, headed) and (box.remarks or told or 2 * size[k] <= size[0])}
     return [line for line in out if gone.isdisjoint(line.boxes)]
 
 
