@@ -93,7 +93,7 @@ def normalize_embedding_text(x) -> Column:
 def split_paragraphs(x) -> Column:
     """Groups of non-blank lines, lines joined by one line end."""
     groups = F.split(F.replace(col(x), F.lit("\r\n"), F.lit("\n")), r"\n[ \t]*(?:\n[ \t]*)+")
-    clean = lambda g: F.array_join(F.filter(F.transform(F.split(g, "\n"), F.trim), lambda s: s != ""), "\n")
+    clean = lambda g: F.array_join(F.filter(F.transform(F.split(g, "\n"), lambda line: F.trim(line)), lambda s: s != ""), "\n")
     return F.filter(F.transform(groups, clean), lambda g: g != "")
 
 
@@ -298,7 +298,7 @@ def citation(file_name, heading, page, paragraph) -> Column:
 def split_sentences(x) -> Column:
     """After an end mark that white space follows, and at line ends."""
     parts = F.split(F.trim(F.coalesce(col(x), F.lit(""))), r"(?<=[。！？.!?])\s+|\n+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda part: F.trim(part)), lambda s: s != "")
 
 
 def citation_ids(x) -> Column:

@@ -46,6 +46,12 @@ def test_white_space(spark, text):
     assert one(spark, text, X.normalize_whitespace) == "a b"
 
 
+def test_lines_keep_their_digits(spark):
+    """A line that begins or ends with the digit of its own number."""
+    assert one(spark, "0 a 10\n 1b 21 \n\n0", X.split_paragraphs) == ["0 a 10\n1b 21", "0"]
+    assert one(spark, "0 a 10! 1b 21", X.split_sentences) == ["0 a 10!", "1b 21"]
+
+
 def test_highlight(spark):
     spans = lambda text, *terms: [(s["start"], s["end"]) for s in one(spark, text, lambda c: X.highlight_spans(c, F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")))]
     assert spans("aaa", "aa") == [(0, 2)]
