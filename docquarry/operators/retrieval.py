@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import scoring as S
 from docquarry.functions import text as X
-from docquarry.operators import activity, inverted, lists
+from docquarry.operators import activity, inverted, lists, scan
 from docquarry.operators.ranking import TERM_BYTES, exact_sum, top_k
 from docquarry.operators.storage import blocks, written
 
@@ -248,11 +248,12 @@ def past_terms(queries: DataFrame, history: DataFrame) -> DataFrame:
     return found.groupBy(F.col("user").alias("query_id")).agg(F.array_join(in_order, " ").alias("past"))
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, index: inverted.Index, limit: int, now: int, semantic: DataFrame | None = None, favorites: DataFrame | None = None, opens: DataFrame | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), history: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, index: inverted.Index | scan.Collection, limit: int, now: int, semantic: DataFrame | None = None, favorites: DataFrame | None = None, opens: DataFrame | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), history: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
     """The whole search: recall by fields, fusion, boosts, cap, final ranks.
 
     queries: query_id, query_text (and user). chunks: chunk_id, path, file_name, heading, snippet, modified_at,
-    chunk_score. index: of these chunks; live: document_id, segment that are not gone. semantic: query_id, chunk_id, rank.
+    chunk_score. index: of these chunks, or the documents themselves for a pass over them; live: document_id, segment of an
+    index that are not gone. semantic: query_id, chunk_id, rank.
     A user's lists, each cut to its cap: favorites: path, title, created_at, updated_at; opens: path, open_count,
     last_opened_at; history: query, hit_count, last_hit_at, whose terms are searched as well (rows of such a query get a
     small bonus and a reason).
@@ -262,7 +263,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, index: inverted.Index,
     if history is not None:
         expanded = expanded.join(past_terms(queries, history), "query_id", "left").select("query_id", F.concat_ws(" ", "query_text", "past").alias("query_text"), F.col("past").isNotNull().alias("grown"))
         expanded = written(expanded, "expanded")
-    keyword = inverted.search(expanded, index, limit, live)
+    keyword = scan.search(expanded, index, limit) if isinstance(index, scan.Collection) else inverted.search(expanded, index, limit, live)
     if semantic is None:
         semantic = keyword.select("query_id", "chunk_id", "rank").limit(0)
     # Both lists hold a few rows for each query; they are used by the join and by what follows.
@@ -271,7 +272,8 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, index: inverted.Index,
         fused = fused.join(expanded.select("query_id", "grown"), "query_id")
     else:
         fused = fused.withColumn("grown", F.lit(False))
-    rows = fused.join(chunks, "chunk_id").join(queries, "query_id")
+    # Written, so that its size is known: a few rows for each query are sent to the chunks, not the chunks to them.
+    rows = written(fused, "fused").join(chunks, "chunk_id").join(queries, "query_id")
     if favorites is not None:
         rows = rows.join(preferred(favorites, "favorites", FAVORITE_CAP).select("user", "path", F.lit(True).alias("favorite")), ["user", "path"], "left")
     else:
