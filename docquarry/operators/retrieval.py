@@ -28,7 +28,7 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return exploded(tokenized(docs, key, text), key)
 
 
-def containment_scores(chunks: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
+def containment_scores(chunks: DataFrame, asked: DataFrame, keep: int, scoped: bool = False) -> DataFrame:
     """query_id, part, chunk_id, modified_at, raw, overlap, core of every chunk that holds a term of a part.
 
     asked: query_id, part, terms, core - the request; it comes to the driver in blocks of about ``QUERY_BLOCK`` parts,
@@ -36,23 +36,25 @@ def containment_scores(chunks: DataFrame, asked: DataFrame, keep: int) -> DataFr
     block's terms reads every chunk once; what it finds, a row for each chunk and term, is given to the parts
     that use the term and added up by chunk and part.
     raw: file name and heading 3, path 2, snippet 1; overlap: file name and heading 3, else 1 (terms of two
-    characters and more); core: core terms found anywhere. Of each slice and part only rows that can be among
-    the first ``keep`` by raw, then modified_at, are sent (ties with the last one stay).
+    characters and more); core: core terms found anywhere. Of each part only rows that can be among the first
+    ``keep`` by raw, then modified_at, of what the task has read are sent (ties with the last one stay).
+    scoped: asked has scopes as well (null: all chunks), chunks has above, the paths that a scope may name; a part is
+    given only chunks that one of its scopes is above of.
     """
-    asked = written(asked.select("query_id", "part", "terms", "core"), "asked")
+    asked = written(asked.select("query_id", "part", "terms", "core", *(["scopes"] if scoped else [])), "asked")
     found = None
     for block in blocks(asked, ["query_id", "part"], QUERY_BLOCK):
-        part = _contained(chunks, [(r["query_id"], r["part"], [t.lower() for t in r["terms"] if t], [t.lower() for t in r["core"] if t]) for r in block.collect()], keep)
+        part = _contained(chunks, [(r["query_id"], r["part"], [t.lower() for t in r["terms"] if t], [t.lower() for t in r["core"] if t], r["scopes"] if scoped else None) for r in block.collect()], keep, scoped)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _contained(chunks: DataFrame, request: list[tuple], keep: int) -> DataFrame:
+def _contained(chunks: DataFrame, request: list[tuple], keep: int, scoped: bool) -> DataFrame:
     """One block of a request against all chunks. A worker holds a slice's finds and numbers by chunk and part."""
     import numpy as np
     import pyarrow as pa
 
-    words = sorted({t for _, _, terms, core in request for t in [*terms, *core]})
+    words = sorted({t for _, _, terms, core, _ in request for t in [*terms, *core]})
     place = {t: k for k, t in enumerate(words)}
 
     def users(lists) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +68,11 @@ def _contained(chunks: DataFrame, request: list[tuple], keep: int) -> DataFrame:
     fields = ("snippet", "path", "heading", "file_name")  # by rising weight: 1, 2, 3, 3
     schema = f"query_id long, part int, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, modified_at long, raw long, overlap long, core long"
     rows = max(1, min(2000, (1 << 21) // max(1, len(request))))  # of a slice: its numbers take 48 MB at most
+    free = np.array([r[4] is None for r in request], bool)
+    inside: dict[str, list[int]] = {}  # the parts that each scope lets in
+    for j, r in enumerate(request):
+        for scope in r[4] or ():
+            inside.setdefault(scope, []).append(j)
 
     def spread(row, word, weight, lists, shape):
         """Sums of weights by chunk and part."""
@@ -84,6 +91,7 @@ def _contained(chunks: DataFrame, request: list[tuple], keep: int) -> DataFrame:
             automaton.add_word(t, k)
         automaton.make_automaton()
         seen: dict[str, list[int]] = {}  # names and paths come again and again
+        best = np.full((keep, len(request)), -1, np.int64)  # the first numbers of each part so far
 
         def finds(text: str | None, short: bool) -> list[int]:
             if not text:
@@ -115,20 +123,33 @@ def _contained(chunks: DataFrame, request: list[tuple], keep: int) -> DataFrame:
                 (row, word), weight = np.divmod(key[last], len(words)), weight[last]
                 shape = n, len(request)
                 raw = spread(row, word, weight, uses, shape)
+                if scoped:
+                    allowed = np.repeat(free[None], n, axis=0)
+                    for i, above in enumerate(part.column("above").to_pylist()):
+                        for scope in above:
+                            if scope in inside:
+                                allowed[i, inside[scope]] = True
+                    raw[~allowed] = 0
                 when = np.array(part.column("modified_at").fill_null(0), np.int64)
-                if n > keep and 0 <= when.min() and when.max() < 1 << 40:
+                if 0 <= when.min() and when.max() < 1 << 40:
                     first = np.where(raw > 0, raw << 40 | when[:, None], -1)
-                    first[first < np.partition(first, n - keep, axis=0)[n - keep]] = -1
-                    i, j = np.nonzero(first >= 0)
+                    better = np.flatnonzero((first > best.min(axis=0)).any(axis=0))
+                    both = np.concatenate([best[:, better], first[:, better]])
+                    best[:, better] = np.partition(both, len(both) - keep, axis=0)[len(both) - keep :]
+                    i, j = np.nonzero((first >= 0) & (first >= best.min(axis=0)))
                 else:
                     i, j = np.nonzero(raw)
-                overlap = spread(row, word, np.where(weight == 3, 3, 1) * long[word], uses, shape)
-                core = spread(row, word, np.ones(len(word)), cores, shape)
+                # The other numbers of rows that are sent at all.
+                sent, at = np.unique(i, return_inverse=True)
+                here = np.isin(row, sent)
+                row, word, weight, shape = np.searchsorted(sent, row[here]), word[here], weight[here], (len(sent), len(request))
+                overlap = spread(row, word, np.where(weight == 3, 3, 1) * long[word], uses, shape)[at, j]
+                core = spread(row, word, np.ones(len(word)), cores, shape)[at, j]
                 at = pa.array(i)
-                columns = [pa.array(ids[j]), pa.array(parts[j]), part.column("chunk_id").take(at), part.column("modified_at").take(at), *[pa.array(x[i, j]) for x in (raw, overlap, core)]]
+                columns = [pa.array(ids[j]), pa.array(parts[j]), part.column("chunk_id").take(at), part.column("modified_at").take(at), pa.array(raw[i, j]), pa.array(overlap), pa.array(core)]
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "part", "chunk_id", "modified_at", "raw", "overlap", "core"])
 
-    return chunks.select("chunk_id", "modified_at", *fields).mapInArrow(run, schema)
+    return chunks.select("chunk_id", "modified_at", *fields, *(["above"] if scoped else [])).mapInArrow(run, schema)
 
 
 def cosine_search(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", distance: bool = True) -> DataFrame:
