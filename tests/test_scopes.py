@@ -25,3 +25,14 @@ def test_rows_outside_a_scope_leave_no_task(spark, sf_dir):
     found = retrieval.containment_scores(chunks, asked, 5, scoped=True).join(chunks.select("chunk_id", "path"), "chunk_id")
     assert {p.split("/")[2] for (p,) in found.filter("query_id = 1").select("path").collect()} == {"src3"}
     assert found.filter("query_id = 2").select("path").distinct().count() > 1
+
+
+def test_a_result_is_not_exchanged(spark):
+    """Nested scopes of a question give a chunk once, and no row of the result passes an exchange."""
+    chunks = spark.createDataFrame([(1, "/a/b/c/x.txt"), (2, "/a/y.txt"), (3, "/ab/z.txt")], "chunk_id long, path string")
+    scopes = spark.createDataFrame([(7, "/a"), (7, "/A/b/"), (7, "/a/b/c"), (8, "/a/b"), (9, "/a/y.txt"), (9, " ")], "query_id long, scope string")
+    found = answers.in_scope(chunks, scopes)
+    assert sorted(map(tuple, found.collect())) == [(7, 1), (7, 2), (8, 1), (9, 2)]
+    top = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(k for k, line in enumerate(top) if "Join" in line)
+    assert not any("Aggregate" in line for line in top[:join])
