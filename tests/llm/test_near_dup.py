@@ -103,3 +103,19 @@ def test_estimator_is_unbiased():
     times = N.bag_min_hash(*N.shingles(data, bounds), len(texts))
     estimate = (times[0::2] == times[1::2]).mean(1)
     assert abs((estimate - np.array(true)).mean()) < 0.02
+
+
+def test_join_by_key_passes_each_row_once(spark, monkeypatch):
+    """Hot keys (a few, many, none) and rare ones: the rows of a plain join, and no join that hands on all rows."""
+    from docquarry.llm import common
+
+    sizes = {bytes([k]): 40 if k < 14 else 2 for k in range(40)}
+    rows = spark.createDataFrame([(bytearray(k), i) for k, n in sizes.items() for i in range(n)] + [(bytearray(b"no group"), 0)], "bucket binary, u long")
+    groups = spark.createDataFrame([(bytearray(k), k.hex(), n) for k, n in sizes.items()], "bucket binary, v string, n long")
+    want = sorted((bytes(r["bucket"]), r["u"], r["v"]) for r in rows.join(groups, "bucket").collect())
+    for share in (1, 16, 4096):
+        monkeypatch.setattr(common, "HOT", share)
+        got = common.by_key(rows, groups, "bucket", rows.count())
+        assert got.columns == ["bucket", "u", "v"]
+        assert sorted((bytes(r["bucket"]), r["u"], r["v"]) for r in got.collect()) == want
+        assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
