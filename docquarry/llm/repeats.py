@@ -6,8 +6,8 @@ or earlier in the same document); strings never cross documents and are judged o
 Method. Suffixes are sorted in blocks that hold all that can be equal. Of every 100-byte string the
 leftmost minimal hash among its ``K``-byte strings is its anchor, so equal strings have equal anchors, and a
 sorted exchange on the anchors' hashes brings their surroundings (100 bytes either way) together.
-Surroundings that are equal as a whole are folded into their first occurrence; what differs goes, as one
-block per anchor, through the suffix sorting by grouping in ``gsaca`` (many blocks side by side). In suffix
+Surroundings that are equal as a whole are folded into their first occurrence; what differs is cut down to what
+another surrounding of the anchor shares on either side, folded once more, and goes, as one block per anchor, through the suffix sorting by grouping in ``gsaca`` (many blocks side by side). In suffix
 order the places with the same 100 bytes, compared byte by byte, stand in a row; all but the first are
 covered.
 
@@ -336,6 +336,66 @@ def fetch(batches):
             yield pa.RecordBatch.from_arrays([pa.array(sh.view(I64)), pa.array(np.full(len(sh), STRING, np.int32)), pa.array(sd), pa.array(sp), pa.array(sc.view(I64)), pa.nulls(len(sh), pa.binary())], names=names)
 
 
+def reach(keys: np.ndarray, around: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """How many first bytes of ``around`` (a row for each surrounding, ``have`` bytes of it real, the rest zero) another
+    row of the block begins with at the most; -1 where a block has one row. Neighbours in sorted order tell."""
+    n, wide = around.shape
+    words = np.zeros((n, -(-wide // 8) * 8), np.uint8)
+    words[:, :wide] = around
+    words = words.view(">u8").astype(U64)
+    order = np.lexsort((have, *words.T[::-1], keys))  # a row that ends before real zeros comes first
+    keys, around, have = keys[order], around[order], have[order]
+    differ = around[1:] != around[:-1]
+    shared = np.where(differ.any(1), differ.argmax(1), wide)
+    shared = np.minimum(shared, np.minimum(have[1:], have[:-1]))
+    shared[keys[1:] != keys[:-1]] = -1
+    most = np.full(n, -1, I64)
+    most[1:] = shared
+    most[:-1] = np.maximum(most[:-1], shared)
+    out = np.empty(n, I64)
+    out[order] = most
+    return out
+
+
+def narrowed(keys, doc, start, left, sizes, data):
+    """What of the blocks has to be sorted: keys, doc, start, sizes and bytes; and the covered ranges found on the way.
+
+    Equal strings stand alike around their anchors. So a surrounding is cut down to what another one of its block
+    shares to the left and to the right of the anchor, and is left out if that is shorter than a string. What is
+    equal then, compared byte by byte, is folded into its first occurrence, which may cut others down further.
+    """
+    at, place = np.cumsum(sizes) - sizes + left, start + left
+    order = np.lexsort((place, doc, keys))
+    rows = order[heads_of(keys[order], doc[order], place[order])]  # a repeated row is no earlier place
+    keys, doc, place, at, left, right = keys[rows], doc[rows], place[rows], at[rows], left[rows], (sizes - left - K)[rows]
+    steps = np.arange(MIN - K)
+    before = np.where(steps < left[:, None], data[np.maximum(at[:, None] - 1 - steps, 0)], 0).astype(np.uint8)
+    after = np.where(steps < right[:, None], data[np.minimum(at[:, None] + K + steps, len(data) - 1)], 0).astype(np.uint8)
+    spans, found = Prefix(data), []
+    while len(keys):
+        left, right = reach(keys, before, left), reach(keys, after, right)
+        use = np.flatnonzero(left + right + K >= MIN)
+        whole = spans.spans(at[use] - left[use], at[use] + K + right[use])
+        use = use[np.lexsort((place[use], doc[use], whole, left[use], keys[use]))]
+        keys, doc, place, at, left, right, before, after = (x[use] for x in (keys, doc, place, at, left, right, before, after))
+        whole = spans.spans(at - left, at + K + right)
+        first = heads_of(keys, left, right, whole)
+        head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+        later = np.flatnonzero(~first)
+        later = later[same_bytes(data, at[later] - left[later], at[head[later]] - left[later], (left + K + right)[later])]
+        found.append((doc[later], (place - left)[later], (place + K + right)[later]))
+        stay = np.ones(len(first), bool)
+        stay[later] = False
+        keys, doc, place, at, left, right, before, after = (x[stay] for x in (keys, doc, place, at, left, right, before, after))
+        if len(later) * 16 <= len(first):
+            break
+        # What lies beyond the reach is no longer compared.
+        before, after = before * (steps < left[:, None]), after * (steps < right[:, None])
+    sizes = left + K + right
+    ranges = merged(*(np.concatenate([f[k] for f in found]) for k in range(3))) if found else (doc, place, place)
+    return (keys, doc, place - left, sizes, data[ragged(at - left, sizes)]), ranges
+
+
 def covered(doc: np.ndarray, start: np.ndarray, sizes: np.ndarray, keys: np.ndarray, data: np.ndarray):
     """Ranges that a suffix sorting of the blocks finds covered.
 
@@ -358,12 +418,9 @@ def covered(doc: np.ndarray, start: np.ndarray, sizes: np.ndarray, keys: np.ndar
         return doc[:0], start[:0], start[:0]
     block = np.searchsorted(heads, row, side="right") - 1
     same = np.zeros(len(sa), bool)
-    for a in range(1, len(sa), 50_000):
-        b = min(len(sa), a + 50_000)
-        pair = np.flatnonzero(block[a:b] == block[a - 1 : b - 1]) + a
-        x = sa[pair, None] + np.arange(MIN)
-        y = sa[pair - 1, None] + np.arange(MIN)
-        same[pair] = (symbols[x] == symbols[y]).all(1)
+    pair = np.flatnonzero(block[1:] == block[:-1]) + 1
+    at = sa - row  # in the bytes: no separators there
+    same[pair] = same_bytes(data, at[pair], at[pair - 1], np.full(len(pair), MIN))
     rank = np.cumsum(~same) - 1
     d, s = doc[row], start[row] + inside
     order = np.lexsort((s, d, rank))
@@ -374,12 +431,20 @@ def covered(doc: np.ndarray, start: np.ndarray, sizes: np.ndarray, keys: np.ndar
 
 def settle(batches):
     """Reduce side, sorted by h, left, doc, pos: first occurrences of strings; suffix sorting of blocks."""
-    waiting, size = [], 0
+    waiting, ready = [], []
+
+    def narrow():
+        """Takes what waits: covered ranges at once, the rest is ready to be sorted."""
+        rest, ranges = narrowed(*(np.concatenate([w[k] for w in waiting]) for k in range(6)))
+        waiting.clear()
+        ready.append(rest)
+        return rows_of(COVER, 0, ranges[2], ranges[0], ranges[1])
 
     def run():
-        nonlocal waiting, size
-        keys, doc, start, sizes, raw = (np.concatenate([w[k] for w in waiting]) for k in range(5))
-        waiting, size = [], 0
+        keys, doc, start, sizes, raw = (np.concatenate([r[k] for r in ready]) for k in range(5))
+        ready.clear()
+        if not len(keys):
+            return
         # Blocks of like size together: they take their steps side by side.
         heads = np.flatnonzero(heads_of(keys))
         rows = np.diff(np.concatenate([heads, [len(keys)]]))
@@ -407,12 +472,15 @@ def settle(batches):
             data, bounds = around
             sizes = np.diff(bounds)[blocks]
             raw = data[ragged(bounds[:-1][blocks], sizes)]
-            waiting.append((h[blocks], doc[blocks], pos[blocks], sizes, raw))
-            size += len(raw)
-            if size >= SORTED:
+            waiting.append((h[blocks], doc[blocks], pos[blocks], left[blocks], sizes, raw))
+            if sum(len(w[5]) for w in waiting) >= SORTED:
+                yield narrow()
+            if sum(len(r[4]) for r in ready) >= SORTED:
                 for d, s, e in run():
                     yield rows_of(COVER, 0, e, d, s)
     if waiting:
+        yield narrow()
+    if ready:
         for d, s, e in run():
             yield rows_of(COVER, 0, e, d, s)
 

@@ -128,3 +128,34 @@ def test_a_passage_of_thousands(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = brute(rows)
     assert {x["doc_id"]: tuple(x)[1:5] for x in repeats.remove_repeats(df).collect()} == want
+
+
+def test_only_what_others_share_is_sorted(monkeypatch):
+    """Surroundings of an anchor, with zero bytes: settle covers what a loop covers and sorts few of the symbols."""
+    import pyarrow as pa
+
+    r = random.Random(5)
+    some = lambda n: bytes(r.choice(b"\0\1a") for _ in range(n))
+    rows, texts = [], {}
+    for h in range(30):
+        base = some(160)
+        for _ in range(r.randint(2, 20)):
+            doc = len(texts)
+            a, b = r.choice((0, 0, 10, 25, 45)), r.choice((0, 0, 10, 25, 45))
+            raw = some(a) + base[a : 160 - b] + some(b)
+            x, y = r.choice((0, 0, 0, 20)), r.choice((0, 0, 0, 30))
+            texts[doc] = (h, raw[x : 160 - y])
+            rows += [(h, repeats.BLOCK, doc, 7, 60 - x, raw[x : 160 - y])] * r.choice((1, 1, 2))
+    rows.sort(key=lambda x: (x[0], x[4], x[2], x[3]))
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["h", "kind", "doc", "pos", "left", "around"])
+    seen, want = set(), set()
+    for doc, (h, raw) in texts.items():
+        for i in range(len(raw) - 99):
+            want |= {(doc, 7 + k) for k in range(i, i + 100)} if (h, raw[i : i + 100]) in seen else set()
+            seen.add((h, raw[i : i + 100]))
+    total = []
+    monkeypatch.setattr(repeats, "suffix_arrays", lambda symbols, sizes: total.append(len(symbols)) or suffix_arrays(symbols, sizes))
+    got = {(d, k) for b in repeats.settle(iter([batch.slice(0, 90), batch.slice(90)])) for d, s, e in zip(*(b.column(c).to_pylist() for c in ("doc", "pos", "c")), strict=True) for k in range(s, e)}
+    assert got == want and len(want) > 5000
+    assert sum(total) < 0.6 * sum(len(x[5]) for x in rows)
