@@ -118,22 +118,30 @@ def contains_any(x, terms) -> Column:
     return (F.size(terms) > 0) & F.exists(terms, lambda t: F.contains(low, t))
 
 
+def let(value, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named (lambdas share no common expressions)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def highlight_spans(x, terms) -> Column:
     """Half-open character spans of all terms in the lower-cased text, merged where they overlap or touch."""
-    low = F.lower(F.coalesce(col(x), F.lit("")))
+    return let(F.lower(F.coalesce(col(x), F.lit(""))), lambda low: spans_of(low, terms))
+
+
+def spans_of(low, terms) -> Column:
     span = "struct<start:int,end:int>"
 
     def of(term: Column) -> Column:
         size = F.char_length(term)
-        gaps = F.transform(F.split(low, F.concat(F.lit("\\Q"), term, F.lit("\\E")), -1), F.char_length)
+        parts = F.split(low, F.concat(F.lit("\\Q"), term, F.lit("\\E")), -1)
         # The running total of the parts before gives each match's place.
-        ends = F.aggregate(
+        ends = lambda gaps: F.aggregate(
             F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))),
             F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out")),
             lambda a, g: F.struct((a["at"] + g + size).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + g).alias("start"), (a["at"] + g + size).alias("end")))).alias("out")),
             lambda a: a["out"],
         )
-        return F.when(size > 0, ends).otherwise(F.array().cast(f"array<{span}>"))
+        return F.when((size > 0) & F.contains(low, term), let(F.transform(parts, F.char_length), ends)).otherwise(F.array().cast(f"array<{span}>"))
 
     return merge_spans(F.flatten(F.transform(terms, of)))
 
@@ -154,26 +162,34 @@ def merge_spans(spans) -> Column:
 def search_snippet(x, spans, limit: int = 220) -> Column:
     """struct(text, spans): a window around the spans, two fifths of the spare room before the first."""
     c = F.coalesce(col(x), F.lit(""))
-    n = F.char_length(c)
     first = F.try_element_at(spans, F.lit(1))["start"]
     last = F.try_element_at(spans, F.lit(-1))["end"]
-    wide = F.greatest(F.lit(limit) - (last - first), F.lit(0))
-    before = F.floor(wide * 2 / 5).cast("int")
-    start = F.greatest(first - before, F.lit(0))
-    end = F.least(last + (wide - before), n)
-    short = F.greatest(F.lit(limit) - (end - start), F.lit(0))
-    start2 = F.greatest(start - F.floor(short / 2).cast("int"), F.lit(0))
-    end2 = F.least(end + (short - F.floor(short / 2).cast("int")), n)
-    end3 = F.least(end2, start2 + limit)
-    begin = F.when(F.size(spans) == 0, 0).when(n <= limit, 0).otherwise(start2)
-    stop = F.when(F.size(spans) == 0, F.least(n, F.lit(limit))).when(n <= limit, n).otherwise(end3)
-    lead = F.when(begin > 0, 1).otherwise(0)
-    body = F.concat(F.when(begin > 0, "…").otherwise(""), F.substring(c, begin + 1, stop - begin), F.when(stop < n, "…").otherwise(""))
-    moved = F.transform(
-        F.filter(spans, lambda s: (s["end"] > begin) & (s["start"] < stop)),
-        lambda s: F.struct((F.greatest(s["start"], begin) - begin + lead).alias("start"), (F.least(s["end"], stop) - begin + lead).alias("end")),
-    )
-    return F.struct(body.alias("text"), moved.alias("spans"))
+
+    def place(v):
+        wide = F.greatest(F.lit(limit) - (v["last"] - v["first"]), F.lit(0))
+        before = F.floor(wide * 2 / 5).cast("int")
+        start = F.greatest(v["first"] - before, F.lit(0))
+        end = F.least(v["last"] + (wide - before), v["n"])
+        return let(F.struct(start.alias("start"), end.alias("end")), lambda w: filled(v, w))
+
+    def filled(v, w):
+        short = F.greatest(F.lit(limit) - (w["end"] - w["start"]), F.lit(0))
+        start = F.greatest(w["start"] - F.floor(short / 2).cast("int"), F.lit(0))
+        end = F.least(w["end"] + (short - F.floor(short / 2).cast("int")), v["n"])
+        begin = F.when(F.size(spans) == 0, 0).when(v["n"] <= limit, 0).otherwise(start)
+        stop = F.when(F.size(spans) == 0, F.least(v["n"], F.lit(limit))).when(v["n"] <= limit, v["n"]).otherwise(F.least(end, start + limit))
+        return let(F.struct(begin.alias("begin"), stop.alias("stop")), lambda w: cut(v, w["begin"], w["stop"]))
+
+    def cut(v, begin, stop):
+        lead = F.when(begin > 0, 1).otherwise(0)
+        body = F.concat(F.when(begin > 0, "…").otherwise(""), F.substring(c, begin + 1, stop - begin), F.when(stop < v["n"], "…").otherwise(""))
+        moved = F.transform(
+            F.filter(spans, lambda s: (s["end"] > begin) & (s["start"] < stop)),
+            lambda s: F.struct((F.greatest(s["start"], begin) - begin + lead).alias("start"), (F.least(s["end"], stop) - begin + lead).alias("end")),
+        )
+        return F.struct(body.alias("text"), moved.alias("spans"))
+
+    return let(F.struct(F.char_length(c).alias("n"), first.alias("first"), last.alias("last")), place)
 
 
 def strip_html(x) -> Column:

@@ -89,3 +89,48 @@ def test_paths(spark):
     row = spark.createDataFrame([("C:\\a\\b\\", "/x/y/z.txt")], "w string, p string")
     got = row.select(X.normalize_path("w").alias("n"), X.ancestors("p").alias("up"), X.in_directory("p", F.lit("/x/")).alias("inside"), X.in_directory("p", F.lit("/x/yy")).alias("sibling"), X.resolve_asset(F.lit("img/a.png"), "p").alias("asset")).first()
     assert tuple(got) == ("C:/a/b", ["/x/y", "/x"], True, False, "/x/y/img/a.png")
+
+
+def test_snippet_values_are_computed_once(spark):
+    """Spans at both ends, touching, overlapping, none; the expressions name the text a few times only."""
+    from pyspark.sql import functions as F
+
+    from docquarry.functions import text as X
+
+    def plain(x, terms, limit=220):
+        low = (x or "").lower()
+        found = []
+        for t in terms:
+            at = low.find(t) if t else -1
+            while at >= 0:
+                found.append((at, at + len(t)))
+                at = low.find(t, at + len(t))
+        spans = []
+        for a, b in sorted(found):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], b)
+            else:
+                spans.append([a, b])
+        x, n = x or "", len(x or "")
+        if not spans or n <= limit:
+            lo, hi = 0, min(n, limit)
+        else:
+            room = max(limit - (spans[-1][1] - spans[0][0]), 0)
+            a = max(spans[0][0] - room * 2 // 5, 0)
+            b = min(spans[-1][1] + room - room * 2 // 5, n)
+            short = max(limit - (b - a), 0)
+            lo = max(a - short // 2, 0)
+            hi = min(b + short - short // 2, n, lo + limit)
+        lead = int(lo > 0)
+        return ("…" * lead + x[lo:hi] + "…" * (hi < n), [(max(a, lo) - lo + lead, min(b, hi) - lo + lead) for a, b in spans if b > lo and a < hi])
+
+    terms = ["abc", "bcd", ".", "é", ""]
+    fill = "x" * 150
+    texts = [None, "", "none", "abcd", "ABCabcbcd", f"{fill}É{fill}", f"abc{fill}{fill}", f"{fill}{fill}bcd", f"{fill}abcd{fill}{fill}abc.{fill}", "é." * 300, f"{fill}{fill}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    spans = df.select("i", "t", X.highlight_spans("t", F.array(*[F.lit(t) for t in terms])).alias("s"))
+    cut = spans.select("i", X.search_snippet("t", F.col("s")).alias("c"))
+    got = {r["i"]: (r["c"]["text"], [tuple(s) for s in r["c"]["spans"]]) for r in cut.collect()}
+    assert got == {i: plain(t, terms) for i, t in enumerate(texts)}
+    plan = cut._jdf.queryExecution().analyzed().toString()
+    assert plan.count("char_length(coalesce(t#") <= 2
