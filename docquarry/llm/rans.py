@@ -27,9 +27,11 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 from pyspark import TaskContext
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.bpe import byte_alphabet, vocabulary
-from docquarry.llm.common import discard, portions, ragged, scratch, stored, table, tidy, width
+from docquarry.llm.common import binary_views, discard, portions, ragged, scratch, stored, table, tidy, width
 
 MAGIC, VERSION = b"RANS", 1
 SCALE = 22
@@ -47,26 +49,36 @@ CHECKPOINT = 128
 BLOCK_TOKENS = 524_288
 END_ID = 2
 NO_ID = -(1 << 63)
-CACHE_WORDS = 600_000
-#: White space that the byte-level pattern takes apart otherwise than single spaces and line ends (fixed values).
-OTHER_SPACE = "\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-ENDS = ".,;:!?"
-#: The byte-level pre-tokenizer's pattern (fixed value).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts are encoded in portions of so many bytes; the table of pieces is bounded by their number and ids, each piece by its bytes.
+ENCODE_BYTES = 1 << 22
+CACHE_WORDS, CACHE_IDS, CACHE_BYTES = 1_000_000, 8_000_000, 256
+#: White space beyond ASCII's own, and control signs that some count as such (fixed values).
+OTHER_SPACE = "\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Classes of characters in the byte-level pre-tokenizer's pattern, which is
+#: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+WHITE, LETTER, NUMBER, SIGN, RARE = range(5)
 HEAD = struct.Struct("<4sIQQIQI")
 
 
+def classes(codes: range) -> np.ndarray:
+    """The class of each code point below U+0280; controls are rare, as byte 0 parts the pieces."""
+    out = []
+    for c in codes:
+        kind = unicodedata.category(chr(c))
+        out.append(WHITE if chr(c) in " \t\n\x0b\x0c\r" else RARE if c < 32 else LETTER if kind[0] == "L" else NUMBER if kind[0] == "N" else SIGN)
+    return np.array(out, np.uint8)
+
+
 class ByteBpe:
-    """Ids by the ``tokenizers`` library, asked once for each distinct chunk between single spaces.
+    """Ids by the ``tokenizers`` library, its model asked once for each distinct piece.
 
-    The byte-level pattern always starts a new piece at a single space between two other characters and
-    at a line end between two others, so Arrow cuts the texts there and names each distinct chunk of a
-    portion once; only those are looked up in Python, and only new ones reach the library's model. Texts
-    with other white space or with special tokens go to the library whole.
+    The byte-level pattern's pieces are found for all texts of a portion at once, by classes of characters
+    up to U+027F; Arrow names each distinct piece, and only new ones reach the library's model. What stands
+    between two cuts at white space and holds other characters goes to the library in one piece, and so do
+    whole texts with other white space or with special tokens.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -75,30 +87,29 @@ class ByteBpe:
             t.no_truncation()
         # The same model on pieces that are cut already and written in the byte-level alphabet.
         self.model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
-        self.special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.whole = "|".join(["  ", "\n\n", " \n", "\n ", "^[ \n]", "[ \n]$", f"[{OTHER_SPACE}]", *map(re.escape, self.special)])
+        special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.whole = "|".join([f"[{OTHER_SPACE}]", *map(re.escape, special)])
         self.size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 65536 else "<u4")
-        self.pieces, self.rare = regex.compile(PIECES).findall, re.compile("[^\n\x20-\u024f]").search
         self.alphabet = " " + "".join(byte_alphabet())[1:]  # byte 0 parts the pieces
+        self.one = np.concatenate([classes(range(128)), np.full(128, RARE, np.uint8)])
+        self.two = classes(range(0x280))
         self.letters = np.zeros(self.size, np.int64)
         for token, i in self.library.get_vocab().items():
             self.letters[i] = len(token)
         self.reset()
 
     def reset(self) -> None:
-        """Two tables of ids laid end to end: by chunk (rows) and by piece (words). Not empty, so that views can be had."""
-        self.rows: dict[str, int] = {}
-        self.words: dict[str, int] = {}
+        """A table of ids laid end to end, by piece. Not empty, so that views can be had."""
+        self.words: dict[bytes, int] = {}
         self.flat, self.at = bytearray(self.kind.itemsize), array("q", [1])
-        self.piece_flat, self.piece_at = bytearray(self.kind.itemsize), array("q", [1])
 
-    def learn_pieces(self, fresh: list[str], odd: dict[int, str]) -> None:
+    def learn(self, fresh: list[bytes], odd: dict[int, bytes]) -> None:
         """The library's ids of new pieces, asked for in one call; odd ones are texts for the whole library."""
-        shown = "\0".join(fresh).encode().decode("latin-1").translate(self.alphabet)
+        shown = b"\0".join(fresh).decode("latin-1").translate(self.alphabet)
         ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.kind)
         # Tokens are spelled in full, so their lengths tell where a piece ends.
-        ends = np.cumsum(list(map(len, shown.split(" ")))) if fresh else np.zeros(0, np.int64)
+        ends = np.cumsum(list(map(len, fresh)))
         reach = np.concatenate([[0], np.cumsum(self.letters[ids])])
         upto = np.searchsorted(reach, ends)
         if not np.array_equal(reach[upto], ends):
@@ -106,53 +117,50 @@ class ByteBpe:
         bounds = np.concatenate([[0], upto])
         if odd:
             parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            for k, text in odd.items():
-                parts[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
+            for k, found in zip(odd, self.library.encode_batch_fast([x.decode() for x in odd.values()], add_special_tokens=False), strict=True):
+                parts[k] = np.array(found.ids, self.kind)
             ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-        self.piece_at.frombytes((bounds[1:] + len(self.piece_flat) // self.kind.itemsize).astype(np.int64).tobytes())
-        self.piece_flat += ids.tobytes()
-
-    def learn(self, new: list[str]) -> None:
-        """Takes in new chunks. The sign in front tells what stood before a chunk.
-
-        A chunk of common letters is cut into the pre-tokenizer's pieces here, and the library's model
-        is asked once for each distinct piece; others go through the whole library.
-        """
-        words, get = self.words, self.words.get
-        fresh: list[str] = []
-        odd: dict[int, str] = {}
-        used, counts = array("q"), array("q")
-        for c in new:
-            chunk = c[1:] if c[0] == "\r" else c if c[0] == "\n" else " " + c
-            if self.rare(chunk):
-                odd[len(fresh)] = chunk
-                words["\0" + chunk] = len(words)
-                fresh.append("")
-                used.append(len(words) - 1)
-                counts.append(1)
-                continue
-            if c.isalpha():  # a word after a space
-                found = (chunk,)
-            elif c[-1] in ENDS and c[:-1].isalpha():  # the same with a sign behind it
-                found = (chunk[:-1], c[-1])
-            else:
-                found = self.pieces(chunk)
-            for x in found:
-                k = get(x)
-                if k is None:
-                    k = words[x] = len(words)
-                    fresh.append(x)
-                used.append(k)
-            counts.append(len(found))
-        if fresh:
-            self.learn_pieces(fresh, odd)
-        at, flat = np.frombuffer(self.piece_at, np.int64), np.frombuffer(self.piece_flat, self.kind)
-        which = np.frombuffer(used, np.int64) if used else np.zeros(0, np.int64)
-        starts = at[which]
-        lengths = at[which + 1] - starts
-        sums = np.concatenate([[0], np.cumsum(lengths)])
-        self.at.frombytes((sums[np.cumsum(np.frombuffer(counts, np.int64))] + len(self.flat) // self.kind.itemsize).astype(np.int64).tobytes())
-        self.flat += flat[ragged(starts, lengths)].tobytes()
+        self.at.frombytes((bounds[1:] + len(self.flat) // self.kind.itemsize).astype(np.int64).tobytes())
+        self.flat += ids.tobytes()
+
+    def cut(self, data: np.ndarray, bounds: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of texts laid end to end start, and which of these are for the whole library."""
+        n = len(data)
+        kind = self.one[data]
+        lead = np.flatnonzero((data >= 0xC2) & (data <= 0xC9))  # two bytes, up to U+027F
+        kind[lead] = kind[lead + 1] = self.two[(data[lead] & 0x1F).astype(np.int64) << 6 | data[lead + 1] & 0x3F]
+        if whole.any():
+            kind[np.repeat(whole, np.diff(bounds))] = RARE
+        first = np.zeros(n + 3, bool)  # a text's first byte; what lies behind all texts belongs to none
+        first[bounds[:-1][np.diff(bounds) > 0]] = True
+        first[n:] = True
+        start = first[:n].copy()
+        start[1:] |= kind[1:] != kind[:-1]
+        # The last of some white characters before others is a piece of its own, or a space in front of one.
+        white = kind == WHITE
+        breaks = np.flatnonzero(white[:-1] & ~white[1:] & ~first[1:n])
+        start[breaks] = True
+        start[breaks[data[breaks] == 32] + 1] = False
+        quote = np.flatnonzero((data == 39) & start)
+        if len(quote):
+            end = np.concatenate([data, np.zeros(2, np.uint8)])
+            x, y = end[quote + 1], end[quote + 2]
+            short = quote[~first[quote + 1] & np.isin(x, np.frombuffer(b"stmd", np.uint8))]
+            long = quote[~first[quote + 1] & ~first[quote + 2] & ((x == 114) & (y == 101) | (x == 118) & (y == 101) | (x == 108) & (y == 108))]  # re, ve, ll
+            for some, size in ((short, 2), (long, 3)):
+                start[some + 1] = False
+                behind = some + size
+                start[behind[behind < n]] = True
+        rare = np.flatnonzero(kind == RARE)
+        if not len(rare):
+            return np.flatnonzero(start), rare
+        places = np.union1d(np.flatnonzero(first[:n]), breaks)
+        marked = np.zeros(len(places), bool)
+        marked[np.searchsorted(places, rare, side="right") - 1] = True
+        start[np.repeat(marked, np.diff(places, append=n))] = False
+        start[places[marked]] = True
+        starts = np.flatnonzero(start)
+        return starts, np.searchsorted(starts, places[marked])
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (an Arrow string array or a list; no nulls) laid end to end, and n+1 bounds."""
@@ -160,38 +168,31 @@ class ByteBpe:
         import pyarrow.compute as pc
 
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        if len(self.rows) > CACHE_WORDS or len(self.words) > CACHE_WORDS:
+        data, bounds = binary_views(texts)
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(len(texts) + 1, np.int64)
+        if len(self.at) > CACHE_WORDS or len(self.flat) > CACHE_IDS * self.kind.itemsize:
             self.reset()
-        whole = pc.match_substring_regex(texts, self.whole)
-        direct = np.flatnonzero(np.array(whole))
-        cut = pc.if_else(whole, "", texts) if len(direct) else texts
-        # A chunk starts at a single space, which is left out, or at a line end; nothing precedes the first.
-        chunks = pc.split_pattern(pc.binary_join_element_wise("\r", pc.replace_substring(cut, "\n", " \n"), ""), " ")
-        named = chunks.flatten().dictionary_encode()
-        distinct = named.dictionary
-        names = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct), " ")[0].as_py().split(" ") if len(distinct) else []
-        found = list(map(self.rows.get, names))
-        if None in found:
-            new = [x for x, r in zip(names, found, strict=True) if r is None]
-            known = len(self.rows)
-            self.rows.update(zip(new, range(known, known + len(new)), strict=True))
-            self.learn(new)
-            fill = iter(range(known, known + len(new)))
-            found = [next(fill) if r is None else r for r in found]
-        picked = np.array(found, np.int64)[np.array(named.indices)]
+        starts, apart = self.cut(data, bounds, np.array(pc.match_substring_regex(texts, self.whole)))
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)])
+        named = pieces.dictionary_encode()
+        names, which = named.dictionary.to_numpy(zero_copy_only=False).tolist(), np.array(named.indices)
+        found = np.fromiter(map(self.words.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = np.arange(len(new)) + len(self.at) - 1
+            fresh = [names[k] for k in new.tolist()]
+            self.words.update((x, r) for x, r in zip(fresh, found[new].tolist(), strict=True) if len(x) <= CACHE_BYTES)
+            strange = np.zeros(len(names), bool)
+            strange[which[apart]] = True
+            odd = {k: fresh[k] for k in np.flatnonzero(strange[new]).tolist()}
+            self.learn([b"" if k in odd else x for k, x in enumerate(fresh)] if odd else fresh, odd)
+        picked = found[which]
         at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, self.kind)
-        starts = at[picked]
-        lengths = at[picked + 1] - starts
-        ids = flat[ragged(starts, lengths)]
+        first = at[picked]
+        lengths = at[picked + 1] - first
         sums = np.concatenate([[0], np.cumsum(lengths)])
-        bounds = sums[np.array(chunks.offsets, np.int64) - chunks.offsets[0].as_py()]
-        if len(direct):
-            parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            for k, found in zip(direct, self.library.encode_batch_fast(texts.take(pa.array(direct)).to_pylist(), add_special_tokens=False), strict=True):
-                parts[k] = np.array(found.ids, self.kind)
-            ids = np.concatenate(parts)
-            bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        return ids, bounds
+        return flat[ragged(first, lengths)], sums[np.searchsorted(starts, bounds)]
 
 
 @lru_cache(maxsize=2)
@@ -317,7 +318,7 @@ def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         names = ["doc_id", "ids", "counts"]
         for batch in batches:
             texts = batch.column("text")
-            for a, b, _, _ in portions(texts):
+            for a, b, _, _ in portions(texts, ENCODE_BYTES):
                 n = b - a
                 ids, bounds = bpe.encode(texts.slice(a, n).fill_null(""))
                 # The end id goes behind every document.

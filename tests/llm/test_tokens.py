@@ -1,6 +1,7 @@
 """Encoders against the tokenizers library, the file format by round trips."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -41,6 +42,26 @@ def test_byte_bpe_is_the_library_s():
         assert ids[at[k] : at[k + 1]].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_byte_bpe_cuts_as_the_library_does():
+    r, t = random.Random(5), library("byte_bpe_50k.json")
+    signs = ["ab '\n\t", "a'srevldtm  ", " \n\t\r\x0b\x0ca.", "aé×÷ªº²¼\x7f\x80\xadɏɐɿʀ '1\n", "a b\x00\x01\x1f\x1c\u3000\u200b \x85\xa0 \n", "word Ж’,.1٣ \n"]
+    texts = ["".join(r.choice(x) for _ in range(r.randint(0, 30))) for x in signs for _ in range(300)]
+    r.shuffle(texts)
+    texts += ["x <|endoftext|>", "'s", "<|endoftext|>"]
+    ids, at = rans.byte_bpe(bpe.vocabulary("byte_bpe_50k.json")).encode(texts)
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_byte_bpe_remembers_pieces_not_what_stands_between_spaces():
+    words = ["".join(x) for x in itertools.product("bdfgk", "aeiou", "lmnrt")]
+    codec = rans.ByteBpe(bpe.vocabulary("byte_bpe_50k.json"))
+    held = sum(len(x) for x in vars(codec).values() if isinstance(x, dict))
+    codec.encode([" ".join(f"{a}-{b}" for b in words) for a in words] + ["漢字" * 1000])
+    assert sum(len(x) for x in vars(codec).values() if isinstance(x, dict)) - held <= 2 * len(words) + 1
+    assert all(len(x) <= rans.CACHE_BYTES for x in codec.words)
+
+
 @pytest.mark.parametrize("n", [1, 5, rans.LANES, rans.LANES * rans.CHECKPOINT * 2 + 17])
 def test_blocks_round_trip_from_any_checkpoint(n):
     r = np.random.default_rng(n)
