@@ -225,7 +225,8 @@ class Coder:
         n, steps = len(ids), -(-len(ids) // LANES)
         x = np.full(LANES, LOW, np.uint64)
         words, marks, written = [], [], 0
-        f, c, top = self.freq[ids], self.cum[ids], self.most[ids]
+        ids = ids.astype(np.intp)
+        f, c, top = self.freq.take(ids), self.cum.take(ids), self.most.take(ids)
         low32, s32, scale = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(SCALE)
         for t in range(steps - 1, -1, -1):
             a, b = t * LANES, min(n, (t + 1) * LANES)
@@ -254,8 +255,8 @@ class Coder:
             a, b = t * LANES, min(n, (t + 1) * LANES)
             y = x[: b - a]
             slot = y & mask
-            s = self.symbol[slot]
-            y = self.freq[s] * (y >> scale) + slot - self.cum[s]
+            s = self.symbol.take(slot.view(np.int64)).astype(np.intp)
+            y = self.freq.take(s) * (y >> scale) + slot - self.cum.take(s)
             low = np.flatnonzero(y < LOW)
             if len(low):
                 y[low] = (y[low] << s32) | words[at : at + len(low)]
