@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import scoring as S
 from docquarry.functions import text as X
-from docquarry.operators import activity, inverted, lists, scan
+from docquarry.operators import activity, containment, inverted, lists, scan
 from docquarry.operators.ranking import TERM_BYTES, exact_sum, top_k
 from docquarry.operators.storage import blocks, written
 
-QUERY_BLOCK = 1024  # parts of a request that are answered together
+QUERY_BLOCK = 1024  # vector queries that are answered together
+TERM_BLOCK = 1 << 20  # terms of a containment request that are looked for together
 
 
 def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -31,10 +32,9 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def containment_scores(chunks: DataFrame, asked: DataFrame, keep: int, scoped: bool = False) -> DataFrame:
     """query_id, part, chunk_id, modified_at, raw, overlap, core of every chunk that holds a term of a part.
 
-    asked: query_id, part, terms, core - the request; it comes to the driver in blocks of about ``QUERY_BLOCK`` parts,
+    asked: query_id, part, terms, core - the request; it comes to the driver in blocks of about ``TERM_BLOCK`` terms,
     and every block is one pass over all chunks (``substrings`` reads an index instead). An Aho-Corasick automaton over a
-    block's terms reads every chunk once; what it finds, a row for each chunk and term, is given to the parts
-    that use the term and added up by chunk and part.
+    block's terms reads every distinct word of a slice of chunks; what it finds is added up by chunk and part.
     raw: file name and heading 3, path 2, snippet 1; overlap: file name and heading 3, else 1 (terms of two
     characters and more); core: core terms found anywhere. Of each part only rows that can be among the first
     ``keep`` by raw, then modified_at, of what the task has read are sent (ties with the last one stay).
@@ -42,116 +42,15 @@ def containment_scores(chunks: DataFrame, asked: DataFrame, keep: int, scoped: b
     given only chunks that one of its scopes is above of.
     """
     asked = written(asked.select("query_id", "part", "terms", "core", *(["scopes"] if scoped else [])), "asked")
+    size = F.size("terms") + F.size("core") + 1
+    mean = asked.agg(F.avg(size).alias("n")).first()["n"] or 1
     found = None
-    for block in blocks(asked, ["query_id", "part"], QUERY_BLOCK):
-        part = _contained(chunks, [(r["query_id"], r["part"], [t.lower() for t in r["terms"] if t], [t.lower() for t in r["core"] if t], r["scopes"] if scoped else None) for r in block.collect()], keep, scoped)
+    for block in blocks(asked, ["query_id", "part"], max(1, int(TERM_BLOCK / mean))):
+        part = containment.contained(chunks, containment.request_of(block.collect(), scoped), keep, scoped)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _contained(chunks: DataFrame, request: list[tuple], keep: int, scoped: bool) -> DataFrame:
-    """One block of a request against all chunks. A worker holds a slice's finds and numbers by chunk and part."""
-    import numpy as np
-    import pyarrow as pa
-
-    words = sorted({t for _, _, terms, core, _ in request for t in [*terms, *core]})
-    place = {t: k for k, t in enumerate(words)}
-
-    def users(lists) -> tuple[np.ndarray, np.ndarray]:
-        """The parts that use each word, end to end, and where each word's begin."""
-        pairs = np.array(sorted((place[t], j) for j, terms in enumerate(lists) for t in set(terms)), np.int64).reshape(-1, 2)
-        return pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(words) + 1))
-
-    uses, cores = users([r[2] for r in request]), users([r[3] for r in request])
-    long = np.array([len(t) >= 2 for t in words], bool)
-    ids, parts = np.array([r[0] for r in request], np.int64), np.array([r[1] for r in request], np.int32)
-    fields = ("snippet", "path", "heading", "file_name")  # by rising weight: 1, 2, 3, 3
-    schema = f"query_id long, part int, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, modified_at long, raw long, overlap long, core long"
-    rows = max(1, min(2000, (1 << 21) // max(1, len(request))))  # of a slice: its numbers take 48 MB at most
-    free = np.array([r[4] is None for r in request], bool)
-    inside: dict[str, list[int]] = {}  # the parts that each scope lets in
-    for j, r in enumerate(request):
-        for scope in r[4] or ():
-            inside.setdefault(scope, []).append(j)
-
-    def spread(row, word, weight, lists, shape):
-        """Sums of weights by chunk and part."""
-        flat, at = lists
-        n = at[word + 1] - at[word]
-        every = np.repeat(at[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.bincount(np.repeat(row, n) * shape[1] + flat[every], np.repeat(weight, n), shape[0] * shape[1]).astype(np.int64).reshape(shape)
-
-    def run(batches):
-        import ahocorasick
-
-        if not words:
-            return
-        automaton = ahocorasick.Automaton()
-        for t, k in place.items():
-            automaton.add_word(t, k)
-        automaton.make_automaton()
-        seen: dict[str, list[int]] = {}  # names and paths come again and again
-        best = np.full((keep, len(request)), -1, np.int64)  # the first numbers of each part so far
-
-        def finds(text: str | None, short: bool) -> list[int]:
-            if not text:
-                return []
-            found = seen.get(text) if short else None
-            if found is None:
-                found = list({k for _, k in automaton.iter(text.lower())})
-                if short:
-                    if len(seen) > 10_000:
-                        seen.clear()
-                    seen[text] = found
-            return found
-
-        for batch in batches:
-            for a in range(0, batch.num_rows, rows):
-                part = batch.slice(a, rows)
-                n = part.num_rows
-                row, word, weight = [], [], []
-                for f, name in enumerate(fields):
-                    lists = [finds(text, f > 0) for text in part.column(name).to_pylist()]
-                    row.append(np.repeat(np.arange(n), [len(x) for x in lists]))
-                    word.append(np.array([k for x in lists for k in x], np.int64))
-                    weight.append(np.full(len(word[-1]), min(f + 1, 3)))
-                # A chunk's best field for each word.
-                key = np.concatenate(row) * len(words) + np.concatenate(word)
-                order = np.lexsort((np.concatenate(weight), key))
-                key, weight = key[order], np.concatenate(weight)[order]
-                last = np.append(key[1:] != key[:-1], True)[: len(key)]
-                (row, word), weight = np.divmod(key[last], len(words)), weight[last]
-                shape = n, len(request)
-                raw = spread(row, word, weight, uses, shape)
-                if scoped:
-                    allowed = np.repeat(free[None], n, axis=0)
-                    for i, above in enumerate(part.column("above").to_pylist()):
-                        for scope in above:
-                            if scope in inside:
-                                allowed[i, inside[scope]] = True
-                    raw[~allowed] = 0
-                when = np.array(part.column("modified_at").fill_null(0), np.int64)
-                if 0 <= when.min() and when.max() < 1 << 40:
-                    first = np.where(raw > 0, raw << 40 | when[:, None], -1)
-                    better = np.flatnonzero((first > best.min(axis=0)).any(axis=0))
-                    both = np.concatenate([best[:, better], first[:, better]])
-                    best[:, better] = np.partition(both, len(both) - keep, axis=0)[len(both) - keep :]
-                    i, j = np.nonzero((first >= 0) & (first >= best.min(axis=0)))
-                else:
-                    i, j = np.nonzero(raw)
-                # The other numbers of rows that are sent at all.
-                sent, at = np.unique(i, return_inverse=True)
-                here = np.isin(row, sent)
-                row, word, weight, shape = np.searchsorted(sent, row[here]), word[here], weight[here], (len(sent), len(request))
-                overlap = spread(row, word, np.where(weight == 3, 3, 1) * long[word], uses, shape)[at, j]
-                core = spread(row, word, np.ones(len(word)), cores, shape)[at, j]
-                at = pa.array(i)
-                columns = [pa.array(ids[j]), pa.array(parts[j]), part.column("chunk_id").take(at), part.column("modified_at").take(at), pa.array(raw[i, j]), pa.array(overlap), pa.array(core)]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "part", "chunk_id", "modified_at", "raw", "overlap", "core"])
-
-    return chunks.select("chunk_id", "modified_at", *fields, *(["above"] if scoped else [])).mapInArrow(run, schema)
-
-
 def cosine_search(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", distance: bool = True) -> DataFrame:
     """Exact search: every vector against the queries (query_id, query): query_id, key, score, rank.
 
