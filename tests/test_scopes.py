@@ -36,3 +36,21 @@ def test_a_result_is_not_exchanged(spark):
     top = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     join = next(k for k, line in enumerate(top) if "Join" in line)
     assert not any("Aggregate" in line for line in top[:join])
+
+
+def test_a_result_is_dealt_as_lists(spark, monkeypatch):
+    """What tasks are sent are lists of chunks and questions, not a row for each; nulls and copies count as in a join."""
+    monkeypatch.setattr(answers, "CHUNK_LIST", 16)
+    monkeypatch.setattr(answers, "QUESTION_LIST", 8)
+    monkeypatch.setattr(answers, "BATCH_ROWS", 20)
+    paths = [(f"c{k}" if k else None, f"/a/{'b' if k % 3 else 'c'}/{k}.txt") for k in range(90)]
+    chunks = spark.createDataFrame([*paths, *paths[:5]], "chunk_id string, path string").repartition(3)
+    asked = [(q, s) for q in [*range(40), None] for s in (("/A",) if (q or 0) % 2 else ("/a\\b/", "/a/b", "/a/c/9.txt", "/x", " "))]
+    found = answers.in_scope(chunks, spark.createDataFrame(asked, "query_id long, scope string"))
+    below = lambda p, s: bool(s.strip()) and (p + "/").startswith(s.lower().replace("\\", "/").rstrip("/") + "/")
+    want = {(q, c) for q, s in asked for c, p in paths if below(p, s)}
+    rows = list(map(tuple, found.collect()))
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    sent = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "MapInArrow" in sent[0] and "Repartition" in sent[1]
+    assert answers.in_scope(chunks, spark.createDataFrame([(1, "/x"), (2, " ")], "query_id long, scope string")).collect() == []
